@@ -28,9 +28,16 @@ from tessera.llm.texthash import mix, shingle_sets
 SKETCH_BITS = 22
 SKETCH_PARTS = 64
 PIVOTS = 3
+#: Bits of the filter of wanted texts, a fixed 8 MB; past its capacity it lets more through, and a join by node decides.
+FILTER_BITS = 26
 
 
-def _profile(id_col: str, k: int):
+def _node(s: np.ndarray) -> np.ndarray:
+    """A set's own hash, as an array of one."""
+    return mix(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(s)))
+
+
+def _profile(k: int):
     """Rows of documents (their set's size and node), then the partition's share of the sketch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -39,7 +46,7 @@ def _profile(id_col: str, k: int):
             sizes, nodes, held, waiting = [], [], [], 0
             for s in shingle_sets(batch["text"], k):
                 sizes.append(len(s))
-                nodes.append(mix(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(s)))[0])
+                nodes.append(_node(s)[0])
                 held.append(s)
                 waiting += len(s)
                 if waiting > 1 << 20:
@@ -77,9 +84,8 @@ def _prefixes(sketch, percent: int, k: int, block_bits: int):
                     continue
                 length = n - (percent * n + 99) // 100 + 1
                 order = np.lexsort((s, counts[(s & np.uint64(len(counts) - 1)).astype(np.int64)]))
-                node = mix(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(keepdims=True, dtype=np.uint64) + np.uint64(n))
                 cells.append(s[order[:length]])
-                nodes.append(np.repeat(node, length))
+                nodes.append(np.repeat(_node(s), length))
             if cells:
                 cells, nodes = np.concatenate(cells), np.concatenate(nodes)
                 order = np.argsort(cells)
@@ -117,12 +123,36 @@ def _product(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out)
 
 
-def _sets(k: int):
+def _marks(digests: np.ndarray) -> np.ndarray:
+    """Bits of the filter that a digest sets."""
+    x = digests.view(np.uint64)
+    return np.concatenate([mix(x + np.uint64(i)) >> np.uint64(64 - FILTER_BITS) for i in (1, 2)]).astype(np.int64)
+
+
+def _filter_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    for batch in batches:
+        bits[_marks(batch["digest"].to_numpy(np.int64))] = True
+    for part, some in enumerate(np.split(np.packbits(bits), SKETCH_PARTS)):
+        yield pd.DataFrame({"part": [part], "counts": [zlib.compress(some.tobytes(), 1)]})
+
+
+def _join_parts(rows: pd.DataFrame) -> pd.DataFrame:
+    joined = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), np.uint8) for x in rows["counts"]])
+    return pd.DataFrame({"part": [rows["part"].iloc[0]], "counts": [zlib.compress(joined.tobytes(), 1)]})
+
+
+def _sets(wanted, k: int):
+    """Nodes' whole sets, of the texts whose digest the filter lets through; some others come along."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.unpackbits(np.concatenate([np.frombuffer(zlib.decompress(x), np.uint8) for x in wanted.value])).view(bool)
         for batch in batches:
+            hit = bits[_marks(batch["digest"].to_numpy(np.int64))].reshape(2, -1).all(0)
             held: list = []
-            for node, s in zip(batch["node"], shingle_sets(batch["text"], k), strict=True):
-                held.append((node, len(s), s.view(np.int64)))
+            for s in shingle_sets(batch["text"][hit], k):
+                if len(s):
+                    held.append((_node(s).view(np.int64)[0], len(s), s.view(np.int64)))
                 if len(held) == 500:
                     yield pd.DataFrame(held, columns=["node", "n", "shingles"])
                     held = []
@@ -156,6 +186,27 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _gathered(parts: DataFrame, combine):
+    """Parts of a fixed-size table, summed by part and broadcast."""
+    rows = parts.groupBy("part").applyInPandas(combine, "part int, counts binary").collect()
+    ordered = [bytes(r["counts"]) for r in sorted(rows, key=lambda r: r["part"])] or [zlib.compress(bytes(1 << FILTER_BITS >> 3))]
+    return parts.sparkSession.sparkContext.broadcast(ordered)
+
+
+def _best(overlaps: DataFrame) -> DataFrame:
+    """Of the pivots that each node b shares cells with, the one it shares most with, as a < b."""
+    summed = overlaps.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    best = summed.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
+    return stored(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+
+
+def _open(columns: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows, with their label, of the columns that hold two labels or more."""
+    named = columns.join(labels, "node", "left").select("shingle", "node", "n", F.coalesce("label", "node").alias("label"))
+    mixed = named.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("shingle")
+    return named.join(mixed, "shingle")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, k: int = 5, block_bits: int | None = None) -> DataFrame:
     """Per row of docs: id, n_shingles and component_id, the smallest id reachable by links.
 
@@ -165,32 +216,35 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
-    first = stored(rows.mapInPandas(_profile(id_col, k), f"id {kind}, digest long, n long, node long, part int, counts binary"), "profile")
+    first = stored(rows.mapInPandas(_profile(k), f"id {kind}, digest long, n long, node long, part int, counts binary"), "profile")
     nodes = first.filter("part < 0").select("id", "digest", "n", "node")
-    parts = first.filter("part >= 0").select("part", "counts").groupBy("part").applyInPandas(_sum_parts, "part int, counts binary")
-    sketch = [r["counts"] for r in sorted(parts.collect(), key=lambda r: r["part"])] or [zlib.compress(bytes(4))]
-    sketch = docs.sparkSession.sparkContext.broadcast(sketch)
+    sketch = _gathered(first.filter("part >= 0").select("part", "counts"), _sum_parts)
     if block_bits is None:  # some 4 blocks for each partition of the input, 64 at least
         block_bits = max(6, (4 * rows.rdd.getNumPartitions() - 1).bit_length())
     cells = rows.select("text").mapInPandas(_prefixes(sketch, percent, k, block_bits), "block int, cells binary, nodes binary")
     product = stored(cells.groupBy("block").applyInPandas(_product, "kind int, a long, b long, n long"), "product")
     columns = product.filter("kind < 0").select(F.col("a").alias("shingle"), F.col("b").alias("node"))
 
-    shared = columns.select("node").distinct().join(nodes, "node").groupBy("node").agg(F.min("digest").alias("digest"))
-    texts = rows.select("digest", "text").join(shared, "digest").dropDuplicates(["node"]).select("node", "text")
-    sets = stored(texts.mapInPandas(_sets(k), "node long, n long, shingles array<long>"), "sets")
+    shared = stored(columns.select("node").distinct().join(nodes, "node").groupBy("node").agg(F.min("digest").alias("digest")), "shared")
+    wanted = _gathered(shared.select("digest").mapInPandas(_filter_part, "part int, counts binary"), _join_parts)
+    made = rows.select("digest", "text").mapInPandas(_sets(wanted, k), "node long, n long, shingles array<long>")
+    sets = stored(made.join(shared.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
-    overlaps = product.filter("kind >= 0").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
-    best = overlaps.groupBy("kind", "b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = stored(verified(best, sets, percent), "links")
+    checked = _best(product.filter("kind >= 0").select("a", "b", "n"))
+    links = stored(verified(checked, sets, percent), "links")
     labels = components(links)
-
-    sized = columns.join(sets.select("node", "n"), "node").join(labels, "node", "left").select("shingle", "node", "n", F.coalesce("label", "node").alias("label"))
-    open_columns = sized.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("shingle")
-    rest = stored(sized.join(open_columns, "shingle"), "open")
+    sized = stored(columns.join(sets.select("node", "n"), "node"), "sized")
+    # once more with other pivots, where columns are still open; then every pair that is left
+    open_rows = stored(_open(sized, labels), "open")
+    pivots = open_rows.groupBy("shingle").agg(F.min_by(F.struct("node", "label", "n"), F.xxhash64(F.lit(3), "node")).alias("p"))
+    stars = open_rows.join(pivots, "shingle").filter(f"label != p.label AND 100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
+    again = _best(stars.groupBy(F.col("p.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))).join(checked, ["a", "b"], "left_anti")
+    links = stored(links.unionByName(verified(again, sets, percent)), "links")
+    labels = components(links)
+    rest = stored(_open(open_rows.drop("label"), labels), "open")
     x, y = rest.alias("x"), rest.alias("y")
     apart = x.join(y, F.expr(f"x.shingle = y.shingle AND x.node < y.node AND x.label != y.label AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
-    pairs = apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(best, ["a", "b"], "left_anti")
+    pairs = apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(checked.unionByName(again), ["a", "b"], "left_anti")
     more = stored(verified(pairs, sets, percent), "links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
