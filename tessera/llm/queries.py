@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import jaccard, linededup, sharding
+from tessera.llm import jaccard, linededup, mpegaudio, sharding, toxicity
 from tessera.llm.common import LOWER, UPPER, table
 
 N_SHARDS = 8
@@ -23,10 +23,24 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = mpegaudio.media_digest(mpegaudio.media_of_text("text"))
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return docs.select("doc_id", n_bytes.alias("n_bytes"), found.alias("found")).select("doc_id", "n_bytes", "found.*")
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic")
+    scored = toxicity.score(docs, machine)
+    return scored.select("doc_id", (~toxicity.in_training()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 # CRC-32 by nibbles: fixed values, the remainders of the 16 nibbles.
 _CRC_NIBBLES = [
     0x00000000, 0x1DB71064, 0x3B6E20C8, 0x26D930AC, 0x76DC4190, 0x6B6B51F4, 0x4DB26158, 0x5005713C,
@@ -84,7 +98,7 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, u.b FROM
 SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.b)::BIGINT AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY ALL
 """
 
-_QUERIES = {"op4_jaccard_join": op4_jaccard_join, "op7_jump_shards": op7_jump_shards, "op8_line_dedup": op8_line_dedup}
+_QUERIES = {"op1_mpeg_audio": op1_mpeg_audio, "op10_toxicity": op10_toxicity, "op4_jaccard_join": op4_jaccard_join, "op7_jump_shards": op7_jump_shards, "op8_line_dedup": op8_line_dedup}
 _SQL = {"op4_jaccard_join": _OP4_SQL, "op7_jump_shards": _OP7_SQL, "op8_line_dedup": _OP8_SQL}
 
 

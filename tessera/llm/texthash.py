@@ -8,6 +8,7 @@ import numpy as np
 
 #: Bytes hashed at a time; a longer text is cut at white space, so memory follows this and the longest word.
 CHUNK = 1 << 20
+_LENGTH = np.uint64(0xA24BAED4963EE407)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -44,8 +45,8 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
-def _words(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of every word of a buffer."""
+def _words(buffer: bytes, prefixes=()) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of every word of a buffer; then also of the first so many bytes of longer words."""
     a = np.frombuffer(buffer, np.uint8)
     space = _SPACE[a]
     before = np.empty_like(space)
@@ -56,9 +57,17 @@ def _words(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
     after = np.empty_like(space)
     after[-1:], after[:-1] = True, space[1:]
     lengths = np.flatnonzero(after & ~space) + 1 - starts
-    up, down = _power_tables(len(a))
+    up, down = _power_tables(len(a) + 1)
     sums = np.add.reduceat(_VALUE[a] * up[: len(a)], starts)
-    return starts, mix(sums * down[starts] + lengths.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    found = [(starts, mix(sums * down[starts] + lengths.astype(np.uint64) * _LENGTH))]
+    at, sums = starts, np.zeros(len(starts), np.uint64)
+    for i in range(max(prefixes, default=0)):
+        long = lengths > i
+        at, lengths, sums = at[long], lengths[long], sums[long]
+        sums = sums + _VALUE[a[at + i]] * up[i]
+        if i + 1 in prefixes:
+            found.append((at, mix(sums ^ mix(np.full(1, i + 1, np.uint64)))))
+    return (np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])) if prefixes else found[0]
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
@@ -99,6 +108,41 @@ def words(texts, table: bytes = _LOWER) -> Iterator[np.ndarray]:
         yield from flush()
 
 
+def buckets(texts, bits: int, prefixes=(), slot: np.ndarray | None = None, table: bytes = TERMS) -> Iterator[np.ndarray]:
+    """For each text the distinct hash buckets of its words and their beginnings, or the slots that slot gives them (negative: none)."""
+    held: list[bytes] = []
+    size = 0
+
+    def of(buffer: bytes, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts, hashes = _words(buffer, prefixes)
+        found = (hashes >> np.uint64(64 - bits)).astype(np.int32)
+        text = np.searchsorted(heads, starts, side="right") - 1
+        if slot is not None:
+            found = slot[found]
+            text, found = text[found >= 0], found[found >= 0]
+        return text, found
+
+    def flush():
+        heads = np.cumsum([0] + [len(t) + 1 for t in held[:-1]])
+        text, found = of(b" ".join(held), heads)
+        order = np.argsort(text, kind="stable")
+        for part in np.split(found[order], np.searchsorted(text[order], np.arange(1, len(held)))):
+            yield np.unique(part)
+
+    for text in texts:
+        data = (text or "").encode("utf-8", "surrogatepass").translate(table)
+        if held and size + len(data) > CHUNK:
+            yield from flush()
+            held, size = [], 0
+        if len(data) > CHUNK:
+            yield np.unique(np.concatenate([of(p, np.zeros(1, np.int64))[1] for p in _pieces(data)]))
+            continue
+        held.append(data)
+        size += len(data) + 1
+    if held:
+        yield from flush()
+
+
 _STEP = mix(np.arange(11, 75, dtype=np.uint64)) | np.uint64(1)
 
 
