@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import jaccard, linededup, mpegaudio, sharding, toxicity
+from tessera.llm import decontaminate, jaccard, linededup, mpegaudio, packing, sharding, toxicity
 from tessera.llm.common import LOWER, UPPER, table
 
 N_SHARDS = 8
@@ -30,6 +30,14 @@ def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", n_bytes.alias("n_bytes"), found.alias("found")).select("doc_id", "n_bytes", "found.*")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -98,7 +106,7 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, u.b FROM
 SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.b)::BIGINT AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY ALL
 """
 
-_QUERIES = {"op1_mpeg_audio": op1_mpeg_audio, "op10_toxicity": op10_toxicity, "op4_jaccard_join": op4_jaccard_join, "op7_jump_shards": op7_jump_shards, "op8_line_dedup": op8_line_dedup}
+_QUERIES = {"op1_mpeg_audio": op1_mpeg_audio, "op2_packing": op2_packing, "op3_decontaminate": op3_decontaminate, "op10_toxicity": op10_toxicity, "op4_jaccard_join": op4_jaccard_join, "op7_jump_shards": op7_jump_shards, "op8_line_dedup": op8_line_dedup}
 _SQL = {"op4_jaccard_join": _OP4_SQL, "op7_jump_shards": _OP7_SQL, "op8_line_dedup": _OP8_SQL}
 
 
