@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, jaccard, linededup, mpegaudio, packing, sharding, toxicity
+from tessera.llm import decontaminate, jaccard, linededup, mpegaudio, packing, perspectives, rulequality, sharding, toxicity
 from tessera.llm.common import LOWER, UPPER, table
 
 N_SHARDS = 8
@@ -42,6 +42,16 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = rulequality.score(docs, rulequality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (~toxicity.in_training()).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic")
@@ -55,6 +65,23 @@ _CRC_NIBBLES = [
     0xEDB88320, 0xF00F9344, 0xD6D6A3E8, 0xCB61B38C, 0x9B64C2B0, 0x86D3D2D4, 0xA00AE278, 0xBDBDF21C,
 ]
 
+_OP6_SQL = """
+WITH p AS (SELECT DISTINCT conv_id, role AS perspective FROM conversations WHERE role <> 'system'),
+t AS (
+  SELECT c.conv_id, p.perspective, c.turn, coalesce(c.text, '') AS text, c.role AS speaker,
+         CASE WHEN c.role = 'system' THEN 'system' WHEN c.role = p.perspective THEN 'assistant' ELSE 'user' END AS role
+  FROM conversations c JOIN p USING (conv_id)),
+r AS (SELECT *, '<|' || role || '|>' || CASE WHEN role = 'user' THEN ' ' || speaker ELSE '' END || chr(10) AS header FROM t),
+s AS (
+  SELECT *, header || text || '<|end|>' || chr(10) AS rendered,
+         CAST(coalesce(sum(length(header || text || '<|end|>' || chr(10))) OVER (PARTITION BY conv_id, perspective ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM r)
+SELECT conv_id, perspective, turn, role, rendered, start, start + length(rendered) AS "end",
+       CASE WHEN role = 'assistant' THEN start + length(header) END AS mask_start,
+       CASE WHEN role = 'assistant' THEN start + length(header) + length(text) + 7 END AS mask_end
+FROM s
+"""
+
 _OP7_SQL = f"""
 WITH d AS (
   SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
@@ -106,8 +133,8 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, u.b FROM
 SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.b)::BIGINT AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY ALL
 """
 
-_QUERIES = {"op1_mpeg_audio": op1_mpeg_audio, "op2_packing": op2_packing, "op3_decontaminate": op3_decontaminate, "op10_toxicity": op10_toxicity, "op4_jaccard_join": op4_jaccard_join, "op7_jump_shards": op7_jump_shards, "op8_line_dedup": op8_line_dedup}
-_SQL = {"op4_jaccard_join": _OP4_SQL, "op7_jump_shards": _OP7_SQL, "op8_line_dedup": _OP8_SQL}
+_QUERIES = {"op1_mpeg_audio": op1_mpeg_audio, "op2_packing": op2_packing, "op3_decontaminate": op3_decontaminate, "op5_quality_rules": op5_quality_rules, "op6_perspectives": op6_perspectives, "op10_toxicity": op10_toxicity, "op4_jaccard_join": op4_jaccard_join, "op7_jump_shards": op7_jump_shards, "op8_line_dedup": op8_line_dedup}
+_SQL = {"op6_perspectives": _OP6_SQL, "op4_jaccard_join": _OP4_SQL, "op7_jump_shards": _OP7_SQL, "op8_line_dedup": _OP8_SQL}
 
 
 def queries() -> dict:
