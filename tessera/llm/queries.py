@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, jaccard, linededup, mpegaudio, packing, perspectives, rulequality, sharding, toxicity
+from tessera.llm import decontaminate, jaccard, linededup, mpegaudio, packing, perspectives, rulequality, sharding, suffixdedup, toxicity
 from tessera.llm.common import LOWER, UPPER, table
 
 N_SHARDS = 8
@@ -52,6 +52,10 @@ def op6_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic")
@@ -133,7 +137,7 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, u.b FROM
 SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.b)::BIGINT AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY ALL
 """
 
-_QUERIES = {"op1_mpeg_audio": op1_mpeg_audio, "op2_packing": op2_packing, "op3_decontaminate": op3_decontaminate, "op5_quality_rules": op5_quality_rules, "op6_perspectives": op6_perspectives, "op10_toxicity": op10_toxicity, "op4_jaccard_join": op4_jaccard_join, "op7_jump_shards": op7_jump_shards, "op8_line_dedup": op8_line_dedup}
+_QUERIES = {"op1_mpeg_audio": op1_mpeg_audio, "op2_packing": op2_packing, "op3_decontaminate": op3_decontaminate, "op5_quality_rules": op5_quality_rules, "op6_perspectives": op6_perspectives, "op9_suffix_dedup": op9_suffix_dedup, "op10_toxicity": op10_toxicity, "op4_jaccard_join": op4_jaccard_join, "op7_jump_shards": op7_jump_shards, "op8_line_dedup": op8_line_dedup}
 _SQL = {"op6_perspectives": _OP6_SQL, "op4_jaccard_join": _OP4_SQL, "op7_jump_shards": _OP7_SQL, "op8_line_dedup": _OP8_SQL}
 
 
