@@ -1,8 +1,35 @@
 """Every query of the retrieval engine with the SQL it must agree with."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import text as tx
+from tessera.operators import changes, cochange, evaluation, filters, fusion, graph, pack, resolve, retrieval, state
+from tessera.plans import tables as t
+from tessera.plans.tables import table
+
 _QUERIES: dict = {}
 _SQL: dict = {}
 
+TERMS = ["thing", "with", "retion"]
+SEED = 1
+SEEDS = (1, 2, 3, 5, 8)
+_TERM_LIST = ", ".join(f"'{x}'" for x in TERMS)
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
     return dict(_QUERIES)
@@ -10,3 +37,539 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return dict(_SQL)
+
+
+def _bm25_sql(idf: bool) -> str:
+    weight = "ln(1 + (s.n - f.df + 0.5) / (f.df + 0.5)) * " if idf else ""
+    return f"""
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS toks FROM documents),
+s AS (SELECT count(*) AS n, avg(len(toks)) AS avg_len FROM d),
+p AS (SELECT doc_id, len(toks) AS dl, tok FROM (SELECT doc_id, toks, unnest(toks) AS tok FROM d)),
+tf AS (SELECT doc_id, dl, tok, count(*) AS tf FROM p WHERE tok IN ({_TERM_LIST}) GROUP BY ALL),
+f AS (SELECT tok, count(*) AS df FROM tf GROUP BY tok),
+bm AS (SELECT tf.doc_id, round(sum({weight}tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * tf.dl / s.avg_len))), 6) AS score FROM tf JOIN f USING (tok), s GROUP BY tf.doc_id)"""
+
+
+_KNN_SQL = """
+q AS (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = 0),
+nn AS (SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], qv), 6) AS score FROM embeddings, q)"""
+
+
+def _bm25(spark: SparkSession, sf_dir: str, idf: bool = True) -> DataFrame:
+    return retrieval.bm25(table(spark, sf_dir, "documents").select("doc_id", "text"), TERMS, "doc_id", "text", idf)
+
+
+def _knn(points: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.knn(points, table(spark, sf_dir, "embeddings").filter("vec_id = 0"), "vec_id", "embedding")
+
+
+# ---- search
+
+
+@query(f"""
+WITH {_bm25_sql(True)}, {_KNN_SQL},
+l AS (
+  SELECT doc_id AS id, 1 AS list_no, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= 30
+  UNION ALL SELECT vec_id, 0, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM nn QUALIFY rank <= 30)
+SELECT id AS chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM l GROUP BY id
+ORDER BY score DESC, min(list_no * 1000 + rank), id LIMIT 10
+""")
+def q01_hybrid_rrf(spark, sf_dir):
+    dense = _knn(table(spark, sf_dir, "embeddings"), spark, sf_dir).withColumnRenamed("vec_id", "chunk_id")
+    return retrieval.hybrid(_bm25(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id"), dense, "chunk_id", 10).select("chunk_id", "score")
+
+
+@query(f"WITH {_bm25_sql(True)} SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 20")
+def q02_bm25_topk(spark, sf_dir):
+    return retrieval.top(_bm25(spark, sf_dir), "doc_id", 20)
+
+
+@query(f"WITH {_bm25_sql(False)} SELECT doc_id, score FROM bm")
+def q03_bm25_literal_no_idf(spark, sf_dir):
+    return _bm25(spark, sf_dir, idf=False)
+
+
+@query(f"WITH {_KNN_SQL} SELECT vec_id, score FROM nn ORDER BY score DESC, vec_id LIMIT 20")
+def q04_knn_topk(spark, sf_dir):
+    return retrieval.top(_knn(table(spark, sf_dir, "embeddings"), spark, sf_dir), "vec_id", 20)
+
+
+@query(f"WITH {_KNN_SQL} SELECT vec_id, score FROM nn WHERE label IN (1, 3, 5) ORDER BY score DESC, vec_id LIMIT 20")
+def q05_knn_filtered(spark, sf_dir):
+    kept = filters.matching(table(spark, sf_dir, "embeddings"), {"label": [1, 3, 5], "vec_id": None})
+    return retrieval.top(_knn(kept, spark, sf_dir), "vec_id", 20)
+
+
+def _collection_hits(spark: SparkSession, sf_dir: str, lose_links: bool) -> DataFrame:
+    """Documents as code, conversations as their descriptions: a first turn describes the document of the conversation's number."""
+    code = _bm25(spark, sf_dir).select(F.lit("code_ts").alias("collection"), F.col("doc_id").alias("chunk_id"), F.lit(None).cast("long").alias("linked_chunk_id"), "score")
+    turns = table(spark, sf_dir, "conversations").withColumn("turn_id", F.col("conv_id") * 1000 + F.col("turn"))
+    described = retrieval.bm25(turns.select("turn_id", "text"), TERMS, "turn_id", "text")
+    link = F.floor(F.col("turn_id") / 1000)
+    link = F.when(F.col("turn_id") % 2 == 1, None).otherwise(link) if lose_links else link
+    return code.unionByName(described.select(F.lit("code_ts_desc").alias("collection"), F.col("turn_id").alias("chunk_id"), link.alias("linked_chunk_id"), "score"))
+
+
+def _merge_sql(link: str) -> str:
+    turns = _bm25_sql(True).replace("SELECT doc_id, regexp", "SELECT conv_id * 1000 + turn AS doc_id, regexp").replace("FROM documents", "FROM conversations")
+    for name in ("d", "s", "p", "tf", "f", "bm"):
+        turns = turns.replace(f"\n{name} AS (", f"\n{name}2 AS (")
+    turns = turns.replace("FROM d)", "FROM d2)").replace("FROM d GROUP", "FROM d2 GROUP").replace("avg_len FROM d2)", "avg_len FROM d2)").replace("FROM p ", "FROM p2 ").replace("FROM tf GROUP", "FROM tf2 GROUP").replace("FROM tf JOIN f USING (tok), s", "FROM tf2 tf JOIN f2 f USING (tok), s2 s")
+    return f"""
+WITH {_bm25_sql(True)}, {turns},
+h AS (
+  SELECT 'code_ts' AS collection, doc_id AS own, doc_id AS chunk_id, score FROM bm
+  UNION ALL SELECT 'code_ts_desc', doc_id, {link}, score FROM bm2),
+r AS (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY score DESC, own) AS rank FROM h WHERE chunk_id IS NOT NULL)
+SELECT chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, arg_min(collection, (CASE WHEN collection = 'code_ts' THEN 0 ELSE 100000000 END) + rank) AS matched_collection
+FROM r GROUP BY chunk_id"""
+
+
+@query(_merge_sql("CAST(floor(doc_id / 1000) AS BIGINT)"))
+def q06_cross_collection_merge(spark, sf_dir):
+    merged = fusion.merge_collections(_collection_hits(spark, sf_dir, False), ["code_ts", "code_ts_desc"])
+    return merged.select("chunk_id", "score", "matched_collection")
+
+
+@query(_merge_sql("CASE WHEN doc_id % 2 = 1 THEN NULL ELSE CAST(floor(doc_id / 1000) AS BIGINT) END"))
+def q07_rrf_missing_link(spark, sf_dir):
+    merged = fusion.merge_collections(_collection_hits(spark, sf_dir, True), ["code_ts", "code_ts_desc"])
+    return merged.select("chunk_id", "score", "matched_collection")
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE lang = 'fr'")
+def q08_filter_scalar(spark, sf_dir):
+    return filters.matching(table(spark, sf_dir, "documents"), {"lang": "fr"}).select("doc_id", "n_chars")
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE lang IN ('de', 'es') AND source = 'src3'")
+def q09_filter_list(spark, sf_dir):
+    return filters.matching(table(spark, sf_dir, "documents"), {"lang": ["de", "es"], "source": "src3"}).select("doc_id", "n_chars")
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def q10_filter_none(spark, sf_dir):
+    return filters.matching(table(spark, sf_dir, "documents"), {"source": None}).groupBy("lang").agg(F.count("*").alias("n"))
+
+
+# ---- documents
+
+_STRIP = "trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_WINDOWS_SQL = f"""
+b AS (SELECT doc_id, {_STRIP} AS body FROM documents WHERE length({_STRIP}) > 0),
+w AS (SELECT doc_id, body, unnest(range(0, greatest(length(body) - 1200 + 1049, 0) // 1050 * 1050 + 1, 1050)) AS char_start FROM b)"""
+
+
+@query(f"WITH {_WINDOWS_SQL} SELECT doc_id, (char_start // 1050)::BIGINT AS chunk_index, char_start::BIGINT AS char_start, md5(substring(body, char_start + 1, 1200)) AS content_md5 FROM w")
+def q11_chunk_windows(spark, sf_dir):
+    w = t.doc_windows(spark, sf_dir)
+    return w.select("doc_id", F.col("window").cast("long").alias("chunk_index"), F.col("char_start").cast("long").alias("char_start"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query(f"""WITH {_WINDOWS_SQL},
+c AS (SELECT *, substring(body, char_start + 1, 1200) AS content, substring(body, 1, char_start) AS ahead FROM w)
+SELECT doc_id, (char_start // 1050)::BIGINT AS chunk_index, (1 + length(ahead) - length(replace(ahead, chr(10), '')))::BIGINT AS line_start,
+       (1 + length(ahead) - length(replace(ahead, chr(10), '')) + length(content) - length(replace(content, chr(10), '')))::BIGINT AS line_end FROM c""")
+def q12_chunk_line_numbers(spark, sf_dir):
+    start = F.col("lines_before") + 1
+    return t.doc_windows(spark, sf_dir).select(
+        "doc_id", F.col("window").cast("long").alias("chunk_index"), start.cast("long").alias("line_start"), (start + tx.count_of(F.col("content"), "\n")).cast("long").alias("line_end"))
+
+
+@query("""
+WITH m AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS section FROM conversations)
+SELECT conv_id, section::BIGINT AS section, count(*)::BIGINT AS turns, sum(length(text))::BIGINT AS chars, string_agg(role, ',' ORDER BY turn) AS roles FROM m GROUP BY conv_id, section""")
+def q13_section_split(spark, sf_dir):
+    opened = Window.partitionBy("conv_id").orderBy("turn")
+    m = table(spark, sf_dir, "conversations").withColumn("section", F.sum((F.col("role") == "user").cast("long")).over(opened))
+    roles = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ",")
+    return m.groupBy("conv_id", "section").agg(F.count("*").alias("turns"), F.sum(F.length("text")).alias("chars"), roles.alias("roles"))
+
+
+@query(r"""
+WITH p AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')) AS body FROM pages),
+w AS (SELECT page_id, body, unnest(range(0, greatest(length(body) - 1200 + 1049, 0) // 1050 * 1050 + 1, 1050)) AS s FROM p WHERE length(body) > 0)
+SELECT page_id, (s // 1050)::BIGINT AS chunk_index, md5(substring(body, s + 1, 1200)) AS content_md5 FROM w""")
+def q14_html_chunks(spark, sf_dir):
+    return t.page_windows(spark, sf_dir).select("page_id", F.col("window").cast("long").alias("chunk_index"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query("SELECT sha256(text) AS content_hash, count(*)::BIGINT AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
+def q15_content_hash_dups(spark, sf_dir):
+    hashed = table(spark, sf_dir, "documents").select("doc_id", tx.content_hash(F.col("text")).alias("content_hash"))
+    return hashed.groupBy("content_hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1")
+
+
+# ---- history
+
+_FILES_SQL = """
+cf AS (SELECT DISTINCT l_orderkey AS c, l_suppkey AS f FROM lineitem),
+sized AS (SELECT c, f, count(*) OVER (PARTITION BY c) AS n FROM cf)"""
+
+
+def _pairs_sql(most: int | None, least: int, extra: str = "") -> str:
+    where = f"AND a.n <= {most}" if most else ""
+    return f"""{_FILES_SQL},
+pairs AS (SELECT a.f AS file_a, b.f AS file_b, count(*)::BIGINT AS count{extra} FROM sized a JOIN sized b ON a.c = b.c AND a.f < b.f {where}
+          {"JOIN orders o ON o.o_orderkey = a.c" if extra else ""} GROUP BY a.f, b.f HAVING count(*) >= {least})"""
+
+
+@query(f"WITH {_pairs_sql(None, 3)} SELECT * FROM pairs")
+def q16_co_change_pairs(spark, sf_dir):
+    return cochange.co_change_pairs(t.commit_files(spark, sf_dir), 3, None).select("file_a", "file_b", "count")
+
+
+@query(f"WITH {_pairs_sql(4, 3)} SELECT * FROM pairs")
+def q17_co_change_capped(spark, sf_dir):
+    return cochange.co_change_pairs(t.commit_files(spark, sf_dir), 3, 4).select("file_a", "file_b", "count")
+
+
+@query(f"WITH {_pairs_sql(8, 3, ', max(o.o_orderdate) AS last_seen')} SELECT * FROM pairs")
+def q18_co_change_last_seen(spark, sf_dir):
+    return cochange.co_change_pairs(t.commit_files(spark, sf_dir), 3, 8)
+
+
+def _seeds(spark: SparkSession, values=SEEDS) -> DataFrame:
+    return spark.createDataFrame([(v,) for v in values], "seed long")
+
+
+_SEED_LIST = ", ".join(map(str, SEEDS))
+
+
+@query(f"""WITH {_pairs_sql(None, 1)},
+u AS (SELECT file_a AS seed, file_b AS other, count FROM pairs UNION ALL SELECT file_b, file_a, count FROM pairs)
+SELECT seed, other, count FROM u WHERE seed IN ({_SEED_LIST}) AND count >= 3 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY count DESC, other) <= 8""")
+def q19_co_changed_for(spark, sf_dir):
+    return graph.co_changed(cochange.co_change_pairs(t.commit_files(spark, sf_dir), 1, None), _seeds(spark))
+
+
+@query("SELECT s_suppkey AS file, count(DISTINCT l_orderkey)::BIGINT AS commits, max(o_orderdate) AS latest FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN orders ON o_orderkey = l_orderkey GROUP BY 1")
+def q20_commits_touch(spark, sf_dir):
+    touched = t.commit_files(spark, sf_dir).join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file")), "file", "left_semi")
+    return touched.groupBy("file").agg(F.count("*").alias("commits"), F.max("date").alias("latest"))
+
+
+@query("""
+WITH d AS (SELECT DISTINCT l_suppkey AS seed, l_orderkey AS hash FROM lineitem)
+SELECT seed, hash, o_orderdate AS date FROM d JOIN orders ON o_orderkey = hash QUALIFY row_number() OVER (PARTITION BY seed ORDER BY o_orderdate DESC, hash) <= 5""")
+def q21_recent_commits_per_file(spark, sf_dir):
+    return graph.recent_commits(t.commit_files(spark, sf_dir).select(F.col("file").alias("seed"), F.col("commit").alias("hash"), "date"))
+
+
+# ---- graph
+
+_EDGES_SQL = """
+e AS (
+  SELECT l_suppkey AS src, l_partkey % 997 AS dst,
+         round(arg_max(round(1 - l_discount, 2), {'a': l_orderkey, 'b': l_linenumber, 'c': l_extendedprice, 'd': round(1 - l_discount, 2)}), 2) AS c
+  FROM lineitem GROUP BY 1, 2)"""
+
+
+def _hops_sql(towards: bool, hops: int, seeds: str, limit: int | None = 25) -> str:
+    at, to = ("dst", "src") if towards else ("src", "dst")
+    two = f" UNION ALL SELECT a.{at}, b.{to}, 2, round(a.c * b.c, 6) FROM e a JOIN e b ON b.{at} = a.{to} WHERE a.{at} IN ({seeds}) AND NOT (a.src = b.src AND a.dst = b.dst)" if hops > 1 else ""
+    paths = f"p AS (SELECT {at} AS seed, {to} AS node, 1 AS hops, round(c, 6) AS confidence FROM e WHERE {at} IN ({seeds}){two})"
+    if limit is None:
+        return f"WITH {_EDGES_SQL}, {paths} SELECT seed, node, hops, confidence FROM p"
+    return f"""WITH {_EDGES_SQL}, {paths}, u AS (SELECT DISTINCT * FROM p WHERE node <> seed)
+SELECT seed, node, hops, confidence FROM u QUALIFY row_number() OVER (PARTITION BY seed ORDER BY hops, confidence DESC, node) <= {limit}"""
+
+
+@query(_hops_sql(True, 1, _SEED_LIST))
+def q22_callers_1hop(spark, sf_dir):
+    return graph.neighbours(_seeds(spark), t.edges(spark, sf_dir), 1)
+
+
+@query(_hops_sql(True, 2, _SEED_LIST, 100000))
+def q23_callers_2hop(spark, sf_dir):
+    return graph.neighbours(_seeds(spark), t.edges(spark, sf_dir), 2, limit=100000)
+
+
+@query(_hops_sql(False, 2, _SEED_LIST))
+def q24_callees_2hop(spark, sf_dir):
+    return graph.neighbours(_seeds(spark), t.edges(spark, sf_dir), 2, towards=False)
+
+
+@query(_hops_sql(True, 2, str(SEED), None))
+def q25_callers_simple_paths(spark, sf_dir):
+    return graph.paths(_seeds(spark, [SEED]), t.edges(spark, sf_dir), 2)
+
+
+@query(f"WITH {_EDGES_SQL} SELECT src, dst, 'CALLS' AS rel_type, c AS confidence FROM e")
+def q26_edge_merge_last_write(spark, sf_dir):
+    return t.edges(spark, sf_dir).select("src", "dst", "rel_type", "confidence")
+
+
+@query("""
+WITH f AS (SELECT p_brand AS file_path, p_name AS name, min(p_partkey) AS qn FROM part GROUP BY 1, 2)
+SELECT l_orderkey, l_linenumber, p_brand AS file_path, p_name AS to_name, 'part-' || f.qn AS to_qn, greatest(round(1 - l_discount, 2), 0.9) AS confidence
+FROM lineitem JOIN part ON p_partkey = l_partkey JOIN f ON f.file_path = p_brand AND f.name = p_name""")
+def q27_same_file_resolve(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    entities = part.select(F.col("p_brand").alias("file_path"), F.col("p_name").alias("name"), F.concat(F.lit("part-"), F.col("p_partkey")).alias("qualified_name"), F.col("p_partkey").alias("ordinal"))
+    calls = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"), F.round(1 - F.col("l_discount"), 2).alias("confidence"))
+    relations = calls.join(part, "p_partkey").select(
+        "l_orderkey", "l_linenumber", F.col("p_brand").alias("file_path"), F.col("p_name").alias("to_name"), "confidence", F.lit("heuristic").alias("resolution_type"), F.lit(None).cast("string").alias("to_qn"))
+    return resolve.same_file(relations, entities).select("l_orderkey", "l_linenumber", "file_path", "to_name", "to_qn", "confidence")
+
+
+@query("SELECT DISTINCT l_partkey % 997 AS node FROM lineitem WHERE l_partkey % 997 NOT IN (SELECT s_suppkey FROM supplier)")
+def q28_placeholders(spark, sf_dir):
+    return graph.placeholders(t.edges(spark, sf_dir), t.nodes(spark, sf_dir), "node")
+
+
+@query(r"""
+WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS path FROM pages),
+o AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS folder FROM p WHERE page_id % 3 = 0 UNION SELECT DISTINCT regexp_extract(path, '^(.*?//[^/]+)', 1) FROM p)
+SELECT page_id, path, folder AS owner FROM p LEFT JOIN o ON starts_with(path, folder || '/') QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(folder) DESC, folder DESC) = 1""")
+def q29_deepest_owner(spark, sf_dir):
+    """Pages' owners among two kinds of folders: the site, and the folder of every page whose number 3 divides."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", r"[?#].*$", "").alias("path"))
+    folders = pages.filter("page_id % 3 = 0").select(F.regexp_replace("path", r"/[^/]*$", "").alias("folder"))
+    sites = pages.select(F.regexp_extract("path", r"^(.*?//[^/]+)", 1).alias("folder"))
+    return pack.deepest_owner(pages, folders.unionByName(sites).distinct(), "path", "folder").select("page_id", "path", "owner")
+
+
+@query("""
+WITH r AS (SELECT doc_id AS seed, item_id AS issue_id FROM documents d JOIN benchmark b ON contains(d.text, b.text))
+SELECT seed, issue_id FROM r QUALIFY row_number() OVER (PARTITION BY seed ORDER BY issue_id) <= 20""")
+def q30_related_issues(spark, sf_dir):
+    issues = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("issue_id"), F.col("text").alias("passage"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seed"), "text")
+    return graph.related_issues(_containing(docs, issues))
+
+
+def _containing(docs: DataFrame, issues: DataFrame) -> DataFrame:
+    """(seed, issue_id) of docs that hold an issue's passage: met on the passage's longest word, then compared."""
+    words = F.regexp_extract_all("passage", F.lit(r"[^\s]+"), F.lit(0))
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(1)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = issues.withColumn("word", F.coalesce(longest, F.lit("")))
+    tokens = docs.select("seed", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[^\s]+"), F.lit(0)))).alias("word"))
+    hits = tokens.join(keyed, "word").filter(F.contains("text", "passage"))
+    return hits.select("seed", "issue_id").distinct()
+
+
+@query(f"""
+WITH {_EDGES_SQL},
+h AS (SELECT s_suppkey AS chunk_id FROM supplier),
+callers AS (SELECT dst AS chunk_id, least(count(*), 25) AS n FROM e WHERE src <> dst GROUP BY 1),
+callees AS (SELECT src AS chunk_id, least(count(*), 25) AS n FROM e WHERE src <> dst GROUP BY 1),
+commits AS (SELECT l_suppkey AS chunk_id, least(count(DISTINCT l_orderkey), 5) AS n FROM lineitem GROUP BY 1)
+SELECT chunk_id, coalesce(a.n, 0)::BIGINT AS n_callers, coalesce(b.n, 0)::BIGINT AS n_callees, coalesce(c.n, 0)::BIGINT AS n_commits
+FROM h LEFT JOIN callers a USING (chunk_id) LEFT JOIN callees b USING (chunk_id) LEFT JOIN commits c USING (chunk_id)""")
+def q31_graph_context_pack(spark, sf_dir):
+    return _context(spark, sf_dir).select("chunk_id", *(F.size(f"graph_context.{c}").cast("long").alias(n) for c, n in (("callers", "n_callers"), ("callees", "n_callees"), ("recent_commits", "n_commits"))))
+
+
+def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = t.nodes(spark, sf_dir).select(F.col("node").alias("chunk_id"), F.col("name").alias("qualified_name"))
+    seeds, edges, files = hits.select(F.col("chunk_id").alias("seed")), t.edges(spark, sf_dir), t.commit_files(spark, sf_dir)
+    commits = graph.recent_commits(files.select(F.col("file").alias("seed"), F.col("commit").alias("hash"), "date"))
+    co = graph.co_changed(cochange.co_change_pairs(files, 1, 8), seeds, None)
+    issues = graph.related_issues(spark.createDataFrame([], "seed long, issue_id long"))
+    return graph.graph_context(hits, graph.neighbours(seeds, edges, 1), graph.neighbours(seeds, edges, 1, False), co, commits, issues)
+
+
+@query()
+def q31b_graph_context_json(spark, sf_dir):
+    return pack.packed(_context(spark, sf_dir)).select("chunk_id", "json")
+
+
+@query("SELECT c_custkey AS chunk_id, c_name AS symbol_name, c_mktsegment AS symbol_type FROM customer WHERE c_name = 'Customer#000000042' ORDER BY c_custkey LIMIT 1")
+def q32_symbol_lookup(spark, sf_dir):
+    named = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chunk_id"), F.col("c_name").alias("symbol_name"), F.col("c_mktsegment").alias("symbol_type"))
+    return filters.matching(named, {"symbol_name": "Customer#000000042"}).orderBy("chunk_id").limit(1)
+
+
+# ---- changes and state
+
+
+@query("""
+WITH k AS (SELECT doc_id, source, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS name FROM documents),
+a AS (SELECT DISTINCT name FROM k WHERE source = 'src1'), b AS (SELECT DISTINCT name FROM k WHERE source = 'src2')
+(SELECT name FROM a EXCEPT SELECT name FROM b) UNION ALL (SELECT name FROM b EXCEPT SELECT name FROM a)""")
+def q33_name_symmetric_diff(spark, sf_dir):
+    names = table(spark, sf_dir, "documents").select("source", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("name"))
+    side = lambda s: names.filter(F.col("source") == s).select("name").distinct()
+    return changes.symmetric_difference(side("src1"), side("src2"))
+
+
+@query("""
+WITH k AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS token FROM documents),
+n AS (SELECT DISTINCT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS token FROM benchmark),
+p AS (SELECT doc_id FROM labels WHERE toxic = 1)
+SELECT DISTINCT doc_id FROM k WHERE token IN (SELECT token FROM n WHERE length(token) >= 12) AND doc_id NOT IN (SELECT doc_id FROM p)""")
+def q34_referencers_token_join(spark, sf_dir):
+    mentions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_path"), F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("token"))
+    names = table(spark, sf_dir, "benchmark").select(F.explode(tx.tokens(F.col("text"))).alias("name")).distinct().filter(F.length("name") >= 12)
+    processed = table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("file_path"))
+    return changes.referencers(mentions, names, processed).select(F.col("file_path").alias("doc_id"))
+
+
+_CHANGES_SQL = """
+ch AS (
+  SELECT CASE event_type WHEN 'click' THEN 'modified' WHEN 'signup' THEN 'added' WHEN 'error' THEN 'deleted' ELSE CASE WHEN value < 50 THEN 'renamed' ELSE 'deleted' END END AS status,
+         CASE WHEN event_type = 'purchase' AND value < 50 THEN 'src/e' || event_id || '.ts' ELSE 'src/u' || user_id || '.ts' END AS path,
+         CASE WHEN event_type = 'purchase' AND value < 50 THEN 'src/u' || user_id || '.ts' END AS old_path
+  FROM events WHERE event_type <> 'view')"""
+
+
+@query(f"WITH {_CHANGES_SQL} SELECT status, path, old_path, count(*)::BIGINT AS n FROM ch GROUP BY ALL")
+def q35_change_decode(spark, sf_dir):
+    return _changes(spark, sf_dir).groupBy("status", "path", "old_path").agg(F.count("*").alias("n"))
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.sources.gitlog import decode_changes
+
+    return decode_changes(t.change_lines(spark, sf_dir))
+
+
+@query(f"WITH {_CHANGES_SQL} SELECT path FROM ch UNION SELECT old_path FROM ch WHERE old_path IS NOT NULL")
+def q36_changed_paths(spark, sf_dir):
+    return changes.changed_paths(_changes(spark, sf_dir))
+
+
+@query("SELECT user_id, event_type, value, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def q37_latest_state_upsert(spark, sf_dir):
+    return changes.latest(table(spark, sf_dir, "events"), ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_type", "value", "ts")
+
+
+_JOBS_SQL = """
+j AS (
+  SELECT user_id, list(CASE event_type WHEN 'signup' THEN 'e' WHEN 'click' THEN 'c' WHEN 'error' THEN 'f' ELSE 'd' END ORDER BY ts, event_id) AS log
+  FROM events WHERE event_type <> 'view' GROUP BY user_id),
+fold AS (
+  SELECT user_id, list_reduce(log, lambda s, k : CASE
+    WHEN k.x = 'e' THEN {'x': '', 's': 'pending', 'a': 0}
+    WHEN k.x = 'c' AND s.s = 'pending' THEN {'x': '', 's': 'processing', 'a': s.a + 1}
+    WHEN k.x = 'f' AND s.s = 'processing' AND s.a >= 3 THEN {'x': '', 's': 'failed', 'a': s.a}
+    WHEN k.x = 'f' AND s.s = 'processing' THEN {'x': '', 's': 'pending', 'a': s.a}
+    WHEN k.x = 'd' AND s.s = 'processing' THEN {'x': '', 's': 'done', 'a': s.a} ELSE s END, {'x': '', 's': 'none', 'a': 0}) AS r
+  FROM (SELECT user_id, list_transform(log, lambda x : {'x': x, 's': '', 'a': 0}) AS log FROM j))"""
+
+
+@query(f"WITH {_JOBS_SQL} SELECT r.s AS status, count(*)::BIGINT AS n FROM fold WHERE r.s <> 'none' GROUP BY 1")
+def q38_job_fsm_counts(spark, sf_dir):
+    return _jobs(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
+
+
+def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.fold_jobs(t.job_events(spark, sf_dir), "user_id", ["ts", "event_id"], "kind")
+
+
+@query(f"WITH {_JOBS_SQL} SELECT user_id, r.s AS status, r.a::BIGINT AS attempts FROM fold WHERE r.s <> 'none' AND r.a >= 2")
+def q39_job_retry_exhausted(spark, sf_dir):
+    return _jobs(spark, sf_dir).filter("attempts >= 2").select("user_id", "status", "attempts")
+
+
+@query(f"""WITH {_WINDOWS_SQL},
+x AS (SELECT doc_id, count(*) AS expected FROM w GROUP BY 1), y AS (SELECT doc_id, count(*) AS actual FROM w JOIN labels USING (doc_id) GROUP BY 1)
+SELECT doc_id, expected::BIGINT AS expected, coalesce(actual, 0)::BIGINT AS actual FROM x LEFT JOIN y USING (doc_id) WHERE expected <> coalesce(actual, 0)""")
+def q40_drift_report(spark, sf_dir):
+    expected = t.doc_windows(spark, sf_dir).select("doc_id")
+    return state.drift(expected, expected.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi"), "doc_id")
+
+
+@query("""
+WITH f AS (
+  SELECT user_id AS file_path, arg_max(event_type, {'t': ts, 'i': event_id}) AS last, max(ts) AS indexed_at FROM events GROUP BY 1),
+r AS (SELECT *, CASE WHEN last = 'error' THEN 'failed' WHEN last = 'click' THEN 'dirty' END AS reason FROM f)
+SELECT file_path, reason, indexed_at FROM r WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY reason ORDER BY indexed_at, file_path) <= CASE WHEN reason = 'failed' THEN 100 ELSE 200 END""")
+def q41_repair_candidates(spark, sf_dir):
+    last = changes.latest(table(spark, sf_dir, "events"), ["user_id"], [F.col("ts"), F.col("event_id")])
+    files = last.select(F.col("user_id").alias("file_path"), F.when(F.col("event_type") == "error", "failed").otherwise("indexed").alias("status"), (F.col("event_type") == "click").alias("dirty"), F.col("ts").alias("indexed_at"))
+    return state.repair_candidates(files).select("file_path", "reason", "indexed_at")
+
+
+@query()
+def q42_deterministic_sample(spark, sf_dir):
+    return state.sample_files(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_path")), 0.2, 200)
+
+
+@query("""
+WITH n AS (SELECT unnest(['code_ts', 'code_ts_desc', 'code_cs', 'code_cs_desc', 'docs', 'issues']) AS collection),
+p AS (SELECT CASE lang WHEN 'en' THEN 'docs' WHEN 'fr' THEN 'code_ts' WHEN 'de' THEN 'code_cs' ELSE 'issues' END AS collection FROM documents)
+SELECT collection, count(p.collection)::BIGINT AS n FROM n LEFT JOIN p USING (collection) GROUP BY 1""")
+def q43_stats_by_collection(spark, sf_dir):
+    return state.collection_counts(table(spark, sf_dir, "documents").select(t.mapped(F.col("lang"), {"en": "docs", "fr": "code_ts", "de": "code_cs", "es": "issues"}).alias("collection")))
+
+
+# ---- evaluation, rerank, prompts
+
+
+def _ranked_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's documents by their score: a query's ranked list for every source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("query"))
+    scored = _bm25(spark, sf_dir).join(docs, "doc_id").select("query", F.col("doc_id").alias("item"), "score")
+    return retrieval.ranked(scored, "item", ["query"])
+
+
+def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return table(spark, sf_dir, "documents").join(good, "doc_id").select(F.col("source").alias("query"), F.col("doc_id").alias("item"))
+
+
+_EVAL_SQL = f"""{_bm25_sql(True)},
+rk AS (SELECT source AS query, doc_id AS item, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS rank FROM bm JOIN documents USING (doc_id)),
+rel AS (SELECT DISTINCT doc_id AS item FROM labels WHERE quality = 1)"""
+
+
+@query(f"WITH {_EVAL_SQL} SELECT query, round(count(rel.item) / 5, 6) AS precision FROM rk LEFT JOIN rel USING (item) WHERE rank <= 5 GROUP BY query")
+def q44_eval_p_at_5(spark, sf_dir):
+    return evaluation.precision_at(_ranked_docs(spark, sf_dir), _relevant(spark, sf_dir), 5)
+
+
+@query(f"WITH {_EVAL_SQL} SELECT query, round(coalesce(1.0::DOUBLE / min(CASE WHEN rel.item IS NOT NULL THEN rank END), 0), 6) AS rr FROM rk LEFT JOIN rel USING (item) GROUP BY query")
+def q45_eval_mrr(spark, sf_dir):
+    return evaluation.reciprocal_rank(_ranked_docs(spark, sf_dir), _relevant(spark, sf_dir))
+
+
+@query("""
+SELECT doc_id, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), ['thing', 'with', 'the', 'retion', 'that']))::BIGINT AS rerank_score
+FROM documents ORDER BY rerank_score DESC, doc_id LIMIT 50""")
+def q46_rerank_overlap(spark, sf_dir):
+    return retrieval.rerank_overlap(table(spark, sf_dir, "documents"), "thing with the retion that", "text", "doc_id", 50).select("doc_id", "rerank_score")
+
+
+@query(f"""
+SELECT doc_id, md5('Symbol: doc-' || doc_id || chr(10) || 'Signature: ' || lang || chr(10) || 'Docstring: (không có)' || chr(10) || 'Code:' || chr(10) || substring({_STRIP}, 1, 500)) AS prompt_md5 FROM documents""")
+def q47_prompt_build(spark, sf_dir):
+    made = tx.prompt(F.concat(F.lit("doc-"), F.col("doc_id")), F.col("lang"), F.lit(None).cast("string"), F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(made.cast("binary")).alias("prompt_md5"))
+
+
+@query("""
+SELECT conv_id, turn, md5(trim(regexp_replace(trim(trim('  "- ' || text || '`"' || chr(10), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '"''`'), '^[-•]+', ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS cleaned_md5
+FROM conversations""")
+def q48_output_clean(spark, sf_dir):
+    answer = F.concat(F.lit('  "- '), F.col("text"), F.lit('`"\n'))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(tx.cleaned(answer).cast("binary")).alias("cleaned_md5"))
+
+
+@query("SELECT l_suppkey AS file_path, count(*)::BIGINT AS n, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_partkey) AS entities FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) GROUP BY 1")
+def q49_group_by_file(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("file_path"), "l_partkey")
+    return lines.groupBy("file_path").agg(F.sort_array(F.collect_set("l_partkey")).alias("e")).select("file_path", F.size("e").cast("long").alias("n"), F.array_join(F.col("e").cast("array<string>"), ",").alias("entities"))
+
+
+@query(f"WITH {_EDGES_SQL} SELECT src, dst, c AS confidence FROM e WHERE src NOT IN ({_SEED_LIST}) AND dst NOT IN ({_SEED_LIST})")
+def q50_delete_cascade(spark, sf_dir):
+    _, left = graph.without_nodes(t.nodes(spark, sf_dir), t.edges(spark, sf_dir), _seeds(spark).withColumnRenamed("seed", "node"), "node")
+    return left.select("src", "dst", "confidence")
+
+
+@query("SELECT time_bucket(INTERVAL '10 minutes', ts) AS window_start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def x01_tumbling(spark, sf_dir):
+    bucket = F.window("ts", "10 minutes")
+    return table(spark, sf_dir, "events").groupBy(bucket, "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
+
+
+@query("""
+WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL '30 minutes' OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g)
+SELECT user_id, min(ts) AS session_start, count(*)::BIGINT AS n FROM s GROUP BY user_id, session""")
+def x02_session(spark, sf_dir):
+    gap = F.session_window("ts", "30 minutes")
+    return table(spark, sf_dir, "events").groupBy("user_id", gap).agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("session_start"), "n")
