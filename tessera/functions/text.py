@@ -62,7 +62,7 @@ def sections(df: DataFrame, key: list[str], text: str) -> DataFrame:
 def chunks(df: DataFrame, key: list[str], text: str, size: int = WINDOW_CHARS, overlap: int = WINDOW_OVERLAP) -> DataFrame:
     """Markdown texts as numbered windows of their sections: key, chunk_index, title, content, line_start, line_end."""
     parts = sections(df, key, text)
-    skipped = F.length("body") - F.length(F.ltrim("body"))
+    skipped = F.length("body") - F.length(F.ltrim("body", F.lit(SPACE)))
     led = parts.withColumn("lead", count_of(F.substring(F.col("body"), F.lit(1), skipped), "\n"))
     cut = windows(led, "body", size, overlap)
     order = Window.partitionBy(*key).orderBy("section", "window")

@@ -573,3 +573,17 @@ SELECT user_id, min(ts) AS session_start, count(*)::BIGINT AS n FROM s GROUP BY
 def x02_session(spark, sf_dir):
     gap = F.session_window("ts", "30 minutes")
     return table(spark, sf_dir, "events").groupBy("user_id", gap).agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("session_start"), "n")
+
+
+@query(f"WITH {_JOBS_SQL} SELECT user_id, r.s AS status, r.a::BIGINT AS attempts FROM fold WHERE r.s <> 'none'")
+def x03_stream_vs_batch(spark, sf_dir):
+    """The job log as a file stream through the state machine; its end state must be the batch fold's."""
+    from tessera.streaming import jobs
+    from tessera.workspace import scratch
+
+    events = t.job_events(spark, sf_dir)
+    source, out, log = (scratch(spark, x) for x in ("events", "jobs", "log"))
+    events.write.parquet(source)
+    stream = spark.readStream.schema(events.schema).parquet(source)
+    jobs.run_available(jobs.job_stream(stream, "user_id", ["ts", "event_id"], "kind"), jobs.upserts(out, ["user_id"]), log)
+    return jobs.read_latest(spark, out, ["user_id"]).select("user_id", "status", "attempts")
