@@ -179,15 +179,16 @@ def read_stream(data: bytes | None) -> dict:
         size, flags = struct.unpack("<I", data[end - 20 : end - 16])[0], struct.unpack("<I", data[end - 12 : end - 8])[0]
         end = max(at, end - size - (32 if flags >> 31 else 0))
     out = {"version": None, "layer": None, "sample_rate": None, "channels": None, "frames": 0, "samples": 0, "kbits": 0, "crc_checked": 0, "crc_bad": 0, "resyncs": 0, "skipped": 0, "vbr": None}
-    offsets, bodies, alike, lost = [], [], None, False
+    offsets, bodies, alike, lost, usual_form = [], [], None, False, None
     first = True
     while at + 4 <= end:
         h = header(data[at : at + 4])
         good = h and at + h["length"] <= end and (alike is None or h["alike"] == alike)
-        if good and (first or lost):  # a header stands alone only at the very end
+        if good:  # the frame after it vouches for a header; in sync, so does being just like the frames before
             after = at + h["length"]
             then = header(data[after : after + 4])
-            good = end - after < 4 or bool(then and then["alike"] == h["alike"])
+            usual = not first and not lost and usual_form == (h["protected"], h["channels"])
+            good = usual or end - after < 4 or bool(then and then["alike"] == h["alike"])
         if not good:
             out["resyncs"] += not lost
             lost = True
@@ -207,6 +208,7 @@ def read_stream(data: bytes | None) -> dict:
         if table:
             out["vbr"] = table
         else:
+            usual_form = (h["protected"], h["channels"])
             offsets.append(at)
             bodies.append(frame[4 + 2 * h["protected"] + h["side"] :])
             out["frames"] += 1
