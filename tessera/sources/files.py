@@ -15,14 +15,14 @@ def scan_repo(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{ts,tsx,js,jsx,mts,cts,cs}").load(root)
     path = F.col("path")
     kept = files.filter(indexed_source(path) & outside_skipped(path))
-    return kept.select(path.alias("file_path"), F.decode("content", F.lit("UTF-8")).alias("content"), content_hash(F.col("content")).alias("content_hash"), language_of(path).alias("language"))
+    return kept.select(path.alias("file_path"), F.decode("content", "UTF-8").alias("content"), content_hash(F.col("content")).alias("content_hash"), language_of(path).alias("language"))
 
 
 def scan_docs(spark: SparkSession, root: str, html: bool = False) -> DataFrame:
     """(file_path, text) of documents under root. html: also HTML files, without their tags."""
     kinds = (*DOC_SUFFIXES, "html") if html else DOC_SUFFIXES
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(kinds) + "}").load(root)
-    text = F.decode("content", F.lit("UTF-8"))
+    text = F.decode("content", "UTF-8")
     return files.select(F.col("path").alias("file_path"), F.when(suffix(F.col("path")) == "html", html_text(text)).otherwise(text).alias("text"))
 
 
