@@ -72,12 +72,12 @@ def _sum_parts(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _prefixes(sketch, percent: int, k: int, block_bits: int):
-    """Per batch and block the (shingle, node) cells that the size bound leaves."""
+    """Per batch and block the cells that the size bound leaves: shingle, node, its place in the node's order, the node's size."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint32) for x in sketch.value])
         for batch in batches:
-            cells, nodes = [], []
+            cells, nodes, places, sizes = [], [], [], []
             for s in shingle_sets(batch["text"], k):
                 n = len(s)
                 if not n:
@@ -86,41 +86,70 @@ def _prefixes(sketch, percent: int, k: int, block_bits: int):
                 order = np.lexsort((s, counts[(s & np.uint64(len(counts) - 1)).astype(np.int64)]))
                 cells.append(s[order[:length]])
                 nodes.append(np.repeat(_node(s), length))
+                places.append(np.arange(length, dtype=np.uint32))
+                sizes.append(np.full(length, n, np.uint32))
             if cells:
-                cells, nodes = np.concatenate(cells), np.concatenate(nodes)
+                cells, nodes, places, sizes = map(np.concatenate, (cells, nodes, places, sizes))
                 order = np.argsort(cells)
-                cells, nodes = cells[order], nodes[order]
+                cells = cells[order]
                 cuts = np.searchsorted(cells >> np.uint64(64 - block_bits), np.arange(1, 1 << block_bits, dtype=np.uint64))
-                made = [(b, c.tobytes(), x.tobytes()) for b, (c, x) in enumerate(zip(np.split(cells, cuts), np.split(nodes, cuts), strict=True)) if len(c)]
-                yield pd.DataFrame(made, columns=["block", "cells", "nodes"])
+                parts = zip(*(np.split(x, cuts) for x in (cells, nodes[order], places[order], sizes[order])), strict=True)
+                yield pd.DataFrame([(b, *(x.tobytes() for x in part)) for b, part in enumerate(parts) if len(part[0])], columns=["block", "cells", "nodes", "places", "sizes"])
 
     return run
 
 
-def _product(rows: pd.DataFrame) -> pd.DataFrame:
-    """One block: its shared columns as (shingle, node), and overlap counts of nodes with their columns' pivots."""
-    cells = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["cells"]])
-    nodes = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["nodes"]])
-    order = np.lexsort((nodes, cells))
-    cells, nodes = cells[order], nodes[order]
-    new = np.ones(len(cells), bool)
-    new[1:] = (cells[1:] != cells[:-1]) | (nodes[1:] != nodes[:-1])
-    cells, nodes = cells[new], nodes[new]
+def _partnered(cells: np.ndarray, sizes: np.ndarray, most: np.ndarray, percent: int) -> np.ndarray:
+    """Which cells of sorted columns may have a partner there: another node whose size is within `most`, and one within whose `most` this size is."""
+    if not len(cells):
+        return np.zeros(0, bool)
     heads = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
     lengths = np.diff(np.append(heads, len(cells)))
-    shared = np.repeat(lengths > 1, lengths)
-    cells, nodes = cells[shared], nodes[shared]
-    lengths = lengths[lengths > 1]
-    out = [pd.DataFrame({"kind": -1, "a": cells.view(np.int64), "b": nodes.view(np.int64), "n": 1})]
     column = np.repeat(np.arange(len(lengths)), lengths)
-    heads = np.cumsum(lengths) - lengths
-    for seed in range(PIVOTS if len(nodes) else 0):
-        order = np.lexsort((mix(nodes + np.uint64(seed + 1)), column))
-        pivot = np.repeat(nodes[order[heads]], lengths)
-        pairs = np.stack([pivot, nodes])[:, pivot != nodes]
-        found, n = np.unique(pairs.T.copy(), axis=0, return_counts=True)
-        out.append(pd.DataFrame({"kind": seed, "a": found[:, 0].copy().view(np.int64), "b": found[:, 1].copy().view(np.int64), "n": n}))
-    return pd.concat(out)
+    two = lengths > 1
+    second = np.minimum(heads + 1, len(cells) - 1)
+
+    def least_other(values: np.ndarray) -> np.ndarray:
+        order = np.lexsort((values, column))
+        least = np.repeat(order[heads], lengths)
+        return np.where(least == np.arange(len(cells)), np.repeat(values[order[second]], lengths), values[least])
+
+    return np.repeat(two, lengths) & (percent * least_other(sizes) <= most) & (percent * sizes <= -least_other(-most))
+
+
+def _product(percent: int):
+    """One block: its shared columns as (shingle, node, place, n), and overlap counts of nodes with their columns' pivots.
+
+    What two nodes share from a common shingle on is at most what is left of either after its place; a
+    linked pair passes that bound in the first column it shares. The first pivot of a column is the
+    node that meets it earliest, for its size: the least changed of a group of near copies.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        kinds = {"cells": np.uint64, "nodes": np.uint64, "places": np.uint32, "sizes": np.uint32}
+        cells, nodes, places, sizes = (np.concatenate([np.frombuffer(x, t) for x in rows[c]]) for c, t in kinds.items())
+        order = np.lexsort((nodes, cells))
+        cells, nodes, places, sizes = cells[order], nodes[order], places[order].astype(np.int64), sizes[order].astype(np.int64)
+        new = np.ones(len(cells), bool)
+        new[1:] = (cells[1:] != cells[:-1]) | (nodes[1:] != nodes[:-1])
+        cells, nodes, places, sizes = cells[new], nodes[new], places[new], sizes[new]
+        for _ in range(3):  # a node that goes may leave another one without a partner
+            kept = _partnered(cells, sizes, (100 + percent) * (sizes - places) - percent * sizes, percent)
+            cells, nodes, places, sizes = cells[kept], nodes[kept], places[kept], sizes[kept]
+        heads = np.flatnonzero(np.concatenate((np.ones(min(1, len(cells)), bool), cells[1:] != cells[:-1])))
+        lengths = np.diff(np.append(heads, len(cells)))
+        out = [pd.DataFrame({"kind": -1, "a": cells.view(np.int64), "b": nodes.view(np.int64), "place": places, "n": sizes})]
+        column = np.repeat(np.arange(len(lengths)), lengths)
+        for seed in range(PIVOTS if len(nodes) else 0):
+            order = np.lexsort((nodes, mix(nodes + np.uint64(seed)) if seed else places / sizes, column))
+            pivot = np.repeat(order[heads], lengths)
+            left = np.minimum(sizes - places, sizes[pivot] - places[pivot])
+            fits = (nodes[pivot] != nodes) & ((100 + percent) * left >= percent * (sizes + sizes[pivot]))
+            found, n = np.unique(np.stack([nodes[pivot[fits]], nodes[fits]], 1), axis=0, return_counts=True)
+            out.append(pd.DataFrame({"kind": seed, "a": found[:, 0].copy().view(np.int64), "b": found[:, 1].copy().view(np.int64), "place": 0, "n": n}))
+        return pd.concat(out)
+
+    return run
 
 
 def _marks(digests: np.ndarray) -> np.ndarray:
@@ -202,7 +231,7 @@ def _best(overlaps: DataFrame) -> DataFrame:
 
 def _open(columns: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows, with their label, of the columns that hold two labels or more."""
-    named = columns.join(labels, "node", "left").select("shingle", "node", "n", F.coalesce("label", "node").alias("label"))
+    named = columns.join(labels, "node", "left").select("shingle", "node", "place", "n", F.coalesce("label", "node").alias("label"))
     mixed = named.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("shingle")
     return named.join(mixed, "shingle")
 
@@ -221,11 +250,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sketch = _gathered(first.filter("part >= 0").select("part", "counts"), _sum_parts)
     if block_bits is None:  # some 4 blocks for each partition of the input, 64 at least
         block_bits = max(6, (4 * rows.rdd.getNumPartitions() - 1).bit_length())
-    cells = rows.select("text").mapInPandas(_prefixes(sketch, percent, k, block_bits), "block int, cells binary, nodes binary")
-    product = stored(cells.groupBy("block").applyInPandas(_product, "kind int, a long, b long, n long"), "product")
-    columns = product.filter("kind < 0").select(F.col("a").alias("shingle"), F.col("b").alias("node"))
+    cells = rows.select("text").mapInPandas(_prefixes(sketch, percent, k, block_bits), "block int, cells binary, nodes binary, places binary, sizes binary")
+    product = stored(cells.groupBy("block").applyInPandas(_product(percent), "kind int, a long, b long, place long, n long"), "product")
+    sized = product.filter("kind < 0").select(F.col("a").alias("shingle"), F.col("b").alias("node"), "place", "n")
 
-    shared = stored(columns.select("node").distinct().join(nodes, "node").groupBy("node").agg(F.min("digest").alias("digest")), "shared")
+    shared = stored(sized.select("node").distinct().join(nodes, "node").groupBy("node").agg(F.min("digest").alias("digest")), "shared")
     wanted = _gathered(shared.select("digest").mapInPandas(_filter_part, "part int, counts binary"), _join_parts)
     made = rows.select("digest", "text").mapInPandas(_sets(wanted, k), "node long, n long, shingles array<long>")
     sets = stored(made.join(shared.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
@@ -233,17 +262,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     checked = _best(product.filter("kind >= 0").select("a", "b", "n"))
     links = stored(verified(checked, sets, percent), "links")
     labels = components(links)
-    sized = stored(columns.join(sets.select("node", "n"), "node"), "sized")
     # once more with other pivots, where columns are still open; then every pair that is left
     open_rows = stored(_open(sized, labels), "open")
-    pivots = open_rows.groupBy("shingle").agg(F.min_by(F.struct("node", "label", "n"), F.xxhash64(F.lit(3), "node")).alias("p"))
-    stars = open_rows.join(pivots, "shingle").filter(f"label != p.label AND 100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
+    reach = f"least(%s.n - %s.place, %s.n - %s.place) * {100 + percent} >= {percent} * (%s.n + %s.n)"
+    pivots = open_rows.groupBy("shingle").agg(F.min_by(F.struct("node", "label", "place", "n"), F.struct(F.col("place") / F.col("n"), F.xxhash64(F.lit(3), "node"))).alias("p"))
+    stars = open_rows.alias("x").join(pivots, "shingle").filter(f"label != p.label AND " + reach % tuple("xxppxp"))
     again = _best(stars.groupBy(F.col("p.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))).join(checked, ["a", "b"], "left_anti")
     links = stored(links.unionByName(verified(again, sets, percent)), "links")
     labels = components(links)
     rest = stored(_open(open_rows.drop("label"), labels), "open")
     x, y = rest.alias("x"), rest.alias("y")
-    apart = x.join(y, F.expr(f"x.shingle = y.shingle AND x.node < y.node AND x.label != y.label AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
+    apart = x.join(y, F.expr("x.shingle = y.shingle AND x.node < y.node AND x.label != y.label AND " + reach % tuple("xxyyxy")))
     pairs = apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(checked.unionByName(again), ["a", "b"], "left_anti")
     more = stored(verified(pairs, sets, percent), "links")
     if more.limit(1).count():
