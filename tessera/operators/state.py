@@ -52,6 +52,19 @@ def soft_deleted(files: DataFrame, gone: DataFrame) -> DataFrame:
     return met.withColumns({"status": F.when(hit, "deleted").otherwise(F.col("status")), "chunk_ids": F.when(hit, empty).otherwise(F.col("chunk_ids")), "dirty": ~hit & F.col("dirty")}).drop("__gone")
 
 
+def open_intents(log: DataFrame) -> DataFrame:
+    """Operations of an intent log (operation_id, at, state, ...) whose last entry is neither done nor failed."""
+    rest = [c for c in log.columns if c != "operation_id"]
+    last = log.groupBy("operation_id").agg(F.max_by(F.struct(*rest), F.struct("at", "state")).alias("last")).select("operation_id", "last.*")
+    return last.filter("state not in ('done', 'failed')")
+
+
+def index_files(index: DataFrame, written: DataFrame) -> DataFrame:
+    """The file index after files were indexed: their rows replaced, no longer dirty."""
+    fresh = written.withColumn("dirty", F.lit(False))
+    return index.join(fresh.select("file_path"), "file_path", "left_anti").unionByName(fresh, allowMissingColumns=True)
+
+
 def drift(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
     """(key, expected, actual) where the counts of two stores differ; a key missing from one counts 0 there."""
     a = expected.groupBy(key).agg(F.count("*").alias("expected"))
