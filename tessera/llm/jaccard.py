@@ -13,7 +13,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import stored
+from tessera.llm.sketch import add_counts, filter_bits, gathered, hash_filter, packed, passing, unpacked
 from tessera.llm.texthash import mix, shingle_sets
 
 #: Counters of the order sketch, a fixed 16 MB, sent to every worker whatever the input's size.
 SKETCH_BITS = 22
-SKETCH_PARTS = 64
 PIVOTS = 3
-#: Bits of the filter of wanted texts, a fixed 8 MB; past its capacity it lets more through, and a join by node decides.
-FILTER_BITS = 26
 
 
 def _node(s: np.ndarray) -> np.ndarray:
@@ -54,8 +51,8 @@ def _profile(k: int):
                     held, waiting = [], 0
             _count(sketch, held)
             yield pd.DataFrame({"id": batch["id"], "digest": batch["digest"], "n": sizes, "node": np.array(nodes, np.uint64).view(np.int64), "part": -1, "counts": None})
-        for part, counts in enumerate(np.split(sketch, SKETCH_PARTS)):
-            yield pd.DataFrame({"id": [None], "digest": [None], "n": [0], "node": [0], "part": [part], "counts": [zlib.compress(counts.tobytes(), 1)]})
+        for part, counts in packed(sketch):
+            yield pd.DataFrame({"id": [None], "digest": [None], "n": [0], "node": [0], "part": [part], "counts": [counts]})
 
     return run
 
@@ -66,16 +63,11 @@ def _count(sketch: np.ndarray, sets: list[np.ndarray]) -> None:
         sketch[at] += n.astype(np.uint32)
 
 
-def _sum_parts(rows: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.uint64) for x in rows["counts"])
-    return pd.DataFrame({"part": [rows["part"].iloc[0]], "counts": [zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
-
-
 def _prefixes(sketch, percent: int, k: int, block_bits: int):
     """Per batch and block the cells that the size bound leaves: shingle, node, its place in the node's order, the node's size."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint32) for x in sketch.value])
+        counts = unpacked(sketch, np.uint32)
         for batch in batches:
             cells, nodes, places, sizes = [], [], [], []
             for s in shingle_sets(batch["text"], k):
@@ -152,32 +144,13 @@ def _product(percent: int):
     return run
 
 
-def _marks(digests: np.ndarray) -> np.ndarray:
-    """Bits of the filter that a digest sets."""
-    x = digests.view(np.uint64)
-    return np.concatenate([mix(x + np.uint64(i)) >> np.uint64(64 - FILTER_BITS) for i in (1, 2)]).astype(np.int64)
-
-
-def _filter_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    for batch in batches:
-        bits[_marks(batch["digest"].to_numpy(np.int64))] = True
-    for part, some in enumerate(np.split(np.packbits(bits), SKETCH_PARTS)):
-        yield pd.DataFrame({"part": [part], "counts": [zlib.compress(some.tobytes(), 1)]})
-
-
-def _join_parts(rows: pd.DataFrame) -> pd.DataFrame:
-    joined = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), np.uint8) for x in rows["counts"]])
-    return pd.DataFrame({"part": [rows["part"].iloc[0]], "counts": [zlib.compress(joined.tobytes(), 1)]})
-
-
 def _sets(wanted, k: int):
     """Nodes' whole sets, of the texts whose digest the filter lets through; some others come along."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.unpackbits(np.concatenate([np.frombuffer(zlib.decompress(x), np.uint8) for x in wanted.value])).view(bool)
+        bits = filter_bits(wanted)
         for batch in batches:
-            hit = bits[_marks(batch["digest"].to_numpy(np.int64))].reshape(2, -1).all(0)
+            hit = passing(bits, batch["digest"].to_numpy(np.int64))
             held: list = []
             for s in shingle_sets(batch["text"][hit], k):
                 if len(s):
@@ -215,13 +188,6 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _gathered(parts: DataFrame, combine):
-    """Parts of a fixed-size table, summed by part and broadcast."""
-    rows = parts.groupBy("part").applyInPandas(combine, "part int, counts binary").collect()
-    ordered = [bytes(r["counts"]) for r in sorted(rows, key=lambda r: r["part"])] or [zlib.compress(bytes(1 << FILTER_BITS >> 3))]
-    return parts.sparkSession.sparkContext.broadcast(ordered)
-
-
 def _best(overlaps: DataFrame) -> DataFrame:
     """Of the pivots that each node b shares cells with, the one it shares most with, as a < b."""
     summed = overlaps.groupBy("a", "b").agg(F.sum("n").alias("n"))
@@ -247,7 +213,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
     first = stored(rows.mapInPandas(_profile(k), f"id {kind}, digest long, n long, node long, part int, counts binary"), "profile")
     nodes = first.filter("part < 0").select("id", "digest", "n", "node")
-    sketch = _gathered(first.filter("part >= 0").select("part", "counts"), _sum_parts)
+    sketch = gathered(first.filter("part >= 0").select("part", "counts"), add_counts, 4 << SKETCH_BITS)
     if block_bits is None:  # some 4 blocks for each partition of the input, 64 at least
         block_bits = max(6, (4 * rows.rdd.getNumPartitions() - 1).bit_length())
     cells = rows.select("text").mapInPandas(_prefixes(sketch, percent, k, block_bits), "block int, cells binary, nodes binary, places binary, sizes binary")
@@ -255,7 +221,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sized = product.filter("kind < 0").select(F.col("a").alias("shingle"), F.col("b").alias("node"), "place", "n")
 
     shared = stored(sized.select("node").distinct().join(nodes, "node").groupBy("node").agg(F.min("digest").alias("digest")), "shared")
-    wanted = _gathered(shared.select("digest").mapInPandas(_filter_part, "part int, counts binary"), _join_parts)
+    wanted = hash_filter(shared.select("digest"))
     made = rows.select("digest", "text").mapInPandas(_sets(wanted, k), "node long, n long, shingles array<long>")
     sets = stored(made.join(shared.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
