@@ -43,3 +43,13 @@ def ascii_lower(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once, however often body's own lambdas use it."""
     return F.transform(F.array(value), body)[0]
+
+
+def bounded_sample(rows: DataFrame, at: Column, most: int, about: int) -> DataFrame:
+    """At most `most` rows, the first by the hash `at`; about: how many rows there may be.
+
+    A share of the hash's range comes first, so that tasks send the driver little more than `most` rows in all.
+    """
+    share = min(1.0, 1.5 * most / max(1, about))
+    near = rows.filter(F.pmod(at, F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    return near.orderBy(at, *(c for c in rows.columns if c != "__y")).limit(most)

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let
+from tessera.llm.common import bounded_sample, let
 from tessera.llm.toxicity import in_training
 
 
@@ -166,7 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     """Learns from the rows of docs that labels has a label for and that in_training() admits; none: a score of 0.5."""
     marks = labels.filter(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(id_col).agg((F.max(label) > 0).cast("double").alias("__y"))
     measured = _measured(docs.filter(in_training(id_col)).select(id_col, text_col), text_col).drop(text_col)
-    rows = measured.join(marks, id_col).orderBy(F.xxhash64(id_col), id_col).limit(settings.fit_rows).select("__y", *(f"__s_{n}" for n in NAMES)).collect()
+    sample = bounded_sample(measured.join(marks, id_col), F.xxhash64(id_col), settings.fit_rows, marks.count())
+    rows = sample.select("__y", *(f"__s_{n}" for n in NAMES)).collect()
     table = np.array([list(r) for r in rows], float).reshape(-1, len(NAMES) + 1)
     x, y = table[:, 1:], table[:, 0]
     if not len(y):
