@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import bounded_sample, stored
+from tessera.llm.sketch import filter_bits, hash_filter, passing
 from tessera.llm.texthash import buckets
 
 
@@ -40,20 +42,38 @@ def in_training(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0
 
 
-def _terms(id_col: str, settings: Settings):
+def _terms(settings: Settings):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             held: list = []
-            for i, t in zip(batch[id_col], buckets(batch["text"], settings.hash_bits, settings.prefixes), strict=True):
-                held.append((i, t))
+            for i, y, t in zip(batch["at"], batch["y"], buckets(batch["text"], settings.hash_bits, settings.prefixes), strict=True):
+                held.append((i, y, t))
                 if len(held) == 2000:
-                    yield pd.DataFrame(held, columns=[id_col, "terms"])
+                    yield pd.DataFrame(held, columns=["at", "y", "terms"])
                     held = []
-            yield pd.DataFrame(held, columns=[id_col, "terms"])
+            yield pd.DataFrame(held, columns=["at", "y", "terms"])
 
     return run
 
 
+def _let_through(wanted):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = filter_bits(wanted)
+        for batch in batches:
+            yield batch[passing(bits, batch["at"].to_numpy(np.int64))]
+
+    return run
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, at, y) of training rows, stored. A filter of fixed size lets through the texts whose id may have a label, and only those are shuffled."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    marks = labels.filter(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label) > 0).cast("int").alias("y"))
+    texts = docs.filter(in_training(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("at"))
+    near = texts.mapInPandas(_let_through(hash_filter(marks.select(F.xxhash64(F.col("id").cast(kind))))), f"id {kind}, text string, at long")
+    return stored(near.join(marks.hint("merge"), "id"), "labelled")
+
+
 def _margin(x: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     s = x @ v
     return w0 + x @ w + 0.5 * ((s * s).sum(1) - x @ (v * v).sum(1)), s
@@ -103,28 +123,26 @@ class Machine:
 def train(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> Machine:
     """Learns from the rows of docs that labels has a label for and that in_training() admits.
 
-    Rows with a null id or label are no training rows. Association counts are over all training rows,
-    at most 2**hash_bits of them reach the driver; so do the kept terms of at most fit_rows rows.
+    Rows with a null id or label are no training rows. Association counts are over all training rows;
+    the driver gets the terms that they pick, and which of these at most fit_rows rows hold.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.filter(in_training(id_col)).select(F.col(id_col), F.col(text_col).alias("text"))
-    marks = labels.filter(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(id_col).agg((F.max(label) > 0).cast("int").alias("y"))
-    known = texts.mapInPandas(_terms(id_col, settings), f"{id_col} {kind}, terms array<int>").join(marks, id_col)
-    by_term = known.select("y", F.explode(F.concat("terms", F.array(F.lit(-1)))).alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("y").alias("pos")).toPandas()
-    whole = by_term[by_term["term"] == -1]
-    n, pos = (int(whole["n"].iloc[0]), int(whole["pos"].iloc[0])) if len(whole) else (0, 0)
-    found = by_term[(by_term["term"] >= 0) & (by_term["n"] >= settings.least_rows)]
-    expected = found["n"] * pos / max(1, n)
-    strength = (found["pos"] - expected) ** 2 / (expected * (1 - pos / max(1, n))).clip(lower=1e-9)
-    chosen = found.assign(strength=strength).sort_values(["strength", "term"], ascending=[False, True])["term"].head(settings.terms).to_numpy(np.int64)
+    known = labelled_texts(docs, labels, label, id_col, text_col).select("at", "y", "text").mapInPandas(_terms(settings), "at long, y int, terms array<int>")
+    by_term = known.select("y", F.explode(F.concat("terms", F.array(F.lit(-1)))).alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
+    by_term = stored(by_term, "terms")
+    whole = by_term.filter("term = -1").first()
+    n, pos = (whole["n"], whole["pos"]) if whole else (1, 0)
+    expected = F.col("n") * (pos / n)
+    strength = (F.col("pos") - expected) ** 2 / F.greatest(expected * (1 - pos / n), F.lit(1e-9))
+    best = by_term.filter(f"term >= 0 AND n >= {settings.least_rows}").withColumn("strength", strength).orderBy(F.col("strength").desc(), "term").limit(settings.terms)
+    chosen = np.array([r["term"] for r in best.select("term").collect()], np.int64)
     slot = np.full(1 << settings.hash_bits, -1, np.int32)
     slot[chosen] = np.arange(len(chosen))
     kept = F.array_intersect("terms", F.array(*map(F.lit, map(int, chosen))).cast("array<int>"))
-    sample = known.select("y", kept.alias("kept"), F.xxhash64(id_col).alias("at"), id_col).orderBy("at", id_col).limit(settings.fit_rows).select("y", "kept").collect()
+    sample = bounded_sample(known.select("at", kept.alias("kept"), F.col("y").alias("__y")), F.col("at"), settings.fit_rows, n).collect()
     x = np.zeros((len(sample), max(1, len(chosen))), np.uint8)
     for i, r in enumerate(sample):
         x[i, slot[np.array(r["kept"], np.int64)]] = 1
-    bias, weights, factors = fit_machine(x, np.array([r["y"] for r in sample], float), settings)
+    bias, weights, factors = fit_machine(x, np.array([r["__y"] for r in sample], float), settings)
     return Machine(settings, slot, bias, weights, factors)
 
 
