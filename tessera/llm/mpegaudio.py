@@ -39,6 +39,8 @@ ALLOCATION = {"a": [(11, 4), (12, 3), (4, 2)], "b": [(11, 4), (12, 3), (7, 2)],
 #: Written streams: MPEG-1 layer III, 32 kHz, mono, protected.
 _WRITE_RATE, _SIDE = 32000, 17
 _PAYLOAD_TAG = "PAYLOAD_BYTES"
+#: Zeros written behind a payload, as many as an ID3v1 tag is long: none of its own bytes lie where readers look for a trailing tag.
+_TAIL = bytes(128)
 
 
 def _table(polynomial: int) -> list[int]:
@@ -237,8 +239,9 @@ def write_stream(payload: bytes) -> bytes:
     rooms = [(144 * k * 1000 // _WRITE_RATE - 6 - _SIDE, i) for i, k in enumerate(BITRATES[1, 3]) if k]
     most = rooms[-1]
     frames = []
-    for at in range(0, len(payload), most[0]):
-        piece = payload[at : at + most[0]]
+    body = payload + _TAIL
+    for at in range(0, len(body), most[0]):
+        piece = body[at : at + most[0]]
         room, index = next(r for r in rooms if r[0] >= len(piece))
         frames.append(_frame_start(index) + piece.ljust(room, b"\0"))
     text = b"\0" + _PAYLOAD_TAG.encode() + b"\0" + str(len(payload)).encode()

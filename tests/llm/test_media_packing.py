@@ -23,6 +23,19 @@ def test_streams_round_trip():
         assert s["duration_num"] * 32000 == s["samples"] * s["duration_den"]
 
 
+def test_payload_like_a_trailing_tag_comes_back():
+    most = m.read_stream(m.write_stream(bytes(5000)))["offsets"]
+    most = most[1] - most[0] - 23  # the payload bytes of the largest frame
+    for mark in ("TAG", "APETAGEX", "APETAGEX\xd0\x07" + "~" * 20 + "TAG"):
+        for n in (92, 157, 300, most - 128, most - 1, most, most + 1, 2 * most, 2 * most + 60):
+            for back in {*range(20, 40), *range(118, 138), 160} & set(range(n + 1)):
+                payload = ("a" * (n - back) + mark).encode("latin-1").ljust(n, b"b")[:n]
+                s = m.read_stream(m.write_stream(payload))
+                assert s["payload"] == payload and s["frames"] == s["vbr"]["frames"] and not s["skipped"] and not s["resyncs"] and set(s["tags"]) == {"PAYLOAD_BYTES"}
+    payload, n = m.padded_payload("a" * 29 + "TAG" + "b" * 60)
+    assert m.read_stream(m.write_stream(payload))["payload"] == payload and n == 92
+
+
 def test_damage_is_seen_and_skipped():
     media = m.write_stream(m.padded_payload("text " * 2000)[0])
     whole = m.read_stream(media)
