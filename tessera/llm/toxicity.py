@@ -1,13 +1,17 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A document is the set of its hashed terms: its words, and the beginnings of words, which catch insults
-that grammar lengthens. Association counts over all labelled training rows pick the
-terms that carry signal; the machine then learns a weight and a short vector for each of them, so that
-pairs of terms (an insult beside a mention of a group) score beyond the sum of their weights.
+that grammar lengthens. The machine learns a weight and a short vector for every hashed term that a few
+labelled training rows hold, so that pairs of terms (an insult beside a mention of a group) score beyond
+the sum of their weights. It is fitted on all of these rows: in each round tasks learn from blocks of
+their rows, starting at the machine so far, and a term moves by the mean of the blocks' moves, each
+weighted by the block's rows that hold the term. So what moves a rare term are the rows that hold it. A
+term's own association with the label, counted over all labelled rows, sets the pace at which it learns.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,25 +20,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_sample, stored
-from tessera.llm.sketch import filter_bits, hash_filter, passing
+from tessera.llm.common import stored
+from tessera.llm.sketch import PARTS, SCHEMA, add_counts, filter_bits, gathered, hash_filter, packed, passing, unpacked
 from tessera.llm.texthash import buckets
 
 
 @dataclass(frozen=True)
 class Settings:
     hash_bits: int = 20
-    #: Terms kept by association with the label, and the least rows that hold one.
-    terms: int = 768
+    #: The least labelled rows that hold a term; every such term has a weight and factors.
     least_rows: int = 5
     factors: int = 4
     #: Bytes of the word beginnings that are terms too.
     prefixes: tuple[int, ...] = (4, 5, 6, 7, 8)
-    #: Bound on the labelled rows that the weights are fitted on, the first by hash of their id.
-    fit_rows: int = 20_000
+    #: Rows that a task learns from at a time, and the rounds that the epochs are dealt to.
+    block_rows: int = 4096
+    rounds: int = 5
     epochs: int = 40
     batch: int = 256
     rate: float = 0.03
+    #: The factors of a term without association of its own still learn, at this share of the rate.
+    least_pace: float = 0.004
     decay: float = 3e-4
 
 
@@ -42,16 +48,19 @@ def in_training(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0
 
 
-def _terms(settings: Settings):
+#: Moves are summed as whole numbers of this unit, so their order changes nothing.
+_UNIT = 2.0**-14
+
+
+def _held_by(settings: Settings):
+    """The partition's share of how many rows, and how many ones among them, hold each term."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros((1 << settings.hash_bits, 2), np.uint32)
         for batch in batches:
-            held: list = []
-            for i, y, t in zip(batch["at"], batch["y"], buckets(batch["text"], settings.hash_bits, settings.prefixes), strict=True):
-                held.append((i, y, t))
-                if len(held) == 2000:
-                    yield pd.DataFrame(held, columns=["at", "y", "terms"])
-                    held = []
-            yield pd.DataFrame(held, columns=["at", "y", "terms"])
+            for y, t in zip(batch["y"], buckets(batch["text"], settings.hash_bits, settings.prefixes), strict=True):
+                counts[t] += np.array([1, y], np.uint32)
+        yield pd.DataFrame(list(packed(counts)), columns=["part", "counts"])
 
     return run
 
@@ -79,24 +88,61 @@ def _margin(x: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray) -> tuple[np.
     return w0 + x @ w + 0.5 * ((s * s).sum(1) - x @ (v * v).sum(1)), s
 
 
-def fit_machine(x: np.ndarray, y: np.ndarray, s: Settings) -> tuple[float, np.ndarray, np.ndarray]:
-    """Bias, weights and factors by Adam on the log loss of x (0/1), both labels weighing the same in all."""
+class Rows:
+    """Rows of 0 and 1 by the columns that hold a 1, for the products that the machine needs."""
+
+    def __init__(self, columns: np.ndarray, lengths: np.ndarray, width: int):
+        self.columns, self.lengths, self.shape = columns, lengths, (len(lengths), width)
+        self.heads = np.cumsum(lengths) - lengths
+        self.rows = np.repeat(np.arange(len(lengths)), lengths)
+
+    def __getitem__(self, k: np.ndarray) -> Rows:
+        n = self.lengths[k]
+        at = np.repeat(self.heads[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return Rows(self.columns[at], n, self.shape[1])
+
+    def __matmul__(self, a: np.ndarray) -> np.ndarray:
+        return _summed(self.rows, self.columns, a, self.shape[0])
+
+    def turned(self, a: np.ndarray) -> np.ndarray:
+        """The transposed rows times a."""
+        return _summed(self.columns, self.rows, a, self.shape[1])
+
+
+def _summed(to: np.ndarray, of: np.ndarray, a: np.ndarray, n: int) -> np.ndarray:
+    if a.ndim == 1:
+        return np.bincount(to, a[of], n)
+    return np.stack([np.bincount(to, c[of], n) for c in np.ascontiguousarray(a.T)], 1)
+
+
+def fit_machine(x: Rows | np.ndarray, y: np.ndarray, s: Settings, start: tuple | None = None, share: float | None = None, epochs: int | None = None, pace: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights and factors by Adam on the log loss of x (0/1), both labels weighing the same in all.
+
+    start: the machine to go on from; share: that of the ones among all labels, if y is a part of them;
+    pace: each column's share of the rate.
+    """
     rng = np.random.default_rng(7)
-    p = [np.zeros(1), np.zeros(x.shape[1]), rng.normal(0, 0.01, (x.shape[1], s.factors))]
+    if not isinstance(x, Rows):
+        x = Rows(np.nonzero(x)[1], np.count_nonzero(x, axis=1), x.shape[1])
+    bias, weights, factors = start or (0.0, np.zeros(x.shape[1]), rng.normal(0, 0.01, (x.shape[1], s.factors)))
+    p = [np.array([bias], float), np.array(weights, float), np.array(factors, float)]
     m, u = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
-    share = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
+    share = np.clip(share if share is not None else y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
     weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
+    pace = np.ones(x.shape[1]) if pace is None else pace
+    rates = s.rate, s.rate * pace, s.rate / 5 * np.maximum(pace, s.least_pace)[:, None]
     step = 0
-    for _ in range(s.epochs):
+    for _ in range(epochs or s.epochs):
         order = rng.permutation(len(y))
         for at in range(0, len(y), s.batch):
             k = order[at : at + s.batch]
-            b = x[k].astype(np.float64)
+            b = x[k]
             margin, sums = _margin(b, p[0][0], p[1], p[2])
             g = weight[k] * ((1 / (1 + np.exp(-np.clip(margin, -30, 30)))) - y[k]) / len(k)
-            grads = [np.array([g.sum()]), b.T @ g + s.decay * p[1], b.T @ (sums * g[:, None]) - p[2] * (b.T @ g)[:, None] + s.decay * p[2]]
+            alone = b.turned(g)
+            grads = [np.array([g.sum()]), alone + s.decay * p[1], b.turned(sums * g[:, None]) - p[2] * alone[:, None] + s.decay * p[2]]
             step += 1
-            for a, d, m1, m2, rate in zip(p, grads, m, u, (s.rate, s.rate, s.rate / 5), strict=True):
+            for a, d, m1, m2, rate in zip(p, grads, m, u, rates, strict=True):
                 m1 += 0.1 * (d - m1)
                 m2 += 0.001 * (d * d - m2)
                 a -= rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
@@ -123,27 +169,71 @@ class Machine:
 def train(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> Machine:
     """Learns from the rows of docs that labels has a label for and that in_training() admits.
 
-    Rows with a null id or label are no training rows. Association counts are over all training rows;
-    the driver gets the terms that they pick, and which of these at most fit_rows rows hold.
+    Rows with a null id or label are no training rows. All others count and teach; the driver gets sums by term.
     """
-    known = labelled_texts(docs, labels, label, id_col, text_col).select("at", "y", "text").mapInPandas(_terms(settings), "at long, y int, terms array<int>")
-    by_term = known.select("y", F.explode(F.concat("terms", F.array(F.lit(-1)))).alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
-    by_term = stored(by_term, "terms")
-    whole = by_term.filter("term = -1").first()
-    n, pos = (whole["n"], whole["pos"]) if whole else (1, 0)
-    expected = F.col("n") * (pos / n)
-    strength = (F.col("pos") - expected) ** 2 / F.greatest(expected * (1 - pos / n), F.lit(1e-9))
-    best = by_term.filter(f"term >= 0 AND n >= {settings.least_rows}").withColumn("strength", strength).orderBy(F.col("strength").desc(), "term").limit(settings.terms)
-    chosen = np.array([r["term"] for r in best.select("term").collect()], np.int64)
+    known = labelled_texts(docs, labels, label, id_col, text_col)
+    n, pos = known.agg(F.count("*"), F.sum("y")).first()
+    share = pos / n if n else 0.5
+    counts = unpacked(gathered(known.select("y", "text").mapInPandas(_held_by(settings), SCHEMA), add_counts, 8 << settings.hash_bits), np.uint32).reshape(-1, 2)
+    chosen = np.flatnonzero(counts[:, 0] >= settings.least_rows)
     slot = np.full(1 << settings.hash_bits, -1, np.int32)
     slot[chosen] = np.arange(len(chosen))
-    kept = F.array_intersect("terms", F.array(*map(F.lit, map(int, chosen))).cast("array<int>"))
-    sample = bounded_sample(known.select("at", kept.alias("kept"), F.col("y").alias("__y")), F.col("at"), settings.fit_rows, n).collect()
-    x = np.zeros((len(sample), max(1, len(chosen))), np.uint8)
-    for i, r in enumerate(sample):
-        x[i, slot[np.array(r["kept"], np.int64)]] = 1
-    bias, weights, factors = fit_machine(x, np.array([r["__y"] for r in sample], float), settings)
-    return Machine(settings, slot, bias, weights, factors)
+    size = -(-(len(chosen) + 1) // PARTS) * PARTS  # the last slot is the bias's
+    bias, weights, factors = 0.0, np.zeros(size), np.random.default_rng(7).normal(0, 0.01, (size, settings.factors))
+    pace = np.zeros(size)
+    pace[: len(chosen)] = _pace(*counts[chosen].T.astype(float), share)
+    for _ in range(settings.rounds if n else 0):
+        shared = docs.sparkSession.sparkContext.broadcast((slot, bias, weights.astype(np.float32), factors.astype(np.float32), pace.astype(np.float32)))  # of a size that settings bound
+        taught = known.select("at", "y", "text").mapInPandas(_taught(shared, settings, share), SCHEMA)
+        moved = unpacked(gathered(taught, _add_moves, 8 * size * (settings.factors + 2)), np.int64).reshape(size, -1)
+        mean = moved[:, 1:] * _UNIT / np.maximum(moved[:, :1], 1)
+        bias, weights, factors = bias + float(mean[-1, 0]), weights + mean[:, 0], factors + mean[:, 1:]
+        shared.destroy()
+    return Machine(settings, slot, bias, weights.astype(np.float32), factors.astype(np.float32))
+
+
+def _pace(held: np.ndarray, pos: np.ndarray, share: float) -> np.ndarray:
+    """How fast terms learn, 0 to 1, by what chi-square says of them beside the most that chance gives so many terms. No term's pace depends on another one's."""
+    expected = held * share
+    strength = (pos - expected) ** 2 / np.maximum(expected * (1 - share), 1e-9)
+    return strength**2 / (strength**2 + (4 * np.log(len(held) + 2)) ** 2)
+
+
+def _taught(shared, settings: Settings, share: float):
+    """Per slot, over the partition's blocks: the rows that hold it, and the sums over these of how its weight and factors moved."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slot, bias, weights, factors, pace = shared.value
+        moved = np.zeros((len(weights), 2 + settings.factors), np.int64)
+
+        def learn(rows: list) -> None:
+            rows = sorted(rows, key=lambda r: r[0])
+            lengths = np.array([len(t) for _, _, t in rows])
+            found, columns, held = np.unique(np.concatenate([t for _, _, t in rows]), return_inverse=True, return_counts=True)
+            was = weights[found].astype(float), factors[found].astype(float)
+            b, w, v = fit_machine(Rows(columns, lengths, len(found)), np.array([y for _, y, _ in rows], float), settings, (bias, *was), share, -(-settings.epochs // settings.rounds), pace[found])
+            moves = np.concatenate([(w - was[0])[:, None], v - was[1]], 1) * held[:, None]
+            moved[found, 0] += held
+            moved[found, 1:] += np.rint(moves / _UNIT).astype(np.int64)
+            moved[-1, :2] += len(rows), round((b - bias) * len(rows) / _UNIT)
+
+        rows: list = []
+        for batch in batches:
+            for row in zip(batch["at"], batch["y"], buckets(batch["text"], settings.hash_bits, settings.prefixes, slot), strict=True):
+                rows.append(row)
+                if len(rows) == settings.block_rows:
+                    learn(rows)
+                    rows = []
+        if rows:
+            learn(rows)
+        yield pd.DataFrame(list(packed(moved)), columns=["part", "counts"])
+
+    return run
+
+
+def _add_moves(rows: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in rows["counts"])
+    return pd.DataFrame({"part": [rows["part"].iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:

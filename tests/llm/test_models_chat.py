@@ -35,6 +35,36 @@ def test_machine_learns_the_pair(spark):
     assert toxicity.score(docs.limit(0), machine).count() == 0
 
 
+def test_rare_insults_beside_many_stronger_terms(spark):
+    rnd = random.Random(9)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+    plain, loud = [word(5) for _ in range(60)], [word(10) for _ in range(300)]  # with their beginnings some 1,500 loud terms
+    docs, labels = [], []
+    for i in range(1200):
+        kind = "insult" if i < 48 else "loud" if i % 4 == 0 else "clean"
+        words = rnd.sample(plain, 12) + (["zzq"] if kind == "insult" else loud if kind == "loud" else [])
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(kind != "clean")))
+    new = [(10_000 + i, " ".join(rnd.sample(plain, 12) + ["zzq"] * (i % 2))) for i in range(40)]
+    docs, labels = spark.createDataFrame(docs + new, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    for changed in ({}, {"block_rows": 300}):
+        settings = toxicity.Settings(**changed)
+        machine = toxicity.train(docs, labels, "toxic", settings=settings)
+        scored = {r["doc_id"]: r["score"] for r in toxicity.score(docs, machine).filter("doc_id >= 10000").collect()}
+        assert all((x >= 0.5) == (i % 2 == 1) for i, x in scored.items()) and len(machine.weights) > 1500
+        held = toxicity.buckets(["zzq " + " ".join(plain)], settings.hash_bits, settings.prefixes)
+        assert (machine.slot[next(held)] >= 0).all()
+
+
+def test_machine_over_sparse_rows():
+    rng = np.random.default_rng(3)
+    x = (rng.random((50, 9)) < 0.3).astype(float)
+    rows = toxicity.Rows(np.nonzero(x)[1], np.count_nonzero(x, axis=1), 9)
+    k, a, b = rng.permutation(50)[:20], rng.normal(size=(9, 3)), rng.normal(size=(20, 3))
+    assert np.allclose(rows[k] @ a, x[k] @ a) and np.allclose(rows[k] @ a[:, 0], x[k] @ a[:, 0])
+    assert np.allclose(rows[k].turned(b), x[k].T @ b) and np.allclose(rows[k].turned(b[:, 0]), x[k].T @ b[:, 0])
+
+
 def test_no_labels_at_all(spark):
     docs, labels = labelled(spark, 20)
     machine = toxicity.train(docs, labels.limit(0), "toxic")
