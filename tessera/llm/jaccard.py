@@ -202,13 +202,8 @@ def _open(columns: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(mixed, "shingle")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, k: int = 5, block_bits: int | None = None) -> DataFrame:
-    """Per row of docs: id, n_shingles and component_id, the smallest id reachable by links.
-
-    Two rows link when 100 * intersection >= percent * union of their shingle sets. A row without words
-    (null, empty or blank text) has an empty set and links with nothing: it is its own component. Rows
-    with a null id take part; a component's id is its least id that is not null. Repeated rows stay.
-    """
+def _placed(docs: DataFrame, id_col: str, text_col: str, percent: int, k: int, block_bits: int | None = None) -> DataFrame:
+    """Per row of docs: id, digest of the text, n of shingles and label of the component, null without words."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
     first = stored(rows.mapInPandas(_profile(k), f"id {kind}, digest long, n long, node long, part int, counts binary"), "profile")
@@ -244,13 +239,35 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if more.limit(1).count():
         labels = components(links.unionByName(more))
 
-    placed = nodes.join(labels, "node", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
+    return nodes.join(labels, "node", "left").select("id", "digest", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, k: int = 5, block_bits: int | None = None) -> DataFrame:
+    """Per row of docs: id, n_shingles and component_id, the smallest id reachable by links.
+
+    Two rows link when 100 * intersection >= percent * union of their shingle sets. A row without words
+    (null, empty or blank text) has an empty set and links with nothing: it is its own component. Rows
+    with a null id take part; a component's id is its least id that is not null. Repeated rows stay.
+    """
+    placed = _placed(docs, id_col, text_col, percent, k, block_bits).select("id", "n", "label")
     least = placed.filter("label is not null").groupBy("label").agg(F.min("id").alias("least"))
     return placed.join(least, "label", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, k: int = 5) -> DataFrame:
-    """docs cut to one row of each component, that of the smallest id; rows without words all stay."""
-    found = jaccard_components(docs, id_col, text_col, percent, k)
-    kept = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    """docs cut to one row of each component, one of the smallest id that is not null; rows without words all stay.
+
+    The row is named by its id and its text's digest, as ids may be null or repeated; of rows alike in both one stays.
+    """
+    texts = _placed(docs, id_col, text_col, percent, k).groupBy("id", "digest").agg(F.max("label").alias("label"), F.count("*").alias("times"))
+    worded = texts.filter("label is not null").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest", "times")).alias("x"))
+    every = texts.filter("label is null").select("id", "digest", F.lit(1).cast("long").alias("times"))
+    kept = stored(worded.select("x.id", "x.digest", "x.times").unionByName(every).toDF("__id", "__digest", "__times"), "kept")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__digest"))
+    once = docs.join(kept.filter("__times = 1"), same, "left_semi")
+    if not kept.filter("__times > 1").limit(1).count():
+        return once
+    several = docs.join(kept.filter("__times > 1"), same, "left_semi")
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    first = several.groupBy(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__digest")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("__row"))
+    return once.unionByName(first.select("__row.*"))

@@ -72,6 +72,18 @@ def test_one_of_each_and_empty(docs_of):
     assert jaccard.jaccard_components(df.filter(F.col("text").isNull())).collect()[0]["component_id"] == 2
 
 
+def test_one_of_each_with_repeated_and_null_ids(spark):
+    a, b, c = ("a b c d e f g h i j k l", "m n o p q r s t u v w x", "one two three four five six")
+    rows = [(5, a, "x"), (5, a, "x"), (5, a, "y"), (3, b, "x"), (5, b.upper(), "x"), (None, c, "x"), (None, c + " ", "x"), (None, c, "x"), (None, "other words here", "x"), (None, "A " + a[2:], "x"), (None, "", "x"), (None, None, "x"), (8, " ", "x"), (8, " ", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("more", F.create_map(F.lit("k"), F.col("source"))).repartition(3)
+    kept = jaccard.one_per_component(df)
+    found = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    worded = sorted(((i, t.strip()) for i, t in found if (t or "").strip()), key=str)
+    assert worded == sorted([(5, a), (3, b), (None, c), (None, "other words here")], key=str)
+    assert sorted((x for x in found if not (x[1] or "").strip()), key=str) == sorted([(None, ""), (None, None), (8, " "), (8, " ")], key=str)
+    assert kept.columns == df.columns and kept.schema["more"].dataType == df.schema["more"].dataType
+
+
 def test_word_hashes_follow_words():
     texts = ["a bb  ccc", "", None, "Hello, WORLD x", "word " * 300_000 + "end", "x" * 2_000_000, " lead\ttab\x0bv"]
     hashed = list(texthash.words(texts))
