@@ -1,7 +1,7 @@
-"""Tables of a fixed size, summed over all tasks and sent to every worker: counts, and filters of hashes.
+"""Tables of a bounded size, summed over all tasks and sent to every worker: counts, and filters of hashes.
 
-Their size does not follow the input. A filter past its capacity lets more through, nothing less: what
-it passes is joined exactly afterwards.
+A filter's size follows its number of hashes up to FILTER_BITS. Past that it lets more through, nothing
+less: what it passes is joined exactly afterwards.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from tessera.llm.texthash import mix
 
 PARTS = 64
-#: Bits of a filter: 8 MB.
-FILTER_BITS = 26
+#: The most bits of a filter, as a power of 2: 32 MB.
+FILTER_BITS = 28
 SCHEMA = "part int, counts binary"
 
 
@@ -43,16 +43,23 @@ def add_counts(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": [rows["part"].iloc[0]], "counts": [zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
 
 
-def _bits_of(hashes: np.ndarray) -> np.ndarray:
-    x = hashes.view(np.uint64)
-    return np.stack([mix(x + np.uint64(i)) >> np.uint64(64 - FILTER_BITS) for i in (1, 2)]).astype(np.int64)
+def _bits_of(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Each hash's two bits in a filter of so many bytes."""
+    x, down = hashes.view(np.uint64), np.uint64(64 - (size * 8).bit_length() + 1)
+    return np.stack([mix(x + np.uint64(i)) >> down for i in (1, 2)]).astype(np.int64)
 
 
-def _mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    for batch in batches:
-        bits[_bits_of(batch["hash"].to_numpy(np.int64))] = True
-    yield pd.DataFrame(list(packed(np.packbits(bits))), columns=["part", "counts"])
+def _mark(size: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = np.zeros(size, np.uint8)
+        for batch in batches:
+            at = np.unique(_bits_of(batch["hash"].to_numpy(np.int64), size))
+            heads = np.flatnonzero(np.diff(at >> 3, prepend=-1))
+            if len(heads):
+                table[at[heads] >> 3] |= np.bitwise_or.reduceat((1 << (at & 7)).astype(np.uint8), heads)
+        yield pd.DataFrame(list(packed(table)), columns=["part", "counts"])
+
+    return run
 
 
 def _either(rows: pd.DataFrame) -> pd.DataFrame:
@@ -61,14 +68,17 @@ def _either(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def hash_filter(hashes: DataFrame) -> Broadcast:
-    """A filter of the 64-bit hashes in the one column of a DataFrame."""
-    return gathered(hashes.toDF("hash").dropna().mapInPandas(_mark, SCHEMA), _either, 1 << FILTER_BITS >> 3)
+    """A filter of the 64-bit hashes in the one column of a table: some 16 bits for each, 2^FILTER_BITS at most."""
+    hashes = hashes.toDF("hash").dropna()
+    size = 1 << min(FILTER_BITS, max(16, (16 * hashes.count()).bit_length())) >> 3
+    return gathered(hashes.mapInPandas(_mark(size), SCHEMA), _either, size)
 
 
 def filter_bits(shared: Broadcast) -> np.ndarray:
-    return np.unpackbits(unpacked(shared, np.uint8)).view(bool)
+    return unpacked(shared, np.uint8)
 
 
 def passing(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which of the hashes a filter may hold."""
-    return bits[_bits_of(hashes)].all(0)
+    at = _bits_of(hashes, len(bits))
+    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(0)

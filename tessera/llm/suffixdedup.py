@@ -2,39 +2,49 @@
 
 Matches are of LENGTH bytes or more, so not every suffix needs an entry. Of the WINDOW grams that start
 in a LENGTH-byte string, the one of least hash (the leftmost of equals) is its anchor; equal strings
-have equal anchors at equal places, and only suffixes at anchors, some 1.3 % of all, are indexed. An
-entry is sorted by its gram's hash, then by the hash of its context: all bytes that strings with this
-anchor can reach. `SuffixFamily.add` makes the sorted entries of a new batch and merge-scans them with
-every level; levels of equal size then merge, so an entry is rewritten a logarithmic number of times.
-
-In a scan, entries of equal gram and context are repeated all over. Where equal grams have several
-contexts, a match ends inside them; `marks` reads just those contexts again and compares their strings
-by offset. Grams with very many contexts (a passage that a third of all documents quote) are compared
-by string hash over all tasks instead of in one. All of it works on bytes, within documents only.
+have equal anchors at equal places, and only suffixes at anchors, some 1.3 % of all, are entries. A
+match holds the GRAM bytes behind its anchor whole, so these bytes, an entry's head, are stored with it.
+
+A batch's suffix array lists its heads in byte order, each once, cut into blocks of that order. The head
+has one entry's place, and the hash of the context (all bytes that strings with this anchor can reach)
+if all its entries agree in that, 0 if not. `SuffixFamily.add` makes the array of a new batch and
+merge-scans it with every level's: neighbours in the joint order that share a whole head meet. Levels of
+equal size then merge, so an entry is rewritten a logarithmic number of times. Arrays are tables bucketed
+by block, so scans and merges shuffle nothing.
+
+Where heads meet and the contexts agree, both are repeated all over. Where they don't, a match ends
+inside the context: `marks` reads just these contexts again, sorts them as suffixes (and, reversed, as
+prefixes) in full and takes from the longest common prefixes of neighbours which strings occur twice.
+Heads of more than MANY contexts (a passage that a third of all documents quote) are compared by string
+hash over all tasks instead, so no task holds them all. Everything works on bytes, within documents only.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import discard, shared_dir, stored
 from tessera.llm.sketch import filter_bits, hash_filter, passing
 from tessera.llm.texthash import CHUNK, _power_tables, mix
 
-
 LENGTH, GRAM = 200, 50
 WINDOW = LENGTH - GRAM + 1
 #: Bytes before and after an anchor that its strings can reach.
 LEFT, RIGHT = WINDOW - 1, LENGTH
-BLOCK_BITS = 6
-#: Contexts of one gram that a batch sends to a scan, and that one task compares.
-MANY_LOCAL, MANY = 64, 4096
+#: Contexts of one head that are sorted in one task.
+MANY = 1024
+#: Documents, and heads of each, whose order balances the blocks; they decide nothing else.
+SAMPLE_DOCS, SAMPLE_HEADS = 4000, 16
+#: Blocks in a bucket, and the most buckets of an array.
+SPREAD, MOST_BUCKETS = 4, 50_000
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
 _LOW = np.uint64((1 << 22) - 1)
 
@@ -65,7 +75,7 @@ def _segments(docs: list[bytes]) -> Iterator[list[tuple[int, bytes, int, int, in
 
 
 def entries(docs: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(document, position, gram hash, context hash, bytes of context before, bytes after) of anchors, in arrays."""
+    """(document, position, gram hash, context hash, bytes of context before, bytes after, head) of anchors, in arrays."""
     for group in _segments(docs):
         data = np.frombuffer(b"".join(g[1] for g in group), np.uint8)
         s, down = _sums(data)
@@ -87,66 +97,152 @@ def entries(docs: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         p = chosen - at[which] + place[which]
         left, right = np.minimum(LEFT, p), np.minimum(RIGHT, n[which] - p)
         context = mix((s[chosen + right] - s[chosen - left]) * down[chosen - left] + (left * 1024 + right).astype(np.uint64))
-        yield np.array([g[0] for g in group])[which], p, grams[chosen], context, left, right
+        heads = np.lib.stride_tricks.sliding_window_view(data, GRAM)[chosen]
+        yield np.array([g[0] for g in group])[which], p, grams[chosen], np.maximum(context, 1), left, right, np.ascontiguousarray(heads).view(f"S{GRAM}").ravel()
 
 
 def _bytes(text) -> bytes:
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
 
 
-def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted entries by block of the gram hashes; a gram with very many contexts here is one entry without a place."""
+def _all_entries(texts) -> tuple[np.ndarray, ...] | None:
+    found = list(entries([_bytes(t) for t in texts]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else None
+
+
+def _press(a: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(a).tobytes(), 1)
+
+
+def _loaded(rows: pd.DataFrame, kinds: dict) -> tuple[np.ndarray, ...]:
+    unpress = zstandard.ZstdDecompressor().decompress
+    return tuple(np.concatenate([np.frombuffer(unpress(x), t) for x in rows[c]] or [np.zeros(0, t)]) for c, t in kinds.items())
+
+
+_KINDS = {"heads": f"S{GRAM}", "contexts": np.uint64, "keys": np.int64, "places": np.int64}
+_FOUND = {"marked": np.int64, "wanted": np.int64}
+_ARRAY = "batch int, block int, " + ", ".join(f"{c} binary" for c in (*_KINDS, *_FOUND))
+
+
+def _runs(key: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Rows (key, first, last), those of a key joined where they meet."""
+    o = np.lexsort((last, first, key))
+    key, first, last = key[o], first[o], last[o]
+    if not len(o):
+        return np.zeros((0, 3), np.int64)
+    heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    shift = np.repeat(np.arange(len(heads)) << 40, np.diff(np.append(heads, len(o))))  # keeps keys apart; a text has less than 2^31 bytes
+    reach = np.maximum.accumulate(last + shift)
+    new = np.concatenate(([True], (first + shift)[1:] > reach[:-1]))
+    new[heads] = True
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(o)) - 1
+    return np.stack([key[starts], first[starts], (reach - shift)[ends]], 1)
+
+
+def _around(key: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Marks over whole contexts; an end past the text's is cut later."""
+    return _runs(key, np.maximum(0, p - LEFT), p + RIGHT)
+
+
+def _spans(a: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"key": a[:, 0], "first": a[:, 1], "last": a[:, 2]})
+
+
+def _gram_hashes(heads: np.ndarray) -> np.ndarray:
+    """The hash that entries() gives these grams."""
+    up, _ = _power_tables(GRAM)
+    table = np.ascontiguousarray(heads, f"S{GRAM}").view(np.uint8).reshape(-1, GRAM)
+    return mix((_BYTES[table] * up[:GRAM]).sum(1, dtype=np.uint64)).view(np.int64)
+
+
+def _heads_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        keys = batch["key"].to_numpy(np.int64)
-        found = [x[:4] for x in entries([_bytes(t) for t in batch["text"]])]
-        if not found:
-            continue
-        doc, p, gram, context = (np.concatenate(c) for c in zip(*found, strict=True))
-        order = np.lexsort((context, gram))
-        doc, p, gram, context = doc[order], p[order], gram[order], context[order]
-        new = np.concatenate(([True], gram[1:] != gram[:-1]))
-        group = np.cumsum(new) - 1
-        contexts = np.bincount(group, np.concatenate(([True], (context[1:] != context[:-1]) | new[1:])))
-        many = contexts[group] > MANY_LOCAL
-        keep = ~many | new
-        p = np.where(many, -1, p)[keep]
-        gram, context, key = gram[keep], context[keep], keys[doc[keep]]
-        cuts = np.searchsorted(gram >> np.uint64(64 - BLOCK_BITS), np.arange(1, 1 << BLOCK_BITS, dtype=np.uint64))
-        parts = zip(*(np.split(x, cuts) for x in (gram, context, key, p)), strict=True)
-        rows = [(b, g.tobytes(), c.tobytes(), k.tobytes(), x.astype(np.int64).tobytes()) for b, (g, c, k, x) in enumerate(parts) if len(g)]
-        yield pd.DataFrame(rows, columns=["block", "gram", "context", "key", "p"])
-
-
-_ENTRIES = "block int, gram binary, context binary, key binary, p binary"
-
-
-def _loaded(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    kinds = {"gram": np.uint64, "context": np.uint64, "key": np.int64, "p": np.int64}
-    return tuple(np.concatenate([np.frombuffer(x, t) for x in rows[c]]) for c, t in kinds.items())
-
-
-def _merge(rows: pd.DataFrame) -> pd.DataFrame:
-    gram, context, key, p = _loaded(rows)
-    o = np.lexsort((context, gram))
-    return pd.DataFrame([(rows["block"].iloc[0], *(x[o].tobytes() for x in (gram, context, key, p)))], columns=["block", "gram", "context", "key", "p"])
-
-
-def _scan(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one block of new and old entries: what is repeated all over, and the grams to compare more closely."""
-    gram, context, key, p = _loaded(rows)
-    fresh = np.concatenate([np.full(len(x) // 8, f) for x, f in zip(rows["p"], rows["fresh"], strict=True)])
-    o = np.lexsort((context, gram))
-    gram, context, key, p, fresh = gram[o], context[o], key[o], p[o], fresh[o]
-    new_gram = np.concatenate(([True], gram[1:] != gram[:-1]))
-    new = new_gram | np.concatenate(([True], context[1:] != context[:-1]))
-    of_gram, of_both = np.cumsum(new_gram) - 1, np.cumsum(new) - 1
-    touched = np.bincount(of_gram, fresh)[of_gram] > 0
-    repeated = (np.bincount(of_both)[of_both] > 1) & touched & (p >= 0)
-    mixed = new_gram & touched & ((np.bincount(of_gram, new)[of_gram] > 1) | (np.bincount(of_gram, p < 0)[of_gram] > 0))
-    return pd.concat([
-        pd.DataFrame({"gram": None, "key": key[repeated], "first": np.maximum(0, p[repeated] - LEFT), "last": p[repeated] + RIGHT}),
-        pd.DataFrame({"gram": gram[mixed].view(np.int64), "key": None, "first": None, "last": None}),
-    ])
+        for text in batch["text"]:
+            found = _all_entries([text])
+            if found:
+                yield pd.DataFrame({"head": [bytes(h).ljust(GRAM, b"\0") for h in found[6][:: max(1, -(-len(found[6]) // SAMPLE_HEADS))]]})
+
+
+def _index(bounds):
+    """Per batch number and block: the heads of some texts, each once, and marks of contexts that repeat among these texts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = _all_entries(rows["text"])
+            if not found:
+                continue
+            doc, p, gram, context, *_, heads = found
+            key, number = rows["key"].to_numpy(np.int64)[doc], rows["batch"].to_numpy(np.int64)[doc]
+            o = np.lexsort((context, gram, number))
+            key, p, gram, context, number, heads = (x[o] for x in (key, p, gram, context, number, heads))
+            first = np.concatenate(([True], (gram[1:] != gram[:-1]) | (number[1:] != number[:-1])))
+            kind = first | np.concatenate(([True], context[1:] != context[:-1]))
+            of, both = np.cumsum(first) - 1, np.cumsum(kind) - 1
+            context = np.where(np.bincount(of, kind)[of] > 1, np.uint64(0), context)[first]
+            twice = np.bincount(both)[both] > 1
+            marks = _around(key[twice], p[twice])
+            block = np.searchsorted(bounds.value, heads[first], side="right")
+            o = np.lexsort((block, number[first]))
+            number, block, columns = number[first][o], block[o], [x[first][o] if x is not context else context[o] for x in (heads, context, key, p.astype(np.int64))]
+            cuts = np.flatnonzero((block[1:] != block[:-1]) | (number[1:] != number[:-1])) + 1
+            out = []
+            for i, part in enumerate(zip(*(np.split(x, cuts) for x in (number, block, *columns)), strict=True)):
+                out.append((part[0][0], part[1][0], *map(_press, part[2:]), _press(marks if i == 0 else marks[:0]), _press(marks[:0])))
+            yield pd.DataFrame(out, columns=["batch", "block", *_KINDS, *_FOUND])
+
+    return run
+
+
+def _folded(heads: np.ndarray, contexts: np.ndarray, keys: np.ndarray, places: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
+    """Entries in suffix order with each head once; marks of heads that met in agreement, and which heads of the order met otherwise."""
+    o = np.argsort(heads, kind="stable")
+    heads, contexts, keys, places = heads[o], contexts[o], keys[o], places[o]
+    first = np.concatenate((np.ones(min(1, len(o)), bool), heads[1:] != heads[:-1]))
+    of, at = np.cumsum(first) - 1, np.flatnonzero(first)
+    size = np.diff(np.append(at, len(o)))
+    agree = (np.minimum.reduceat(contexts, at) == np.maximum.reduceat(contexts, at)) & (contexts[at] > 0) if len(at) else np.zeros(0, bool)
+    met = (agree & (size > 1))[of]
+    return [heads[first], np.where(agree, contexts[first], np.uint64(0)), keys[first], places[first]], _around(keys[met], places[met]), ~agree
+
+
+def _array(rows: pd.DataFrame) -> pd.DataFrame:
+    """One block of a batch's suffix array, with what repeats in the batch."""
+    columns, marks, apart = _folded(*_loaded(rows, _KINDS))
+    marks = np.concatenate([_loaded(rows, {"marked": np.int64})[0].reshape(-1, 3), marks])
+    return pd.DataFrame([(rows["batch"].iloc[0], rows["block"].iloc[0], *map(_press, columns), _press(_runs(*marks.T)), _press(_gram_hashes(columns[0][apart])))], columns=["batch", "block", *_KINDS, *_FOUND])
+
+
+def _scan(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+    """Merge-scan of one block of a new array with a level's: marks where contexts agree, the grams of other meetings."""
+    heads, contexts, keys, places = _loaded(new, _KINDS)
+    others, known, theirs, there = _loaded(old, _KINDS)
+    at = np.minimum(np.searchsorted(others, heads), max(0, len(others) - 1))
+    met = np.flatnonzero(others[at] == heads) if len(others) and len(heads) else np.zeros(0, np.int64)
+    at = at[met]
+    agree = (contexts[met] == known[at]) & (known[at] > 0)
+    marks = _around(np.concatenate([keys[met[agree]], theirs[at[agree]]]), np.concatenate([places[met[agree]], there[at[agree]]]))
+    return pd.DataFrame([(_press(marks), _press(_gram_hashes(heads[met[~agree]])))] if len(met) else [], columns=list(_FOUND))
+
+
+def _merge(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+    rows = pd.concat([new, old])
+    columns, *_ = _folded(*_loaded(rows, _KINDS))
+    return pd.DataFrame([(rows["block"].iloc[0], *map(_press, columns))], columns=["block", *_KINDS])
+
+
+def _unpacked(column: str):
+    """The rows of packed marks, or of packed gram hashes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(len(batch)):
+                (a,) = _loaded(batch.iloc[i : i + 1], {column: np.int64})
+                for at in range(0, len(a), 300_000):
+                    some = a[at : at + 300_000]
+                    yield _spans(some.reshape(-1, 3)) if column == "marked" else pd.DataFrame({"gram": some})
+
+    return run
 
 
 def _contexts(wanted):
@@ -158,7 +254,7 @@ def _contexts(wanted):
             keys = batch["key"].to_numpy(np.int64)
             docs = [_bytes(t) for t in batch["text"]]
             found = []
-            for e in entries(docs):
+            for *e, _ in entries(docs):
                 hit = passing(bits, e[2].view(np.int64))
                 found.append([x[hit] for x in e])
             if not found:
@@ -168,9 +264,8 @@ def _contexts(wanted):
             new = np.ones(len(o), bool)
             new[1:] = (gram[o][1:] != gram[o][:-1]) | (context[o][1:] != context[o][:-1])
             of = np.cumsum(new) - 1
-            several = np.bincount(of, minlength=1)[of] > 1 if len(o) else new
-            for rows in np.array_split(o[several], len(o) // 20_000 + 1):
-                yield pd.DataFrame({"gram": None, "key": keys[doc[rows]], "p": None, "before": None, "bytes": None, "first": p[rows] - left[rows], "last": p[rows] + right[rows]})
+            twice = o[np.bincount(of, minlength=1)[of] > 1] if len(o) else o
+            yield _spans(_around(keys[doc[twice]], p[twice])).assign(gram=None, p=None, before=None, bytes=None)
             for rows in np.array_split(o[new], len(o) // 20_000 + 1):
                 body = [docs[d][a:b] for d, a, b in zip(doc[rows], p[rows] - left[rows], p[rows] + right[rows], strict=True)]
                 yield pd.DataFrame({"gram": gram[rows].view(np.int64), "key": keys[doc[rows]], "p": p[rows], "before": left[rows], "bytes": body, "first": None, "last": None})
@@ -181,122 +276,182 @@ def _contexts(wanted):
 _CONTEXTS = "gram long, key long, p long, before int, bytes binary, first long, last long"
 
 
-def _strings(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every LENGTH-byte string (row, offset) around the anchors, and which of them exist."""
+def _laid_out(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts in a table with the anchors at column LEFT, and their first and last + 1 columns."""
     table = np.zeros((len(rows), LEFT + RIGHT), np.uint8)
-    size = np.array([len(b) for b in rows["bytes"]])
     lo = LEFT - rows["before"].to_numpy(np.int64)
+    hi = lo + np.array([len(b) for b in rows["bytes"]], np.int64)
     for i, b in enumerate(rows["bytes"]):
-        table[i, lo[i] : lo[i] + size[i]] = np.frombuffer(b, np.uint8)
-    up, down = _power_tables(LEFT + RIGHT + 1)
-    s = np.zeros((len(rows), LEFT + RIGHT + 1), np.uint64)
-    np.cumsum(_BYTES[table] * up[: LEFT + RIGHT], axis=1, out=s[:, 1:])
-    x = LEFT - np.arange(WINDOW)
-    hashes = mix((s[:, x + LENGTH] - s[:, x]) * down[x]) + mix(np.arange(1, WINDOW + 1, dtype=np.uint64))
-    there = (x >= lo[:, None]) & (x + LENGTH <= (lo + size)[:, None])
-    return mix(hashes ^ mix(rows["gram"].to_numpy(np.int64).view(np.uint64))[:, None]), there
+        table[i, lo[i] : hi[i]] = np.frombuffer(b, np.uint8)
+    return table, lo, hi
+
 
+def _ordered(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in byte order, and the common prefix of each with the one before it (0 for the first)."""
+    o = np.argsort(np.ascontiguousarray(table).view(f"S{table.shape[1]}").ravel(), kind="stable")
+    same = table[o[1:]] == table[o[:-1]]
+    return o, np.concatenate(([0], np.where(same.all(1), table.shape[1], same.argmin(1))))
 
-def _runs(key: np.ndarray, start: np.ndarray) -> pd.DataFrame:
-    """Marks over the strings that start at start, joined where they meet."""
-    o = np.lexsort((start, key))
-    key, start = key[o], start[o]
-    new = np.ones(len(o), bool)
-    new[1:] = (key[1:] != key[:-1]) | (start[1:] > start[:-1] + LENGTH)
-    heads = np.flatnonzero(new)
-    ends = np.append(heads[1:], len(o)) - 1 if len(o) else heads
-    return pd.DataFrame({"key": key[heads], "first": start[heads], "last": start[ends] + LENGTH})
+
+def _matches(rows: pd.DataFrame) -> np.ndarray:
+    """Marks of the strings that occur around two anchors, at the same offset, read from the common prefixes of sorted neighbours.
+
+    Two contexts share the string that starts d before their anchors if they share d bytes before them and
+    LENGTH - d from them on. Those that share n bytes from the anchor on are a run of the suffix order
+    without a common prefix below n, and in the same way, reversed, for the bytes before.
+    """
+    table, lo, hi = _laid_out(rows)
+    after, common = _ordered(table[:, LEFT:])
+    before, shared = _ordered(table[:, LEFT - 1 :: -1])
+    key, p, n = rows["key"].to_numpy(np.int64), rows["p"].to_numpy(np.int64), len(rows)
+    right, left = np.empty(n, np.int64), np.empty(n, np.int64)
+    keys, starts = [], []
+    for d in range(WINDOW):
+        right[after], left[before] = np.cumsum(common < LENGTH - d), np.cumsum(shared < d)
+        whole = np.flatnonzero((lo <= LEFT - d) & (hi >= LEFT - d + LENGTH))
+        _, back, times = np.unique(right[whole] * (n + 1) + left[whole], return_inverse=True, return_counts=True)
+        twice = whole[times[back] > 1]
+        keys.append(key[twice])
+        starts.append(p[twice] - d)
+    start = np.concatenate(starts)
+    return _runs(np.concatenate(keys), start, start + LENGTH)
 
 
 def _compare(rows: pd.DataFrame) -> pd.DataFrame:
-    """One block of grams: the strings that occur around two anchors of a gram, at the same offset."""
+    """One block of grams, whole grams and some MANY contexts at a time."""
     rows = rows.sort_values("gram", kind="stable")
     grams = rows["gram"].to_numpy()
     heads = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
     out, at = [], 0
-    while at < len(rows):  # whole grams, some thousand contexts at a time
+    while at < len(rows):
         k = np.searchsorted(heads, at + MANY, side="left")
         to = heads[k] if k < len(heads) else len(rows)
-        to = to if to > at else len(rows)
-        some = rows.iloc[at:to]
-        hashes, there = _strings(some)
-        i, o = np.nonzero(there)
-        _, back, n = np.unique(hashes[i, o], return_inverse=True, return_counts=True)
-        twice = n[back] > 1
-        out.append(_runs(some["key"].to_numpy(np.int64)[i[twice]], some["p"].to_numpy(np.int64)[i[twice]] - o[twice]))
+        out.append(_matches(rows.iloc[at:to]))
         at = to
-    return pd.concat(out)
+    return _spans(np.concatenate(out))
+
+
+def _strings(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every LENGTH-byte string (row, offset) around the anchors, and which of them exist."""
+    table, lo, hi = _laid_out(rows)
+    up, down = _power_tables(LEFT + RIGHT + 1)
+    s = np.zeros((len(rows), LEFT + RIGHT + 1), np.uint64)
+    np.cumsum(_BYTES[table] * up[: LEFT + RIGHT], axis=1, out=s[:, 1:])
+    x = LEFT - np.arange(WINDOW)
+    hashes = mix((s[:, x + LENGTH] - s[:, x]) * down[x]) + mix(np.arange(1, WINDOW + 1, dtype=np.uint64))
+    return mix(hashes ^ mix(rows["gram"].to_numpy(np.int64).view(np.uint64))[:, None]), (x >= lo[:, None]) & (x + LENGTH <= hi[:, None])
 
 
-def _spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _spread(blocks: int):
     """For grams of very many contexts: string hashes by block, one of each kind in a batch, and marks of those met twice."""
-    for batch in batches:
-        for at in range(0, len(batch), MANY):
-            some = batch.iloc[at : at + MANY]
-            hashes, there = _strings(some)
-            i, o = np.nonzero(there)
-            key, start = some["key"].to_numpy(np.int64)[i], some["p"].to_numpy(np.int64)[i] - o
-            h, first, back, n = np.unique(hashes[i, o], return_index=True, return_inverse=True, return_counts=True)
-            twice = n[back] > 1
-            yield _runs(key[twice], start[twice]).assign(block=-1, hashes=None, keys=None, starts=None)
-            cuts = np.searchsorted(h >> np.uint64(64 - BLOCK_BITS), np.arange(1, 1 << BLOCK_BITS, dtype=np.uint64))
-            parts = zip(*(np.split(x, cuts) for x in (h, key[first], start[first])), strict=True)
-            yield pd.DataFrame([(None, None, None, b, x.tobytes(), y.tobytes(), z.tobytes()) for b, (x, y, z) in enumerate(parts) if len(x)], columns=["key", "first", "last", "block", "hashes", "keys", "starts"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                some = batch.iloc[at : at + 4096]
+                hashes, there = _strings(some)
+                i, o = np.nonzero(there)
+                key, start = some["key"].to_numpy(np.int64)[i], some["p"].to_numpy(np.int64)[i] - o
+                h, first, back, n = np.unique(hashes[i, o], return_index=True, return_inverse=True, return_counts=True)
+                twice = n[back] > 1
+                yield _spans(_runs(key[twice], start[twice], start[twice] + LENGTH)).assign(block=-1, hashes=None, keys=None, starts=None)
+                block = (h % np.uint64(blocks)).astype(np.int64)
+                order = np.argsort(block, kind="stable")
+                cuts = np.flatnonzero(np.diff(block[order])) + 1
+                parts = zip(*(np.split(x[order], cuts) for x in (block, h, key[first], start[first])), strict=True)
+                yield pd.DataFrame([(None, None, None, b[0], *map(_press, x)) for b, *x in parts if len(b)], columns=["key", "first", "last", "block", "hashes", "keys", "starts"])
+
+    return run
 
 
 def _meet(rows: pd.DataFrame) -> pd.DataFrame:
-    h, key, start = (np.concatenate([np.frombuffer(x, t) for x in rows[c]]) for c, t in (("hashes", np.uint64), ("keys", np.int64), ("starts", np.int64)))
+    h, key, start = _loaded(rows, {"hashes": np.uint64, "keys": np.int64, "starts": np.int64})
     _, back, n = np.unique(h, return_inverse=True, return_counts=True)
-    return _runs(key[n[back] > 1], start[n[back] > 1])
+    twice = n[back] > 1
+    return _spans(_runs(key[twice], start[twice], start[twice] + LENGTH))
 
 
 _MARKS = "key long, first long, last long"
 
 
 class SuffixFamily:
-    """Documents indexed batch by batch. Levels are tables in the shared folder, each of twice the batches of the next."""
+    """Documents indexed batch by batch. levels: (batches in it, its array), each a table in the shared folder."""
 
     def __init__(self, id_col: str = "doc_id", text_col: str = "text"):
         self.id_col, self.text_col = id_col, text_col
         self.levels: list[tuple[int, DataFrame]] = []
         self.found: list[DataFrame] = []
         self.batches: list[DataFrame] = []
+        self.buckets = 0
 
     def _rows(self, docs: DataFrame) -> DataFrame:
         return docs.select(F.xxhash64(self.id_col, self.text_col).alias("key"), F.col(self.text_col).alias("text"))
 
-    def add(self, docs: DataFrame, last: bool = False) -> None:
-        """Scans a batch with itself and with every level. A batch that is said to be the last becomes no level."""
+    def fit(self, docs: DataFrame) -> None:
+        """Sets the blocks of the suffix order, as many as docs has partitions for; a bounded sample balances them."""
+        spark, rows = docs.sparkSession, self._rows(docs)
+        self.buckets = min(MOST_BUCKETS, max(4, rows.rdd.getNumPartitions()))
+        share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+        heads = np.sort(np.array([bytes(r["head"]) for r in rows.sample(share, seed=7).mapInPandas(_heads_of, "head binary").collect()] or [b""], f"S{GRAM}"))
+        self.bounds = spark.sparkContext.broadcast(heads[np.linspace(0, len(heads) - 1, SPREAD * self.buckets + 1).astype(int)[1:-1]])
+
+    def _table(self, rows: DataFrame, *parts: str) -> DataFrame:
+        """rows, clustered by block, as a table whose buckets are the tasks of later scans."""
+        spark, name = rows.sparkSession, f"array_{uuid.uuid4().hex}"
+        writer = rows.write.partitionBy(*parts) if parts else rows.write
+        path = f"{shared_dir(spark)}/{name}"
+        writer.bucketBy(self.buckets, "block").saveAsTable(name, format="parquet", path=path)
+        made = spark.table(name)
+        made.stored_at, made.stored_as = path, name
+        return made
+
+    def index(self, docs: DataFrame, batches: int = 1) -> list[DataFrame]:
+        """The suffix arrays of docs dealt to so many batches, made in one pass; what repeats within a batch is noted."""
+        if not self.buckets:
+            self.fit(docs)
+        rows = self._rows(docs).withColumn("batch", F.pmod(F.shiftright("key", 8), F.lit(batches)).cast("int"))
+        made = rows.mapInPandas(_index(self.bounds), _ARRAY).repartition(self.buckets, "block").groupBy("batch", "block").applyInPandas(_array, _ARRAY)
+        arrays = self._table(made, "batch")
+        self.found.append(arrays.select(*_FOUND))
+        self.batches.append(docs)
+        return [arrays.filter(f"batch = {b}").select("block", *_KINDS) for b in range(batches)]
+
+    def enter(self, array: DataFrame, last: bool = False) -> None:
+        """Merge-scans a batch's array with every level's, then makes it one and merges levels of equal size (the last batch: neither)."""
+        for _, level in self.levels:
+            met = array.groupBy("block").cogroup(level.groupBy("block")).applyInPandas(_scan, "marked binary, wanted binary")
+            self.found.append(stored(met, "scan"))
+        if last:
+            return
+        self.levels.append((1, array))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (n, newer), (_, older) = self.levels.pop(), self.levels.pop()
-            merged = newer.unionByName(older).groupBy("block").applyInPandas(_merge, _ENTRIES)
-            self.levels.append((2 * n, stored(merged, "level")))
-        made = self._rows(docs).mapInPandas(_index, _ENTRIES)
-        made = made if last else stored(made, "level")
-        both = made.withColumn("fresh", F.lit(True))
-        for _, level in self.levels:
-            both = both.unionByName(level.withColumn("fresh", F.lit(False)))
-        self.found.append(stored(both.groupBy("block").applyInPandas(_scan, f"gram long, {_MARKS}"), "scan"))
-        self.batches.append(docs)
-        if not last:
-            self.levels.append((1, made))
+            merged = self._table(newer.groupBy("block").cogroup(older.groupBy("block")).applyInPandas(_merge, "block int, " + ", ".join(f"{c} binary" for c in _KINDS)))
+            discard(newer, older)
+            self.levels.append((2 * n, merged))
+
+    def add(self, docs: DataFrame) -> None:
+        """Indexes a new batch and scans it with itself and every level."""
+        self.enter(self.index(docs)[0])
 
     def marks(self) -> DataFrame:
         """(key, first, last): all repeated bytes of all batches so far, as spans that may overlap."""
         found, docs = self.found[0], self._rows(self.batches[0])
-        for f, d in zip(self.found[1:], self.batches[1:], strict=True):
-            found, docs = found.unionByName(f), docs.unionByName(self._rows(d))
-        wanted = hash_filter(found.filter("gram is not null").select("gram"))
+        for f in self.found[1:]:
+            found = found.unionByName(f)
+        for d in self.batches[1:]:
+            docs = docs.unionByName(self._rows(d))
+        wanted = hash_filter(stored(found.select("wanted").mapInPandas(_unpacked("wanted"), "gram long"), "wanted"))
         near = stored(docs.mapInPandas(_contexts(wanted), _CONTEXTS), "contexts")
         contexts = near.filter("gram is not null").select("gram", "key", "p", "before", "bytes")
         # few in number whatever the input, as each takes MANY contexts: Spark can broadcast them
         hot = stored(contexts.groupBy("gram").count().filter(f"count > {MANY}").select("gram"), "hot")
-        few = contexts.join(hot, "gram", "left_anti").withColumn("block", F.pmod(F.xxhash64("gram"), F.lit(8 << BLOCK_BITS)))
+        few = contexts.join(hot, "gram", "left_anti").withColumn("block", F.pmod(F.xxhash64("gram"), F.lit(SPREAD * self.buckets)))
         many = contexts.join(hot, "gram", "left_semi")
-        spread = stored(many.mapInPandas(_spread, f"{_MARKS}, block int, hashes binary, keys binary, starts binary"), "spread")
+        spread = stored(many.mapInPandas(_spread(SPREAD * self.buckets), f"{_MARKS}, block long, hashes binary, keys binary, starts binary"), "spread")
         names = ["key", "first", "last"]
         parts = [
-            found.filter("gram is null").select(names), near.filter("gram is null").select(names), few.groupBy("block").applyInPandas(_compare, _MARKS),
+            found.select("marked").mapInPandas(_unpacked("marked"), _MARKS), near.filter("gram is null").select(names), few.groupBy("block").applyInPandas(_compare, _MARKS),
             spread.filter("block < 0").select(names), spread.filter("block >= 0").groupBy("block").applyInPandas(_meet, _MARKS),
         ]
         whole = parts[0]
@@ -326,17 +481,20 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 5) -> DataFrame:
     """A row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256 and kept, the bytes that are left.
 
     Every byte goes that a LENGTH-byte string covers which also starts elsewhere, in the same document
     or another; a cut may end inside a character, so `kept` is binary. Null and empty texts have no
-    bytes; rows with equal id and text are documents of their own and repeat each other.
+    bytes; rows with equal id and text are documents of their own and repeat each other. Other columns
+    are not looked at. batches: how many batches the family takes docs in; 5 make levels of 2 and of 4.
     """
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     family = SuffixFamily("id", "text")
-    for b in range(batches):
-        family.add(plain.filter(F.pmod(F.xxhash64(F.lit(b"batch"), "id"), F.lit(batches)) == b), last=b == batches - 1)
+    arrays = family.index(plain, batches)
+    for array in arrays:
+        family.enter(array, last=array is arrays[-1])
+    discard(*(level for _, level in family.levels))
     spans = family.marks().groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     met = plain.withColumn("key", F.xxhash64("id", "text")).join(spans, "key", "left").select("id", "text", "spans")
     kind = docs.schema[id_col].dataType.simpleString()

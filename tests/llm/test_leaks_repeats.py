@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tessera.llm import decontaminate as d
@@ -91,7 +92,7 @@ def mixed_corpus(seed):
     return texts + [some(180) + hot + some(180) for _ in range(90)]
 
 
-@pytest.mark.parametrize(("many", "batches"), [(4096, 2), (20, 3), (4096, 5)])
+@pytest.mark.parametrize(("many", "batches"), [(4096, 2), (20, 3), (4096, 5), (1024, 9)])
 def test_repeats_against_brute_force(docs_of, monkeypatch, many, batches):
     monkeypatch.setattr(suffixdedup, "MANY", many)
     texts = mixed_corpus(many)
@@ -100,6 +101,31 @@ def test_repeats_against_brute_force(docs_of, monkeypatch, many, batches):
     assert [got[i] for i in range(len(texts))] == brute(texts)
 
 
+def test_levels_merge_as_batches_come(docs_of):
+    texts = mixed_corpus(3)
+    family, sizes = suffixdedup.SuffixFamily(), []
+    for b in range(7):
+        family.add(docs_of(texts[b::7], list(range(len(texts)))[b::7]))
+        sizes.append([n for n, _ in family.levels])
+    assert sizes == [[1], [2], [2, 1], [4], [4, 1], [4, 2], [4, 2, 1]]
+    heads = []
+    for row in sorted(family.levels[0][1].collect(), key=lambda r: r["block"]):
+        (own,) = suffixdedup._loaded(pd.DataFrame([row.asDict()]), {"heads": "S50"})
+        heads += own.tolist()
+    assert heads == sorted(set(heads)) and len(heads) > 300  # one order of suffixes over all blocks
+    spans, data = {}, {i: (t or "").encode() for i, t in enumerate(texts)}
+    keys = {r["key"]: r["doc_id"] for b in family.batches for r in b.selectExpr("doc_id", "xxhash64(doc_id, text) AS key").collect()}
+    for r in family.marks().collect():
+        spans.setdefault(keys[r["key"]], []).append((r["first"], r["last"]))
+    gone = []
+    for i, x in data.items():
+        mask = np.zeros(len(x), bool)
+        for a, b in spans.get(i, ()):
+            mask[a:b] = True
+        gone.append(int(mask.sum()))
+    assert gone == [r[1] for r in brute(texts)]
+
+
 def test_repeats_of_equal_rows_and_nothing(docs_of):
     df = docs_of(["k" * 250 + "z", "k" * 250 + "z", "solo " + "".join(map(str, range(200)))], [None, None, 3])
     rows = sorted(suffixdedup.remove_repeats(df).collect(), key=lambda r: str(r["doc_id"]))
@@ -107,6 +133,44 @@ def test_repeats_of_equal_rows_and_nothing(docs_of):
     assert suffixdedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_periodic_megabyte_makes_few_marks(docs_of):
+    text = "tick tock " * 100_000
+    rows = [r.asDict() for r in suffixdedup.remove_repeats(docs_of([text, "x" + text[:300], "alone " + "".join(map(str, range(90)))])).collect()]
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"]) for r in sorted(rows, key=lambda r: r["doc_id"])] == [(1_000_000, 1_000_000, 1), (301, 300, 1), (176, 0, 0)]
+    family = suffixdedup.SuffixFamily()
+    family.add(docs_of([text]))
+    assert family.marks().count() < 20
+
+
+def test_matches_are_read_from_common_prefixes():
+    rnd = random.Random(4)
+    base = bytes(rnd.choice(b"abcdef") for _ in range(350))
+    rows = []
+    for _ in range(40):
+        before, after = rnd.randint(0, 150), rnd.randint(50, 200)
+        body = bytearray(base[150 - before : 150 + after])
+        for _ in range(rnd.randint(0, 2)):
+            k = rnd.randrange(len(body))
+            if not before <= k < before + 50:
+                body[k] = rnd.choice(b"xyz")
+        rows.append((1, len(rows), 1000, before, bytes(body)))
+    rows = pd.DataFrame(rows, columns=["gram", "key", "p", "before", "bytes"])
+    hashes, there = suffixdedup._strings(rows)
+    n = Counter(hashes[there].tolist())
+    want = {(i, 1000 - d) for i in range(len(rows)) for d in range(151) if there[i, d] and n[int(hashes[i, d])] > 1}
+    got = {(k, s) for k, first, last in suffixdedup._matches(rows).tolist() for s in range(first, last - 199)}
+    assert want and got == want
+
+
+def test_runs():
+    rnd = random.Random(8)
+    rows = np.array([(rnd.choice((-5, 0, 7)), a := rnd.randint(0, 300), a + rnd.randint(0, 30)) for _ in range(80)])
+    inside = {(k, x) for k, a, b in rows.tolist() for x in range(a, b)}
+    got = suffixdedup._runs(*rows.T).tolist()
+    assert {(k, x) for k, a, b in got for x in range(a, b)} == inside and all(k != m or b < c for (k, _, b), (m, c, _) in zip(got, got[1:], strict=False))
+    assert len(suffixdedup._runs(*rows[:0].T)) == 0
+
+
 def test_long_texts_are_cut_without_seams(monkeypatch):
     rnd = random.Random(9)
     text = bytes(rnd.choice(b"abcd") for _ in range(30_000))
