@@ -1,13 +1,14 @@
 """MPEG audio columns: read streams of layers I to III, and write payloads as layer III streams.
 
 Reading finds frame headers (and finds them again after damage), reads ID3v2, ID3v1 and APEv2 tags and
-the Xing/Info/LAME and VBRI tables, checks the CRC-16 of protected frames and of the LAME tag, and gives
-the exact duration as a fraction of samples and every frame's byte offset for seeking. Free-format
-streams (bitrate index 0) are not frames here.
+the Xing/Info/LAME and VBRI tables with their seek points, checks the CRC-16 of protected frames and of
+the LAME tag, and gives the exact duration as a fraction of samples and every frame's byte offset for
+seeking. Free-format streams (bitrate index 0) are not frames here.
 
 Writing puts payload bytes into the ancillary part of silent, protected, variable-bitrate layer III
 frames behind an ID3v2 tag and an Info frame, so that any decoder plays the stream and the payload
-reads back byte for byte. Both run row by row in Arrow batches; no row meets another one.
+reads back byte for byte. Both run row by row in Arrow batches; no row meets another one. A stream is
+one cell and has to fit into a task; reading holds it and its frames' offsets.
 """
 
 from __future__ import annotations
@@ -118,50 +119,117 @@ def _covered(frame: bytes, h: dict) -> tuple[bytes, int] | None:
     return (body[:size], bits % 8) if len(body) >= size else None
 
 
+def _reflected_table(polynomial: int) -> list[int]:
+    rows = []
+    for crc in range(256):
+        for _ in range(8):
+            crc = (crc >> 1) ^ (polynomial if crc & 1 else 0)
+        rows.append(crc)
+    return rows
+
+
+_TAG_CRC = _reflected_table(0xA001)
+
+
+def tag_crc16(data: bytes) -> int:
+    """The CRC-16 of LAME tags: the frames' polynomial, but bits in reverse and from 0 on."""
+    crc = 0
+    for b in data:
+        crc = (crc >> 8) ^ _TAG_CRC[(crc ^ b) & 0xFF]
+    return crc
+
+
 def _syncsafe(b: bytes) -> int:
     return b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
 
 
 def _id3v2(data: bytes, at: int, tags: dict) -> int:
-    """Reads a tag at `at` into tags; its end."""
+    """Reads a tag at `at` into tags; its end. Unsynchronised tags and frames are undone, compressed frames inflated, encrypted ones passed over."""
     major, flags, size = data[at + 3], data[at + 5], _syncsafe(data[at + 6 : at + 10])
     end = at + 10 + size + (10 if flags & 0x10 else 0)
     body, p = data[at + 10 : at + 10 + size], 0
+    if flags & 0x80 and major < 4:
+        body = body.replace(b"\xff\0", b"\xff")
     if flags & 0x40 and len(body) >= 4:
         p = int.from_bytes(body[:4], "big") + 4 if major == 3 else _syncsafe(body[:4])
-    wide = 3 if major == 2 else 4
-    while p + (6 if major == 2 else 10) <= len(body) and body[p] != 0:
+    wide, head = (3, 6) if major == 2 else (4, 10)
+    while p + head <= len(body) and body[p] != 0:
         name = body[p : p + wide].decode("latin-1")
         n = int.from_bytes(body[p + 3 : p + 6], "big") if major == 2 else _syncsafe(body[p + 4 : p + 8]) if major == 4 else int.from_bytes(body[p + 4 : p + 8], "big")
-        p += 6 if major == 2 else 10
-        if name[0] == "T" and 0 < n <= len(body) - p:
-            code = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[p], "latin-1")
-            parts = body[p + 1 : p + n].decode(code, "replace").split("\0")
-            if name in ("TXXX", "TXX") and len(parts) > 1:
-                tags[parts[0]] = parts[1]
-            else:
-                tags[name] = parts[0]
+        own = 0 if major == 2 else body[p + 9]
+        p += head
+        if name[0] == "T" and 0 < n <= len(body) - p and not own & (4 if major == 4 else 0x40):
+            _text_frame(name, body[p : p + n], major, own, bool(flags & 0x80), tags)
         p += n
     return end
 
 
+def _text_frame(name: str, value: bytes, major: int, own: int, unsynchronised: bool, tags: dict) -> None:
+    """Reads one text frame's body into tags, what its flags changed undone first."""
+    squeezed = own & (8 if major == 4 else 0x80 if major == 3 else 0)
+    value = value[bool(own & (0x40 if major == 4 else 0x20)) :]  # the group's byte
+    if major == 4:
+        value = value[4 * bool(own & 1) :]  # the length without the changes
+        if own & 2 or unsynchronised:
+            value = value.replace(b"\xff\0", b"\xff")
+    elif squeezed:
+        value = value[4:]
+    if squeezed:
+        try:
+            value = zlib.decompress(value)
+        except zlib.error:
+            return
+    if not value:
+        return
+    code = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(value[0], "latin-1")
+    parts = value[1:].decode(code, "replace").split("\0")
+    if name in ("TXXX", "TXX") and len(parts) > 1:
+        tags[parts[0]] = parts[1]
+    else:
+        tags[name] = parts[0]
+
+
+def _ape(data: bytes, at: int, end: int, tags: dict) -> int:
+    """Reads the APEv2 tag whose footer ends at `end` into tags that earlier ones left free; the tag's start."""
+    size, count, flags = struct.unpack("<III", data[end - 20 : end - 8])
+    start = max(at, end - size - (32 if flags >> 31 else 0))
+    p, stop = max(at, end - size), end - 32
+    for _ in range(count):
+        cut = data.find(b"\0", p + 8, stop)
+        if cut < 0:
+            break
+        n, kind = struct.unpack("<II", data[p : p + 8])
+        if cut + 1 + n <= stop and not kind >> 1 & 3:  # a text, not binary or a link
+            tags.setdefault(data[p + 8 : cut].decode("latin-1"), data[cut + 1 : cut + 1 + n].decode("utf-8", "replace").split("\0")[0])
+        p = cut + 1 + n
+    return start
+
+
 def _vbr(frame: bytes, h: dict) -> dict | None:
-    """The Xing, Info or VBRI table in a first frame."""
+    """The Xing, Info or VBRI table in a first frame; seek: byte offsets of equal parts of the playing time, counted from this frame."""
     for at in {4 + h["side"], 6 + h["side"]} if h["layer"] == 3 else ():
         if frame[at : at + 4] in (b"Xing", b"Info"):
             flags, p = int.from_bytes(frame[at + 4 : at + 8], "big"), at + 8
-            out = {"kind": frame[at : at + 4].decode(), "frames": None, "bytes": None, "delay": 0, "padding": 0, "tag_crc": None}
+            out = {"kind": frame[at : at + 4].decode(), "frames": None, "bytes": None, "delay": 0, "padding": 0, "tag_crc": None, "seek": []}
             for bit, name in ((1, "frames"), (2, "bytes")):
                 if flags & bit:
                     out[name], p = int.from_bytes(frame[p : p + 4], "big"), p + 4
-            p += 100 * bool(flags & 4) + 4 * bool(flags & 8)
+            if flags & 4:
+                out["seek"] = [x * out["bytes"] // 256 for x in frame[p : p + 100]] if out["bytes"] is not None else []
+                p += 100
+            p += 4 * bool(flags & 8)
             lame = frame[p : p + 36]
             if len(lame) == 36 and lame[:9].strip(b"\0"):
                 out["delay"], out["padding"] = lame[21] << 4 | lame[22] >> 4, (lame[22] & 15) << 8 | lame[23]
-                out["tag_crc"] = crc16(frame[: p + 34], 0, 0) == int.from_bytes(lame[34:], "big")
+                out["tag_crc"] = tag_crc16(frame[: p + 34]) == int.from_bytes(lame[34:], "big")
             return out
-    if frame[36:40] == b"VBRI":
-        return {"kind": "VBRI", "bytes": int.from_bytes(frame[46:50], "big"), "frames": int.from_bytes(frame[50:54], "big"), "delay": 0, "padding": 0, "tag_crc": None}
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
+        entries, scale, wide = struct.unpack(">HHH", frame[54:60])
+        seek, to = [], 0
+        for p in range(62, min(len(frame) - wide + 1, 62 + entries * wide), max(1, wide)) if wide in (1, 2, 3, 4) else ():
+            seek.append(to)
+            to += int.from_bytes(frame[p : p + wide], "big") * scale
+        return {"kind": "VBRI", "bytes": int.from_bytes(frame[46:50], "big"), "frames": int.from_bytes(frame[50:54], "big"), "delay": 0, "padding": 0, "tag_crc": None, "seek": seek}
     return None
 
 
@@ -178,8 +246,7 @@ def read_stream(data: bytes | None) -> dict:
             if text := data[end + x : end + y].split(b"\0")[0].decode("latin-1").rstrip():
                 tags.setdefault(name, text)
     if data[end - 32 : end - 24] == b"APETAGEX" and end - at >= 32:
-        size, flags = struct.unpack("<I", data[end - 20 : end - 16])[0], struct.unpack("<I", data[end - 12 : end - 8])[0]
-        end = max(at, end - size - (32 if flags >> 31 else 0))
+        end = _ape(data, at, end, tags)
     out = {"version": None, "layer": None, "sample_rate": None, "channels": None, "frames": 0, "samples": 0, "kbits": 0, "crc_checked": 0, "crc_bad": 0, "resyncs": 0, "skipped": 0, "vbr": None}
     offsets, bodies, alike, lost, usual_form = [], [], None, False, None
     first = True
@@ -260,7 +327,7 @@ def write_stream(payload: bytes) -> bytes:
     length = 144 * BITRATES[1, 3][index] * 1000 // _WRITE_RATE
     info = bytes([0xFF, 0xFB, index << 4 | 2 << 2, 0xC0]) + bytes(_SIDE) + b"Info" + (15).to_bytes(4, "big") + len(frames).to_bytes(4, "big") + (size + length).to_bytes(4, "big") + bytes(marks) + bytes(4)
     lame = b"tessera01" + bytes(25)
-    info += lame + crc16(info + lame, 0, 0).to_bytes(2, "big")
+    info += lame + tag_crc16(info + lame).to_bytes(2, "big")
     return tag + info.ljust(length, b"\0") + b"".join(frames)
 
 
@@ -280,8 +347,9 @@ def media_of_text(text: str) -> Column:
 
 _DESCRIPTION = (
     "version string, layer int, sample_rate int, channels int, frames long, duration_num long, duration_den long, mean_kbit double, vbr_kind string, vbr_agrees boolean, "
-    "tag_crc_good boolean, crc_checked long, crc_bad long, resyncs long, skipped_bytes long, tags map<string,string>, seek_offsets array<long>"
+    "tag_crc_good boolean, crc_checked long, crc_bad long, resyncs long, skipped_bytes long, tags map<string,string>, seek_offsets array<long>, table_offsets array<long>"
 )
+_NAMES = [c.split()[0] for c in _DESCRIPTION.split(", ")]
 
 
 def _row(s: dict) -> dict:
@@ -290,34 +358,38 @@ def _row(s: dict) -> dict:
         "version": s["version"], "layer": s["layer"], "sample_rate": s["sample_rate"], "channels": s["channels"], "frames": s["frames"], "duration_num": s["duration_num"], "duration_den": s["duration_den"],
         "mean_kbit": s["kbits"] / s["frames"] if s["frames"] else None, "vbr_kind": vbr and vbr["kind"], "vbr_agrees": None if not vbr or vbr["frames"] is None else vbr["frames"] == s["frames"],
         "tag_crc_good": vbr and vbr["tag_crc"], "crc_checked": s["crc_checked"], "crc_bad": s["crc_bad"], "resyncs": s["resyncs"], "skipped_bytes": s["skipped"], "tags": s["tags"], "seek_offsets": s["offsets"],
+        "table_offsets": vbr and vbr["seek"],
     }
 
 
 def _describe(media: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_row(read_stream(m)) for m in media], columns=[c.split()[0] for c in _DESCRIPTION.split(", ")], dtype=object)
+    return pd.DataFrame([_row(read_stream(m)) for m in media], columns=_NAMES, dtype=object)
 
 
 def describe_media(df: DataFrame, media_col: str) -> DataFrame:
-    """df with a struct `audio` of what its streams hold; null or foreign bytes have 0 frames. An old `audio` column is replaced."""
+    """df with a struct `audio` of what its streams hold; null or foreign bytes have 0 frames. An old `audio` column is replaced.
+
+    seek_offsets are the frames' places in the stream, table_offsets the seek points of its own table,
+    null without one.
+    """
     return df.withColumn("audio", F.pandas_udf(_describe, _DESCRIPTION)(media_col))
 
 
-_DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_num long, duration_den long, seek_offsets array<long>"
 
 
 def _digest(media: pd.Series) -> pd.DataFrame:
     def one(m: bytes) -> tuple:
         s = read_stream(m)
         p, v = s["payload"], s["vbr"]
-        offsets = zlib.crc32(struct.pack(f"<{len(s['offsets'])}q", *s["offsets"]))
         feature = (
             f"mpeg{s['version']}/L{s['layer']} {s['sample_rate']}Hz frames={s['frames']} duration={s['duration_num']}/{s['duration_den']} kbits={s['kbits']} vbr={v and v['kind']}:{v and v['frames']} "
-            f"tag_crc={v and v['tag_crc']} crc={s['crc_checked'] - s['crc_bad']}/{s['crc_checked']} resyncs={s['resyncs']} seek={offsets:08x}")
-        return len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature
+            f"tag_crc={v and v['tag_crc']} crc={s['crc_checked'] - s['crc_bad']}/{s['crc_checked']} resyncs={s['resyncs']}")
+        return len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature, s["duration_num"], s["duration_den"], s["offsets"]
 
-    return pd.DataFrame([one(m) for m in media], columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+    return pd.DataFrame([one(m if m is not None else b"") for m in media], columns=[c.split()[0] for c in _DIGEST.split(", ")])
 
 
 def media_digest(media: Column) -> Column:
-    """Struct of the payload read back from stored streams, the streams' own size and hash, and their features as text."""
+    """Struct of the payload read back from stored streams, the streams' own size and hash, their features as text, durations and seek offsets. Null is an empty stream."""
     return F.pandas_udf(_digest, _DIGEST)(media)

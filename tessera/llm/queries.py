@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard, linededup, mpegaudio, packing, perspectives, rulequality, sharding, suffixdedup, toxicity
-from tessera.llm.common import LOWER, UPPER, table
+from tessera.llm.common import LOWER, UPPER, stored, table
 
 N_SHARDS = 8
 
@@ -24,10 +24,9 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = mpegaudio.media_digest(mpegaudio.media_of_text("text"))
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    return docs.select("doc_id", n_bytes.alias("n_bytes"), found.alias("found")).select("doc_id", "n_bytes", "found.*")
+    media = stored(table(spark, sf_dir, "documents").select("doc_id", n_bytes.alias("n_bytes"), mpegaudio.media_of_text("text").alias("media")), "media")
+    return media.select("doc_id", "n_bytes", mpegaudio.media_digest(media["media"]).alias("found")).select("doc_id", "n_bytes", "found.*")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

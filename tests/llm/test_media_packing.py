@@ -55,10 +55,107 @@ def test_foreign_layers_and_tags():
         frame = head + bytes(length - 4)
         s = m.read_stream(frame * 5 + b"TAG" + b"Song".ljust(30, b"\0") + bytes(95))
         assert (s["frames"], s["samples"], s["sample_rate"], s["tags"]) == (5, 5 * samples, hz, {"TIT2": "Song"}) and s["offsets"] == [length * i for i in range(5)]
-    vbri = b"\xff\xfb\x90\xc0" + bytes(32) + b"VBRI" + bytes(6) + (417 * 3).to_bytes(4, "big") + (2).to_bytes(4, "big")
+    vbri = b"\xff\xfb\x90\xc0" + bytes(32) + b"VBRI" + bytes(6) + (417 * 3).to_bytes(4, "big") + (2).to_bytes(4, "big") + bytes([0, 3, 0, 10, 0, 2, 0, 1, 0, 42, 0, 41, 0, 42])
     s = m.read_stream(vbri.ljust(417, b"\0") + (b"\xff\xfb\x90\xc0" + bytes(413)) * 2)
-    assert s["vbr"]["kind"] == "VBRI" and s["vbr"]["frames"] == s["frames"] == 2
-    assert m.crc16(b"123456789", 0, 0) == 0xFEE8 and m.crc16(b"\x12\x80", 1) == m.crc16(b"\x12\x80", 1)
+    assert s["vbr"]["kind"] == "VBRI" and s["vbr"]["frames"] == s["frames"] == 2 and s["vbr"]["seek"] == [0, 420, 830]
+    # catalogue values of the two checksums: MSB first from 0 (BUYPASS), and reflected (ARC)
+    assert m.crc16(b"123456789", 0, 0) == 0xFEE8 and m.tag_crc16(b"123456789") == 0xBB3D
+
+
+def bitwise(bits, polynomial=0x8005, crc=0xFFFF):
+    """CRC-16 a bit at a time, apart from the tables of the reader."""
+    for bit in bits:
+        crc = (crc << 1 ^ (polynomial if (crc >> 15) ^ bit else 0)) & 0xFFFF
+    return crc
+
+
+def frame_of(head, bits, length):
+    """A protected frame with these bits after its checksum, and the number of them that the checksum covers."""
+    covered, every = bits
+    crc = bitwise([x >> (7 - i) & 1 for x in head[2:] for i in range(8)] + every[:covered])
+    body = int("".join(map(str, every)), 2).to_bytes(len(every) // 8, "big")
+    return (head + crc.to_bytes(2, "big") + body).ljust(length, b"\0")
+
+
+def test_checksums_of_layers_one_and_two():
+    rnd = random.Random(6)
+    noise = lambda n: [rnd.randint(0, 1) for _ in range(n)]
+    # layer I, 32 kbit/s, 44.1 kHz: 32 allocations of 4 bits each channel; joint stereo from subband 8 on
+    cases = [(b"\xff\xfe\x10\xc0", 32, lambda: (128, noise(128))), (b"\xff\xfe\x60\x00", 208, lambda: (256, noise(256))), (b"\xff\xfe\x60\x50", 208, lambda: (4 * (2 * 8 + 24), noise(256)))]
+
+    # layer II, 48 kHz, 192 kbit/s, stereo: 4 bits for 11 subbands, 3 for 12, 2 for 4; two bits more for each one in use
+    def second():
+        bits, used = [], 0
+        for width in [4] * 11 + [3] * 12 + [2] * 4:
+            for _ in range(2):
+                own = noise(width)
+                used += any(own)
+                bits += own
+        return len(bits) + 2 * used, bits + noise(2 * used + (-len(bits) - 2 * used) % 8)
+
+    cases.append((b"\xff\xfc\xa4\x00", 576, second))
+
+    # MPEG-2 layer II, 24 kHz, 64 kbit/s, mono
+    def lower():
+        bits, used = [], 0
+        for width in [4] * 4 + [3] * 7 + [2] * 19:
+            own = noise(width)
+            used += any(own)
+            bits += own
+        return len(bits) + 2 * used, bits + noise(2 * used + (-len(bits) - 2 * used) % 8)
+
+    cases.append((b"\xff\xf4\x84\xc0", 384, lower))
+    for head, length, bits in cases:
+        assert m.header(head)["length"] == length and m.header(head)["protected"]
+        frames = [frame_of(head, bits(), length) for _ in range(6)]
+        s = m.read_stream(b"".join(frames))
+        assert (s["frames"], s["crc_checked"], s["crc_bad"]) == (6, 6, 0)
+        hurt = bytearray(b"".join(frames))
+        hurt[length + 8] ^= 0x40
+        assert m.read_stream(bytes(hurt))["crc_bad"] == 1
+
+
+def test_tags_and_tables_made_by_hand():
+    sound = (b"\xff\xfb\x90\xc0" + bytes(413)) * 4
+    item = lambda key, value, kind=0: len(value).to_bytes(4, "little") + (kind << 1).to_bytes(4, "little") + key + b"\0" + value
+    items = item(b"Title", "Lied é".encode()) + item(b"Cover", b"\xff\xfb", 1) + item(b"Artist", b"One\0Two")
+    part = lambda flags: b"APETAGEX" + (2000).to_bytes(4, "little") + (len(items) + 32).to_bytes(4, "little") + (3).to_bytes(4, "little") + flags.to_bytes(4, "little") + bytes(8)
+    for tag in (items + part(0), part(0xA0000000) + items + part(0x80000000)):
+        for behind in (b"", b"TAG" + b"Old".ljust(30, b"\0") + bytes(95)):
+            s = m.read_stream(sound + tag + behind)
+            assert s["frames"] == 4 and not s["skipped"] and s["tags"] == {"Title": "Lied é", "Artist": "One"} | ({"TIT2": "Old"} if behind else {})
+    size = lambda n: bytes([n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127])
+    text = b"\0" + "ÿ\0".encode("latin-1")[:1] + b"\xe0x"  # 0xFF 0xE0 would look like a header
+    loose = text.replace(b"\xff", b"\xff\0")
+    for major, frame in ((3, b"TIT2" + len(text).to_bytes(4, "big") + b"\0\0" + loose), (4, b"TIT2" + size(len(loose) + 4) + b"\0\3" + size(len(text)) + loose)):
+        s = m.read_stream(b"ID3" + bytes([major, 0, 0x80]) + size(len(frame)) + frame + sound)
+        assert s["tags"] == {"TIT2": "ÿàx"} and s["frames"] == 4
+    squeezed = zlib.compress(b"\3long long title")
+    s = m.read_stream(b"ID3\4\0\0" + size(len(squeezed) + 14) + b"TALB" + size(len(squeezed) + 4) + b"\0\x09" + size(16) + squeezed + sound)
+    assert s["tags"] == {"TALB": "long long title"}
+    # an Info frame with a LAME tag, its checksum by the reflected polynomial bit by bit
+    info = b"\xff\xfb\x90\xc0" + bytes(17) + b"Info" + (15).to_bytes(4, "big") + (4).to_bytes(4, "big") + (417 * 5).to_bytes(4, "big") + bytes(range(0, 200, 2)) + bytes(4)
+    lame = (b"LAME3.100".ljust(21, b"\0") + bytes([0x24, 0x01, 0x80])).ljust(34, b"\0")
+    crc = 0
+    for x in info + lame:
+        for i in range(8):
+            crc = crc >> 1 ^ (0xA001 if (crc ^ x >> i) & 1 else 0)
+    s = m.read_stream((info + lame + crc.to_bytes(2, "big")).ljust(417, b"\0") + sound)
+    assert s["vbr"]["tag_crc"] and (s["vbr"]["delay"], s["vbr"]["padding"]) == (576, 384) and s["vbr"]["seek"][:3] == [0, 2 * 2085 // 256, 4 * 2085 // 256] and len(s["vbr"]["seek"]) == 100
+    assert (s["duration_num"], s["duration_den"]) == ((4 * 1152 - 960) // 12, 44100 // 12)
+    wrong = (info + lame + (crc ^ 1).to_bytes(2, "big")).ljust(417, b"\0") + sound
+    assert m.read_stream(wrong)["vbr"]["tag_crc"] is False
+
+
+def test_damaged_streams_in_a_column(spark):
+    whole = m.write_stream(m.padded_payload("text " * 2000)[0])
+    at = m.read_stream(whole)["offsets"]
+    rows = [("whole", whole), ("junk", whole[: at[2]] + b"\xff\xfbjunk" * 7 + whole[at[2] :]), ("cut", whole[: at[-1] + 9]), ("gap", whole[: at[1] + 30] + whole[at[2] :]), ("none", None), ("other", b"\xff" * 50)]
+    got = {r["name"]: r["audio"] for r in m.describe_media(spark.createDataFrame(rows, "name string, media binary"), "media").collect()}
+    n = len(at)
+    assert [(got[k]["frames"], got[k]["resyncs"], got[k]["skipped_bytes"]) for k, _ in rows] == [(n, 0, 0), (n, 1, 42), (n - 1, 1, 9), (n - 1, 1, 30), (0, 0, 0), (0, 1, 50)]
+    assert got["whole"]["seek_offsets"] == at and got["whole"]["vbr_agrees"] and got["whole"]["tag_crc_good"] and not got["gap"]["vbr_agrees"] and got["none"]["table_offsets"] is None
+    assert got["junk"]["seek_offsets"][2:] == [x + 42 for x in at[2:]] and len(got["whole"]["table_offsets"]) == 100
 
 
 def test_media_column(spark, docs_of):
