@@ -6,11 +6,11 @@ less: what it passes is joined exactly afterwards.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
@@ -24,23 +24,23 @@ SCHEMA = "part int, counts binary"
 
 def packed(table: np.ndarray) -> Iterator[tuple[int, bytes]]:
     for part, some in enumerate(np.split(table, PARTS)):
-        yield part, zlib.compress(some.tobytes(), 1)
+        yield part, zstandard.compress(some.tobytes(), 1)
 
 
 def unpacked(shared: Broadcast, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(zlib.decompress(x), kind) for x in shared.value])
+    return np.concatenate([np.frombuffer(zstandard.decompress(x), kind) for x in shared.value])
 
 
 def gathered(parts: DataFrame, combine: Callable[[pd.DataFrame], pd.DataFrame], empty: int) -> Broadcast:
     """Rows (part, counts) combined by part and broadcast; empty: bytes of the table where there are no rows."""
     rows = parts.groupBy("part").applyInPandas(combine, SCHEMA).collect()
-    ordered = [bytes(r["counts"]) for r in sorted(rows, key=lambda r: r["part"])] or [zlib.compress(bytes(empty))]
+    ordered = [bytes(r["counts"]) for r in sorted(rows, key=lambda r: r["part"])] or [zstandard.compress(bytes(empty))]
     return parts.sparkSession.sparkContext.broadcast(ordered)
 
 
 def add_counts(rows: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.uint64) for x in rows["counts"])
-    return pd.DataFrame({"part": [rows["part"].iloc[0]], "counts": [zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
+    total = sum(np.frombuffer(zstandard.decompress(x), np.uint32).astype(np.uint64) for x in rows["counts"])
+    return pd.DataFrame({"part": [rows["part"].iloc[0]], "counts": [zstandard.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
 
 
 def _bits_of(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -63,8 +63,8 @@ def _mark(size: int):
 
 
 def _either(rows: pd.DataFrame) -> pd.DataFrame:
-    joined = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), np.uint8) for x in rows["counts"]])
-    return pd.DataFrame({"part": [rows["part"].iloc[0]], "counts": [zlib.compress(joined.tobytes(), 1)]})
+    joined = np.bitwise_or.reduce([np.frombuffer(zstandard.decompress(x), np.uint8) for x in rows["counts"]])
+    return pd.DataFrame({"part": [rows["part"].iloc[0]], "counts": [zstandard.compress(joined.tobytes(), 1)]})
 
 
 def hash_filter(hashes: DataFrame) -> Broadcast:

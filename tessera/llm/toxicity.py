@@ -11,16 +11,16 @@ term's own association with the label, counted over all labelled rows, sets the
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import discard, free_name, stored
 from tessera.llm.sketch import PARTS, SCHEMA, add_counts, filter_bits, gathered, hash_filter, packed, passing, unpacked
 from tessera.llm.texthash import buckets
 
@@ -58,95 +58,120 @@ def _held_by(settings: Settings):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros((1 << settings.hash_bits, 2), np.uint32)
         for batch in batches:
-            for y, t in zip(batch["y"], buckets(batch["text"], settings.hash_bits, settings.prefixes), strict=True):
+            for y, t in zip(batch["y"], _terms(batch), strict=True):
                 counts[t] += np.array([1, y], np.uint32)
         yield pd.DataFrame(list(packed(counts)), columns=["part", "counts"])
 
     return run
 
 
-def _let_through(wanted):
+def _hashed(wanted, settings: Settings):
+    """Rows that the filter lets through, with their sorted hashed terms in place of the text."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = filter_bits(wanted)
         for batch in batches:
-            yield batch[passing(bits, batch["at"].to_numpy(np.int64))]
+            some = batch[passing(bits, batch["at"].to_numpy(np.int64))]
+            terms = [zstandard.compress(np.diff(t, prepend=np.int32(0)).tobytes(), 1) for t in buckets(some["text"], settings.hash_bits, settings.prefixes)]
+            yield pd.DataFrame({"id": some["id"], "at": some["at"], "terms": terms})
 
     return run
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, at, y) of training rows, stored. A filter of fixed size lets through the texts whose id may have a label, and only those are shuffled."""
+def _terms(rows: pd.DataFrame) -> Iterator[np.ndarray]:
+    unpress = zstandard.ZstdDecompressor().decompress
+    for t in rows["terms"]:
+        yield np.cumsum(np.frombuffer(unpress(t), np.int32))
+
+
+def labelled_terms(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, settings: Settings) -> DataFrame:
+    """(at, y, terms) of training rows, stored. A filter lets through the texts whose id may have a label; only their terms are shuffled."""
     kind = docs.schema[id_col].dataType.simpleString()
     marks = labels.filter(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label) > 0).cast("int").alias("y"))
     texts = docs.filter(in_training(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("at"))
-    near = texts.mapInPandas(_let_through(hash_filter(marks.select(F.xxhash64(F.col("id").cast(kind))))), f"id {kind}, text string, at long")
-    return stored(near.join(marks.hint("merge"), "id"), "labelled")
-
-
-def _margin(x: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    s = x @ v
-    return w0 + x @ w + 0.5 * ((s * s).sum(1) - x @ (v * v).sum(1)), s
+    near = texts.mapInPandas(_hashed(hash_filter(marks.select(F.xxhash64(F.col("id").cast(kind)))), settings), f"id {kind}, at long, terms binary")
+    return stored(near.join(marks.hint("merge"), "id").select("at", "y", "terms"), "labelled")
 
 
 class Rows:
-    """Rows of 0 and 1 by the columns that hold a 1, for the products that the machine needs."""
+    """Rows of 0 and 1 by the columns that hold a 1."""
 
     def __init__(self, columns: np.ndarray, lengths: np.ndarray, width: int):
-        self.columns, self.lengths, self.shape = columns, lengths, (len(lengths), width)
+        self.columns, self.lengths, self.width = columns, lengths, width
         self.heads = np.cumsum(lengths) - lengths
-        self.rows = np.repeat(np.arange(len(lengths)), lengths)
 
     def __getitem__(self, k: np.ndarray) -> Rows:
         n = self.lengths[k]
         at = np.repeat(self.heads[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return Rows(self.columns[at], n, self.shape[1])
-
-    def __matmul__(self, a: np.ndarray) -> np.ndarray:
-        return _summed(self.rows, self.columns, a, self.shape[0])
-
-    def turned(self, a: np.ndarray) -> np.ndarray:
-        """The transposed rows times a."""
-        return _summed(self.columns, self.rows, a, self.shape[1])
-
-
-def _summed(to: np.ndarray, of: np.ndarray, a: np.ndarray, n: int) -> np.ndarray:
-    if a.ndim == 1:
-        return np.bincount(to, a[of], n)
-    return np.stack([np.bincount(to, c[of], n) for c in np.ascontiguousarray(a.T)], 1)
+        return Rows(self.columns[at], n, self.width)
+
+
+class Batch:
+    """Some rows laid out for steps of learning: by row for the margins, by column for the gradients."""
+
+    def __init__(self, rows: Rows, y: np.ndarray, weight: np.ndarray):
+        self.columns, self.n, self.y, self.weight = rows.columns, len(rows.lengths), y, weight
+        self.full = np.flatnonzero(rows.lengths)
+        self.heads = rows.heads[self.full]
+        order = np.argsort(rows.columns, kind="stable")
+        self.row = np.repeat(np.arange(self.n), rows.lengths)[order]
+        by = rows.columns[order]
+        self.starts = np.flatnonzero(np.diff(by, prepend=-1))
+        self.touched = by[self.starts]
+
+    def margin(self, bias: float, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of weights p[0] and factors p[1:], by column; with the sums of both by row."""
+        z, sums, squares = p[:, self.columns], np.zeros((len(p), self.n), p.dtype), np.zeros(self.n, p.dtype)
+        if len(self.full):
+            sums[:, self.full] = np.add.reduceat(z, self.heads, axis=1)
+            squares[self.full] = np.add.reduceat((z[1:] * z[1:]).sum(0), self.heads)
+        return bias + sums[0] + 0.5 * ((sums[1:] ** 2).sum(0) - squares), sums
+
+    def gradient(self, bias: float, p: np.ndarray) -> tuple[float, np.ndarray]:
+        """Of the mean weighted log loss: for the bias, and for the columns that the batch touches."""
+        margin, sums = self.margin(bias, p)
+        g = (self.weight * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - self.y) / self.n).astype(p.dtype)
+        if not len(self.touched):
+            return float(g.sum()), np.zeros((len(p), 0), p.dtype)
+        sums[0] = 1
+        grads = np.add.reduceat((sums * g)[:, self.row], self.starts, axis=1)
+        grads[1:] -= p[1:, self.touched] * grads[0]
+        return float(g.sum()), grads
 
 
 def fit_machine(x: Rows | np.ndarray, y: np.ndarray, s: Settings, start: tuple | None = None, share: float | None = None, epochs: int | None = None, pace: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
     """Bias, weights and factors by Adam on the log loss of x (0/1), both labels weighing the same in all.
 
-    start: the machine to go on from; share: that of the ones among all labels, if y is a part of them;
-    pace: each column's share of the rate.
+    A step moves the columns that its batch of rows holds. start: the machine to go on from; share: that of
+    the ones among all labels, if y is a part of them; pace: each column's share of the rate.
     """
     rng = np.random.default_rng(7)
     if not isinstance(x, Rows):
         x = Rows(np.nonzero(x)[1], np.count_nonzero(x, axis=1), x.shape[1])
-    bias, weights, factors = start or (0.0, np.zeros(x.shape[1]), rng.normal(0, 0.01, (x.shape[1], s.factors)))
-    p = [np.array([bias], float), np.array(weights, float), np.array(factors, float)]
-    m, u = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
+    bias, weights, factors = start or (0.0, np.zeros(x.width), rng.normal(0, 0.01, (x.width, s.factors)))
+    p = np.concatenate([np.asarray(weights)[None], np.asarray(factors).T]).astype(np.float32)
+    m, u, b = np.zeros_like(p), np.zeros_like(p), [float(bias), 0.0, 0.0]
     share = np.clip(share if share is not None else y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
     weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
-    pace = np.ones(x.shape[1]) if pace is None else pace
-    rates = s.rate, s.rate * pace, s.rate / 5 * np.maximum(pace, s.least_pace)[:, None]
+    pace = np.ones(x.width) if pace is None else pace
+    rates = np.repeat((s.rate / 5 * np.maximum(pace, s.least_pace)).astype(np.float32)[None], len(p), 0)
+    rates[0] = s.rate * pace
+    order = rng.permutation(len(y))
+    dealt = [Batch(x[k], y[k], weight[k]) for k in (order[at : at + s.batch] for at in range(0, len(y), s.batch))]
     step = 0
     for _ in range(epochs or s.epochs):
-        order = rng.permutation(len(y))
-        for at in range(0, len(y), s.batch):
-            k = order[at : at + s.batch]
-            b = x[k]
-            margin, sums = _margin(b, p[0][0], p[1], p[2])
-            g = weight[k] * ((1 / (1 + np.exp(-np.clip(margin, -30, 30)))) - y[k]) / len(k)
-            alone = b.turned(g)
-            grads = [np.array([g.sum()]), alone + s.decay * p[1], b.turned(sums * g[:, None]) - p[2] * alone[:, None] + s.decay * p[2]]
+        for i in rng.permutation(len(dealt)):
+            t = dealt[i].touched
+            of_bias, grads = dealt[i].gradient(b[0], p)
             step += 1
-            for a, d, m1, m2, rate in zip(p, grads, m, u, rates, strict=True):
-                m1 += 0.1 * (d - m1)
-                m2 += 0.001 * (d * d - m2)
-                a -= rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
-    return float(p[0][0]), p[1], p[2]
+            own = p[:, t]
+            grads += s.decay * own
+            m1, u1 = 0.9 * m[:, t] + 0.1 * grads, 0.999 * u[:, t] + 0.001 * grads * grads
+            m[:, t], u[:, t] = m1, u1
+            p[:, t] = own - rates[:, t] * (m1 / (1 - 0.9**step)) / (np.sqrt(u1 / (1 - 0.999**step)) + 1e-8)
+            b[1], b[2] = 0.9 * b[1] + 0.1 * of_bias, 0.999 * b[2] + 0.001 * of_bias**2
+            b[0] -= s.rate * (b[1] / (1 - 0.9**step)) / (np.sqrt(b[2] / (1 - 0.999**step)) + 1e-8)
+    return b[0], p[0].astype(float), p[1:].T.astype(float)
 
 
 @dataclass(frozen=True)
@@ -156,8 +181,12 @@ class Machine:
     bias: float
     weights: np.ndarray
     factors: np.ndarray
+    #: Where the training rows have only one label or none: the score of every text.
+    always: float | None = None
 
     def score(self, texts) -> list[float]:
+        if self.always is not None:
+            return [self.always] * len(texts)
         out = []
         for k in buckets(texts, self.settings.hash_bits, self.settings.prefixes, self.slot):
             f = self.factors[k]
@@ -170,11 +199,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id"
     """Learns from the rows of docs that labels has a label for and that in_training() admits.
 
     Rows with a null id or label are no training rows. All others count and teach; the driver gets sums by term.
+    Where none of them has label 1 (no labels at all, for one) every text scores 0; where all have, 1.
     """
-    known = labelled_texts(docs, labels, label, id_col, text_col)
-    n, pos = known.agg(F.count("*"), F.sum("y")).first()
-    share = pos / n if n else 0.5
-    counts = unpacked(gathered(known.select("y", "text").mapInPandas(_held_by(settings), SCHEMA), add_counts, 8 << settings.hash_bits), np.uint32).reshape(-1, 2)
+    known = labelled_terms(docs, labels, label, id_col, text_col, settings)
+    n, pos = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if pos in (0, n):
+        nothing = np.zeros(0, np.float32)
+        return Machine(settings, nothing, 0.0, nothing, nothing, 1.0 if pos else 0.0)
+    share = pos / n
+    counts = unpacked(gathered(known.select("y", "terms").mapInPandas(_held_by(settings), SCHEMA), add_counts, 8 << settings.hash_bits), np.uint32).reshape(-1, 2)
     chosen = np.flatnonzero(counts[:, 0] >= settings.least_rows)
     slot = np.full(1 << settings.hash_bits, -1, np.int32)
     slot[chosen] = np.arange(len(chosen))
@@ -182,13 +215,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id"
     bias, weights, factors = 0.0, np.zeros(size), np.random.default_rng(7).normal(0, 0.01, (size, settings.factors))
     pace = np.zeros(size)
     pace[: len(chosen)] = _pace(*counts[chosen].T.astype(float), share)
-    for _ in range(settings.rounds if n else 0):
+    for _ in range(settings.rounds):
         shared = docs.sparkSession.sparkContext.broadcast((slot, bias, weights.astype(np.float32), factors.astype(np.float32), pace.astype(np.float32)))  # of a size that settings bound
-        taught = known.select("at", "y", "text").mapInPandas(_taught(shared, settings, share), SCHEMA)
+        taught = known.mapInPandas(_taught(shared, settings, share), SCHEMA)
         moved = unpacked(gathered(taught, _add_moves, 8 * size * (settings.factors + 2)), np.int64).reshape(size, -1)
         mean = moved[:, 1:] * _UNIT / np.maximum(moved[:, :1], 1)
         bias, weights, factors = bias + float(mean[-1, 0]), weights + mean[:, 0], factors + mean[:, 1:]
         shared.destroy()
+    discard(known)
     return Machine(settings, slot, bias, weights.astype(np.float32), factors.astype(np.float32))
 
 
@@ -207,9 +241,13 @@ def _taught(shared, settings: Settings, share: float):
         moved = np.zeros((len(weights), 2 + settings.factors), np.int64)
 
         def learn(rows: list) -> None:
-            rows = sorted(rows, key=lambda r: r[0])
+            rows = sorted(rows, key=lambda r: (r[0], r[1], len(r[2]), r[2][:1].tolist()))
             lengths = np.array([len(t) for _, _, t in rows])
-            found, columns, held = np.unique(np.concatenate([t for _, _, t in rows]), return_inverse=True, return_counts=True)
+            cells = np.concatenate([t for _, _, t in rows])
+            times = np.bincount(cells, minlength=len(weights))
+            found = np.flatnonzero(times)
+            times[found], held = np.arange(len(found)), times[found]
+            columns = times[cells]
             was = weights[found].astype(float), factors[found].astype(float)
             b, w, v = fit_machine(Rows(columns, lengths, len(found)), np.array([y for _, y, _ in rows], float), settings, (bias, *was), share, -(-settings.epochs // settings.rounds), pace[found])
             moves = np.concatenate([(w - was[0])[:, None], v - was[1]], 1) * held[:, None]
@@ -219,8 +257,9 @@ def _taught(shared, settings: Settings, share: float):
 
         rows: list = []
         for batch in batches:
-            for row in zip(batch["at"], batch["y"], buckets(batch["text"], settings.hash_bits, settings.prefixes, slot), strict=True):
-                rows.append(row)
+            for at, y, t in zip(batch["at"], batch["y"], _terms(batch), strict=True):
+                t = slot[t]
+                rows.append((at, y, t[t >= 0]))
                 if len(rows) == settings.block_rows:
                     learn(rows)
                     rows = []
@@ -232,8 +271,8 @@ def _taught(shared, settings: Settings, share: float):
 
 
 def _add_moves(rows: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in rows["counts"])
-    return pd.DataFrame({"part": [rows["part"].iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
+    total = sum(np.frombuffer(zstandard.decompress(x), np.int64) for x in rows["counts"])
+    return pd.DataFrame({"part": [rows["part"].iloc[0]], "counts": [zstandard.compress(total.tobytes(), 1)]})
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
@@ -248,7 +287,7 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFram
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs whose score stays below the threshold; nulls in any column are no reason to go."""
-    machine = train(docs, labels, "toxic", id_col, text_col)
-    return score(docs.withColumn("__kept", F.col("score")) if "score" in docs.columns else docs, machine, text_col).filter(F.col("score") < threshold).select(
-        *[(F.col("__kept").alias(c) if c == "score" else F.col(c)) for c in docs.columns])
+    """docs whose score stays below the threshold; nulls in any column are no reason to go. Without a toxic training row all stay."""
+    own = free_name(docs, "score")
+    scored = score(docs.withColumnRenamed("score", own), train(docs, labels, "toxic", id_col, text_col), text_col)
+    return scored.filter(F.col("score") < threshold).drop("score").withColumnRenamed(own, "score").select(docs.columns)

@@ -57,28 +57,75 @@ def test_rare_insults_beside_many_stronger_terms(spark):
 
 
 def test_machine_over_sparse_rows():
+    """Margins and gradients of sparse batches against dense sums and differences."""
     rng = np.random.default_rng(3)
     x = (rng.random((50, 9)) < 0.3).astype(float)
+    x[7] = 0
     rows = toxicity.Rows(np.nonzero(x)[1], np.count_nonzero(x, axis=1), 9)
-    k, a, b = rng.permutation(50)[:20], rng.normal(size=(9, 3)), rng.normal(size=(20, 3))
-    assert np.allclose(rows[k] @ a, x[k] @ a) and np.allclose(rows[k] @ a[:, 0], x[k] @ a[:, 0])
-    assert np.allclose(rows[k].turned(b), x[k].T @ b) and np.allclose(rows[k].turned(b[:, 0]), x[k].T @ b[:, 0])
-
-
-def test_no_labels_at_all(spark):
+    k, p, y, weight = rng.permutation(50)[:20], rng.normal(size=(4, 9)), rng.integers(0, 2, 20), rng.random(20)
+    k[0] = 7
+    batch = toxicity.Batch(rows[k], y, weight)
+
+    def margin(p):
+        pairs = [sum(p[1:, i] @ p[1:, j] for i in np.flatnonzero(r) for j in np.flatnonzero(r) if i < j) for r in x[k]]
+        return 0.3 + x[k] @ p[0] + np.array(pairs)
+
+    loss = lambda p: (weight * (np.log1p(np.exp(margin(p))) - y * margin(p))).mean()
+    assert np.allclose(batch.margin(0.3, p)[0], margin(p))
+    _, grads = batch.gradient(0.3, p)
+    for i in range(4):
+        for j, column in enumerate(batch.touched):
+            step = np.zeros_like(p)
+            step[i, column] = 1e-5
+            assert abs((loss(p + step) - loss(p - step)) / 2e-5 - grads[i, j]) < 1e-6
+    empty = toxicity.Batch(toxicity.Rows(np.zeros(0, int), np.zeros(3, int), 9), np.ones(3), np.ones(3))
+    assert empty.gradient(0.0, p)[1].shape == (4, 0) and empty.margin(0.5, p)[0].tolist() == [0.5] * 3
+
+
+def test_without_one_of_the_labels(spark):
     docs, labels = labelled(spark, 20)
-    machine = toxicity.train(docs, labels.limit(0), "toxic")
-    assert {r["score"] for r in toxicity.score(docs, machine).collect()} == {0.5}
+    for some in (labels.limit(0), labels.withColumn("toxic", F.lit(0)), labels.withColumn("toxic", F.lit(None).cast("int")), labels.withColumn("doc_id", F.lit(None).cast("long"))):
+        machine = toxicity.train(docs, some, "toxic")
+        assert {r["score"] for r in toxicity.score(docs, machine).collect()} == {0.0}
+        assert toxicity.drop_toxic(docs, some).count() == docs.count() == 23
+    assert {r["score"] for r in toxicity.score(docs, toxicity.train(docs, labels.withColumn("toxic", F.lit(1)), "toxic")).collect()} == {1.0}
     assert {r["score"] for r in rulequality.score(docs, rulequality.train(docs, labels.limit(0))).collect()} == {0.5}
 
 
-def test_factor_gradient():
+def test_score_of_a_text_by_hand(spark):
+    """Terms, slots and the sum over all pairs, one at a time."""
+    docs, labels = labelled(spark)
+    machine = toxicity.train(docs, labels, "toxic")
+    s = machine.settings
+
+    def term(word: bytes, prefix: int | None = None) -> int:
+        found = list(toxicity.buckets([word.decode()], s.hash_bits, () if prefix is None else (prefix,)))[0].tolist()
+        plain = list(toxicity.buckets([word.decode()], s.hash_bits))[0].tolist()
+        return plain[0] if prefix is None else next((x for x in found if x not in plain), plain[0])
+
+    for text in ("ZZIDIOT qqgroup, and x", "zzidiots' friend", "", None, "zzidiot"):
+        words = "".join(c if c.isalnum() or c in "_'" else " " for c in (text or "").lower()).encode().split()
+        held = {term(w) for w in words} | {term(w, n) for w in words for n in s.prefixes if len(w) >= n}
+        at = [machine.slot[t] for t in held if machine.slot[t] >= 0]
+        margin = machine.bias + sum(float(machine.weights[i]) for i in at)
+        margin += sum(float(machine.factors[i] @ machine.factors[j]) for n, i in enumerate(at) for j in at[:n])
+        assert abs(machine.score([text])[0] - 1 / (1 + np.exp(-np.clip(margin, -30, 30)))) < 1e-5
+
+
+def test_factors_learn_what_weights_cannot():
+    """Either term, but not both: no sum of weights separates that; with factors held at 0 the same fit fails."""
     rng = np.random.default_rng(1)
-    x = (rng.random((400, 6)) < 0.5).astype(np.uint8)
-    y = (x[:, 0] & x[:, 1]).astype(float)
-    w0, w, v = toxicity.fit_machine(x, y, toxicity.Settings(epochs=120))
-    margin, _ = toxicity._margin(x.astype(float), w0, w, v)
-    assert ((margin > 0) == (y > 0)).mean() > 0.99
+    x = (rng.random((800, 6)) < 0.5).astype(np.uint8)
+    y = (x[:, 0] ^ x[:, 1]).astype(float)
+    s = toxicity.Settings(epochs=150, decay=0.0)
+
+    def right(start):
+        w0, w, v = toxicity.fit_machine(x, y, s, start)
+        rows = toxicity.Batch(toxicity.Rows(np.nonzero(x)[1], np.count_nonzero(x, axis=1), 6), y, y)
+        return ((rows.margin(w0, np.concatenate([w[None], v.T]))[0] > 0) == (y > 0)).mean()
+
+    assert right(None) > 0.98
+    assert right((0.0, np.zeros(6), np.zeros((6, s.factors)))) < 0.85  # factors of 0 have no gradient: only weights learn
 
 
 def test_rules_score_like_columns(spark):
