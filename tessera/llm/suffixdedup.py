@@ -16,7 +16,8 @@ Where heads meet and the contexts agree, both are repeated all over. Where they
 inside the context: `marks` reads just these contexts again, sorts them as suffixes (and, reversed, as
 prefixes) in full and takes from the longest common prefixes of neighbours which strings occur twice.
 Heads of more than MANY contexts (a passage that a third of all documents quote) are compared by string
-hash over all tasks instead, so no task holds them all. Everything works on bytes, within documents only.
+hash over all tasks instead, so no task holds them all: strings meet by what STEP neighbouring ones have
+in common. Everything works on bytes, within documents only; a text is taken CHUNK bytes at a time.
 """
 
 from __future__ import annotations
@@ -33,15 +34,17 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import discard, shared_dir, stored
 from tessera.llm.sketch import filter_bits, hash_filter, passing
-from tessera.llm.texthash import CHUNK, _power_tables, mix
+from tessera.llm.texthash import _power_tables, mix
 
 LENGTH, GRAM = 200, 50
 WINDOW = LENGTH - GRAM + 1
 #: Bytes before and after an anchor that its strings can reach.
 LEFT, RIGHT = WINDOW - 1, LENGTH
-#: Contexts of one head that are sorted in one task.
-MANY = 1024
-#: Documents, and heads of each, whose order balances the blocks; they decide nothing else.
+#: Contexts of one head that are sorted in one task; neighbouring strings that are compared in one task.
+MANY, STEP = 256, 16
+#: Bytes whose anchors are sought at a time.
+CHUNK = 1 << 18
+#: Texts, and heads of each, whose order balances the blocks; they decide nothing else.
 SAMPLE_DOCS, SAMPLE_HEADS = 4000, 16
 #: Blocks in a bucket, and the most buckets of an array.
 SPREAD, MOST_BUCKETS = 4, 50_000
@@ -331,15 +334,19 @@ def _compare(rows: pd.DataFrame) -> pd.DataFrame:
     return _spans(np.concatenate(out))
 
 
-def _strings(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every LENGTH-byte string (row, offset) around the anchors, and which of them exist."""
+def _strings(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every LENGTH-byte string (row, offset) around the anchors, which of them exist, and hashes (row, offset // STEP) of what neighbours share."""
     table, lo, hi = _laid_out(rows)
     up, down = _power_tables(LEFT + RIGHT + 1)
     s = np.zeros((len(rows), LEFT + RIGHT + 1), np.uint64)
     np.cumsum(_BYTES[table] * up[: LEFT + RIGHT], axis=1, out=s[:, 1:])
+    gram = mix(rows["gram"].to_numpy(np.int64).view(np.uint64))[:, None]
+
+    def hashed(x: np.ndarray, length: int) -> np.ndarray:
+        return mix((mix((s[:, x + length] - s[:, x]) * down[x]) + mix(np.arange(1, len(x) + 1, dtype=np.uint64))) ^ gram)
+
     x = LEFT - np.arange(WINDOW)
-    hashes = mix((s[:, x + LENGTH] - s[:, x]) * down[x]) + mix(np.arange(1, WINDOW + 1, dtype=np.uint64))
-    return mix(hashes ^ mix(rows["gram"].to_numpy(np.int64).view(np.uint64))[:, None]), (x >= lo[:, None]) & (x + LENGTH <= hi[:, None])
+    return hashed(x, LENGTH), (x >= lo[:, None]) & (x + LENGTH <= hi[:, None]), hashed(x[::STEP], LENGTH - STEP + 1)
 
 
 def _spread(blocks: int):
@@ -347,15 +354,15 @@ def _spread(blocks: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 4096):
-                some = batch.iloc[at : at + 4096]
-                hashes, there = _strings(some)
+            for at in range(0, len(batch), 2048):
+                some = batch.iloc[at : at + 2048]
+                hashes, there, shared = _strings(some)
                 i, o = np.nonzero(there)
                 key, start = some["key"].to_numpy(np.int64)[i], some["p"].to_numpy(np.int64)[i] - o
                 h, first, back, n = np.unique(hashes[i, o], return_index=True, return_inverse=True, return_counts=True)
                 twice = n[back] > 1
                 yield _spans(_runs(key[twice], start[twice], start[twice] + LENGTH)).assign(block=-1, hashes=None, keys=None, starts=None)
-                block = (h % np.uint64(blocks)).astype(np.int64)
+                block = (shared[i[first], o[first] // STEP] % np.uint64(blocks)).astype(np.int64)
                 order = np.argsort(block, kind="stable")
                 cuts = np.flatnonzero(np.diff(block[order])) + 1
                 parts = zip(*(np.split(x[order], cuts) for x in (block, h, key[first], start[first])), strict=True)
@@ -462,23 +469,40 @@ class SuffixFamily:
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        out = []
-        for i, text, spans in zip(batch["id"], batch["text"], batch["spans"], strict=True):
-            data = _bytes(text)
-            joined: list[list[int]] = []
-            for s in sorted((s["first"], min(s["last"], len(data))) for s in (spans if spans is not None else ())):
-                if joined and s[0] <= joined[-1][1]:
-                    joined[-1][1] = max(joined[-1][1], s[1])
-                else:
-                    joined.append([*s])
-            kept, at = [], 0
-            for a, b in joined:
-                kept.append(data[at:a])
-                at = b
-            kept.append(data[at:])
-            whole = b"".join(kept)
-            out.append((i, len(data), len(data) - len(whole), len(joined), hashlib.sha256(whole).hexdigest(), whole))
-        yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        yield _without(batch["id"], batch["text"], batch["spans"])
+
+
+def _without(ids, texts, every_spans) -> pd.DataFrame:
+    out = []
+    for i, text, spans in zip(ids, texts, every_spans, strict=True):
+        data = _bytes(text)
+        joined: list[list[int]] = []
+        for s in sorted((s["first"], min(s["last"], len(data))) for s in (spans if spans is not None else ())):
+            if joined and s[0] <= joined[-1][1]:
+                joined[-1][1] = max(joined[-1][1], s[1])
+            else:
+                joined.append([*s])
+        kept, at = [], 0
+        for a, b in joined:
+            kept.append(data[at:a])
+            at = b
+        kept.append(data[at:])
+        whole = b"".join(kept)
+        out.append((i, len(data), len(data) - len(whole), len(joined), hashlib.sha256(whole).hexdigest(), whole))
+    return pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+
+def _let_through(keys, marked: bool):
+    """Rows that may have marks, or the results of those that surely have none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = filter_bits(keys)
+        for batch in batches:
+            hit = passing(bits, batch["key"].to_numpy(np.int64))
+            rest = batch[~hit]
+            yield batch[hit] if marked else _without(rest["id"], rest["text"], [None] * len(rest))
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 5) -> DataFrame:
@@ -495,8 +519,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for array in arrays:
         family.enter(array, last=array is arrays[-1])
     discard(*(level for _, level in family.levels))
-    spans = family.marks().groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    met = plain.withColumn("key", F.xxhash64("id", "text")).join(spans, "key", "left").select("id", "text", "spans")
-    kind = docs.schema[id_col].dataType.simpleString()
-    cut = met.mapInPandas(_cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    spans = stored(family.marks().groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
+    keys = hash_filter(spans.select("key"))  # only texts that may have marks are shuffled to them
+    keyed, kind = plain.withColumn("key", F.xxhash64("id", "text")), docs.schema[id_col].dataType.simpleString()
+    made = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    met = keyed.mapInPandas(_let_through(keys, True), f"id {kind}, text string, key long").join(spans, "key", "left")
+    cut = met.select("id", "text", "spans").mapInPandas(_cut, made).unionByName(keyed.mapInPandas(_let_through(keys, False), made))
     return cut.withColumnRenamed("id", id_col)
