@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,40 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
+#: Rows of a key that one task takes in any case.
+FEW_ROWS = 1000
+
+
+def dealt(many: DataFrame, key: str, rows_each: int | None = None) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """`many` with a column __salt, and how to copy rows of the other side of a join on (key, __salt).
+
+    A key that holds more rows than rows_each is dealt to several salts, with the other side's rows of that
+    key copied to each. Without rows_each a key's fair share is the rows over twice the shuffle partitions
+    (FEW_ROWS at least), so less keys than that are dealt, and they are broadcast. Rows of a null key, which
+    meet nothing, are dealt too. `many` is read once to count, so it should be a stored table.
+    """
+    parts, rows = 2 * int(many.sparkSession.conf.get("spark.sql.shuffle.partitions")), many.count()
+    fair = rows_each or max(FEW_ROWS, rows // parts)
+    if rows <= fair:
+        return many.withColumn("__salt", F.lit(0)), lambda one: one.withColumn("__salt", F.lit(0))
+    often = many.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > fair)
+    hot = stored(often.select(key, F.ceil(F.col("__n") / fair).cast("int").alias("__parts")), "hot")
+    hot = hot if rows_each else F.broadcast(hot)
+    plain = [f.name for f in many.schema.fields if "map<" not in f.dataType.simpleString()]
+    salt = F.pmod(F.xxhash64(*plain), F.coalesce("__parts", F.when(F.col(key).isNull(), F.lit(parts)), F.lit(1)).cast("long")).cast("int")
+
+    def copies(one: DataFrame) -> DataFrame:
+        return one.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+
+    return many.join(hot, key, "left").withColumn("__salt", salt).drop("__parts"), copies
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Equi-join on `key` of rows that may hold a key very often with rows that hold it once or seldom, hot keys dealt to several tasks."""
+    salted, copies = dealt(many, key)
+    return salted.join(copies(one), [key, "__salt"], how).drop("__salt")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else; lower() agrees on pure ASCII and is faster there."""
     pure = F.octet_length(text) == F.char_length(text)

@@ -5,10 +5,16 @@
    shingle among the first n - ceil(t n) + 1 of each, so only those cells of the incidence matrix
    enter the product. The order may be any: the sketch decides cost, never the result.
 3. The cells are dealt to blocks of the shingle space. A block finds its columns with two nodes or more
-   and accumulates overlap counts of every node with a few pivots of its columns, not of all pairs.
+   and accumulates overlap counts of every node with a few pivots of its columns, not of all pairs. A
+   column that by the sketch has more than SPLIT cells is dealt to several blocks.
 4. Each node's best partners are checked exactly on whole sets, and linked nodes are merged. Columns
-   that still hold different components are gone through pair by pair, under the size bound; what
-   lies in one component already needs no further link. So no link between components is lost.
+   that still hold different components get another pivot and are checked again, until a round links
+   nothing more. Then the pairs of different components that are left in a column are checked, in bands
+   of size and in parts, under the size and place bounds; what lies in one component needs no further
+   link. So no link between components is lost.
+
+Keys that hold many rows (a hub's links, exact copies, a column of very many nodes) are dealt to several
+tasks by spread_join.
 """
 
 from __future__ import annotations
@@ -20,13 +26,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import dealt, discard, free_name, spread_join, stored
 from tessera.llm.sketch import add_counts, filter_bits, gathered, hash_filter, packed, passing, unpacked
 from tessera.llm.texthash import mix, shingle_sets
 
 #: Counters of the order sketch, a fixed 16 MB, sent to every worker whatever the input's size.
 SKETCH_BITS = 22
 PIVOTS = 3
+#: Cells of a column that one block takes, by the sketch.
+SPLIT = 1 << 19
+#: Rows of a column that one task compares with the others, once no pivot links them.
+REST_ROWS = 1024
 
 
 def _node(s: np.ndarray) -> np.ndarray:
@@ -64,29 +74,39 @@ def _count(sketch: np.ndarray, sets: list[np.ndarray]) -> None:
 
 
 def _prefixes(sketch, percent: int, k: int, block_bits: int):
-    """Per batch and block the cells that the size bound leaves: shingle, node, its place in the node's order, the node's size."""
+    """Per batch and block the cells that the size bound leaves: shingle, node, its place in the node's order, the node's size.
+
+    Blocks from 2^block_bits on are parts of columns that are split.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = unpacked(sketch, np.uint32)
+        counts, seen = unpacked(sketch, np.uint32), set()
         for batch in batches:
-            cells, nodes, places, sizes = [], [], [], []
+            cells, nodes, places, sizes, often = [], [], [], [], []
             for s in shingle_sets(batch["text"], k):
                 n = len(s)
-                if not n:
+                node = _node(s) if n else None
+                if not n or node[0] in seen:
                     continue
+                seen.add(node[0])
                 length = n - (percent * n + 99) // 100 + 1
-                order = np.lexsort((s, counts[(s & np.uint64(len(counts) - 1)).astype(np.int64)]))
-                cells.append(s[order[:length]])
-                nodes.append(np.repeat(_node(s), length))
+                times = counts[(s & np.uint64(len(counts) - 1)).astype(np.int64)]
+                order = np.lexsort((s, times))[:length]
+                cells.append(s[order])
+                nodes.append(np.repeat(node, length))
                 places.append(np.arange(length, dtype=np.uint32))
                 sizes.append(np.full(length, n, np.uint32))
+                often.append(times[order])
             if cells:
-                cells, nodes, places, sizes = map(np.concatenate, (cells, nodes, places, sizes))
-                order = np.argsort(cells)
-                cells = cells[order]
-                cuts = np.searchsorted(cells >> np.uint64(64 - block_bits), np.arange(1, 1 << block_bits, dtype=np.uint64))
-                parts = zip(*(np.split(x, cuts) for x in (cells, nodes[order], places[order], sizes[order])), strict=True)
-                yield pd.DataFrame([(b, *(x.tobytes() for x in part)) for b, part in enumerate(parts) if len(part[0])], columns=["block", "cells", "nodes", "places", "sizes"])
+                cells, nodes, places, sizes, often = map(np.concatenate, (cells, nodes, places, sizes, often))
+                block = (cells >> np.uint64(64 - block_bits)).astype(np.int64)
+                parts = -(-often.astype(np.int64) // SPLIT)
+                split = parts > 1
+                block[split] = (1 << block_bits) + (mix(cells[split] + mix(nodes[split]) % parts[split].astype(np.uint64)) >> np.uint64(64 - block_bits)).astype(np.int64)
+                order = np.lexsort((cells, block))
+                cuts = np.flatnonzero(np.diff(block[order])) + 1
+                rows = zip(*(np.split(x[order], cuts) for x in (block, cells, nodes, places, sizes)), strict=True)
+                yield pd.DataFrame([(b[0], *(x.tobytes() for x in row)) for b, *row in rows], columns=["block", "cells", "nodes", "places", "sizes"])
 
     return run
 
@@ -109,12 +129,13 @@ def _partnered(cells: np.ndarray, sizes: np.ndarray, most: np.ndarray, percent:
     return np.repeat(two, lengths) & (percent * least_other(sizes) <= most) & (percent * sizes <= -least_other(-most))
 
 
-def _product(percent: int):
+def _product(percent: int, block_bits: int):
     """One block: its shared columns as (shingle, node, place, n), and overlap counts of nodes with their columns' pivots.
 
     What two nodes share from a common shingle on is at most what is left of either after its place; a
     linked pair passes that bound in the first column it shares. The first pivot of a column is the
-    node that meets it earliest, for its size: the least changed of a group of near copies.
+    node that meets it earliest, for its size: the least changed of a group of near copies. A part of a
+    split column keeps its cells without a partner, as that may be in another part.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -125,7 +146,7 @@ def _product(percent: int):
         new = np.ones(len(cells), bool)
         new[1:] = (cells[1:] != cells[:-1]) | (nodes[1:] != nodes[:-1])
         cells, nodes, places, sizes = cells[new], nodes[new], places[new], sizes[new]
-        for _ in range(3):  # a node that goes may leave another one without a partner
+        for _ in range(3 if rows["block"].iloc[0] < 1 << block_bits else 0):  # a node that goes may leave another one without a partner
             kept = _partnered(cells, sizes, (100 + percent) * (sizes - places) - percent * sizes, percent)
             cells, nodes, places, sizes = cells[kept], nodes[kept], places[kept], sizes[kept]
         heads = np.flatnonzero(np.concatenate((np.ones(min(1, len(cells)), bool), cells[1:] != cells[:-1])))
@@ -148,13 +169,15 @@ def _sets(wanted, k: int):
     """Nodes' whole sets, of the texts whose digest the filter lets through; some others come along."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = filter_bits(wanted)
+        bits, seen = filter_bits(wanted), set()
         for batch in batches:
             hit = passing(bits, batch["digest"].to_numpy(np.int64))
             held: list = []
             for s in shingle_sets(batch["text"][hit], k):
-                if len(s):
-                    held.append((_node(s).view(np.int64)[0], len(s), s.view(np.int64)))
+                node = _node(s).view(np.int64)[0]
+                if len(s) and node not in seen:
+                    seen.add(node)
+                    held.append((node, len(s), s.view(np.int64)))
                 if len(held) == 500:
                     yield pd.DataFrame(held, columns=["node", "n", "shingles"])
                     held = []
@@ -165,45 +188,97 @@ def _sets(wanted, k: int):
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets reach the bound."""
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
+    """The pairs (a, b) of nodes whose sets reach the bound, stored.
+
+    A set that many pairs share as their `a` is copied to some tasks, not to each pair; `b` may repeat too.
+    """
+    salted, copies = dealt(pairs, "a")
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
+    both = salted.join(right, "b").join(copies(left), ["a", "__salt"])
     common = F.size(F.array_intersect("sa", "sb"))
-    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return both.filter(fits).withColumn("common", common).filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+    return stored(both.withColumn("common", common).filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node reachable. Each round takes the least label around and then the label's label."""
-    ends = stored(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    ends = stored(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "ends")
     labels = stored(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
+    salted, copies = dealt(ends, "b")
     while True:
-        around = ends.join(labels, ends["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        nearer = labels.join(around, labels["node"] == around["a"]).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        up = labels.select(F.col("node").alias("at"), F.col("label").alias("above"))
-        after = stored(nearer.join(up, nearer["label"] == up["at"]).select("node", "was", F.least("label", "above").alias("label")), "labels")
-        labels = after.select("node", "label")
-        if not after.filter("was != label").limit(1).count():
+        around = salted.join(copies(labels.withColumnRenamed("node", "b")), ["b", "__salt"]).groupBy("a").agg(F.min("label").alias("near"))
+        nearer = stored(labels.join(around, labels["node"] == around["a"]).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")), "labels")
+        discard(labels)
+        labels = nearer.select("node", "label")
+        if not nearer.filter("was != label").limit(1).count():
+            discard(ends)
             return labels
+        above = labels.withColumnRenamed("label", "above")
+        tops = stored(labels.select("label").distinct().join(above, F.col("label") == F.col("node")).filter("above != label").select("label", "above"), "tops")
+        if tops.limit(1).count():
+            jumped = spread_join(nearer, tops, "label", "left").select("node", F.coalesce("above", "label").alias("label"))
+            labels = stored(jumped, "labels")
+            discard(nearer)
+        else:
+            labels.stored_at = nearer.stored_at
+
+
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels after more links: the components of the links between labels, put in place of these."""
+    if labels is None:
+        return components(links)
+    for end in ("a", "b"):
+        links = spread_join(links, labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")), end, "left")
+    between = links.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a != b")
+    higher = components(stored(between.distinct(), "links"))
+    moved = spread_join(labels, higher.select(F.col("node").alias("label"), F.col("label").alias("now")), "label", "left").select("node", F.coalesce("now", "label").alias("label"))
+    return stored(moved.unionByName(higher.join(labels.select("node"), "node", "left_anti").select("node", "label")), "labels")
 
 
 def _best(overlaps: DataFrame) -> DataFrame:
-    """Of the pivots that each node b shares cells with, the one it shares most with, as a < b."""
+    """Of the pivots a that each node b shares cells with, the one it shares most with, stored: each b once."""
     summed = overlaps.groupBy("a", "b").agg(F.sum("n").alias("n"))
-    best = summed.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
-    return stored(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    return stored(summed.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), "pairs")
+
+
+def _either_way(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
 def _open(columns: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows, with their label, of the columns that hold two labels or more."""
-    named = columns.join(labels, "node", "left").select("shingle", "node", "place", "n", F.coalesce("label", "node").alias("label"))
+    """The rows, with their label, of the columns that hold two labels or more, stored."""
+    salted, copies = dealt(columns.select("shingle", "node", "place", "n"), "shingle")
+    named = salted.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = named.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("shingle")
-    return named.join(mixed, "shingle")
+    return stored(named.join(copies(mixed), ["shingle", "__salt"]).select("shingle", "node", "place", "n", "label"), "open")
+
+
+def _stars(rows: DataFrame, seed: int, reach: str) -> DataFrame:
+    """(a, b, n) for each node b of an open column and the column's pivot a of another component; the first pivot is as in a block, later ones are any."""
+    order = F.struct(F.col("place") / F.col("n") if seed == 0 else F.lit(0), F.xxhash64(F.lit(seed), "node"))
+    pivots = rows.groupBy("shingle").agg(F.min_by(F.struct("node", "label", "place", "n"), order).alias("p"))
+    salted, copies = dealt(rows, "shingle")
+    met = salted.alias("x").join(copies(pivots).alias("y"), ["shingle", "__salt"]).filter("x.label != p.label AND " + reach % tuple("xxppxp"))
+    return met.groupBy(F.col("p.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))
+
+
+def _rest(rows: DataFrame, reach: str, percent: int) -> DataFrame:
+    """The pairs (a, b) of different components that share an open column and may reach the bound.
+
+    Their sizes are in one band or in neighbouring ones; a column's rows are dealt to parts of REST_ROWS.
+    """
+    step = float(np.log(max(1.01, 100.001 / percent)))
+    banded = rows.withColumn("band", F.floor(F.ln("n") / step))
+    salted, copies = dealt(banded, "shingle", REST_ROWS)
+    wider = copies(banded.select("shingle", "node", "place", "n", "label", F.col("band").alias("own"), F.explode(F.array("band", F.col("band") - 1)).alias("band")))
+    x, y = salted.alias("x"), wider.alias("y")
+    once = "(y.own = x.band - 1 OR y.own = x.band + 1 OR x.node < y.node)"
+    met = x.join(y, ["shingle", "band", "__salt"]).filter(f"x.label != y.label AND {once} AND " + reach % tuple("xxyyxy"))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def _placed(docs: DataFrame, id_col: str, text_col: str, percent: int, k: int, block_bits: int | None = None) -> DataFrame:
-    """Per row of docs: id, digest of the text, n of shingles and label of the component, null without words."""
+    """Per row of docs: id, digest of the text, n of shingles and label of the component, null without words. Stored."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
     first = stored(rows.mapInPandas(_profile(k), f"id {kind}, digest long, n long, node long, part int, counts binary"), "profile")
@@ -211,35 +286,32 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, percent: int, k: int, b
     sketch = gathered(first.filter("part >= 0").select("part", "counts"), add_counts, 4 << SKETCH_BITS)
     if block_bits is None:  # some 4 blocks for each partition of the input, 64 at least
         block_bits = max(6, (4 * rows.rdd.getNumPartitions() - 1).bit_length())
-    cells = rows.select("text").mapInPandas(_prefixes(sketch, percent, k, block_bits), "block int, cells binary, nodes binary, places binary, sizes binary")
-    product = stored(cells.groupBy("block").applyInPandas(_product(percent), "kind int, a long, b long, place long, n long"), "product")
+    cells = rows.select("text").mapInPandas(_prefixes(sketch, percent, k, block_bits), "block long, cells binary, nodes binary, places binary, sizes binary")
+    product = stored(cells.groupBy("block").applyInPandas(_product(percent, block_bits), "kind int, a long, b long, place long, n long"), "product")
     sized = product.filter("kind < 0").select(F.col("a").alias("shingle"), F.col("b").alias("node"), "place", "n")
 
-    shared = stored(sized.select("node").distinct().join(nodes, "node").groupBy("node").agg(F.min("digest").alias("digest")), "shared")
+    shared = stored(nodes.groupBy("node").agg(F.min("digest").alias("digest")).join(sized.select("node").distinct(), "node"), "shared")
     wanted = hash_filter(shared.select("digest"))
     made = rows.select("digest", "text").mapInPandas(_sets(wanted, k), "node long, n long, shingles array<long>")
     sets = stored(made.join(shared.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
     checked = _best(product.filter("kind >= 0").select("a", "b", "n"))
-    links = stored(verified(checked, sets, percent), "links")
-    labels = components(links)
-    # once more with other pivots, where columns are still open; then every pair that is left
-    open_rows = stored(_open(sized, labels), "open")
+    labels = components(verified(checked, sets, percent))
     reach = f"least(%s.n - %s.place, %s.n - %s.place) * {100 + percent} >= {percent} * (%s.n + %s.n)"
-    pivots = open_rows.groupBy("shingle").agg(F.min_by(F.struct("node", "label", "place", "n"), F.struct(F.col("place") / F.col("n"), F.xxhash64(F.lit(3), "node"))).alias("p"))
-    stars = open_rows.alias("x").join(pivots, "shingle").filter(f"label != p.label AND " + reach % tuple("xxppxp"))
-    again = _best(stars.groupBy(F.col("p.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))).join(checked, ["a", "b"], "left_anti")
-    links = stored(links.unionByName(verified(again, sets, percent)), "links")
-    labels = components(links)
-    rest = stored(_open(open_rows.drop("label"), labels), "open")
-    x, y = rest.alias("x"), rest.alias("y")
-    apart = x.join(y, F.expr("x.shingle = y.shingle AND x.node < y.node AND x.label != y.label AND " + reach % tuple("xxyyxy")))
-    pairs = apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(checked.unionByName(again), ["a", "b"], "left_anti")
-    more = stored(verified(pairs, sets, percent), "links")
-    if more.limit(1).count():
-        labels = components(links.unionByName(more))
-
-    return nodes.join(labels, "node", "left").select("id", "digest", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
+    seed, rows = 0, _open(sized, labels)
+    while rows.limit(1).count():
+        pairs = stored(_best(_stars(rows, seed, reach)).join(_either_way(checked), ["a", "b"], "left_anti"), "pairs")
+        links = verified(pairs, sets, percent)
+        checked = stored(checked.unionByName(pairs), "pairs")
+        if not links.limit(1).count():
+            links = verified(stored(_rest(rows, reach, percent).join(_either_way(checked), ["a", "b"], "left_anti"), "pairs"), sets, percent)
+            labels = _joined(labels, links) if links.limit(1).count() else labels
+            break
+        labels = _joined(labels, links)
+        seed, rows = seed + 1, _open(rows, labels)
+    discard(sets)
+    met = spread_join(nodes, labels, "node", "left")
+    return stored(met.select("id", "digest", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label")), "placed")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, k: int = 5, block_bits: int | None = None) -> DataFrame:
@@ -251,7 +323,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     placed = _placed(docs, id_col, text_col, percent, k, block_bits).select("id", "n", "label")
     least = placed.filter("label is not null").groupBy("label").agg(F.min("id").alias("least"))
-    return placed.join(least, "label", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+    return spread_join(placed, least, "label", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, k: int = 5) -> DataFrame:
@@ -262,12 +334,13 @@ def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = _placed(docs, id_col, text_col, percent, k).groupBy("id", "digest").agg(F.max("label").alias("label"), F.count("*").alias("times"))
     worded = texts.filter("label is not null").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest", "times")).alias("x"))
     every = texts.filter("label is null").select("id", "digest", F.lit(1).cast("long").alias("times"))
-    kept = stored(worded.select("x.id", "x.digest", "x.times").unionByName(every).toDF("__id", "__digest", "__times"), "kept")
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__digest"))
-    once = docs.join(kept.filter("__times = 1"), same, "left_semi")
-    if not kept.filter("__times > 1").limit(1).count():
+    own_id, own_digest, own_times, row = (free_name(docs, f"__{x}") for x in ("id", "digest", "times", "row"))
+    kept = stored(worded.select("x.id", "x.digest", "x.times").unionByName(every).toDF(own_id, own_digest, own_times), "kept")
+    same = F.col(id_col).eqNullSafe(F.col(own_id)) & (F.xxhash64(text_col) == F.col(own_digest))
+    once = docs.join(kept.filter(F.col(own_times) == 1), same, "left_semi")
+    if not kept.filter(F.col(own_times) > 1).limit(1).count():
         return once
-    several = docs.join(kept.filter("__times > 1"), same, "left_semi")
+    several = docs.join(kept.filter(F.col(own_times) > 1), same, "left_semi")
     plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
-    first = several.groupBy(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__digest")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("__row"))
-    return once.unionByName(first.select("__row.*"))
+    first = several.groupBy(F.col(id_col).alias(own_id), F.xxhash64(text_col).alias(own_digest)).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias(row))
+    return once.unionByName(first.select(f"{row}.*"))

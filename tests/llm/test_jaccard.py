@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import jaccard, texthash
+from tessera.llm import common, jaccard, texthash
 
 
 def shingles(text, k=5):
@@ -64,12 +64,46 @@ def test_components_against_brute_force(docs_of, seed):
     assert got == brute(list(zip(ids, texts, strict=True)))
 
 
+def test_split_columns_hubs_and_parts(docs_of, monkeypatch):
+    """A family around one text, a chain, and texts below the bound that share most words, with every limit at a few rows."""
+    monkeypatch.setattr(jaccard, "SPLIT", 5)
+    monkeypatch.setattr(jaccard, "REST_ROWS", 3)
+    monkeypatch.setattr(jaccard, "PIVOTS", 1)
+    monkeypatch.setattr(common, "FEW_ROWS", 2)
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
+    base = [word() for _ in range(80)]
+    texts = []
+    for i in range(40):  # near the base, each with one word of its own
+        w = list(base)
+        w[rnd.randrange(80)] = word()
+        texts.append(" ".join(w))
+    for i in range(25):  # a chain: each near the next one only
+        texts.append(" ".join(base[40:] + [f"c{k}" for k in range(i * 3, i * 3 + 60)]))
+    for i in range(30):  # one template, too many words of their own
+        texts.append(" ".join([f"t{k}" for k in range(30)] + [word() for _ in range(12)]))
+    texts += [texts[0]] * 5
+    got = sorted((tuple(r) for r in jaccard.jaccard_components(docs_of(texts).repartition(3)).collect()), key=str)
+    assert got == brute(list(enumerate(texts)))
+
+
+def test_joins_of_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "FEW_ROWS", 10)
+    many = common.stored(spark.createDataFrame([(None if i % 7 == 0 else 5 if i % 3 else i % 11, i) for i in range(300)], "k long, i long"), "many")
+    one = spark.createDataFrame([(k, f"v{k}") for k in range(9)] + [(5, "w5")], "k long, v string")
+    for how in ("inner", "left"):
+        want = sorted((tuple(r) for r in many.join(one, "k", how).collect()), key=str)
+        assert sorted((tuple(r) for r in common.spread_join(many, one, "k", how).collect()), key=str) == want and len(want) > 250
+
+
 def test_one_of_each_and_empty(docs_of):
     df = docs_of(["a b c d e f g", "A b c d e f g", "", None, "z y x w v u"], [9, 4, 1, 2, 7])
     kept = jaccard.one_per_component(df)
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4, 7] and kept.columns == df.columns
     assert jaccard.jaccard_components(df.limit(0)).count() == 0
     assert jaccard.jaccard_components(df.filter(F.col("text").isNull())).collect()[0]["component_id"] == 2
+    clash = df.withColumnsRenamed({"slot": "__id", "extra": "__times"}).withColumns({"__kept": F.lit(1), "__digest": F.lit("d"), "__salt": F.lit(2), "label": F.lit(3), "node": F.lit(4)})
+    assert sorted(r["doc_id"] for r in jaccard.one_per_component(clash.unionAll(clash)).collect()) == [1, 1, 2, 2, 4, 7] and jaccard.one_per_component(clash).columns == clash.columns
 
 
 def test_one_of_each_with_repeated_and_null_ids(spark):
