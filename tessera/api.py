@@ -1,8 +1,14 @@
-"""The engine as one object over its tables: indexing, search, graph lookups, changes, upkeep."""
+"""The engine as one object over its tables: indexing, search, graph lookups, changes, upkeep.
+
+Tables are written, one version per change (sources.store), so a search reads what indexing has written
+and plans stay short however many changes came before. Every step works on a batch of files as joins
+and unions; a file that fails is a row with an error and keeps no other file from being indexed.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +16,13 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.functions.vectors import cosine, hashed_embedding
 from tessera.operators import changes, cochange, filters, fusion, graph, pack, resolve, retrieval, state
-from tessera.schema import CO_CHANGE_LIMIT, COLLECTIONS, DEFAULT_COLLECTIONS, MAX_HOPS, MIN_COUNT, TOP_K
-from tessera.sources import code
+from tessera.schema import CO_CHANGE_LIMIT, COLLECTIONS, DEFAULT_COLLECTIONS, DOC_SUFFIXES, MAX_HOPS, MIN_COUNT, TEXT_COLLECTIONS, TOP_K
+from tessera.sources import code, store
+from tessera.sources.files import scan_docs, scan_repo
+from tessera.workspace import scratch
+
+_CODE = ("code_ts", "code_cs")
+_OUTCOME = "outcome string, file_path string, error string"
 
 
 def clamp(value: int, least: int, most: int) -> int:
@@ -20,94 +31,262 @@ def clamp(value: int, least: int, most: int) -> int:
 
 @dataclass
 class Engine:
-    """tables: chunks (collection, chunk_id, content, dense, linked_chunk_id, file_path, qualified_name, ...), entities, edges
-    (src, dst, rel_type, confidence), pairs (file_a, file_b, count), touches (file_path, hash, date), issues (chunk_id, issue_id)."""
+    """root: the folder of all tables; a new scratch folder if not given. embed and embed_text: from a token array to a vector, for code and for natural language.
+
+    Tables: sources (file_path, content), entities, relations (as parsed), edges (src, dst, rel_type, confidence, file_path), file_index, doc_index, documents, intents, jobs,
+    postings and lengths by collection, touches, pairs, issues; points (collection, chunk_id, content, dense, ...) lie beside them.
+    """
 
     spark: SparkSession
-    tables: dict[str, DataFrame] = field(default_factory=dict)
+    root: str | None = None
     embed: object = hashed_embedding
+    embed_text: object = hashed_embedding
 
-    # ---- indexing
+    def __post_init__(self):
+        self.root = self.root or scratch(self.spark, "engine")
+        self.tables, self.points = store.Tables(self.spark, f"{self.root}/tables"), f"{self.root}/points"
+
+    def _once(self, df: DataFrame) -> DataFrame:
+        """df written aside, so that what is derived from it is derived once."""
+        path = scratch(self.spark, "aside")
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
-    def index_files(self, files: DataFrame, repo: str = "repo") -> DataFrame:
-        """Parses source files (file_path, content) and replaces what the tables hold of them. Returns files with errors."""
-        parsed = code.parse_sources(files)
-        entities = code.entities_of(parsed)
-        relations = code.relations_of(parsed)
-        known = self.tables.get("entities")
-        if known is not None:
-            kept = known.join(files.select("file_path"), "file_path", "left_anti")
-            entities_all = kept.unionByName(entities, allowMissingColumns=True)
-        else:
-            entities_all = entities
-        linked = resolve.cross_file(resolve.same_file(relations, entities_all), entities_all)
-        edges = graph.merge_edges(linked.select(
-            F.col("from_qn").alias("src"), F.coalesce("to_qn", "to_name").alias("dst"), "rel_type", "confidence", "resolution_type", "file_path", "ordinal"), ["file_path", "ordinal"], values=("confidence", "resolution_type", "file_path"))
-        old = self.tables.get("edges")
-        if old is not None:
-            edges = old.join(files.select("file_path"), "file_path", "left_anti").unionByName(edges, allowMissingColumns=True)
-        chunks = filters.embeddable(entities).select(
-            tx.collection_of(F.col("language")).alias("collection"), tx.chunk_id(F.lit(repo), F.col("qualified_name"), F.col("ordinal")).alias("chunk_id"), "content", "file_path", "qualified_name",
-            F.col("name").alias("symbol_name"), "symbol_type", "parent_class", "line_start", "line_end", "language", F.lit(repo).alias("repo"), F.lit("high").alias("source_reliability"),
-            F.lit(None).cast("string").alias("linked_chunk_id")).withColumn("dense", self.embed(tx.tokens(F.col("content"))))
-        self.tables |= {"entities": entities_all, "edges": edges, "chunks": self._replaced("chunks", chunks, files)}
-        return parsed.filter("error is not null").select("file_path", "error")
-
-    def index_docs(self, docs: DataFrame, language: str = "vi", repo: str = "repo") -> None:
-        """Cuts documents (file_path, text) into chunks of the docs collection."""
-        made = tx.chunks(docs, ["file_path"], "text").withColumns({
-            "collection": F.lit("docs"), "chunk_id": tx.chunk_id(F.lit(repo), F.col("file_path"), F.col("chunk_index")), "language": F.lit(language), "repo": F.lit(repo),
-            "source_reliability": F.lit("high"), "linked_chunk_id": F.lit(None).cast("string"), "dense": self.embed(tx.tokens(F.col("content")))})
-        self.tables["chunks"] = self._replaced("chunks", made.drop("chunk_index"), docs)
-
-    def _replaced(self, name: str, rows: DataFrame, files: DataFrame) -> DataFrame:
+    def _put(self, name: str, rows: DataFrame, gone: DataFrame, on: list[str], partition: str | None = None) -> DataFrame:
+        """rows in place of what the table holds of the keys in gone."""
         old = self.tables.get(name)
-        return rows if old is None else old.join(files.select("file_path"), "file_path", "left_anti").unionByName(rows, allowMissingColumns=True)
+        kept = rows if old is None else old.join(gone.select(*on).distinct(), on, "left_anti").unionByName(rows, allowMissingColumns=True)
+        return self.tables.put(name, kept, partition)
+
+    def _log(self, files: DataFrame, operation: str, kind: str, to: str) -> None:
+        entries, old = state.intents(files, operation, kind, to), self.tables.get("intents")
+        self.tables.put("intents", entries if old is None else old.unionByName(entries))
+
+    def _outcomes(self, *parts: tuple[str, DataFrame]) -> DataFrame:
+        out = self.spark.createDataFrame([], _OUTCOME)
+        for outcome, rows in parts:
+            error = F.col("error") if "error" in rows.columns else F.lit(None).cast("string")
+            out = out.unionByName(rows.select(F.lit(outcome).alias("outcome"), "file_path", error.alias("error")))
+        return out
+
+    @staticmethod
+    def summary(outcomes: DataFrame) -> DataFrame:
+        """(outcome, n) of the rows that indexing, changes and repair give."""
+        return outcomes.groupBy("outcome").agg(F.count("*").alias("n"))
+
+    # ---- indexing
+
+    def index_repo(self, root: str, repo: str = "repo") -> DataFrame:
+        """All source files and documents under a folder."""
+        outcomes = self.index_files(scan_repo(self.spark, root).select("file_path", "content"), repo)
+        return outcomes.unionByName(self.index_docs(scan_docs(self.spark, root), repo=repo))
+
+    def index_files(self, files: DataFrame, repo: str = "repo", kind: str = "MODIFIED") -> DataFrame:
+        """Parses source files (file_path, content) and replaces what the tables hold of them. Outcomes (indexed or failed, file_path, error).
+
+        A file that cannot be parsed gets a failed row in file_index and leaves its other rows as they were.
+        """
+        files = self._once(code.routed(files.select("file_path", "content")))
+        parsed = self._once(code.parse_sources(files))
+        return self._written(files, code.entities_of(parsed), code.relations_of(parsed), parsed.filter("error is not null").select("file_path", "error"), repo, kind)
+
+    def index_csharp(self, exported: DataFrame, files: DataFrame, repo: str = "repo") -> DataFrame:
+        """Exported analyses (json) of C# files (file_path, content): like index_files. A file without an entity is failed."""
+        entities, relations = code.csharp_results(exported)
+        order = F.row_number().over(changes.Window.partitionBy("file_path").orderBy("line_start", "qualified_name")) - 1
+        entities = self._once(entities.withColumn("ordinal", order))
+        relations = relations.withColumn("ordinal", F.row_number().over(changes.Window.partitionBy("file_path").orderBy("from_qn", "rel_type", "to_qn")) - 1)
+        bad = files.join(entities, "file_path", "left_anti").select("file_path", F.lit("no analysis").alias("error"))
+        return self._written(self._once(files.select("file_path", "content")), entities, relations, bad, repo, "MODIFIED")
+
+    def _written(self, files: DataFrame, entities: DataFrame, relations: DataFrame, bad: DataFrame, repo: str, kind: str) -> DataFrame:
+        """The one unit of indexing: intents, graph, points, postings, jobs, file states, and the intents' ends."""
+        operation = uuid.uuid4().hex
+        self._log(files, operation, kind, "intent")
+        bad = self._once(bad.groupBy("file_path").agg(F.min(tx.shortened(F.col("error"))).alias("error")))
+        good = self._once(files.join(bad, "file_path", "left_anti").select("file_path", "content", tx.content_hash(F.col("content")).alias("content_hash")))
+        self._put("sources", files.select("file_path", "content"), files, ["file_path"])
+        named = entities.join(good.select("file_path"), "file_path", "left_semi").withColumns({
+            "repo": F.lit(repo), "chunk_id": tx.chunk_id(F.lit(repo), F.col("qualified_name"), F.col("ordinal"))})
+        named = self._once(named)
+        everything = self._put("entities", named, good, ["file_path"])
+        self._put("relations", relations.join(good.select("file_path"), "file_path", "left_semi"), good, ["file_path"])
+        self._link(good.select("file_path"), everything)
+        chunks = self._once(filters.embeddable(named).select(
+            tx.collection_of(F.col("language")).alias("collection"), "chunk_id", "content", "file_path", "qualified_name", F.col("name").alias("symbol_name"), "symbol_type", "signature", "docstring",
+            "parent_class", "line_start", "line_end", "language", "repo", F.lit("code").alias("source_type"), F.lit("high").alias("source_reliability"), F.lit(True).alias("is_latest"),
+            F.lit("pending").alias("description_status"), F.lit(None).cast("string").alias("description_chunk_id"), F.lit(None).cast("string").alias("linked_chunk_id"),
+        ).withColumn("dense", self.embed(tx.tokens(F.col("content")))))
+        self._points(chunks, good, COLLECTIONS[:4])
+        jobs = chunks.select("chunk_id", "qualified_name", "language", "repo", F.lit("pending").alias("status"), F.lit(0).cast("long").alias("attempts"), F.current_timestamp().alias("enqueued_at"), F.lit(None).cast("timestamp").alias("claimed_at"), F.lit(None).cast("string").alias("error"))
+        self._put("jobs", jobs, jobs, ["chunk_id"])
+        ids = named.groupBy("file_path").agg(F.sort_array(F.collect_list("chunk_id")).alias("node_ids"))
+        chunk_ids = chunks.groupBy("file_path").agg(F.sort_array(F.collect_list("chunk_id")).alias("chunk_ids"))
+        none = F.array().cast("array<string>")
+        rows = good.join(ids, "file_path", "left").join(chunk_ids, "file_path", "left").select(
+            "file_path", F.lit(repo).alias("repo"), "content_hash", F.lit("indexed").alias("status"), F.coalesce("chunk_ids", none).alias("chunk_ids"), F.coalesce("node_ids", none).alias("node_ids"), F.lit(None).cast("string").alias("error"))
+        broken = files.join(bad, "file_path").select(
+            "file_path", F.lit(repo).alias("repo"), tx.content_hash(F.col("content")).alias("content_hash"), F.lit("failed").alias("status"), none.alias("chunk_ids"), none.alias("node_ids"), "error")
+        written = self._once(rows.unionByName(broken))
+        index = self.tables.get("file_index")
+        self.tables.put("file_index", state.index_files(written.limit(0) if index is None else index, written))
+        self._log(good, operation, kind, "done")
+        self._log(bad, operation, kind, "failed")
+        return self._outcomes(("indexed", good), ("failed", bad))
+
+    def _link(self, files: DataFrame, entities: DataFrame) -> None:
+        """Resolves the relations of files against all entities and puts the edges, DEFINES too, in place of theirs. An edge's source must exist."""
+        own = self.tables["relations"].join(files, "file_path", "left_semi")
+        linked = resolve.cross_file(resolve.same_file(own, entities), entities).select(
+            F.col("from_qn").alias("src"), F.coalesce("to_qn", "to_name").alias("dst"), "rel_type", "confidence", "resolution_type", "file_path", "ordinal")
+        merged = graph.merge_edges(linked, ["file_path", "ordinal"], values=("confidence", "resolution_type", "file_path"))
+        defined = resolve.defines(entities.join(files, "file_path", "left_semi")).withColumns({
+            "confidence": F.lit(1.0), "resolution_type": F.lit("definition"), "file_path": F.col("src")})
+        edges = graph.real_edges(merged.unionByName(defined), entities, "qualified_name")
+        self._put("edges", edges, files, ["file_path"])
+
+    def _points(self, chunks: DataFrame, files: DataFrame, collections: tuple[str, ...]) -> None:
+        """Chunks in place of the files' points in these collections, and their postings."""
+        store.delete_points(files, self.points, collections)
+        store.upsert_points(chunks, self.points)
+        gone = files.select("file_path").distinct().crossJoin(F.broadcast(self.spark.createDataFrame([(c,) for c in collections], "collection string")))  # six names at most
+        self._search_tables(chunks, gone, ["file_path", "collection"])
+
+    def _search_tables(self, chunks: DataFrame, gone: DataFrame, on: list[str]) -> None:
+        rows = retrieval.postings(chunks, "chunk_id", "content", ("collection", "file_path"))
+        self._put("postings", rows, gone, on, "bucket")
+        self._put("lengths", chunks.select("collection", "file_path", "chunk_id", F.size(tx.tokens(F.col("content"))).alias("dl")), gone, on)
+
+    def index_docs(self, docs: DataFrame, language: str = "vi", repo: str = "repo") -> DataFrame:
+        """Cuts documents (file_path, text) into chunks of the docs collection, with document nodes and doc_index rows. Outcomes as of index_files; other suffixes fail."""
+        operation = uuid.uuid4().hex
+        docs = self._once(docs.select("file_path", "text"))
+        known = tx.suffix(F.col("file_path")).isin(*DOC_SUFFIXES, "html") & F.col("text").isNotNull()
+        good, bad = docs.filter(known), docs.filter(~known).select("file_path", F.concat(F.lit("unsupported document type: "), tx.suffix(F.col("file_path"))).alias("error"))
+        self._log(docs, operation, "DOC_MODIFIED", "intent")
+        made = self._once(tx.chunks(good, ["file_path"], "text").withColumns({
+            "collection": F.lit("docs"), "chunk_id": tx.chunk_id(F.lit(repo), F.col("file_path"), F.col("chunk_index")), "language": F.lit(language), "repo": F.lit(repo), "source_type": F.lit("doc"),
+            "source_reliability": F.lit("high"), "is_latest": F.lit(True), "linked_chunk_id": F.lit(None).cast("string"), "dense": self.embed_text(tx.tokens(F.col("content")))}))
+        self._points(made, good, ("docs",))
+        self._put("documents", made.select("chunk_id", "title", "file_path", "repo", "line_start", "line_end", "is_latest"), good, ["file_path"])
+        ids = made.groupBy("file_path").agg(F.sort_array(F.collect_list("chunk_id")).alias("chunk_ids"))
+        self._put("doc_index", good.join(ids, "file_path", "left").select(
+            "file_path", tx.content_hash(F.col("text")).alias("content_hash"), F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("chunk_ids"), F.lit(True).alias("is_latest"), F.current_timestamp().alias("indexed_at")), good, ["file_path"])
+        self._log(good, operation, "DOC_MODIFIED", "done")
+        self._log(bad, operation, "DOC_MODIFIED", "failed")
+        return self._outcomes(("indexed", good), ("failed", bad))
 
     def delete_files(self, files: DataFrame) -> None:
-        gone = files.select("file_path")
-        nodes = self.tables["entities"].join(gone, "file_path", "left_semi").select(F.col("qualified_name").alias("node"))
-        _, self.tables["edges"] = graph.without_nodes(nodes, self.tables["edges"], nodes, "node")
-        for name in ("entities", "chunks"):
-            self.tables[name] = self.tables[name].join(gone, "file_path", "left_anti")
+        """Takes files (file_path) out of every table; their file_index rows stay, marked as deleted."""
+        gone = self._once(files.select("file_path").distinct())
+        if "entities" in self.tables:
+            nodes = self.tables["entities"].join(gone, "file_path", "left_semi")
+            lost = self._once(nodes.select(F.col("qualified_name").alias("node"), "chunk_id"))
+            _, edges = graph.without_nodes(lost, self.tables["edges"], lost, "node")
+            self.tables.put("edges", edges)
+            self.tables.put("jobs", self.tables["jobs"].join(lost, "chunk_id", "left_anti"))
+        store.delete_points(gone, self.points)
+        for name in ("entities", "relations", "sources", "documents", "doc_index", "touches", "lengths", "postings"):
+            if (old := self.tables.get(name)) is not None:
+                self.tables.put(name, old.join(gone, "file_path", "left_anti"), "bucket" if name == "postings" else None)
+        if (pairs := self.tables.get("pairs")) is not None:
+            for side in ("file_a", "file_b"):
+                pairs = pairs.join(gone.withColumnRenamed("file_path", side), side, "left_anti")
+            self.tables.put("pairs", pairs.select("file_a", "file_b", "count", "last_seen"))
+        if (issues := self.tables.get("issues")) is not None and "entities" in self.tables:
+            self.tables.put("issues", issues.join(lost, "chunk_id", "left_anti"))
+        if (index := self.tables.get("file_index")) is not None:
+            self.tables.put("file_index", state.soft_deleted(index, gone))
 
     def index_history(self, commits: DataFrame, min_count: int = MIN_COUNT) -> None:
-        """Commits (hash, date, files) as touches and co-change pairs."""
+        """Commits (hash, date, files) as touches and co-change pairs of the modules there are."""
         files = commits.select("hash", "date", F.explode("files").alias("file_path")).filter(filters.indexed_source(F.col("file_path")))
-        self.tables["touches"] = files
-        self.tables["pairs"] = cochange.co_change_pairs(files.select(F.col("hash").alias("commit"), F.col("file_path").alias("file"), "date"), min_count)
+        modules = self.tables["entities"].filter("symbol_type = 'module'").select("file_path").distinct()
+        self.tables.put("touches", files.join(modules, "file_path", "left_semi").select("file_path", "hash", "date"))
+        pairs = cochange.co_change_pairs(files.select(F.col("hash").alias("commit"), F.col("file_path").alias("file"), "date"), min_count)
+        for side in ("file_a", "file_b"):
+            pairs = pairs.join(modules.withColumnRenamed("file_path", side), side, "left_semi")
+        self.tables.put("pairs", pairs.select("file_a", "file_b", "count", "last_seen"))
+
+    def index_issues(self, references: DataFrame) -> None:
+        """References (chunk_id, issue_id) of issues to the chunks there are, added to those known."""
+        real = store.read_points(self.spark, self.points).select("chunk_id")
+        rows = references.select("chunk_id", "issue_id").distinct().join(real, "chunk_id", "left_semi")
+        self._put("issues", rows, rows, ["chunk_id", "issue_id"])
 
-    def apply_changes(self, changed: DataFrame, contents: DataFrame) -> DataFrame:
-        """Applies changes (status, path, old_path) given the new contents (file_path, content); returns files relinked for them."""
-        before = self.tables["entities"].select("file_path", "name")
-        gone = changed.filter("status in ('deleted', 'renamed')").select(F.coalesce("old_path", "path").alias("file_path"))
+    def apply_changes(self, changed: DataFrame, contents: DataFrame, repo: str = "repo") -> DataFrame:
+        """Applies changes (status, path, old_path) given the new contents (file_path, content): outcomes (deleted, indexed, relinked or failed, file_path, error).
+
+        Renames are a deletion and an addition. Files that anywhere hold a name which came or went have
+        their relations resolved again, once; what that changes is not followed further.
+        """
+        changed = self._once(changed.select("status", "path", "old_path"))
+        empty = self.spark.createDataFrame([], "file_path string, name string")
+        before = self._once(self.tables["entities"].select("file_path", "name")) if "entities" in self.tables else empty
+        gone = self._once(changed.filter("status in ('deleted', 'renamed')").select(F.coalesce("old_path", "path").alias("file_path")).distinct())
         new = contents.join(changed.filter("status != 'deleted'").select(F.col("path").alias("file_path")), "file_path", "left_semi")
-        mentions = self.tables["entities"].select("file_path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z_$][\w$]*"), F.lit(0)))).alias("token"))
         self.delete_files(gone)
-        self.index_files(new)
+        indexed = self.index_files(new, repo)
         names = changes.affected_names(changed, before, self.tables["entities"].select("file_path", "name"))
-        return changes.referencers(mentions, names, changes.changed_paths(changed).withColumnRenamed("path", "file_path"))
+        done = changes.changed_paths(changed).withColumnRenamed("path", "file_path")
+        relinked = self._once(changes.referencers(changes.mentions(self.tables["sources"]), names, done).join(self.tables["relations"].select("file_path").distinct(), "file_path", "left_semi"))
+        self._link(relinked, self.tables["entities"])
+        return self._outcomes(("deleted", gone), ("relinked", relinked)).unionByName(indexed)
+
+    def rename_file(self, old: str, new: str, content: str, repo: str = "repo") -> DataFrame:
+        change = self.spark.createDataFrame([("renamed", new, old)], "status string, path string, old_path string")
+        return self.apply_changes(change, self.spark.createDataFrame([(new, content)], "file_path string, content string"), repo)
+
+    # ---- descriptions
+
+    def describe(self, generate, batch: int = 100) -> DataFrame:
+        """Works off the oldest pending jobs: outcomes (done, failed, pending or vanished, chunk_id, error).
+
+        generate: from a column of prompts to a column of answers, null or empty where it failed. Answers
+        become points of the description collection; the code point and the entity learn of them.
+        """
+        claimed = self._once(state.claim(self.tables["jobs"], batch).withColumn("claimed_at", F.current_timestamp()))
+        self._put("jobs", claimed, claimed, ["chunk_id"])
+        points = store.read_points(self.spark, self.points, _CODE)
+        held = claimed.select("chunk_id").join(points, "chunk_id")
+        asked = held.withColumn("answer", generate(tx.prompt(F.col("symbol_name"), F.col("symbol_type"), F.col("signature"), F.col("docstring"), F.col("content"))))
+        answered = self._once(asked.withColumn("description", tx.cleaned(F.col("answer"))).drop("answer"))
+        outcomes = answered.select("chunk_id", F.lit(True).alias("found"), "description", F.lit(None).cast("string").alias("error"))
+        ended = self._once(state.described(claimed, outcomes))
+        good = answered.filter(F.coalesce("description", F.lit("")) != "").withColumn("id", tx.chunk_id(F.lit("description"), F.col("chunk_id")))
+        described = self._once(good.withColumns({
+            "linked_chunk_id": F.col("chunk_id"), "chunk_id": F.col("id"), "content": F.col("description"), "collection": F.concat("collection", F.lit("_desc")), "source_type": F.lit("code_description"),
+            "description_status": F.lit("ready"), "dense": self.embed_text(tx.tokens(F.col("description")))}).drop("id", "description"))
+        store.upsert_points(described, self.points)
+        self._search_tables(described, described, ["chunk_id", "collection"])
+        store.patch_points(good.select("collection", "chunk_id", F.lit("ready").alias("description_status"), F.col("id").alias("description_chunk_id")), self.points)
+        self.tables.put("entities", changes.patch(self.tables["entities"], good.select("chunk_id", F.col("description").alias("synthetic_description_vi")), ["chunk_id"]))
+        self._put("jobs", ended, ended, ["chunk_id"])
+        found = held.select("chunk_id").withColumn("there", F.lit(True))
+        return ended.join(found, "chunk_id", "left").select(F.when(F.col("there").isNull(), "vanished").otherwise(F.col("status")).alias("outcome"), "chunk_id", "error")
 
     # ---- search
 
     def search(self, query: str, collections: list[str] | None = None, top_k: int = TOP_K, expand_graph: bool = True, rerank: Column | bool = False, where: dict | None = None) -> DataFrame:
-        """Packed hits: per-collection hybrid search, fusion over collections, rerank, graph context, JSON."""
+        """Packed hits: hybrid search in all collections at once, fusion over them, rerank, graph context, JSON. Unknown collections and empty queries have no hits."""
         top_k = clamp(top_k, 1, 100)
         depth = top_k * 4 if rerank is not False else top_k
         wanted = [c for c in (collections or DEFAULT_COLLECTIONS) if c in COLLECTIONS]
-        chunks = filters.matching(self.tables["chunks"], where)
-        terms = sorted(set(query.lower().split()))
-        asked = self.spark.createDataFrame([(query,)], "q string").select(self.embed(tx.tokens(F.col("q"))).alias("dense"))
-        found = None
-        for c in wanted:
-            some = chunks.filter(F.col("collection") == c)
-            sparse = retrieval.bm25(some, terms, "chunk_id", "content")
-            dense = retrieval.knn(some, asked, "chunk_id", "dense").filter("score is not null")
-            hits = retrieval.hybrid(sparse, dense, "chunk_id", retrieval.over_fetch(depth)).select("chunk_id", "score").withColumn("collection", F.lit(c))
-            found = hits if found is None else found.unionByName(hits)
-        links = chunks.select("chunk_id", "linked_chunk_id").dropDuplicates(["chunk_id"])
-        merged = fusion.merge_collections(found.join(links, "chunk_id", "left"), wanted).orderBy(F.col("score").desc(), "list_no", "rank", "chunk_id").limit(depth)
-        payload = self.tables["chunks"].drop("dense", "linked_chunk_id", "collection").dropDuplicates(["chunk_id"])
+        points, terms = store.read_points(self.spark, self.points, tuple(wanted)) if wanted else None, tx.query_terms(self.spark, query)
+        if points is None or not terms:
+            return self.spark.createDataFrame([], "chunk_id string, score double, json string")
+        points = filters.matching(points, where)
+        inside = F.col("collection").isin(*wanted)
+        corpus = self.tables["lengths"].filter(inside).groupBy("collection").agg(F.count("*").alias("n"), F.sum("dl").alias("total_dl"))
+        sparse = retrieval.bm25_postings(self.tables["postings"].filter(inside), corpus, terms, "chunk_id", by=("collection",))
+        sparse = sparse if not where else sparse.join(points.select("collection", "chunk_id"), ["collection", "chunk_id"], "left_semi")
+        asked = F.array(*map(F.lit, terms)).cast("array<string>")
+        vector = F.when(F.col("collection").isin(*TEXT_COLLECTIONS), self.embed_text(asked)).otherwise(self.embed(asked))
+        dense = points.select("collection", "chunk_id", cosine(F.col("dense"), vector).alias("score")).filter("score is not null")
+        found = retrieval.hybrid_by(sparse, dense, "collection", "chunk_id", retrieval.over_fetch(depth))
+        links = points.select("collection", "chunk_id", "linked_chunk_id")
+        merged = fusion.merge_collections(found.join(links, ["collection", "chunk_id"], "left"), wanted).orderBy(F.col("score").desc(), "list_no", "rank", "chunk_id").limit(depth)
+        payload = store.read_points(self.spark, self.points).drop("dense", "linked_chunk_id", "collection").dropDuplicates(["chunk_id"])
         hits = merged.join(payload, "chunk_id", "left").drop("list_no", "rank")
         if rerank is True:
             hits = retrieval.rerank_overlap(hits, query, "content", "chunk_id", top_k)
@@ -115,27 +294,40 @@ class Engine:
             hits = retrieval.rerank_with(hits, rerank, "chunk_id", top_k)
         if expand_graph and "edges" in self.tables:
             hits = self._expanded(hits)
-        return pack.packed(hits).orderBy(F.col("score").desc(), "chunk_id").limit(top_k)
+        return pack.packed(hits).orderBy(*self._order(hits)).limit(top_k)
 
-    def _expanded(self, hits: DataFrame) -> DataFrame:
+    @staticmethod
+    def _order(hits: DataFrame) -> list[Column]:
+        return ([F.col("rerank_score").desc_nulls_last()] if "rerank_score" in hits.columns else []) + [F.col("score").desc(), F.col("chunk_id")]
+
+    def search_response(self, query: str, **options) -> str:
+        """search() as one JSON text: {"query": ..., "results": [...]}."""
+        hits = self.search(query, **options)
+        return pack.envelope(hits, query, self._order(hits)).first()["response"]
+
+    def _calls(self) -> DataFrame:
+        """Call edges between entities that exist: placeholders take no place under a limit."""
         real = self.tables["entities"].select(F.col("qualified_name").alias("node")).distinct()
-        calls = self.tables["edges"].filter("rel_type = 'CALLS'").join(real, F.col("src") == F.col("node"), "left_semi").join(real, F.col("dst") == F.col("node"), "left_semi")
+        calls = self.tables["edges"].filter("rel_type = 'CALLS'")
+        return calls.join(real, F.col("src") == F.col("node"), "left_semi").join(real, F.col("dst") == F.col("node"), "left_semi")
+
+    def _expanded(self, hits: DataFrame) -> DataFrame:
+        calls = self._calls()
         seeds = hits.filter("qualified_name is not null").select(F.col("qualified_name").alias("seed")).distinct()
         files = hits.filter("file_path is not null").select(F.col("file_path").alias("seed")).distinct()
         by_qn = hits.select("chunk_id", F.col("qualified_name").alias("of"))
         by_file = hits.select("chunk_id", F.col("file_path").alias("of"))
         name = lambda rows, ids: rows.join(ids, F.col("seed") == F.col("of")).drop("seed", "of").withColumnRenamed("chunk_id", "seed")
-        empty = lambda schema: self.spark.createDataFrame([], schema)
-        pairs = self.tables.get("pairs", empty("file_a string, file_b string, count long"))
-        touches = self.tables.get("touches", empty("file_path string, hash string, date timestamp")).select(F.col("file_path").alias("seed"), "hash", "date")
-        issues = self.tables.get("issues", empty("chunk_id string, issue_id string")).select(F.col("chunk_id").alias("seed"), "issue_id")
+        known = lambda table, schema: self.tables[table] if table in self.tables else self.spark.createDataFrame([], schema)
+        pairs = known("pairs", "file_a string, file_b string, count long")
+        touches = known("touches", "file_path string, hash string, date timestamp").select(F.col("file_path").alias("seed"), "hash", "date")
+        issues = known("issues", "chunk_id string, issue_id string").select(F.col("chunk_id").alias("seed"), "issue_id")
         return graph.graph_context(
             hits, name(graph.neighbours(seeds, calls, 1), by_qn), name(graph.neighbours(seeds, calls, 1, False), by_qn), name(graph.co_changed(pairs, files, None), by_file),
             name(graph.recent_commits(touches.join(files, "seed", "left_semi")), by_file), graph.related_issues(issues))
 
     def lookup_symbol(self, name: str) -> DataFrame:
-        exact = (F.col("qualified_name") == name) | (F.col("name") == name)
-        return self.tables["entities"].filter(exact).orderBy((F.col("qualified_name") == name).desc(), "qualified_name").limit(1)
+        return retrieval.lookup_symbol(self.tables["entities"], name)
 
     def callers(self, qualified_name: str, max_hops: int = 2) -> DataFrame:
         return self._around(qualified_name, max_hops, True)
@@ -145,8 +337,7 @@ class Engine:
 
     def _around(self, qualified_name: str, max_hops: int, towards: bool) -> DataFrame:
         seed = self.spark.createDataFrame([(qualified_name,)], "seed string")
-        calls = self.tables["edges"].filter("rel_type = 'CALLS'")
-        found = graph.neighbours(seed, calls, clamp(max_hops, 1, MAX_HOPS), towards)
+        found = graph.neighbours(seed, self._calls(), clamp(max_hops, 1, MAX_HOPS), towards)
         where = self.tables["entities"].select(F.col("qualified_name").alias("node"), "file_path", "line_start").dropDuplicates(["node"])
         return found.join(where, "node").orderBy("hops", F.col("confidence").desc(), "node")
 
@@ -157,20 +348,45 @@ class Engine:
     # ---- upkeep
 
     def stats(self) -> DataFrame:
-        return state.collection_counts(self.tables["chunks"])
+        points = store.read_points(self.spark, self.points)
+        return state.collection_counts(self.spark.createDataFrame([], "collection string") if points is None else points)
+
+    def drift(self, tracked: DataFrame | None = None) -> DataFrame:
+        """Files whose tracked chunk_ids are not as many as the code chunks there are."""
+        tracked = self.tables["file_index"].filter("status = 'indexed'") if tracked is None else tracked
+        points = store.read_points(self.spark, self.points, _CODE)
+        actual = self.spark.createDataFrame([], "file_path string") if points is None else points.select("file_path")
+        return state.drift(tracked.select("file_path", F.explode("chunk_ids").alias("id")).select("file_path"), actual, "file_path")
+
+    def repair(self, failed: int = 100, dirty: int = 200, fraction: float = 0.01, seed: int = 0) -> DataFrame:
+        """One bounded pass: outcomes (failed_retried, dirty_processed or sample_marked_dirty, file_path, error).
 
-    def drift(self, tracked: DataFrame) -> DataFrame:
-        """Files whose tracked chunk_ids are not as many as the chunks there are."""
-        expected = tracked.select("file_path", F.explode("chunk_ids").alias("id")).select("file_path")
-        return state.drift(expected, self.tables["chunks"].select("file_path"), "file_path")
+        Failed files are indexed again from their sources, dirty ones if their counts differ and else
+        cleared; of a sample of the indexed files those whose counts differ become dirty.
+        """
+        index = self.tables["file_index"]
+        todo = self._once(state.repair_candidates(index, failed, dirty).select("file_path", "reason", "repo"))
+        apart = self._once(self.drift().select("file_path"))
+        again = self._once(todo.filter("reason = 'failed'").select("file_path", "repo").unionByName(todo.filter("reason = 'dirty'").join(apart, "file_path", "left_semi").select("file_path", "repo")))
+        errors = self.spark.createDataFrame([], "file_path string, error string")
+        for (repo,) in again.select("repo").distinct().limit(failed + dirty).collect():  # a repair pass is bounded
+            told = self.index_files(self.tables["sources"].join(again.filter(F.col("repo").eqNullSafe(repo)), "file_path", "left_semi"), repo)
+            errors = errors.unionByName(told.select("file_path", "error"))
+        index = self.tables["file_index"]
+        whole = todo.filter("reason = 'dirty'").join(again, "file_path", "left_anti").select("file_path", F.lit(False).alias("dirty"))
+        sample = state.sample_files(index.filter("status = 'indexed' and not dirty").select("file_path"), fraction, 200, seed)
+        marked = self._once(sample.join(self.drift().select("file_path"), "file_path", "left_semi"))
+        self.tables.put("file_index", changes.patch(index, whole.unionByName(marked.withColumn("dirty", F.lit(True))), ["file_path"]))
+        of = lambda reason: todo.filter(F.col("reason") == reason).select("file_path").join(errors, "file_path", "left")
+        return self._outcomes(("failed_retried", of("failed")), ("dirty_processed", of("dirty")), ("sample_marked_dirty", marked))
 
     def health(self) -> dict[str, str]:
         """Whether each table can be read."""
-        out = {}
-        for name in ("chunks", "entities", "edges"):
-            out[name] = "ok" if name in self.tables and self.tables[name].columns else "missing"
+        out = {"chunks": "ok" if store.read_points(self.spark, self.points) is not None else "missing"}
+        for name in ("entities", "edges"):
+            out[name] = "ok" if name in self.tables else "missing"
         return out | {"status": "ok" if all(v == "ok" for v in out.values()) else "degraded"}
 
     def similar(self, vector: list[float], k: int = TOP_K) -> DataFrame:
         q = F.array(*map(F.lit, vector)).cast("array<float>")
-        return self.tables["chunks"].withColumn("score", cosine(F.col("dense"), q)).orderBy(F.col("score").desc_nulls_last(), "chunk_id").limit(k)
+        return store.read_points(self.spark, self.points).withColumn("score", cosine(F.col("dense"), q)).orderBy(F.col("score").desc_nulls_last(), "chunk_id").limit(k)

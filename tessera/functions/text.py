@@ -5,17 +5,26 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.schema import WINDOW_CHARS, WINDOW_OVERLAP
 
-SPACE = " \t\n\x0b\x0c\r"
+#: White space as Unicode has it, for strip: what Python and Java call white space, in ASCII and beyond.
+SPACE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: A token: letters with their marks, digits and underscores of any script.
+TOKEN = r"[\p{L}\p{M}\p{N}_]+"
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case ASCII words and numbers; an empty array for null."""
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), F.lit(0)), F.array().cast("array<string>"))
+    """Lower-case words and numbers of any script; an empty array for null."""
+    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
+
+
+def query_terms(spark: SparkSession, query: str | None) -> list[str]:
+    """The distinct tokens of a query, by the same rule as a text's; none for an empty query."""
+    row = spark.range(1).select(F.array_distinct(tokens(F.lit(query or ""))).alias("t")).first()
+    return list(row["t"])
 
 
 def strip(text: Column) -> Column:
@@ -42,12 +51,16 @@ def windows(df: DataFrame, text: str, size: int = WINDOW_CHARS, overlap: int = W
         "lines_before", count_of(F.substring(text, F.lit(1), F.col("char_start")), "\n")).drop(text)
 
 
+# Fixed value: what a Markdown heading is.
+HEADING = r"^(#{1,6})\s+(.+?)\s*$"
+
+
 def sections(df: DataFrame, key: list[str], text: str) -> DataFrame:
     """A row per heading section of a Markdown text: key, section, title, first_line, body; no fences, no hierarchy.
 
     A section stays if it has lines or a title. Lines before the first heading are section 0.
     """
-    heading = r"^(#{1,6})\s+(.+?)\s*$"
+    heading = HEADING
     lines = df.select(*key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     opened = Window.partitionBy(*key).orderBy("line_no")
     marked = lines.withColumn("is_heading", F.col("line").rlike(heading)).withColumn("section", F.sum(F.col("is_heading").cast("int")).over(opened))
@@ -85,10 +98,6 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(basename(path), r"\.([^.]+)$", 1))
 
 
-def repo_path(root: str, relative: Column) -> Column:
-    return F.concat(F.lit(root.rstrip("/") + "/"), relative)
-
-
 def first_line(text: Column) -> Column:
     return F.trim(F.substring_index(text, "\n", 1))
 
@@ -115,11 +124,24 @@ def collection_of(language: Column) -> Column:
     return F.when(language == "csharp", "code_cs").otherwise("code_ts")
 
 
-def prompt(name: Column, signature_: Column, docstring: Column, content: Column, missing: str = "(không có)") -> Column:
-    """The request for a one-sentence description; the content's first 500 characters after stripping."""
-    return F.concat(
-        F.lit("Symbol: "), name, F.lit("\nSignature: "), F.coalesce(signature_, F.lit(missing)), F.lit("\nDocstring: "), F.coalesce(docstring, F.lit(missing)),
-        F.lit("\nCode:\n"), F.substring(strip(F.coalesce(content, F.lit(""))), 1, 500))
+# The wording of description requests.
+PROMPT_HEAD = """\
+Viết 1-2 câu tiếng Việt mô tả nghiệp vụ (business semantics) của hàm/lớp dưới đây.
+Tập trung vào: làm gì theo góc nhìn nghiệp vụ, khi nào dùng đến.
+Không giải thích kỹ thuật, không nhắc tên biến/tên hàm.
+Chỉ trả về 1-2 câu tiếng Việt, không thêm dấu trích dẫn, không markdown.
+"""
+PROMPT_LABELS = ("Tên", "Loại", "Signature", "Docstring", "Code")
+PROMPT_MISSING = "(không có)"
+PROMPT_CHARS = 500
+
+
+def prompt(name: Column, kind: Column, signature_: Column, docstring: Column, content: Column, most: int = PROMPT_CHARS) -> Column:
+    """The request for a description in a sentence or two; the content's first characters after stripping. An empty signature or docstring is missing."""
+    given = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit(PROMPT_MISSING))
+    lines = [F.concat(F.lit(f"{label}: "), value) for label, value in zip(PROMPT_LABELS, (name, kind, given(signature_), given(docstring)), strict=False)]
+    code = F.substring(strip(F.coalesce(content, F.lit(""))), 1, most)
+    return F.concat(F.lit(PROMPT_HEAD + "\n"), F.concat_ws("\n", *lines), F.lit(f"\n{PROMPT_LABELS[-1]}:\n"), code, F.lit("\n"))
 
 
 def cleaned(output: Column) -> Column:

@@ -14,6 +14,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def hashed_embedding(tokens: Column, dims: int = 64) -> Column:
-    """A deterministic stand-in for an embedding model: signed counts of hashed tokens."""
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.aggregate(
-        tokens, F.lit(0.0), lambda s, t: s + F.when(F.pmod(F.xxhash64(t), F.lit(dims)) == d, F.when(F.pmod(F.crc32(t), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0)).cast("float"))
+    """A deterministic stand-in for an embedding model: signed counts of hashed tokens. Each token is hashed once, to a place and a sign."""
+    places = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(2 * dims)))
+    of = lambda all_, place: F.size(F.filter(all_, lambda x: x == place))
+    spread = lambda all_: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: (of(all_, 2 * d) - of(all_, 2 * d + 1)).cast("float"))
+    return F.get(F.transform(F.array(places), spread), 0)

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.exceptAll(b).unionByName(b.exceptAll(a)).distinct() if a.columns == b.columns else None
+    """Distinct rows of one side only; an error for unlike columns."""
+    if sorted(a.columns) != sorted(b.columns):
+        raise ValueError(f"unlike columns: {a.columns}, {b.columns}")
+    return a.exceptAll(b.select(a.columns)).unionByName(b.select(a.columns).exceptAll(a)).distinct()
 
 
 def changed_paths(changes: DataFrame) -> DataFrame:
@@ -16,7 +19,7 @@ def changed_paths(changes: DataFrame) -> DataFrame:
 
 
 def affected_names(changes: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
-    """Names (file_path, name) to relink: a deletion's old ones, a rename's old and new ones, else those on one side only."""
+    """Names (name) to relink: a deletion's old ones, a rename's old and new ones, else those on one side only."""
     old = before.withColumnRenamed("file_path", "path").filter("name != ''").distinct()
     new = after.withColumnRenamed("file_path", "path").filter("name != ''").distinct()
     gone = changes.filter("status = 'deleted'").join(old, "path").select("name")
@@ -33,9 +36,10 @@ def referencers(mentions: DataFrame, names: DataFrame, processed: DataFrame) ->
     return mentions.join(names.select(F.col("name").alias("token")), "token", "left_semi").select("file_path").distinct().join(processed, "file_path", "left_anti")
 
 
-def ordered_steps(changes: DataFrame) -> DataFrame:
-    """Changes with the order in which they apply: renames, deletions, then the others."""
-    return changes.withColumn("step", F.when(F.col("status") == "renamed", 0).when(F.col("status") == "deleted", 1).otherwise(2))
+def mentions(sources: DataFrame) -> DataFrame:
+    """(file_path, token) of the identifiers in whole source files (file_path, content), wherever they stand."""
+    words = F.regexp_extract_all(F.col("content"), F.lit(r"[\p{L}_$][\p{L}\p{M}\p{N}_$]*"), F.lit(0))
+    return sources.select("file_path", F.explode(F.array_distinct(words)).alias("token"))
 
 
 def latest(rows: DataFrame, key: list[str], order: list) -> DataFrame:

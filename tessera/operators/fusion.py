@@ -25,16 +25,19 @@ def matched_via(collection, existing=None):
     return found if existing is None else F.coalesce(existing, found)
 
 
-def merge_collections(hits: DataFrame, order: list[str], rrf_k: int = RRF_K) -> DataFrame:
+def merge_collections(hits: DataFrame, order: list[str], rrf_k: int = RRF_K, depth: int | None = None) -> DataFrame:
     """Hits (collection, chunk_id, linked_chunk_id, score) of several collections as one list.
 
     A description stands for the code chunk it links to; without a link it is dropped before ranking and
-    uses up no rank.
+    uses up no rank. depth: the ranks of a collection that count; each task then keeps no more before the
+    lists meet.
     """
     described = F.col("collection").endswith("_desc")
     target = F.when(described, F.col("linked_chunk_id")).otherwise(F.col("chunk_id"))
     own = hits.withColumn("own_id", F.col("chunk_id")).withColumn("chunk_id", target).filter(~described | F.col("chunk_id").isNotNull())
     rank = F.row_number().over(Window.partitionBy("collection").orderBy(F.col("score").desc(), "own_id"))
     number = F.array_position(F.array(*map(F.lit, order)), F.col("collection"))
-    lists = own.select("chunk_id", number.alias("list_no"), rank.alias("rank"), F.col("collection").alias("matched_collection"), matched_via(F.col("collection")).alias("matched_via"))
+    ranked = own.withColumn("rank", rank)
+    own = ranked if depth is None else ranked.filter(F.col("rank") <= depth)
+    lists = own.select("chunk_id", number.alias("list_no"), "rank", F.col("collection").alias("matched_collection"), matched_via(F.col("collection")).alias("matched_via"))
     return rrf_merge(lists, "chunk_id", rrf_k)

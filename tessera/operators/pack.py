@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.schema import HIT_FIELDS
@@ -14,6 +14,13 @@ def packed(hits: DataFrame) -> DataFrame:
     return hits.withColumn("json", F.to_json(F.struct(*names)))
 
 
+def envelope(packed_hits: DataFrame, query: str | None, order: list) -> DataFrame:
+    """One row (response): {"query": ..., "results": [...]} of a search's packed hits, a few rows, in the given order."""
+    place = F.row_number().over(Window.orderBy(*order))
+    rows = packed_hits.select(place.alias("place"), "json").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "json"))), lambda x: x["json"]), ",").alias("all"))
+    return rows.select(F.concat(F.lit('{"query":'), F.coalesce(F.substring(F.to_json(F.array(F.lit(query))), F.lit(2), F.length(F.to_json(F.array(F.lit(query)))) - 2), F.lit("null")), F.lit(',"results":['), "all", F.lit("]}")).alias("response"))
+
+
 def deepest_owner(files: DataFrame, owners: DataFrame, path: str, folder: str) -> DataFrame:
     """files with the deepest of the owners' folders that contains each; of equal ones the last by name; none: null.
 

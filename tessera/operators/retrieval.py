@@ -2,23 +2,68 @@
 
 from __future__ import annotations
 
+import zlib
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import tokens
+from tessera.functions.text import query_terms, tokens
 from tessera.functions.vectors import cosine
 from tessera.operators.fusion import rrf_merge
 from tessera.schema import BM25_B, BM25_K1, RRF_K
 
 
+#: Folders that postings are dealt to by term; a query reads its terms' folders only.
+BUCKETS = 64
+
+
+def postings(docs: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(bucket, term, key, tf, dl, kept columns) of every term of every text; one shuffle by text and term, combined ahead."""
+    toks = docs.select(key, *keep, tokens(F.col(text)).alias("__t")).withColumn("dl", F.size("__t"))
+    counted = toks.select(key, *keep, "dl", F.explode("__t").alias("term")).groupBy("term", key, "dl", *keep).agg(F.count("*").alias("tf"))
+    return counted.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BUCKETS)).cast("int"))
+
+
+def corpus_statistics(docs: DataFrame, text: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, n, total_dl): how many texts there are, those without tokens too, and their tokens in all."""
+    return docs.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(tokens(F.col(text)))), F.lit(0)).alias("total_dl"))
+
+
+def write_postings(docs: DataFrame, path: str, key: str, text: str) -> None:
+    """Postings by bucket and the corpus statistics, each written once under path."""
+    postings(docs, key, text).repartition("bucket").sortWithinPartitions("bucket", "term", key).write.partitionBy("bucket").parquet(f"{path}/terms")
+    corpus_statistics(docs, text).write.parquet(f"{path}/corpus")
+
+
+def read_postings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/corpus")
+
+
+def bm25_postings(rows: DataFrame, corpus: DataFrame, terms: list[str], key: str, idf: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, key, score) of the texts that hold a term, from postings; by: what makes a corpus of its own, such as the collection.
+
+    Only the terms' buckets are read, and of these the terms' rows. A term's frequency over all texts is
+    its number of rows; there are as many of these counts as query terms and corpora. No terms, no rows.
+    """
+    terms = sorted(set(terms))
+    buckets = sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})
+    hits = rows.filter(F.col("bucket").isin(*buckets) & F.col("term").isin(*terms)) if terms else rows.filter(F.lit(False))
+    held = F.broadcast(hits.groupBy(*by, "term").agg(F.count("*").alias("df")))  # a row for each query term and corpus
+    stats = F.broadcast(corpus.select(*by, "n", (F.col("total_dl") / F.col("n")).alias("avg_dl")))  # a row for each corpus
+    met = hits.join(held, [*by, "term"])
+    met = met.join(stats, list(by)) if by else met.crossJoin(stats)
+    part = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avg_dl")))
+    weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) if idf else F.lit(1.0)
+    return met.groupBy(*by, key).agg(F.round(F.sum(weight * part), 6).alias("score"))
+
+
 def _equals(term: str, x: Column) -> Column:
     return x == term
 
 
 def bm25(docs: DataFrame, terms: list[str], key: str, text: str, idf: bool = True, corpus: DataFrame | None = None) -> DataFrame:
-    """(key, score) of the rows that hold a term; Okapi BM25, or without idf the plain sparse product.
+    """(key, score) of the rows that hold a term, without an index; Okapi BM25, or without idf the plain sparse product. No terms, no rows.
 
     Query terms are few, so their frequencies are columns: one pass gives the corpus statistics as one
     row, a second the scores, and nothing but that row moves. corpus: what the statistics are taken
@@ -39,7 +84,7 @@ def bm25(docs: DataFrame, terms: list[str], key: str, text: str, idf: bool = Tru
         tf, df = F.col(f"__tf{i}"), F.col(f"__df{i}")
         part = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("__dl") / F.col("__avg")))
         score = score + (F.log(1 + (F.col("__n") - df + 0.5) / (df + 0.5)) * part if idf else part)
-    any_term = F.greatest(*(F.col(f"__tf{i}") for i in range(len(terms))), F.lit(0))
+    any_term = F.greatest(*(F.col(f"__tf{i}") for i in range(len(terms))), F.lit(0), F.lit(0))
     return rows.filter(any_term > 0).crossJoin(F.broadcast(stats)).select(key, F.round(score, 6).alias("score"))  # stats is one row
 
 
@@ -62,6 +107,17 @@ def over_fetch(k: int) -> int:
     return max(30, 3 * k)
 
 
+def hybrid_by(sparse: DataFrame, dense: DataFrame, by: str, key: str, k: int, rrf_k: int = RRF_K) -> DataFrame:
+    """(by, key, score) of hybrid() within each value of `by` at once: each list and each result cut to k there."""
+    lists = None
+    for number, scored in enumerate((dense, sparse)):
+        cut = ranked(scored.select(by, key, "score"), key, [by]).filter(F.col("rank") <= k).select(by, key, "rank", F.lit(number).alias("list_no"))
+        lists = cut if lists is None else lists.unionByName(cut)
+    both = lists.groupBy(by, key).agg(F.round(F.sum(1 / (F.lit(rrf_k) + F.col("rank"))), 9).alias("score"), F.min(F.struct("list_no", "rank")).alias("first"))
+    order = Window.partitionBy(by).orderBy(F.col("score").desc(), "first", key)
+    return both.withColumn("__place", F.row_number().over(order)).filter(F.col("__place") <= k).select(by, key, "score")
+
+
 def hybrid(sparse: DataFrame, dense: DataFrame, key: str, k: int, rrf_k: int = RRF_K, rank_base: int = 1) -> DataFrame:
     """Top rows of two scored lists by reciprocal ranks, each list cut to over_fetch(k) first."""
     n = over_fetch(k)
@@ -74,11 +130,17 @@ def hybrid(sparse: DataFrame, dense: DataFrame, key: str, k: int, rrf_k: int = R
 
 def rerank_overlap(hits: DataFrame, query: str, text: str, key: str, k: int) -> DataFrame:
     """Hits by how many distinct query tokens they hold: the stand-in for a cross-encoder."""
-    words = sorted(set(query.lower().split()))
-    overlap = F.size(F.array_intersect(F.array_distinct(tokens(F.coalesce(F.col(text), F.lit("")))), F.array(*map(F.lit, words)))).cast("long")
+    words = F.array(*map(F.lit, query_terms(hits.sparkSession, query))).cast("array<string>")
+    overlap = F.size(F.array_intersect(F.array_distinct(tokens(F.col(text))), words)).cast("long")
     return hits.withColumn("rerank_score", overlap).orderBy(F.col("rerank_score").desc(), key).limit(k)
 
 
 def rerank_with(hits: DataFrame, score: Column, key: str, k: int) -> DataFrame:
-    """Any other scorer, such as a pandas UDF around a model; where it gives null the hit keeps its place at the end."""
+    """Any other scorer, such as a pandas UDF around a model; where it gives null the hit keeps its place at the end. A scorer that fails is to give nulls."""
     return hits.withColumn("rerank_score", score).orderBy(F.col("rerank_score").desc_nulls_last(), F.col("score").desc(), key).limit(k)
+
+
+def lookup_symbol(entities: DataFrame, name: str, limit: int = 1) -> DataFrame:
+    """The entities of exactly this qualified name, else of this short name, in order of their qualified names."""
+    whole, short = F.col("qualified_name") == name, F.col("name") == name
+    return entities.filter(whole | short).orderBy(whole.desc(), "qualified_name").limit(limit)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import shortened
 from tessera.schema import COLLECTIONS, MAX_ATTEMPTS
 
 
@@ -52,6 +53,22 @@ def soft_deleted(files: DataFrame, gone: DataFrame) -> DataFrame:
     return met.withColumns({"status": F.when(hit, "deleted").otherwise(F.col("status")), "chunk_ids": F.when(hit, empty).otherwise(F.col("chunk_ids")), "dirty": ~hit & F.col("dirty")}).drop("__gone")
 
 
+def intents(files: DataFrame, operation: str, kind: str, state: str) -> DataFrame:
+    """Log entries (operation_id, at, state, kind, file_path, error) of one operation on each of some files (file_path, maybe error)."""
+    error = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+    return files.select(
+        F.concat_ws(":", F.lit(operation), "file_path").alias("operation_id"), F.current_timestamp().alias("at"), F.lit(state).alias("state"), F.lit(kind).alias("kind"), "file_path", shortened(error).alias("error"))
+
+
+def described(jobs: DataFrame, outcomes: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """Claimed jobs after a worker's outcomes (chunk_id, found, description, error): what was not found is done, an empty description is a failure."""
+    met = jobs.join(outcomes.select("chunk_id", "found", "description", F.col("error").alias("__error")), "chunk_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    good = ~F.col("found") | (F.coalesce("description", F.lit("")) != "")
+    status = F.when(good, "done").when(F.col("attempts") >= max_attempts, "failed").otherwise("pending")
+    error = F.when(~good, shortened(F.coalesce("__error", F.lit("empty description"))))
+    return met.withColumns({"status": status, "error": error}).select(*dict.fromkeys([*jobs.columns, "error"]))
+
+
 def open_intents(log: DataFrame) -> DataFrame:
     """Operations of an intent log (operation_id, at, state, ...) whose last entry is neither done nor failed."""
     rest = [c for c in log.columns if c != "operation_id"]
@@ -60,8 +77,8 @@ def open_intents(log: DataFrame) -> DataFrame:
 
 
 def index_files(index: DataFrame, written: DataFrame) -> DataFrame:
-    """The file index after files were indexed: their rows replaced, no longer dirty."""
-    fresh = written.withColumn("dirty", F.lit(False))
+    """The file index after files were indexed: their rows replaced and stamped, no longer dirty."""
+    fresh = written.withColumns({"dirty": F.lit(False), "indexed_at": F.current_timestamp()})
     return index.join(fresh.select("file_path"), "file_path", "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
@@ -75,17 +92,16 @@ def drift(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
 
 def repair_candidates(files: DataFrame, failed: int = 100, dirty: int = 200) -> DataFrame:
     """The oldest failed and dirty files, each up to a bound of its own, with the reason."""
-    order = Window.partitionBy("reason").orderBy("indexed_at", "file_path")
-    reason = F.when(F.col("status") == "failed", "failed").when(F.col("dirty"), "dirty")
-    ranked = files.withColumn("reason", reason).filter("reason is not null").withColumn("place", F.row_number().over(order))
-    return ranked.filter((F.col("place") <= F.when(F.col("reason") == "failed", failed).otherwise(dirty))).drop("place")
+    fault = F.when(F.col("status") == "failed", "failed").when(F.col("dirty"), "dirty")
+    first = lambda reason, most: files.withColumn("reason", fault).filter(F.col("reason") == reason).orderBy("indexed_at", "file_path").limit(most)
+    return first("failed", failed).unionByName(first("dirty", dirty))
 
 
 def sample_files(files: DataFrame, fraction: float, most: int, seed: int = 0) -> DataFrame:
-    """A repeatable sample: the files of least hash, a fraction of all and `most` at most."""
-    kept = F.xxhash64(F.lit(seed), "file_path")
-    share = F.pmod(kept, F.lit(1_000_000)) < int(fraction * 1_000_000)
-    return files.filter(share).orderBy(kept, "file_path").limit(most)
+    """A repeatable sample: the files of least hash, a fraction of all but one at least, and `most` at most."""
+    kept = F.md5(F.concat(F.lit(f"{seed}:"), F.col("file_path").cast("string")).cast("binary"))
+    n = min(most, max(1, int(files.count() * fraction)))
+    return files.withColumn("__kept", kept).orderBy("__kept", "file_path").limit(n).drop("__kept")
 
 
 def collection_counts(points: DataFrame) -> DataFrame:

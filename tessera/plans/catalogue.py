@@ -39,13 +39,16 @@ def oracle_sql() -> dict:
     return dict(_SQL)
 
 
-def _bm25_sql(idf: bool) -> str:
+_TOKEN = r"[\p{L}\p{M}\p{N}_]+"
+
+
+def _bm25_sql(idf: bool, terms: str = _TERM_LIST) -> str:
     weight = "ln(1 + (s.n - f.df + 0.5) / (f.df + 0.5)) * " if idf else ""
     return f"""
-d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS toks FROM documents),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '{_TOKEN}') AS toks FROM documents),
 s AS (SELECT count(*) AS n, avg(len(toks)) AS avg_len FROM d),
 p AS (SELECT doc_id, len(toks) AS dl, tok FROM (SELECT doc_id, toks, unnest(toks) AS tok FROM d)),
-tf AS (SELECT doc_id, dl, tok, count(*) AS tf FROM p WHERE tok IN ({_TERM_LIST}) GROUP BY ALL),
+tf AS (SELECT doc_id, dl, tok, count(*) AS tf FROM p WHERE tok IN ({terms}) GROUP BY ALL),
 f AS (SELECT tok, count(*) AS df FROM tf GROUP BY tok),
 bm AS (SELECT tf.doc_id, round(sum({weight}tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * tf.dl / s.avg_len))), 6) AS score FROM tf JOIN f USING (tok), s GROUP BY tf.doc_id)"""
 
@@ -55,8 +58,8 @@ q AS (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = 0),
 nn AS (SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], qv), 6) AS score FROM embeddings, q)"""
 
 
-def _bm25(spark: SparkSession, sf_dir: str, idf: bool = True) -> DataFrame:
-    return retrieval.bm25(table(spark, sf_dir, "documents").select("doc_id", "text"), TERMS, "doc_id", "text", idf)
+def _bm25(spark: SparkSession, sf_dir: str, idf: bool = True, terms: list[str] = TERMS) -> DataFrame:
+    return retrieval.bm25_postings(*t.document_postings(spark, sf_dir), terms, "doc_id", idf)
 
 
 def _knn(points: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +92,23 @@ def q03_bm25_literal_no_idf(spark, sf_dir):
     return _bm25(spark, sf_dir, idf=False)
 
 
+_PHRASE = "Über-straße, Être; l'été niño São mức"
+
+
+@query(f"WITH {_bm25_sql(True, chr(39) + (chr(39) + ', ' + chr(39)).join(['über', 'straße', 'être', 'l', 'été', 'niño', 'são', 'mức']) + chr(39))} SELECT doc_id, score FROM bm")
+def q03b_bm25_any_script(spark, sf_dir):
+    """A query as a user types it, cut by the rule that cut the texts: hyphens, apostrophes, capitals and letters beyond ASCII."""
+    return _bm25(spark, sf_dir, terms=tx.query_terms(spark, _PHRASE))
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS term FROM documents)
+SELECT term, count(*)::BIGINT AS total, count(DISTINCT doc_id)::BIGINT AS df FROM t WHERE term <> regexp_replace(term, '[^a-z0-9_]', '', 'g') GROUP BY term""")
+def q03c_postings_beyond_ascii(spark, sf_dir):
+    """What the postings hold of terms with letters beyond ASCII."""
+    rows, _ = t.document_postings(spark, sf_dir)
+    return rows.filter(~F.col("term").rlike("^[a-z0-9_]*$")).groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+
+
 @query(f"WITH {_KNN_SQL} SELECT vec_id, score FROM nn ORDER BY score DESC, vec_id LIMIT 20")
 def q04_knn_topk(spark, sf_dir):
     return retrieval.top(_knn(table(spark, sf_dir, "embeddings"), spark, sf_dir), "vec_id", 20)
@@ -103,8 +123,7 @@ def q05_knn_filtered(spark, sf_dir):
 def _collection_hits(spark: SparkSession, sf_dir: str, lose_links: bool) -> DataFrame:
     """Documents as code, conversations as their descriptions: a first turn describes the document of the conversation's number."""
     code = _bm25(spark, sf_dir).select(F.lit("code_ts").alias("collection"), F.col("doc_id").alias("chunk_id"), F.lit(None).cast("long").alias("linked_chunk_id"), "score")
-    turns = table(spark, sf_dir, "conversations").withColumn("turn_id", F.col("conv_id") * 1000 + F.col("turn"))
-    described = retrieval.bm25(turns.select("turn_id", "text"), TERMS, "turn_id", "text")
+    described = retrieval.bm25_postings(*t.turn_postings(spark, sf_dir), TERMS, "turn_id")
     link = F.floor(F.col("turn_id") / 1000)
     link = F.when(F.col("turn_id") % 2 == 1, None).otherwise(link) if lose_links else link
     return code.unionByName(described.select(F.lit("code_ts_desc").alias("collection"), F.col("turn_id").alias("chunk_id"), link.alias("linked_chunk_id"), "score"))
@@ -120,21 +139,21 @@ WITH {_bm25_sql(True)}, {turns},
 h AS (
   SELECT 'code_ts' AS collection, doc_id AS own, doc_id AS chunk_id, score FROM bm
   UNION ALL SELECT 'code_ts_desc', doc_id, {link}, score FROM bm2),
-r AS (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY score DESC, own) AS rank FROM h WHERE chunk_id IS NOT NULL)
-SELECT chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, arg_min(collection, (CASE WHEN collection = 'code_ts' THEN 0 ELSE 100000000 END) + rank) AS matched_collection
-FROM r GROUP BY chunk_id"""
+r AS (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY score DESC, own) AS rank FROM h WHERE chunk_id IS NOT NULL QUALIFY rank <= 30),
+m AS (SELECT chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, arg_min(collection, (CASE WHEN collection = 'code_ts' THEN 0 ELSE 100000000 END) + rank) AS matched_collection FROM r GROUP BY chunk_id)
+SELECT *, CASE matched_collection WHEN 'code_ts' THEN 'code' ELSE 'description' END AS matched_via FROM m"""
 
 
 @query(_merge_sql("CAST(floor(doc_id / 1000) AS BIGINT)"))
 def q06_cross_collection_merge(spark, sf_dir):
-    merged = fusion.merge_collections(_collection_hits(spark, sf_dir, False), ["code_ts", "code_ts_desc"])
-    return merged.select("chunk_id", "score", "matched_collection")
+    merged = fusion.merge_collections(_collection_hits(spark, sf_dir, False), ["code_ts", "code_ts_desc"], depth=retrieval.over_fetch(10))
+    return merged.select("chunk_id", "score", "matched_collection", "matched_via")
 
 
 @query(_merge_sql("CASE WHEN doc_id % 2 = 1 THEN NULL ELSE CAST(floor(doc_id / 1000) AS BIGINT) END"))
 def q07_rrf_missing_link(spark, sf_dir):
-    merged = fusion.merge_collections(_collection_hits(spark, sf_dir, True), ["code_ts", "code_ts_desc"])
-    return merged.select("chunk_id", "score", "matched_collection")
+    merged = fusion.merge_collections(_collection_hits(spark, sf_dir, True), ["code_ts", "code_ts_desc"], depth=retrieval.over_fetch(10))
+    return merged.select("chunk_id", "score", "matched_collection", "matched_via")
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE lang = 'fr'")
@@ -154,7 +173,8 @@ def q10_filter_none(spark, sf_dir):
 
 # ---- documents
 
-_STRIP = "trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_SPACES = " || ".join(f"chr({ord(c)})" for c in tx.SPACE)
+_STRIP = f"trim(text, {_SPACES})"
 _WINDOWS_SQL = f"""
 b AS (SELECT doc_id, {_STRIP} AS body FROM documents WHERE length({_STRIP}) > 0),
 w AS (SELECT doc_id, body, unnest(range(0, greatest(length(body) - 1200 + 1049, 0) // 1050 * 1050 + 1, 1050)) AS char_start FROM b)"""
@@ -186,6 +206,30 @@ def q13_section_split(spark, sf_dir):
     return m.groupBy("conv_id", "section").agg(F.count("*").alias("turns"), F.sum(F.length("text")).alias("chars"), roles.alias("roles"))
 
 
+_HEADING_SQL = r"^(#{1,6})\s+(.+?)\s*$"
+
+
+@query(f"""
+WITH d AS (SELECT conv_id, string_agg('## ' || role || chr(10) || text, chr(10) ORDER BY turn) AS md FROM conversations GROUP BY conv_id),
+l AS (SELECT conv_id, generate_subscripts(ls, 1) - 1 AS line_no, unnest(ls) AS line FROM (SELECT conv_id, string_split(md, chr(10)) AS ls FROM d)),
+m AS (SELECT *, regexp_matches(line, '{_HEADING_SQL}') AS head FROM l),
+s AS (SELECT *, sum(head::INT) OVER (PARTITION BY conv_id ORDER BY line_no) AS section FROM m),
+g AS (SELECT conv_id, section, max(CASE WHEN head THEN trim(regexp_extract(line, '{_HEADING_SQL}', 2)) END) AS title, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT head), '') AS body,
+             coalesce(min(line_no) FILTER (NOT head), 0) + 1 AS first_line FROM s GROUP BY conv_id, section),
+b AS (SELECT *, trim(body, {_SPACES}) AS inner_, length(body) - length(ltrim(body, {_SPACES})) AS skipped FROM g),
+w AS (SELECT *, unnest(range(0, greatest(length(inner_) - 1200 + 1049, 0) // 1050 * 1050 + 1, 1050)) AS char_start FROM b WHERE length(inner_) > 0),
+c AS (SELECT *, substring(inner_, char_start + 1, 1200) AS content, substring(body, 1, skipped) || substring(inner_, 1, char_start) AS ahead FROM w)
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY section, char_start) - 1)::BIGINT AS chunk_index, title, md5(content) AS content_md5,
+       (first_line + length(ahead) - length(replace(ahead, chr(10), '')))::BIGINT AS line_start,
+       (first_line + length(ahead) - length(replace(ahead, chr(10), '')) + length(content) - length(replace(content, chr(10), '')))::BIGINT AS line_end FROM c""")
+def q13b_markdown_chunks(spark, sf_dir):
+    """Conversations as Markdown with a heading for each turn, through the chunker."""
+    turns = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.concat(F.lit("## "), x["role"], F.lit("\n"), x["text"])), "\n")
+    made = table(spark, sf_dir, "conversations").filter("text is not null").groupBy("conv_id").agg(turns.alias("md"))
+    cut = tx.chunks(made, ["conv_id"], "md")
+    return cut.select("conv_id", F.col("chunk_index").cast("long").alias("chunk_index"), "title", F.md5(F.col("content").cast("binary")).alias("content_md5"), F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"))
+
+
 @query(r"""
 WITH p AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')) AS body FROM pages),
 w AS (SELECT page_id, body, unnest(range(0, greatest(length(body) - 1200 + 1049, 0) // 1050 * 1050 + 1, 1050)) AS s FROM p WHERE length(body) > 0)
@@ -268,6 +312,9 @@ e AS (
 def _hops_sql(towards: bool, hops: int, seeds: str, limit: int | None = 25) -> str:
     at, to = ("dst", "src") if towards else ("src", "dst")
     two = f" UNION ALL SELECT a.{at}, b.{to}, 2, round(a.c * b.c, 6) FROM e a JOIN e b ON b.{at} = a.{to} WHERE a.{at} IN ({seeds}) AND NOT (a.src = b.src AND a.dst = b.dst)" if hops > 1 else ""
+    if hops > 2:
+        other = lambda x, y: f"NOT ({x}.src = {y}.src AND {x}.dst = {y}.dst)"
+        two += f" UNION ALL SELECT a.{at}, d.{to}, 3, round(a.c * b.c * d.c, 6) FROM e a JOIN e b ON b.{at} = a.{to} JOIN e d ON d.{at} = b.{to} WHERE a.{at} IN ({seeds}) AND {other('a', 'b')} AND {other('a', 'd')} AND {other('b', 'd')}"
     paths = f"p AS (SELECT {at} AS seed, {to} AS node, 1 AS hops, round(c, 6) AS confidence FROM e WHERE {at} IN ({seeds}){two})"
     if limit is None:
         return f"WITH {_EDGES_SQL}, {paths} SELECT seed, node, hops, confidence FROM p"
@@ -295,6 +342,20 @@ def q25_callers_simple_paths(spark, sf_dir):
     return graph.paths(_seeds(spark, [SEED]), t.edges(spark, sf_dir), 2)
 
 
+@query(f"""WITH {_hops_sql(True, 3, str(SEED), None).removeprefix("WITH ").replace("SELECT seed, node, hops, confidence FROM p", ", u AS (SELECT node, hops, confidence FROM p)")}
+SELECT hops, count(*)::BIGINT AS paths, count(DISTINCT node)::BIGINT AS nodes, round(max(confidence), 6) AS best FROM u GROUP BY hops""")
+def q25b_callers_3hop_paths(spark, sf_dir):
+    found = graph.paths(_seeds(spark, [SEED]), t.edges(spark, sf_dir), 3)
+    return found.groupBy("hops").agg(F.count("*").alias("paths"), F.countDistinct("node").alias("nodes"), F.round(F.max("confidence"), 6).alias("best"))
+
+
+@query(f"WITH {_EDGES_SQL} SELECT src, dst, c AS confidence FROM e WHERE src IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
+def q26b_edges_of_real_sources(spark, sf_dir):
+    """A relation is written only where its source exists: here suppliers in credit."""
+    there = table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("node"))
+    return graph.real_edges(t.edges(spark, sf_dir), there, "node").select("src", "dst", "confidence")
+
+
 @query(f"WITH {_EDGES_SQL} SELECT src, dst, 'CALLS' AS rel_type, c AS confidence FROM e")
 def q26_edge_merge_last_write(spark, sf_dir):
     return t.edges(spark, sf_dir).select("src", "dst", "rel_type", "confidence")
@@ -313,6 +374,15 @@ def q27_same_file_resolve(spark, sf_dir):
     return resolve.same_file(relations, entities).select("l_orderkey", "l_linenumber", "file_path", "to_name", "to_qn", "confidence")
 
 
+@query("""SELECT p_brand AS src, 'part-' || p_partkey AS dst, 'DEFINES' AS rel_type FROM part WHERE p_brand IN (SELECT DISTINCT p_brand FROM part WHERE p_size % 2 = 0)""")
+def q27b_defines_edges(spark, sf_dir):
+    """Edges from a module to what its file defines: brands are files, and have a module if one of their parts has an even size."""
+    part = table(spark, sf_dir, "part")
+    symbols = part.select(F.col("p_brand").alias("file_path"), F.concat(F.lit("part-"), F.col("p_partkey")).alias("qualified_name"), F.lit("class").alias("symbol_type"))
+    modules = part.filter("p_size % 2 = 0").select(F.col("p_brand").alias("file_path"), F.col("p_brand").alias("qualified_name"), F.lit("module").alias("symbol_type")).distinct()
+    return resolve.defines(symbols.unionByName(modules)).select("src", "dst", "rel_type")
+
+
 @query("SELECT DISTINCT l_partkey % 997 AS node FROM lineitem WHERE l_partkey % 997 NOT IN (SELECT s_suppkey FROM supplier)")
 def q28_placeholders(spark, sf_dir):
     return graph.placeholders(t.edges(spark, sf_dir), t.nodes(spark, sf_dir), "node")
@@ -336,57 +406,90 @@ SELECT seed, issue_id FROM r QUALIFY row_number() OVER (PARTITION BY seed ORDER
 def q30_related_issues(spark, sf_dir):
     issues = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("issue_id"), F.col("text").alias("passage"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seed"), "text")
-    return graph.related_issues(_containing(docs, issues))
+    return graph.related_issues(graph.containing(docs, issues))
 
 
-def _containing(docs: DataFrame, issues: DataFrame) -> DataFrame:
-    """(seed, issue_id) of docs that hold an issue's passage: met on the passage's longest word, then compared."""
-    words = F.regexp_extract_all("passage", F.lit(r"[^\s]+"), F.lit(0))
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(1)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = issues.withColumn("word", F.coalesce(longest, F.lit("")))
-    tokens = docs.select("seed", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[^\s]+"), F.lit(0)))).alias("word"))
-    hits = tokens.join(keyed, "word").filter(F.contains("text", "passage"))
-    return hits.select("seed", "issue_id").distinct()
+def _related_sql(key: str) -> str:
+    return f"""
+WITH i AS (
+  SELECT item_id AS issue_id, text AS passage FROM benchmark UNION ALL SELECT item_id + 1000, split_part(text, ' ', 2) FROM benchmark UNION ALL SELECT item_id + 2000, split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3) FROM benchmark),
+r AS (SELECT DISTINCT doc_id AS seed, issue_id FROM documents d JOIN i ON contains(d.text, i.passage))
+SELECT seed, {key} FROM r QUALIFY row_number() OVER (PARTITION BY seed ORDER BY issue_id) <= 20"""
+
+
+@query(_related_sql("issue_id"))
+def q30b_related_issues_short(spark, sf_dir):
+    """Passages of one and of two words among them, which may begin and end inside words."""
+    items = table(spark, sf_dir, "benchmark")
+    word = lambda n: F.split_part("text", F.lit(" "), F.lit(n))
+    issues = items.select(F.col("item_id").alias("issue_id"), F.col("text").alias("passage")).unionByName(items.select((F.col("item_id") + 1000).alias("issue_id"), word(2).alias("passage"))).unionByName(
+        items.select((F.col("item_id") + 2000).alias("issue_id"), F.concat_ws(" ", word(2), word(3)).alias("passage")))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seed"), "text")
+    return graph.related_issues(graph.containing(docs, issues))
 
 
 @query(f"""
 WITH {_EDGES_SQL},
+{_pairs_sql(8, 1).strip()},
+ends AS (SELECT file_a AS chunk_id FROM pairs UNION ALL SELECT file_b FROM pairs),
+co AS (SELECT chunk_id, least(count(*), 8) AS n FROM ends GROUP BY 1),
+issues AS (SELECT d.doc_id AS chunk_id, least(count(DISTINCT b.item_id), 20) AS n FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY 1),
 h AS (SELECT s_suppkey AS chunk_id FROM supplier),
 callers AS (SELECT dst AS chunk_id, least(count(*), 25) AS n FROM e WHERE src <> dst GROUP BY 1),
 callees AS (SELECT src AS chunk_id, least(count(*), 25) AS n FROM e WHERE src <> dst GROUP BY 1),
 commits AS (SELECT l_suppkey AS chunk_id, least(count(DISTINCT l_orderkey), 5) AS n FROM lineitem GROUP BY 1)
-SELECT chunk_id, coalesce(a.n, 0)::BIGINT AS n_callers, coalesce(b.n, 0)::BIGINT AS n_callees, coalesce(c.n, 0)::BIGINT AS n_commits
-FROM h LEFT JOIN callers a USING (chunk_id) LEFT JOIN callees b USING (chunk_id) LEFT JOIN commits c USING (chunk_id)""")
+SELECT chunk_id, coalesce(a.n, 0)::BIGINT AS n_callers, coalesce(b.n, 0)::BIGINT AS n_callees, coalesce(c.n, 0)::BIGINT AS n_commits, coalesce(co.n, 0)::BIGINT AS n_co_changed, coalesce(i.n, 0)::BIGINT AS n_issues
+FROM h LEFT JOIN callers a USING (chunk_id) LEFT JOIN callees b USING (chunk_id) LEFT JOIN commits c USING (chunk_id) LEFT JOIN co USING (chunk_id) LEFT JOIN issues i USING (chunk_id)""")
 def q31_graph_context_pack(spark, sf_dir):
-    return _context(spark, sf_dir).select("chunk_id", *(F.size(f"graph_context.{c}").cast("long").alias(n) for c, n in (("callers", "n_callers"), ("callees", "n_callees"), ("recent_commits", "n_commits"))))
+    return _context(spark, sf_dir).select("chunk_id", *(F.size(f"graph_context.{c}").cast("long").alias(n) for c, n in (("callers", "n_callers"), ("callees", "n_callees"), ("recent_commits", "n_commits"), ("co_changed", "n_co_changed"), ("related_issues", "n_issues"))))
 
 
 def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = t.nodes(spark, sf_dir).select(F.col("node").alias("chunk_id"), F.col("name").alias("qualified_name"))
     seeds, edges, files = hits.select(F.col("chunk_id").alias("seed")), t.edges(spark, sf_dir), t.commit_files(spark, sf_dir)
-    commits = graph.recent_commits(files.select(F.col("file").alias("seed"), F.col("commit").alias("hash"), "date"))
+    commits = graph.recent_commits(files.select(F.col("file").alias("seed"), F.col("commit").alias("hash"), F.date_format("date", "yyyy-MM-dd").alias("date")))
     co = graph.co_changed(cochange.co_change_pairs(files, 1, 8), seeds, None)
-    issues = graph.related_issues(spark.createDataFrame([], "seed long, issue_id long"))
+    passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("issue_id"), F.col("text").alias("passage"))
+    issues = graph.related_issues(graph.containing(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seed"), "text"), passages))
     return graph.graph_context(hits, graph.neighbours(seeds, edges, 1), graph.neighbours(seeds, edges, 1, False), co, commits, issues)
 
 
-@query()
+def _list_sql(rows: str, key: str, order: str, limit: int, fields: str) -> str:
+    """A hit's list as JSON: the first rows of each seed, in the order of their fields."""
+    return f"SELECT seed, to_json(list({{{fields}}} ORDER BY {', '.join(x.split(':')[1].strip() for x in fields.split(','))})) AS j FROM (SELECT * FROM ({rows}) QUALIFY row_number() OVER (PARTITION BY seed ORDER BY {order}) <= {limit}) GROUP BY seed"
+
+
+@query(f"""
+WITH {_EDGES_SQL},
+{_pairs_sql(8, 1).strip()},
+er AS (SELECT src, dst, round(c, 6) AS c FROM e),
+l1 AS ({_list_sql("SELECT dst AS seed, src AS node, 1 AS hops, c AS confidence FROM er WHERE src <> dst", "seed", "hops, confidence DESC, node", 25, "node: node, hops: hops, confidence: confidence")}),
+l2 AS ({_list_sql("SELECT src AS seed, dst AS node, 1 AS hops, c AS confidence FROM er WHERE src <> dst", "seed", "hops, confidence DESC, node", 25, "node: node, hops: hops, confidence: confidence")}),
+l3 AS ({_list_sql("SELECT file_a AS seed, file_b AS other, count FROM pairs UNION ALL SELECT file_b, file_a, count FROM pairs", "seed", "count DESC, other", 8, "other: other, count: count")}),
+l4 AS ({_list_sql("SELECT DISTINCT l_suppkey AS seed, l_orderkey AS hash, strftime(o_orderdate, '%Y-%m-%d') AS date FROM lineitem JOIN orders ON o_orderkey = l_orderkey", "seed", "date DESC, hash", 5, "hash: hash, date: date")}),
+l5 AS ({_list_sql("SELECT DISTINCT d.doc_id AS seed, b.item_id AS issue_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)", "seed", "issue_id", 20, "issue_id: issue_id")})
+SELECT s_suppkey AS chunk_id, '{{"chunk_id":' || s_suppkey || ',"qualified_name":' || to_json(s_name) || ',"graph_context":{{"callers":' || coalesce(l1.j::VARCHAR, '[]') || ',"callees":' || coalesce(l2.j::VARCHAR, '[]')
+       || ',"co_changed":' || coalesce(l3.j::VARCHAR, '[]') || ',"recent_commits":' || coalesce(l4.j::VARCHAR, '[]') || ',"related_issues":' || coalesce(l5.j::VARCHAR, '[]') || '}}}}' AS json
+FROM supplier LEFT JOIN l1 ON l1.seed = s_suppkey LEFT JOIN l2 ON l2.seed = s_suppkey LEFT JOIN l3 ON l3.seed = s_suppkey LEFT JOIN l4 ON l4.seed = s_suppkey LEFT JOIN l5 ON l5.seed = s_suppkey""")
 def q31b_graph_context_json(spark, sf_dir):
     return pack.packed(_context(spark, sf_dir)).select("chunk_id", "json")
 
 
-@query("SELECT c_custkey AS chunk_id, c_name AS symbol_name, c_mktsegment AS symbol_type FROM customer WHERE c_name = 'Customer#000000042' ORDER BY c_custkey LIMIT 1")
+@query("""SELECT qualified_name, name, chunk_id FROM (SELECT 'src/c' || c_nationkey || '.ts::' || c_name AS qualified_name, c_name AS name, c_custkey AS chunk_id FROM customer
+UNION ALL SELECT 'Customer#000000042', 'other', 0) WHERE qualified_name = 'Customer#000000042' OR name = 'Customer#000000042' ORDER BY (qualified_name = 'Customer#000000042') DESC, qualified_name LIMIT 5""")
 def q32_symbol_lookup(spark, sf_dir):
-    named = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chunk_id"), F.col("c_name").alias("symbol_name"), F.col("c_mktsegment").alias("symbol_type"))
-    return filters.matching(named, {"symbol_name": "Customer#000000042"}).orderBy("chunk_id").limit(1)
+    """An exact qualified name before short names."""
+    customers = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("src/c"), F.col("c_nationkey"), F.lit(".ts::"), F.col("c_name")).alias("qualified_name"), F.col("c_name").alias("name"), F.col("c_custkey").alias("chunk_id"))
+    whole = spark.createDataFrame([("Customer#000000042", "other", 0)], "qualified_name string, name string, chunk_id long")
+    return retrieval.lookup_symbol(customers.unionByName(whole), "Customer#000000042", 5)
 
 
 # ---- changes and state
 
 
-@query("""
-WITH k AS (SELECT doc_id, source, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS name FROM documents),
+@query(r"""
+WITH k AS (SELECT doc_id, source, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+'))) AS name FROM documents),
 a AS (SELECT DISTINCT name FROM k WHERE source = 'src1'), b AS (SELECT DISTINCT name FROM k WHERE source = 'src2')
 (SELECT name FROM a EXCEPT SELECT name FROM b) UNION ALL (SELECT name FROM b EXCEPT SELECT name FROM a)""")
 def q33_name_symmetric_diff(spark, sf_dir):
@@ -395,9 +498,9 @@ def q33_name_symmetric_diff(spark, sf_dir):
     return changes.symmetric_difference(side("src1"), side("src2"))
 
 
-@query("""
-WITH k AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS token FROM documents),
-n AS (SELECT DISTINCT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS token FROM benchmark),
+@query(r"""
+WITH k AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+'))) AS token FROM documents),
+n AS (SELECT DISTINCT unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+'))) AS token FROM benchmark),
 p AS (SELECT doc_id FROM labels WHERE toxic = 1)
 SELECT DISTINCT doc_id FROM k WHERE token IN (SELECT token FROM n WHERE length(token) >= 12) AND doc_id NOT IN (SELECT doc_id FROM p)""")
 def q34_referencers_token_join(spark, sf_dir):
@@ -407,6 +510,28 @@ def q34_referencers_token_join(spark, sf_dir):
     return changes.referencers(mentions, names, processed).select(F.col("file_path").alias("doc_id"))
 
 
+@query("""
+WITH e AS (SELECT p_partkey AS ordinal, p_brand AS file_path, p_name AS name, 'q' || p_partkey AS qn FROM part),
+gone AS (SELECT DISTINCT name FROM e WHERE file_path = 'Brand#11'), left_ AS (SELECT * FROM e WHERE file_path <> 'Brand#11'),
+r AS (SELECT l_orderkey, l_linenumber, 'src/u' || l_suppkey || '.ts' AS file_path, p_name AS to_name FROM lineitem JOIN part ON p_partkey = l_partkey),
+hit AS (SELECT DISTINCT file_path FROM r WHERE to_name IN (SELECT name FROM gone)),
+once AS (SELECT name, min(qn) AS qn FROM left_ GROUP BY name HAVING count(*) = 1)
+SELECT r.file_path, r.to_name, once.qn AS to_qn, CASE WHEN once.qn IS NULL THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence, count(*)::BIGINT AS n
+FROM r JOIN hit USING (file_path) LEFT JOIN once ON once.name = r.to_name GROUP BY ALL""")
+def q34b_relinked_relations(spark, sf_dir):
+    """After a file (a brand) is deleted: the files that call a name of it have all their calls resolved again, to the one symbol of that name that is left, or to none."""
+    part = table(spark, sf_dir, "part")
+    entities = part.select(F.col("p_brand").alias("file_path"), F.col("p_name").alias("name"), F.concat(F.lit("q"), F.col("p_partkey")).alias("qualified_name"), F.lit("class").alias("symbol_type"), F.col("p_partkey").alias("ordinal"))
+    calls = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.concat(F.lit("src/u"), F.col("l_suppkey"), F.lit(".ts")).alias("file_path"), F.col("p_name").alias("to_name"), F.lit("CALLS").alias("rel_type"), F.lit(0.9).alias("confidence"), F.lit("heuristic").alias("resolution_type"), F.lit(None).cast("string").alias("to_qn"))
+    change = spark.createDataFrame([("deleted", "Brand#11", None)], "status string, path string, old_path string")
+    after = entities.filter("file_path <> 'Brand#11'")
+    names = changes.affected_names(change, entities.select("file_path", "name"), after.select("file_path", "name"))
+    hit = changes.referencers(calls.select("file_path", F.col("to_name").alias("token")), names, changes.changed_paths(change).withColumnRenamed("path", "file_path"))
+    linked = resolve.cross_file(resolve.same_file(calls.join(hit, "file_path", "left_semi"), after), after)
+    return linked.groupBy("file_path", "to_name", "to_qn", "confidence").agg(F.count("*").alias("n"))
+
+
 _CHANGES_SQL = """
 ch AS (
   SELECT CASE event_type WHEN 'click' THEN 'modified' WHEN 'signup' THEN 'added' WHEN 'error' THEN 'deleted' ELSE CASE WHEN value < 50 THEN 'renamed' ELSE 'deleted' END END AS status,
@@ -483,7 +608,7 @@ def q41_repair_candidates(spark, sf_dir):
     return state.repair_candidates(files).select("file_path", "reason", "indexed_at")
 
 
-@query()
+@query("SELECT doc_id AS file_path FROM documents ORDER BY md5('0:' || doc_id), doc_id LIMIT least(200, greatest(1, (SELECT count(*) // 5 FROM documents)))")
 def q42_deterministic_sample(spark, sf_dir):
     return state.sample_files(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_path")), 0.2, 200)
 
@@ -526,17 +651,19 @@ def q45_eval_mrr(spark, sf_dir):
     return evaluation.reciprocal_rank(_ranked_docs(spark, sf_dir), _relevant(spark, sf_dir))
 
 
-@query("""
-SELECT doc_id, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), ['thing', 'with', 'the', 'retion', 'that']))::BIGINT AS rerank_score
+@query(r"""
+SELECT doc_id, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')), ['thing', 'with', 'the', 'retion', 'that']))::BIGINT AS rerank_score
 FROM documents ORDER BY rerank_score DESC, doc_id LIMIT 50""")
 def q46_rerank_overlap(spark, sf_dir):
     return retrieval.rerank_overlap(table(spark, sf_dir, "documents"), "thing with the retion that", "text", "doc_id", 50).select("doc_id", "rerank_score")
 
 
 @query(f"""
-SELECT doc_id, md5('Symbol: doc-' || doc_id || chr(10) || 'Signature: ' || lang || chr(10) || 'Docstring: (không có)' || chr(10) || 'Code:' || chr(10) || substring({_STRIP}, 1, 500)) AS prompt_md5 FROM documents""")
+SELECT doc_id, md5('Viết 1-2 câu tiếng Việt mô tả nghiệp vụ (business semantics) của hàm/lớp dưới đây.' || chr(10) || 'Tập trung vào: làm gì theo góc nhìn nghiệp vụ, khi nào dùng đến.' || chr(10)
+  || 'Không giải thích kỹ thuật, không nhắc tên biến/tên hàm.' || chr(10) || 'Chỉ trả về 1-2 câu tiếng Việt, không thêm dấu trích dẫn, không markdown.' || chr(10) || chr(10)
+  || 'Tên: doc-' || doc_id || chr(10) || 'Loại: ' || source || chr(10) || 'Signature: ' || lang || chr(10) || 'Docstring: (không có)' || chr(10) || 'Code:' || chr(10) || substring({_STRIP}, 1, 500) || chr(10)) AS prompt_md5 FROM documents""")
 def q47_prompt_build(spark, sf_dir):
-    made = tx.prompt(F.concat(F.lit("doc-"), F.col("doc_id")), F.col("lang"), F.lit(None).cast("string"), F.col("text"))
+    made = tx.prompt(F.concat(F.lit("doc-"), F.col("doc_id")), F.col("source"), F.col("lang"), F.lit(None).cast("string"), F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(made.cast("binary")).alias("prompt_md5"))
 
 
@@ -548,6 +675,20 @@ def q48_output_clean(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(tx.cleaned(answer).cast("binary")).alias("cleaned_md5"))
 
 
+@query("""
+WITH j AS (SELECT conv_id * 1000 + turn AS chunk_id, turn % 4 AS attempts, conv_id FROM conversations),
+o AS (SELECT conv_id * 1000 + turn AS chunk_id, CASE WHEN turn % 3 = 0 THEN '' ELSE text END AS description FROM conversations WHERE conv_id % 5 <> 0)
+SELECT j.chunk_id, CASE WHEN o.chunk_id IS NULL OR coalesce(description, '') <> '' THEN 'done' WHEN attempts >= 3 THEN 'failed' ELSE 'pending' END AS status,
+       CASE WHEN o.chunk_id IS NOT NULL AND coalesce(description, '') = '' THEN 'empty description' END AS error
+FROM j LEFT JOIN o USING (chunk_id)""")
+def q48b_description_outcomes(spark, sf_dir):
+    """Claimed jobs after a worker: turns are jobs, those of every fifth conversation have lost their chunk, every third answer is empty."""
+    turns = table(spark, sf_dir, "conversations").withColumn("chunk_id", F.col("conv_id") * 1000 + F.col("turn"))
+    jobs = turns.select("chunk_id", F.lit("processing").alias("status"), (F.col("turn") % 4).alias("attempts"))
+    answers = turns.filter("conv_id % 5 <> 0").select("chunk_id", F.lit(True).alias("found"), F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("text")).alias("description"), F.lit(None).cast("string").alias("error"))
+    return state.described(jobs, answers).select("chunk_id", "status", "error")
+
+
 @query("SELECT l_suppkey AS file_path, count(*)::BIGINT AS n, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_partkey) AS entities FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) GROUP BY 1")
 def q49_group_by_file(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("file_path"), "l_partkey")

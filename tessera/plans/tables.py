@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import html_text, windows
+from tessera.operators import retrieval
 from tessera.operators.graph import merge_edges
+from tessera.workspace import exists, scratch, stamp
 
 # How event types stand for change codes and job events.
 CHANGE_OF = {"click": "M", "signup": "A", "error": "D", "purchase": "R"}
@@ -17,6 +19,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_MADE: dict[tuple, str] = {}
+
+
+def made_once(spark: SparkSession, sf_dir: str, source: str, name: str, write) -> str:
+    """The path of something derived from a table, written by write(path) when first asked for in a session and again once the table's file has changed."""
+    key = spark.sparkContext.applicationId, sf_dir, name, stamp(spark, f"{sf_dir}/{source}.parquet")
+    if key not in _MADE or not exists(spark, _MADE[key]):
+        path = scratch(spark, name)
+        write(path)
+        _MADE[key] = path
+    return _MADE[key]
+
+
+def document_postings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return retrieval.read_postings(spark, made_once(spark, sf_dir, "documents", "doc-postings", lambda path: retrieval.write_postings(docs, path, "doc_id", "text")))
+
+
+def turn_postings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text")
+    return retrieval.read_postings(spark, made_once(spark, sf_dir, "conversations", "turn-postings", lambda path: retrieval.write_postings(turns, path, "turn_id", "text")))
+
+
 def mapped(column, values: dict):
     out = F.lit(None).cast("string")
     for k, v in values.items():
@@ -37,7 +62,9 @@ def edge_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge_edges(edge_writes(spark, sf_dir), ["l_orderkey", "l_linenumber", "l_extendedprice"])
+    """The merged edges, written once: a path search then starts from few rows instead of merging all writes."""
+    merge = lambda path: merge_edges(edge_writes(spark, sf_dir), ["l_orderkey", "l_linenumber", "l_extendedprice"]).write.parquet(path)
+    return spark.read.parquet(made_once(spark, sf_dir, "lineitem", "edges", merge))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,12 +15,15 @@ CONFIDENCE = {"call_name": 0.9, "call_member": 0.5, "heritage": 0.7, "import": 0
 EMBEDDABLE = ("function", "method", "class", "interface")
 COLLECTIONS = ("code_ts", "code_ts_desc", "code_cs", "code_cs_desc", "docs", "issues")
 DEFAULT_COLLECTIONS = COLLECTIONS[:5]
+#: Collections of natural language; the others hold code.
+TEXT_COLLECTIONS = ("code_ts_desc", "code_cs_desc", "docs", "issues")
 SOURCE_SUFFIXES = ("ts", "tsx", "js", "jsx", "mts", "cts", "cs")
 DOC_SUFFIXES = ("md", "markdown", "txt")
 SKIPPED_FOLDERS = ("/node_modules/", "/dist/", "/bin/", "/obj/", "/.git/")
+#: Fields of a packed hit, in this order.
 HIT_FIELDS = (
-    "chunk_id", "qualified_name", "symbol_name", "symbol_type", "parent_class", "title", "content", "file_path", "line_start", "line_end",
-    "language", "repo", "source_reliability", "matched_collection", "matched_via", "score", "rerank_score",
+    "chunk_id", "qualified_name", "symbol_name", "symbol_type", "language", "content", "title", "file_path", "line_start", "line_end",
+    "repo", "source_type", "source_reliability", "matched_via", "matched_collection", "score", "rerank_score",
 )
 
 ENTITY = T.StructType([
@@ -36,11 +39,6 @@ PARSED = T.StructType([
     T.StructField("file_path", T.StringType()), T.StructField("language", T.StringType()), T.StructField("entities", T.ArrayType(ENTITY)),
     T.StructField("relations", T.ArrayType(RELATION)), T.StructField("error", T.StringType()),
 ])
-CHANGE = T.StructType([T.StructField("status", T.StringType()), T.StructField("path", T.StringType()), T.StructField("old_path", T.StringType())])
-COMMIT = T.StructType([
-    T.StructField("hash", T.StringType()), T.StructField("author", T.StringType()), T.StructField("date", T.TimestampType()), T.StructField("message", T.StringType()),
-    T.StructField("files", T.ArrayType(T.StringType())),
-])
 CSHARP_ENTITY = "qualified_name string, name string, type string, class_name string, namespace string, file_path string, line_start int, line_end int, content string, signature string, visibility string, is_async boolean, return_type string, docstring string"
 CSHARP_RELATION = "`from` string, `to` string, type string, confidence double, resolution_type string"
 CSHARP_RESULT = f"entities array<struct<{CSHARP_ENTITY.replace(' string', ':string').replace(' int', ':int').replace(' boolean', ':boolean')}>>, relations array<struct<{CSHARP_RELATION.replace(' string', ':string').replace(' double', ':double')}>>"

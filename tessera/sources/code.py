@@ -1,8 +1,9 @@
 """Symbols and relations of TypeScript and JavaScript files, and of exported C# analyses.
 
 A file is one row and is parsed by itself; a file that cannot be parsed becomes a row with an error.
-The scanner reads tokens, not a grammar: it knows comments, strings, templates, brackets, class and
-interface bodies, functions, arrow functions in variables, heritage, imports and calls.
+The scanner reads tokens, not a grammar: it knows comments, strings, templates, regular expressions,
+brackets, class and interface bodies, functions, arrow functions in variables, heritage, imports and
+calls. Symbols in namespaces and blocks count, those within functions do not.
 """
 
 from __future__ import annotations
@@ -18,18 +19,66 @@ from tessera.functions.text import suffix
 from tessera.schema import CONFIDENCE, CSHARP_RESULT, PARSED
 
 _TOKEN = re.compile(r"""
-    (?P<comment>//[^\n]*|/\*.*?\*/) | (?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)
+    (?P<space>\s+) | (?P<comment>//[^\n]*|/\*.*?\*/) | (?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')
   | (?P<word>[A-Za-z_$][\w$]*) | (?P<arrow>=>) | (?P<mark>[{}()\[\];,.=:<>?@]) | (?P<other>[^\s\w])|(?P<number>\d[\w.]*)""", re.X | re.S)
 # Words that are followed by parentheses or a block without being names.
 _KEYWORDS = frozenset("if for while switch catch return function new typeof await do else try finally throw delete void in of instanceof case default yield super import export const let var class interface extends implements async static".split())
 _MODIFIERS = frozenset("public private protected static readonly abstract override async get set declare".split())
 _PAIRS = {"(": ")", "{": "}", "[": "]"}
+_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
+#: Words after which a slash opens a regular expression.
+_BEFORE_REGEX = frozenset("return typeof case in of delete void throw new else do instanceof await yield".split())
+
+
+def _template_end(text: str, at: int) -> int:
+    """The place behind the template literal that opens at `at`, whatever its substitutions hold."""
+    i, depths = at + 1, [0]  # one entry for each template around; braces open in its substitution
+    while i < len(text):
+        c = text[i]
+        if depths[-1] == 0:  # in the template's text
+            if c == "\\":
+                i += 1
+            elif c == "`":
+                depths.pop()
+                if not depths:
+                    return i + 1
+            elif text.startswith("${", i):
+                depths[-1], i = 1, i + 1
+        elif c == "`":
+            depths.append(0)
+        elif m := _TOKEN.match(text, i):
+            if m.lastgroup in ("comment", "string"):
+                i = m.end() - 1
+            else:
+                depths[-1] += (c == "{") - (c == "}")
+        i += 1
+    return len(text)
+
+
+def _scanned(text: str) -> list[tuple[str, str, int, int]]:
+    """(kind, value, start, end) of the tokens and comments of a file."""
+    out, i, last = [], 0, None
+    while i < len(text):
+        if text[i] == "`":
+            kind, end = "string", _template_end(text, i)
+        elif text[i] == "/" and (last is None or last[1] in _BEFORE_REGEX or last[0] not in ("word", "number", "string", "regex") and last[1] not in (")", "]")) and (m := _REGEX.match(text, i)):
+            kind, end = "regex", m.end()
+        elif m := _TOKEN.match(text, i):
+            kind, end = m.lastgroup, m.end()
+        else:
+            i += 1
+            continue
+        if kind != "space":
+            out.append((kind, text[i:end], i, end))
+            last = out[-1] if kind != "comment" else last
+        i = end
+    return out
 
 
 class _File:
     def __init__(self, path: str, text: str):
         self.path, self.text = path, text
-        every = [(m.lastgroup, m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
+        every = _scanned(text)
         self.comments = [x for x in every if x[0] == "comment"]
         self.toks = [x for x in every if x[0] != "comment"]
         self.close = self._brackets()
@@ -159,13 +208,22 @@ class _File:
             i = self.close.get(i, i) + 1
         return end + 1
 
+    def ends(self, at: int) -> bool:
+        """Whether a line ends behind token `at` that closes its statement."""
+        if at + 1 >= len(self.toks) or "\n" not in self.text[self.toks[at][3] : self.toks[at + 1][2]]:
+            return False
+        return self.value(at + 1) not in (".", "?", ":", "=>", "=", ",", "|", "&") and self.value(at) not in ("=", "=>", ".", "?", ":", ",", "|", "&")
+
     def variables(self, first: int) -> int:
         """const, let and var: arrow functions and function expressions in them are functions."""
         i = first + 1
         while i < len(self.toks) and self.toks[i][0] == "word":
             name_at = i
-            while i < len(self.toks) and self.value(i) not in ("=", ";", ","):
-                i = self.close.get(i, i) + 1
+            while i < len(self.toks) and self.value(i) not in ("=", ";", ",", ")", "]", "}"):
+                after = self.close.get(i, i)
+                i = after + 1
+                if self.ends(after):
+                    return i
             if self.value(i) == "=":
                 at = i + 1 + (self.value(i + 1) == "async")
                 opened = at
@@ -182,13 +240,13 @@ class _File:
                             last = self.close.get(last + 1, last + 1)
                         qn = self.add("function", self.value(name_at), name_at, last, self.source(opened, arrow))
                         self.calls(qn, arrow + 1, last + 1)
-            while i < len(self.toks) and self.value(i) not in (";", ","):
+            while i < len(self.toks) and self.value(i) not in (";", ",", ")", "]", "}"):
                 after = self.close.get(i, i)
-                if after + 1 < len(self.toks) and "\n" in self.text[self.toks[after][3] : self.toks[after + 1][2]] and self.value(after + 1) not in (".", "?", ":", "=>", "=") and self.value(after) not in ("=", "=>", ".", "?", ":"):
-                    return after + 1
                 i = after + 1
+                if self.ends(after):
+                    return i
             if self.value(i) != ",":
-                return i + 1
+                return i + (self.value(i) == ";")
             i += 1
         return i
 
@@ -217,7 +275,7 @@ class _File:
             elif v in ("const", "let", "var"):
                 i = self.variables(i)
             else:
-                i = self.close.get(i, i) + 1
+                i = max(i, start) + 1
 
 
 def parse_file(path: str, text: str) -> dict:

@@ -1,7 +1,8 @@
-"""Tables of points, partitioned by collection: what a vector store's upserts and deletes are in Spark.
+"""Named tables in versions, and the points of collections: what a store's upserts and deletes are in Spark.
 
-Parquet has no MERGE, so a change is written beside the table first and then takes the place of the
-partitions that it touches. One writer at a time.
+Parquet has no MERGE, so a change is a new version of a table beside the old one. A version counts once
+Spark has marked it as whole, so a writer that is lost leaves the old one in place. The version before
+is kept, as readers may be at it. One writer at a time.
 """
 
 from __future__ import annotations
@@ -11,57 +12,101 @@ from pyspark.sql import functions as F
 
 from tessera.operators.changes import patch, upsert
 from tessera.schema import COLLECTIONS
-from tessera.workspace import scratch
+from tessera.workspace import children, exists, remove
 
 PARTITION = "collection"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+class Tables:
+    """Tables by name under one folder."""
 
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
 
-def read_points(spark: SparkSession, path: str) -> DataFrame:
-    """The points of all collections; a filter on collection reads only its partition."""
-    return spark.read.parquet(path)
+    def _versions(self, name: str) -> list[str]:
+        at = f"{self.root}/{name}"
+        return [f"{at}/{v}" for v in children(self.spark, at) if v.startswith("v") and exists(self.spark, f"{at}/{v}/_SUCCESS")]
+
+    def __contains__(self, name: str) -> bool:
+        return bool(self._versions(name))
+
+    def get(self, name: str) -> DataFrame | None:
+        found = self._versions(name)
+        return self.spark.read.parquet(found[-1]) if found else None
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if (df := self.get(name)) is None:
+            raise KeyError(name)
+        return df
+
+    def put(self, name: str, df: DataFrame, partition: str | None = None) -> DataFrame:
+        """Writes df as the table's next version; returns it as read."""
+        found = self._versions(name)
+        number = int(found[-1].rsplit("v", 1)[1]) + 1 if found else 1
+        path = f"{self.root}/{name}/v{number:08d}"
+        remove(self.spark, path)  # what a lost writer left
+        writer = df.write.partitionBy(partition) if partition else df.write
+        writer.parquet(path)
+        for old in found[:-1]:
+            remove(self.spark, old)
+        return self.spark.read.parquet(path)
+
+    def replaced(self, name: str, rows: DataFrame, files: DataFrame, partition: str | None = None) -> DataFrame:
+        """Puts rows in place of all that the table holds of files (file_path)."""
+        old = self.get(name)
+        kept = rows if old is None else old.join(files.select("file_path").distinct(), "file_path", "left_anti").unionByName(rows, allowMissingColumns=True)
+        return self.put(name, kept, partition)
+
+
+def read_points(spark: SparkSession, path: str, collections: tuple[str, ...] = COLLECTIONS) -> DataFrame | None:
+    """The points of collections; each is a table of its own. None if none of them was ever written."""
+    tables, out = Tables(spark, path), None
+    for c in collections:
+        if (some := tables.get(c)) is not None:
+            some = some.withColumn(PARTITION, F.lit(c))
+            out = some if out is None else out.unionByName(some, allowMissingColumns=True)
+    return out
+
+
+def _touched(points: DataFrame) -> list[str]:
+    """The collections of points; an error if one is unknown."""
+    if unknown := points.filter(~F.coalesce(F.col(PARTITION).isin(*COLLECTIONS), F.lit(False))).select(PARTITION).first():
+        raise ValueError(f"unknown collection: {unknown[0]}")
+    return sorted(r[0] for r in points.select(PARTITION).distinct().collect())  # known names only
 
 
 def write_points(points: DataFrame, path: str) -> None:
-    """Puts these points in place of all of the collections that they belong to."""
-    spark = points.sparkSession
-    aside = scratch(spark, "points")
-    points.filter(F.col(PARTITION).isin(*COLLECTIONS)).write.parquet(aside)
-    spark.read.parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PARTITION).parquet(path)
+    """Puts these points in place of all of the collections that they belong to. An unknown collection is an error."""
+    for c in _touched(points):
+        Tables(points.sparkSession, path).put(c, points.filter(F.col(PARTITION) == c).drop(PARTITION))
 
 
 def upsert_points(points: DataFrame, path: str) -> None:
-    """Adds points; those of an equal chunk_id in the same collection are replaced."""
-    spark = points.sparkSession
-    if not exists(spark, path):
-        write_points(points, path)
-        return
-    touched = points.select(PARTITION).distinct()
-    old = read_points(spark, path).join(F.broadcast(touched), PARTITION, "left_semi")  # six names at most
-    write_points(upsert(old, points, [PARTITION, "chunk_id"]), path)
+    """Adds points; those of an equal chunk_id in the same collection are replaced. An unknown collection is an error."""
+    _changed(points, path, lambda old, new: upsert(old, new, ["chunk_id"]))
 
 
 def patch_points(values: DataFrame, path: str) -> None:
     """Merges columns (collection, chunk_id, ...) into the points there are."""
-    old = read_points(values.sparkSession, path).join(F.broadcast(values.select(PARTITION).distinct()), PARTITION, "left_semi")
-    write_points(patch(old, values, [PARTITION, "chunk_id"]), path)
+    _changed(values, path, lambda old, new: patch(old, new, ["chunk_id"]), only_old=True)
+
+
+def _changed(rows: DataFrame, path: str, change, only_old: bool = False) -> None:
+    tables = Tables(rows.sparkSession, path)
+    for c in _touched(rows):
+        some, old = rows.filter(F.col(PARTITION) == c).drop(PARTITION), tables.get(c)
+        if old is not None or not only_old:
+            tables.put(c, some if old is None else change(old, some))
 
 
 def delete_points(files: DataFrame, path: str, collections: tuple[str, ...] = COLLECTIONS) -> None:
-    """Takes the points of files out of the named collections; a collection may end up empty."""
-    spark = files.sparkSession
-    gone = files.select("file_path").distinct()
-    old = read_points(spark, path)
-    inside = F.col(PARTITION).isin(*collections)
-    kept = old.filter(~inside).unionByName(old.filter(inside).join(gone, "file_path", "left_anti"))
-    aside = scratch(spark, "points")
-    kept.write.parquet(aside)
-    spark.read.schema(kept.schema).parquet(aside).write.mode("overwrite").partitionBy(PARTITION).parquet(path)
+    """Takes the points of files out of the named collections; a collection may end up empty, one without such points is not rewritten."""
+    tables, gone = Tables(files.sparkSession, path), files.select("file_path").distinct()
+    for c in collections:
+        old = tables.get(c)
+        if old is not None and old.join(gone, "file_path", "left_semi").limit(1).count():
+            tables.put(c, old.join(gone, "file_path", "left_anti"))
 
 
 def point(spark: SparkSession, path: str, collection: str, chunk_id: str) -> DataFrame:
-    return read_points(spark, path).filter((F.col(PARTITION) == collection) & (F.col("chunk_id") == chunk_id))
+    return read_points(spark, path, (collection,)).filter(F.col("chunk_id") == chunk_id)

@@ -65,3 +65,17 @@ def run_available(stream: DataFrame, sink, checkpoint: str, mode: str = "update"
     """Works off what has arrived, then stops."""
     q = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def apply_stream(changes: DataFrame, apply, checkpoint: str) -> None:
+    """Works off a stream of change records (status, path, old_path, content): each micro-batch is one call of apply(changes, contents).
+
+    Of several records for a path in a batch all count as changes, and the last content by `at` is the
+    path's. A batch that is repeated after a failure applies again and leaves the same tables.
+    """
+
+    def write(rows: DataFrame, _: int) -> None:
+        last = rows.filter("content is not null").groupBy(F.col("path").alias("file_path")).agg(F.max_by("content", "at").alias("content"))
+        apply(rows.select("status", "path", "old_path").distinct(), last)
+
+    run_available(changes, write, checkpoint, "append")

@@ -1,13 +1,19 @@
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from tessera.api import Engine
-from tessera.sources import code
+from tessera.operators import changes
+from tessera.sources import code, store
+from tessera.streaming import jobs
 
 SOURCES = [
-    ("src/auth/Validator.ts", "export class Validator {\n  /** Checks it. */\n  checkPassword(p: string): boolean { return p.length > 3; }\n}\nexport class StrictValidator extends Validator {\n  checkPassword(p: string) { return strong(p); }\n}\nfunction strong(p: string) { return p.length > 9; }\n"),
-    ("src/auth/AuthService.ts", "import { checkCreditLimit } from '../credit/limits';\nexport class AuthService {\n  approveLoan(a: number) { return checkCreditLimit(a); }\n}\n"),
-    ("src/credit/limits.ts", "export const checkCreditLimit = (a: number): boolean => a < 100;\nconst max = 5;\n"),
-    ("src/bad.py", "x = 1"),
+    ("lib/tide/Gauge.ts", "export class Gauge {\n  /** Reads it. */\n  readLevel(p: string): boolean { return p.length > 3; }\n}\nexport class DeepGauge extends Gauge {\n  readLevel(p: string) { return steady(p); }\n}\nfunction steady(p: string) { return p.length > 9; }\n"),
+    ("lib/port/Harbour.ts", "import { mooringFee } from '../fees/mooring';\nexport class Harbour {\n  admitShip(a: number) { return mooringFee(a); }\n}\n"),
+    ("lib/fees/mooring.ts", "export const mooringFee = (a: number): boolean => a < 100;\nconst most = 5;\n"),
+    ("lib/port/main.ts", "import { mooringFee } from '../fees/mooring';\nif (mooringFee(3)) { start(); }\n"),
+    ("lib/bad.py", "x = 1"),
 ]
 
 
@@ -18,13 +24,40 @@ def files(spark, rows=SOURCES):
 def test_scanner(spark):
     parsed = code.parse_sources(files(spark)).cache()
     names = {r["qualified_name"]: r for r in code.entities_of(parsed).collect()}
-    assert names["src/auth/Validator.ts"]["symbol_type"] == "module" and names["src/auth/Validator.ts::Validator.checkPassword"]["line_start"] == 3
-    assert names["src/auth/Validator.ts::Validator.checkPassword"]["docstring"] == "/** Checks it. */" and names["src/credit/limits.ts::checkCreditLimit"]["symbol_type"] == "function"
-    assert "src/credit/limits.ts::max" not in names
+    assert names["lib/tide/Gauge.ts"]["symbol_type"] == "module" and names["lib/tide/Gauge.ts::Gauge.readLevel"]["line_start"] == 3
+    assert names["lib/tide/Gauge.ts::Gauge.readLevel"]["docstring"] == "/** Reads it. */" and names["lib/fees/mooring.ts::mooringFee"]["symbol_type"] == "function"
+    assert "lib/fees/mooring.ts::most" not in names
     rel = {(r["from_qn"], r["rel_type"], r["to_name"], r["confidence"]) for r in code.relations_of(parsed).collect()}
-    assert ("src/auth/Validator.ts::StrictValidator", "EXTENDS", "Validator", 0.7) in rel and ("src/auth/AuthService.ts", "IMPORTS", "../credit/limits", 0.8) in rel
-    assert ("src/auth/AuthService.ts::AuthService.approveLoan", "CALLS", "checkCreditLimit", 0.9) in rel
-    assert [r["file_path"] for r in parsed.filter("error is not null").collect()] == ["src/bad.py"]
+    assert ("lib/tide/Gauge.ts::DeepGauge", "EXTENDS", "Gauge", 0.7) in rel and ("lib/port/Harbour.ts", "IMPORTS", "../fees/mooring", 0.8) in rel
+    assert ("lib/port/Harbour.ts::Harbour.admitShip", "CALLS", "mooringFee", 0.9) in rel
+    assert [r["file_path"] for r in parsed.filter("error is not null").collect()] == ["lib/bad.py"]
+
+
+def test_scanner_below_the_top_level():
+    source = r"""
+namespace Tides {
+  export function helper(a: number) { return compute(a); }
+  export class Log { total(x: number) { return /[{]/.test(x) ? sum(x) : `a ${ x > 1 ? `{ ${ x }` : "}" } {`; } post() { send(); } }
+}
+if (DEBUG) {
+  function inBlock() { ping(); }
+  const arrow = async (q: string) => { pong(q); };
+}
+for (const x of xs) { function looped() {} }
+let plain: number
+function afterRegex() { const r = /["'`]{/g; function nested() {} return r; }
+const ratio = a / b / c, other = 3;
+describe("x", () => { function within() { deep(); } });
+export const last = (z) => z / 2;
+"""
+    found = code.parse_file("a.ts", source)
+    names = [e["qualified_name"].removeprefix("a.ts::") for e in found["entities"]]
+    assert names == ["a.ts", "helper", "Log", "Log.total", "Log.post", "inBlock", "arrow", "looped", "afterRegex", "within", "last"]
+    calls = {(r["from_qn"].removeprefix("a.ts::"), r["to_name"]) for r in found["relations"]}
+    assert {("helper", "compute"), ("Log.total", "sum"), ("Log.post", "send"), ("inBlock", "ping"), ("arrow", "pong"), ("within", "deep")} <= calls
+    assert [e["line_start"] for e in found["entities"]][-3:] == [12, 14, 15]
+    for broken in ("class A { f() { `", "const x = /", "function", "}}}((", "const a = b\n`${`"):
+        assert code.parse_file("b.js", broken)["error"] is None
 
 
 def test_csharp(spark):
@@ -33,25 +66,138 @@ def test_csharp(spark):
             {"qualified_name": "N::A", "name": "A", "type": "class", "file_path": "a.cs", "line_start": 1, "line_end": 9, "content": "class A"},
             {"qualified_name": "N::A.Go", "name": "Go", "type": "method", "class_name": "A", "file_path": "a.cs", "line_start": 2, "line_end": 3, "content": "Go"},
             {"qualified_name": "N::E", "name": "E", "type": "enum", "file_path": "a.cs"}],
-        "relations": [{"from": "N::A.Go", "to": "N.B.Run", "type": "CALLS", "confidence": 1.0}, {"from": "N::X", "to": "N.B", "type": "CALLS"}]}
-    e, r = code.csharp_results(spark.createDataFrame([(json.dumps(result),)], "json string"))
+        "relations": [{"from": "N::A.Go", "to": "N::A", "type": "CALLS", "confidence": 1.0}, {"from": "N::X", "to": "N.B", "type": "CALLS"}]}
+    exported = spark.createDataFrame([(json.dumps(result),)], "json string")
+    e, r = code.csharp_results(exported)
     assert {(x["qualified_name"], x["symbol_type"], x["parent_class"]) for x in e.collect()} == {("a.cs", "module", None), ("N::A", "class", None), ("N::A.Go", "method", "A")}
-    assert [(x["file_path"], x["to_name"], x["to_qn"], x["resolution_type"]) for x in r.collect()] == [("a.cs", "Run", "N.B.Run", "semantic")]
+    assert [(x["file_path"], x["to_qn"], x["resolution_type"]) for x in r.collect()] == [("a.cs", "N::A", "semantic")]
+    engine = Engine(spark)
+    told = engine.index_csharp(exported, files(spark, [("a.cs", "class A"), ("b.cs", "class B")]))
+    assert {(r["outcome"], r["file_path"]) for r in told.collect()} == {("indexed", "a.cs"), ("failed", "b.cs")}
+    assert [(r["node"], r["confidence"]) for r in engine.callers("N::A").collect()] == [("N::A.Go", 1.0)]
+    assert {r["collection"]: r["n"] for r in engine.stats().collect()}["code_cs"] == 2
+
+
+@pytest.fixture(scope="module")
+def engine(spark):
+    made = Engine(spark)
+    told = {(r["outcome"], r["file_path"]) for r in made.index_files(files(spark)).collect()}
+    assert told == {("indexed", p) for p, _ in SOURCES[:4]} | {("failed", "lib/bad.py")}
+    docs = [("docs/fees.md", "# Mooring fee\nThe mooring fee is asked before a ship enters.\n"), ("docs/han.md", "# Hạn mức\nHạn mức tín dụng của khách hàng, credit-limit.\n"), ("docs/old.pdf", "%PDF")]
+    assert {(r["outcome"], r["file_path"]) for r in made.index_docs(spark.createDataFrame(docs, "file_path string, text string")).collect()} == {("indexed", "docs/fees.md"), ("indexed", "docs/han.md"), ("failed", "docs/old.pdf")}
+    return made
+
+
+def test_indexing_is_one_unit(spark, engine):
+    edges = {(r["src"], r["rel_type"], r["dst"]) for r in engine.tables["edges"].collect()}
+    assert ("lib/tide/Gauge.ts", "DEFINES", "lib/tide/Gauge.ts::Gauge.readLevel") in edges and ("lib/port/Harbour.ts", "IMPORTS", "lib/fees/mooring.ts") in edges
+    real = {r["qualified_name"] for r in engine.tables["entities"].collect()}
+    assert all(src in real for src, _, _ in edges)
+    index = {r["file_path"]: r for r in engine.tables["file_index"].collect()}
+    assert index["lib/bad.py"]["status"] == "failed" and "unsupported" in index["lib/bad.py"]["error"] and index["lib/tide/Gauge.ts"]["status"] == "indexed"
+    assert len(index["lib/tide/Gauge.ts"]["chunk_ids"]) == 5 and len(index["lib/tide/Gauge.ts"]["node_ids"]) == 6 and index["lib/tide/Gauge.ts"]["indexed_at"]
+    states = {(r["file_path"], r["state"]) for r in engine.tables["intents"].collect()}
+    assert {("lib/bad.py", "intent"), ("lib/bad.py", "failed"), ("lib/tide/Gauge.ts", "done"), ("docs/han.md", "done"), ("docs/old.pdf", "failed")} <= states
+    assert engine.tables["jobs"].filter("status = 'pending' and attempts = 0").count() == store.read_points(spark, engine.points, ("code_ts",)).count() == 8
+    assert engine.tables["doc_index"].count() == 2 and engine.tables["documents"].filter("is_latest").count() == 2
+    before = {n: engine.tables[n].count() for n in ("entities", "relations", "edges", "jobs", "file_index", "postings", "lengths")}
+    engine.index_files(files(spark, SOURCES[:2]))
+    assert {n: engine.tables[n].count() for n in before} == before  # once more leaves the same
+    assert {r["outcome"]: r["n"] for r in Engine.summary(engine._outcomes(("indexed", files(spark)))).collect()} == {"indexed": 5}
+
+
+def test_search(spark, engine):
+    found = engine.callers("lib/fees/mooring.ts::mooringFee").collect()
+    assert [(r["node"], r["hops"], r["confidence"]) for r in found] == [("lib/port/Harbour.ts::Harbour.admitShip", 1, 0.7)]
+    assert engine.lookup_symbol("Harbour").first()["qualified_name"] == "lib/port/Harbour.ts::Harbour"
+    packed = lambda *a, **k: [json.loads(r["json"]) for r in engine.search(*a, **k).collect()]
+    hits = packed("mooring fee ship", top_k=3)
+    assert hits[0]["chunk_id"] and len(hits) == 3 and "graph_context" in hits[0] and any(h.get("matched_via") == "docs" and h["source_type"] == "doc" for h in hits)
+    assert all(h["language"] == "typescript" and h["source_type"] == "code" for h in packed("check", collections=["code_ts"], where={"language": "typescript"}))
+    assert len(packed("read level", rerank=True, top_k=2, expand_graph=False)) == 2
+    for query in ("mức", "HẠN MỨC", "credit-limit"):
+        assert packed(query, collections=["docs"], top_k=1)[0]["file_path"] == "docs/han.md"
+    assert packed("") == packed(" -- ") == packed("mooring", collections=["nope"]) == packed("mooring", collections=["issues"]) == []
+    whole = json.loads(engine.search_response('mooring "fee"', top_k=2))
+    assert whole["query"] == 'mooring "fee"' and len(whole["results"]) == 2 and whole["results"][0]["score"] >= whole["results"][1]["score"]
+    assert {r["collection"]: r["n"] for r in engine.stats().collect()}["docs"] == 2 and engine.health()["status"] == "ok"
+
+
+def test_embedders_by_collection(spark):
+    one, other = (lambda tokens, v=v: F.array(*map(F.lit, v)).cast("array<float>") for v in ([1.0, 0.0], [0.0, 1.0]))
+    engine = Engine(spark, embed=one, embed_text=other)
+    engine.index_files(files(spark, SOURCES[:1]))
+    engine.index_docs(spark.createDataFrame([("a.md", "some words")], "file_path string, text string"))
+    rows = {r["collection"]: r["dense"] for r in store.read_points(spark, engine.points).collect()}
+    assert rows["code_ts"] == [1.0, 0.0] and rows["docs"] == [0.0, 1.0]
+    assert len(engine.search("words", collections=["docs", "code_ts"]).collect()) == 6
+
+
+def test_descriptions(spark):
+    engine = Engine(spark)
+    engine.index_files(files(spark, SOURCES[:3]))
+    ids = {r["qualified_name"].split("::")[1]: r["chunk_id"] for r in engine.tables["jobs"].collect()}
+    store.delete_points(spark.createDataFrame([("lib/fees/mooring.ts",)], "file_path string"), engine.points)  # its job's chunk is lost
+    answer = lambda p: F.when(F.contains(p, F.lit("Tên: Harbour\n")), F.lit(' "- Lets ships in." ')).when(F.contains(p, F.lit("Loại: method")), F.lit("'' "))
+    told = {r["chunk_id"]: r["outcome"] for r in engine.describe(answer).collect()}
+    assert told[ids["Harbour"]] == "done" and told[ids["mooringFee"]] == "vanished" and told[ids["Harbour.admitShip"]] == "pending"
+    for _ in range(2):
+        told = {r["chunk_id"]: (r["outcome"], r["error"]) for r in engine.describe(answer).collect()}
+    assert told[ids["Harbour.admitShip"]] == ("failed", "empty description") and engine.describe(answer).count() == 0
+    point = store.point(spark, engine.points, "code_ts", ids["Harbour"]).first()
+    desc = store.point(spark, engine.points, "code_ts_desc", point["description_chunk_id"]).first()
+    assert point["description_status"] == "ready" and desc["content"] == "Lets ships in." and desc["linked_chunk_id"] == ids["Harbour"] and desc["source_type"] == "code_description"
+    assert engine.tables["entities"].filter("synthetic_description_vi = 'Lets ships in.'").count() == 1
+    hit = json.loads(engine.search("ships", collections=["code_ts_desc"], expand_graph=False).first()["json"])
+    assert hit["qualified_name"].endswith("::Harbour") and hit["matched_via"] == "description"
+    engine.index_files(files(spark, SOURCES[1:2]))
+    assert store.read_points(spark, engine.points, ("code_ts_desc",)).count() == 0 and engine.tables["postings"].filter("collection = 'code_ts_desc'").count() == 0
+
+
+def test_changes_relink_and_streams(spark, tmp_path):
+    engine = Engine(spark)
+    engine.index_files(files(spark, SOURCES[:4]))
+    changed = lambda *rows: spark.createDataFrame(list(rows), "status string, path string, old_path string")
+    told = engine.apply_changes(changed(("deleted", "lib/fees/mooring.ts", None)), files(spark, []))
+    # the second one names it outside of any symbol
+    assert {(r["outcome"], r["file_path"]) for r in told.collect()} == {("deleted", "lib/fees/mooring.ts"), ("relinked", "lib/port/Harbour.ts"), ("relinked", "lib/port/main.ts")}
+    assert engine.callers("lib/fees/mooring.ts::mooringFee").count() == 0 and engine.callees("lib/port/Harbour.ts::Harbour.admitShip").count() == 0
+    assert engine.tables["file_index"].filter("status = 'deleted'").first()["file_path"] == "lib/fees/mooring.ts"
+    # the function comes back elsewhere: edges of files that did not change find it
+    rows = [("added", "lib/money/fee.ts", None, "export function mooringFee(a: number) { return a; }", 1), ("modified", "lib/bad.py", None, "x", 1)]
+    spark.createDataFrame(rows, "status string, path string, old_path string, content string, at int").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("status string, path string, old_path string, content string, at int").parquet(str(tmp_path / "in"))
+    jobs.apply_stream(stream, engine.apply_changes, str(tmp_path / "log"))
+    assert [(r["node"], r["confidence"]) for r in engine.callers("lib/money/fee.ts::mooringFee").collect()] == [("lib/port/Harbour.ts::Harbour.admitShip", 0.5)]
+    assert engine.tables["file_index"].filter("status = 'failed'").first()["file_path"] == "lib/bad.py"
+    told = engine.rename_file("lib/money/fee.ts", "lib/fees/mooring.ts", SOURCES[2][1])
+    assert ("relinked", "lib/port/Harbour.ts") in {(r["outcome"], r["file_path"]) for r in told.collect()}
+    assert [(r["node"], r["confidence"]) for r in engine.callers("lib/fees/mooring.ts::mooringFee").collect()] == [("lib/port/Harbour.ts::Harbour.admitShip", 0.7)]
+
+
+def test_history_and_repair(spark):
+    engine = Engine(spark)
+    engine.index_files(files(spark))
+    paths = ["lib/tide/Gauge.ts", "lib/port/Harbour.ts", "gone/away.ts"]
+    engine.index_history(spark.createDataFrame([(f"h{i}", f"2024-01-0{i + 1}", paths) for i in range(4)], "hash string, date string, files array<string>"))
+    assert [(r["other"], r["count"]) for r in engine.co_changed(paths[0]).collect()] == [(paths[1], 4)] and engine.tables["touches"].count() == 8
+    some = engine.tables["jobs"].first()["chunk_id"]
+    engine.index_issues(spark.createDataFrame([(some, "I-1"), (some, "I-1"), ("none", "I-2")], "chunk_id string, issue_id string"))
+    assert engine.tables["issues"].count() == 1
+    store.delete_points(spark.createDataFrame([(paths[0],)], "file_path string"), engine.points)  # silent drift
+    engine.tables.put("file_index", changes.patch(engine.tables["file_index"], spark.createDataFrame([(paths[1], True)], "file_path string, dirty boolean"), ["file_path"]))
+    assert [r["file_path"] for r in engine.drift().collect()] == [paths[0]]
+    told = [(r["outcome"], r["file_path"], r["error"] is None) for r in engine.repair(fraction=1.0).collect()]
+    assert sorted(told) == [("dirty_processed", paths[1], True), ("failed_retried", "lib/bad.py", False), ("sample_marked_dirty", paths[0], True)]
+    told = {r["outcome"]: r["file_path"] for r in engine.repair(fraction=1.0).collect()}
+    assert told["dirty_processed"] == paths[0] and "sample_marked_dirty" not in told and engine.drift().count() == 0
+    assert engine.tables["file_index"].filter("dirty").count() == 0
 
 
-def test_engine_end_to_end(spark):
+def test_index_repo(spark, tmp_path):
+    for name, text in (("src/a.ts", "export function alpha() {}"), ("node_modules/b.ts", "function beta() {}"), ("read.md", "# Title\nwords\n")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
     engine = Engine(spark)
-    assert [r["file_path"] for r in engine.index_files(files(spark)).collect()] == ["src/bad.py"]
-    engine.index_docs(spark.createDataFrame([("docs/credit.md", "# Credit limit\nThe credit limit is checked before a loan.\n")], "file_path string, text string"))
-    found = engine.callers("src/credit/limits.ts::checkCreditLimit").collect()
-    assert [(r["node"], r["hops"], r["confidence"]) for r in found] == [("src/auth/AuthService.ts::AuthService.approveLoan", 1, 0.7)]
-    assert engine.lookup_symbol("AuthService").first()["qualified_name"] == "src/auth/AuthService.ts::AuthService"
-    hits = [json.loads(r["json"]) for r in engine.search("credit limit loan", top_k=3).collect()]
-    assert hits[0]["chunk_id"] and len(hits) == 3 and "graph_context" in hits[0] and any(h.get("matched_via") == "docs" for h in hits)
-    assert all(h["language"] == "typescript" for h in (json.loads(r["json"]) for r in engine.search("check", collections=["code_ts"], where={"language": "typescript"}).collect()))
-    assert len(engine.search("check password", rerank=True, top_k=2, expand_graph=False).collect()) == 2
-    assert {r["collection"]: r["n"] for r in engine.stats().collect()}["docs"] == 1 and engine.health()["status"] == "ok"
-    changed = spark.createDataFrame([("deleted", "src/credit/limits.ts", None)], "status string, path string, old_path string")
-    relinked = engine.apply_changes(changed, files(spark, []))
-    assert [r["file_path"] for r in relinked.collect()] == ["src/auth/AuthService.ts"]
-    assert engine.callers("src/credit/limits.ts::checkCreditLimit").count() == 0
+    told = {(r["outcome"], r["file_path"].rsplit("/", 1)[1]) for r in engine.index_repo(str(tmp_path)).collect()}
+    assert told == {("indexed", "a.ts"), ("indexed", "read.md")} and engine.lookup_symbol("alpha").count() == 1

@@ -1,3 +1,5 @@
+import pytest
+
 from tessera.operators import state
 from tessera.sources import store
 
@@ -5,7 +7,10 @@ from tessera.sources import store
 def test_points(spark, tmp_path):
     path = str(tmp_path / "points")
     make = lambda rows: spark.createDataFrame(rows, "collection string, chunk_id string, file_path string, content string")
-    store.upsert_points(make([("docs", "1", "a", "x"), ("docs", "2", "b", "y"), ("code_ts", "1", "c", "z"), ("nowhere", "9", "c", "z")]), path)
+    with pytest.raises(ValueError, match="nowhere"):
+        store.upsert_points(make([("docs", "1", "a", "x"), ("nowhere", "9", "c", "z")]), path)
+    assert store.read_points(spark, path) is None
+    store.upsert_points(make([("docs", "1", "a", "x"), ("docs", "2", "b", "y"), ("code_ts", "1", "c", "z")]), path)
     store.upsert_points(make([("docs", "2", "b", "Y"), ("docs", "3", "a", "w")]), path)
     rows = lambda: {(r["collection"], r["chunk_id"], r["content"]) for r in store.read_points(spark, path).collect()}
     assert rows() == {("docs", "1", "x"), ("docs", "2", "Y"), ("docs", "3", "w"), ("code_ts", "1", "z")}
@@ -16,9 +21,23 @@ def test_points(spark, tmp_path):
     assert {r[:2] for r in rows()} == {("docs", "1"), ("docs", "3")}
 
 
+def test_a_lost_writer_leaves_the_old_version(spark, tmp_path):
+    tables = store.Tables(spark, str(tmp_path))
+    tables.put("t", spark.range(3))
+    half = tmp_path / "t" / "v00000002"
+    half.mkdir()
+    (half / "part-0.parquet").write_bytes(b"half of it")
+    assert tables["t"].count() == 3 and "t" in tables and "u" not in tables
+    for n in (5, 6, 7):
+        tables.put("t", tables["t"].unionByName(spark.range(1)) if n == 6 else spark.range(n))
+    assert tables["t"].count() == 7 and len(list((tmp_path / "t").iterdir())) == 2
+    with pytest.raises(KeyError):
+        tables["u"]
+
+
 def test_intents_and_file_index(spark):
     log = spark.createDataFrame([("o1", 1, "intent"), ("o1", 2, "done"), ("o2", 1, "intent"), ("o3", 1, "intent"), ("o3", 3, "failed")], "operation_id string, at int, state string")
     assert [r["operation_id"] for r in state.open_intents(log).collect()] == ["o2"]
     index = spark.createDataFrame([("a", "h1", True), ("b", "h2", True)], "file_path string, content_hash string, dirty boolean")
-    got = {tuple(r) for r in state.index_files(index, spark.createDataFrame([("a", "h9")], "file_path string, content_hash string")).collect()}
-    assert got == {("a", "h9", False), ("b", "h2", True)}
+    got = {(r["file_path"], r["content_hash"], r["dirty"], r["indexed_at"] is not None) for r in state.index_files(index, spark.createDataFrame([("a", "h9")], "file_path string, content_hash string")).collect()}
+    assert got == {("a", "h9", False, True), ("b", "h2", True, False)}
