@@ -131,7 +131,9 @@ def _blocks(items: DataFrame, item_id: str, item_text: str) -> Iterator[list[tup
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE) -> DataFrame:
     """A row per document and item that it holds within the budget: ids, item_chars, edits, end.
 
-    `end` is where the best match ends in the normalised document. Null, empty and letterless texts and
+    `end` is where the best match ends in the normalised document. An item of less than 1 / rate characters
+    may not differ at all and is found wherever its characters stand in a row, within words too: an item
+    "a" is in nearly every text. Items of use are longer. Null, empty and letterless texts and
     items match nothing; equal items match alike; repeated rows are reported as often as they occur.
     Items go through in blocks of BLOCK_CHARS, one pass over docs each, so none is too many.
     """

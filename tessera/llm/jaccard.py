@@ -8,8 +8,8 @@
    and accumulates overlap counts of every node with a few pivots of its columns, not of all pairs. A
    column that by the sketch has more than SPLIT cells is dealt to several blocks.
 4. Each node's best partners are checked exactly on whole sets, and linked nodes are merged. Columns
-   that still hold different components get another pivot and are checked again, until a round links
-   nothing more. Then the pairs of different components that are left in a column are checked, in bands
+   that still hold different components get another pivot and are checked again, as long as a quarter
+   of what a round checks is linked. Then the pairs of different components that are left in a column are checked, in bands
    of size and in parts, under the size and place bounds; what lies in one component needs no further
    link. So no link between components is lost.
 
@@ -303,11 +303,13 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, percent: int, k: int, b
         pairs = stored(_best(_stars(rows, seed, reach)).join(_either_way(checked), ["a", "b"], "left_anti"), "pairs")
         links = verified(pairs, sets, percent)
         checked = stored(checked.unionByName(pairs), "pairs")
-        if not links.limit(1).count():
+        found, looked = links.count(), pairs.count()
+        labels = _joined(labels, links) if found else labels
+        if 4 * found < looked or not looked:
+            rows = _open(rows, labels) if found else rows
             links = verified(stored(_rest(rows, reach, percent).join(_either_way(checked), ["a", "b"], "left_anti"), "pairs"), sets, percent)
             labels = _joined(labels, links) if links.limit(1).count() else labels
             break
-        labels = _joined(labels, links)
         seed, rows = seed + 1, _open(rows, labels)
     discard(sets)
     met = spread_join(nodes, labels, "node", "left")

@@ -3,7 +3,7 @@
 Lines become 128-bit hashes of their keys with (document, position). The hashes are range-partitioned
 and sorted by document and position within, and one streaming pass keeps the first document of each.
 A line that many documents share must not end in one task, so there are two such passes: the first
-by (hash, one of SALTS parts of the documents), the second over the first document of every part.
+by (hash, one of many parts of the documents), the second over the first document of every part.
 What comes back per document is its dropped lines as runs: a run-length compressed keep bitmap.
 """
 
@@ -12,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ASCII_SPACE, ascii_lower, let
+from tessera.llm.common import ASCII_SPACE, ascii_lower, free_name, let
 
-SALTS = 64
+#: The least parts that a line's documents are dealt to; with more shuffle partitions, as many as these.
+LEAST_SALTS = 64
 
 
 def line_key(line: Column) -> Column:
@@ -32,12 +33,13 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null ids come after all others and count as one document. Rows with the same id are one document,
     each judged by its own lines; __digest tells such rows' texts apart.
     """
+    salts = max(LEAST_SALTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     lines = docs.select(
         F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__digest"), F.posexplode(_lines(F.col(text_col))).alias("pos", "line")
     ).select("__id", "__digest", "pos", line_key(F.col("line")).alias("key"))
     hashed = lines.filter(F.char_length("key") >= min_chars).select(
         "__id", "__digest", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"),
-        F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int").alias("part"))
+        F.pmod(F.xxhash64("__id"), F.lit(salts)).cast("int").alias("part"))
 
     def later(rows: DataFrame, *by: str) -> DataFrame:
         order = Window.partitionBy(*by).orderBy(F.col("__id").asc_nulls_last(), "__digest", "pos")
@@ -60,8 +62,10 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
 
     A null text is one empty line and becomes ''. Columns of those names in docs are replaced.
     """
-    plain = docs.drop("n_lines", "n_dropped", "drop_runs").withColumns({"__own": F.xxhash64(text_col)})
-    met = plain.join(bitmaps, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest")), "left")
+    plain = docs.drop("n_lines", "n_dropped", "drop_runs")
+    own, their_id, theirs = (free_name(plain, c) for c in ("__own", "__id", "__digest"))
+    bitmaps = bitmaps.withColumnsRenamed({"__id": their_id, "__digest": theirs})
+    met = plain.withColumn(own, F.xxhash64(text_col)).join(bitmaps, F.col(id_col).eqNullSafe(F.col(their_id)) & (F.col(own) == F.col(theirs)), "left")
 
     def keep(both: Column) -> Column:
         lines, runs = both["lines"], both["runs"]
@@ -73,7 +77,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     text = F.coalesce(F.col(text_col), F.lit(""))
     kept = F.when(F.col("drop_runs").isNull(), text).otherwise(let(F.struct(_lines(F.col(text_col)).alias("lines"), F.col("drop_runs").alias("runs")), keep))
     return met.select(
-        *(kept.alias(c) if c == text_col else F.col(c) for c in plain.columns if c != "__own"),
+        *(kept.alias(c) if c == text_col else F.col(c) for c in plain.columns),
         F.size(_lines(F.col(text_col))).cast("long").alias("n_lines"),
         F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"), "drop_runs",
     )

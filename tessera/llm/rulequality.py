@@ -146,11 +146,11 @@ class Ensemble:
     bias: float
     rules: list[tuple[float, Rule]]
 
-    def column(self) -> Column:
-        """The score of a row that has the statistics as columns __s_<name>."""
+    def column(self, prefix: str = "__s_") -> Column:
+        """The score of a row that has the statistics as columns of their names behind the prefix."""
         margin = F.lit(self.bias)
         for weight, rule in self.rules:
-            tests = [F.col(f"__s_{NAMES[f]}") > cut if above else F.col(f"__s_{NAMES[f]}") <= cut for f, above, cut in rule]
+            tests = [F.col(prefix + NAMES[f]) > cut if above else F.col(prefix + NAMES[f]) <= cut for f, above, cut in rule]
             test = tests[0]
             for more in tests[1:]:
                 test = test & more
@@ -158,15 +158,17 @@ class Ensemble:
         return 1 / (1 + F.exp(-margin))
 
 
-def _measured(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.withColumns({f"__s_{name}": value for name, value in statistics(F.col(text_col)).items()})
+def _measured(docs: DataFrame, text_col: str, prefix: str = "__s_") -> DataFrame:
+    return docs.withColumns({prefix + name: value for name, value in statistics(F.col(text_col)).items()})
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> Ensemble:
     """Learns from the rows of docs that labels has a label for and that in_training() admits; none: a score of 0.5."""
     marks = labels.filter(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(id_col).agg((F.max(label) > 0).cast("double").alias("__y"))
-    measured = _measured(docs.filter(in_training(id_col)).select(id_col, text_col), text_col).drop(text_col)
-    sample = bounded_sample(measured.join(marks, id_col), F.xxhash64(id_col), settings.fit_rows, marks.count())
+    plain = docs.filter(in_training(id_col)).select(id_col, text_col)
+    about = plain.select(id_col).join(marks.select(id_col), id_col).count()
+    measured = _measured(plain, text_col).drop(text_col)
+    sample = bounded_sample(measured.join(marks, id_col), F.xxhash64(id_col), settings.fit_rows, about)
     rows = sample.select("__y", *(f"__s_{n}" for n in NAMES)).collect()
     table = np.array([list(r) for r in rows], float).reshape(-1, len(NAMES) + 1)
     x, y = table[:, 1:], table[:, 0]
@@ -181,4 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
 
 def score(docs: DataFrame, ensemble: Ensemble, text_col: str = "text") -> DataFrame:
     """docs with `score` from 0 to 1; null and empty texts get one too. An old `score` is replaced."""
-    return _measured(docs, text_col).withColumn("score", ensemble.column()).drop(*(f"__s_{n}" for n in NAMES))
+    prefix = "__s_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return _measured(docs, text_col, prefix).withColumn("score", ensemble.column(prefix)).drop(*(prefix + n for n in NAMES))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import free_name
+
 # The generator's multiplier, as 32-bit halves.
 MULTIPLIER = 2862933555777941757
 _HIGH, _LOW = MULTIPLIER >> 32, MULTIPLIER & 0xFFFFFFFF
@@ -73,22 +75,23 @@ def assign_shards(df: DataFrame, key: str, n_shards: int, tie_break: list[str] =
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
     plain = df.drop("shard", "grown_shard", "slot")
-    walk = F.transform(F.array(jump_walk(F.col("__key"), n_shards)), lambda s: F.struct(
+    own_key, own_walk, bucket, count, start, rank = (free_name(plain, c) for c in ("__key", "__walk", "__bucket", "__n", "__start", "__rank"))
+    walk = F.transform(F.array(jump_walk(F.col(own_key), n_shards)), lambda s: F.struct(
         F.when(s["at"] < n_shards, s["at"]).otherwise(s["before"]).cast("int").alias("shard"),
         s["at"].cast("int").alias("grown_shard")))[0]
     placed = (
-        plain.withColumn("__key", stable_key(plain, key)).withColumn("__walk", walk)
-        .withColumns({"shard": F.col("__walk.shard"), "grown_shard": F.col("__walk.grown_shard"), "__bucket": F.pmod("__key", F.lit(buckets))})
-        .drop("__walk")
+        plain.withColumn(own_key, stable_key(plain, key)).withColumn(own_walk, walk)
+        .withColumns({"shard": F.col(f"{own_walk}.shard"), "grown_shard": F.col(f"{own_walk}.grown_shard"), bucket: F.pmod(own_key, F.lit(buckets))})
+        .drop(own_walk)
     )
-    ahead = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        placed.groupBy("shard", "__bucket").agg(F.count("*").alias("__n"))
-        .select("shard", "__bucket", F.coalesce(F.sum("__n").over(ahead), _long(0)).alias("__start"))
+        placed.groupBy("shard", bucket).agg(F.count("*").alias(count))
+        .select("shard", bucket, F.coalesce(F.sum(count).over(ahead), _long(0)).alias(start))
     )
-    within = Window.partitionBy("shard", "__bucket").orderBy("__key", *tie_break)
-    ranked = placed.withColumn("__rank", F.row_number().over(within) - 1)
+    within = Window.partitionBy("shard", bucket).orderBy(own_key, *tie_break)
+    ranked = placed.withColumn(rank, F.row_number().over(within) - 1)
     return (
-        ranked.join(starts, ["shard", "__bucket"])
-        .select(*(F.col(c) for c in plain.columns), "shard", "grown_shard", (F.col("__start") + F.col("__rank")).alias("slot"))
+        ranked.join(starts, ["shard", bucket])
+        .select(*(F.col(c) for c in plain.columns), "shard", "grown_shard", (F.col(start) + F.col(rank)).alias("slot"))
     )

@@ -458,8 +458,8 @@ class SuffixFamily:
         spread = stored(many.mapInPandas(_spread(SPREAD * self.buckets), f"{_MARKS}, block long, hashes binary, keys binary, starts binary"), "spread")
         names = ["key", "first", "last"]
         parts = [
-            found.select("marked").mapInPandas(_unpacked("marked"), _MARKS), near.filter("gram is null").select(names), few.groupBy("block").applyInPandas(_compare, _MARKS),
-            spread.filter("block < 0").select(names), spread.filter("block >= 0").groupBy("block").applyInPandas(_meet, _MARKS),
+            found.select("marked").mapInPandas(_unpacked("marked"), _MARKS), near.filter("gram is null").select(names), stored(few.groupBy("block").applyInPandas(_compare, _MARKS), "matches"),
+            spread.filter("block < 0").select(names), stored(spread.filter("block >= 0").groupBy("block").applyInPandas(_meet, _MARKS), "matches"),
         ]
         whole = parts[0]
         for p in parts[1:]:

@@ -213,3 +213,22 @@ def test_packing_against_texts(spark, docs_of):
         assert at <= 128
     assert sum(r["length"] for r in rows) / (128 * len(by_seq)) > 0.95
     assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_patterns_are_what_piece_by_piece_packing_gives():
+    """Each piece, longest first, into the open pack with the least in it, or a new one: the same packs, by their fill."""
+    rnd = random.Random(5)
+    for _ in range(30):
+        length = rnd.choice([8, 20, 64])
+        pieces = sorted((rnd.randint(1, length) for _ in range(rnd.randint(0, 120))), reverse=True)
+        packs: list[list[int]] = []
+        for size in pieces:
+            open_ = [p for p in packs if sum(p) + size <= length]
+            if open_:
+                min(open_, key=sum).append(size)
+            else:
+                packs.append([size])
+        found = packing.patterns(Counter(pieces), length)
+        assert sum(n for n, _ in found) == len(packs)
+        assert Counter(x for n, p in found for x in p * n) == Counter(pieces)
+        assert sorted(sum(p) for n, p in found for _ in range(n)) == sorted(map(sum, packs))

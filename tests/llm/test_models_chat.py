@@ -160,3 +160,30 @@ def test_perspectives(spark):
     long = spark.createDataFrame([("z", i, "ab"[i % 2], "t" * (i % 5)) for i in range(700)], "conv_id string, turn int, role string, text string")
     own = sorted(perspectives.rotate(long).filter("perspective = 'a'").collect(), key=lambda r: r["turn"])
     assert all(x["end"] == y["start"] for x, y in zip(own, own[1:], strict=False)) and own[0]["start"] == 0
+
+
+def test_lasso_is_at_its_optimum():
+    """The conditions of an optimum: a gradient of the penalty's size against each weight, and no larger one where the weight is 0."""
+    rng = np.random.default_rng(2)
+    r = rng.random((500, 12)) < 0.4
+    y = (rng.random(500) < 1 / (1 + np.exp(-(2.0 * r[:, 0] - 1.5 * r[:, 3] - 0.3)))).astype(float)
+    s = rulequality.Settings(penalty=0.02, rounds=4000)
+    bias, w = rulequality.lasso(r, y, s)
+    d = 1 / (1 + np.exp(-(r @ w + bias))) - y
+    grad = r.T.astype(float) @ d / len(y)
+    assert abs(d.mean()) < 1e-4 and 0 < (w != 0).sum() < 12
+    assert np.allclose(grad[w != 0], -s.penalty * np.sign(w[w != 0]), atol=1e-4) and (np.abs(grad[w == 0]) <= s.penalty + 1e-4).all()
+
+
+def test_quality_sample_counts_training_rows_only(spark, monkeypatch):
+    """Labels of other corpora do not thin the sample; clashing columns stay."""
+    docs, labels = labelled(spark, 200)
+    more = labels.unionByName(spark.range(10_000, 60_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic"))
+    seen = []
+    real = rulequality.propose
+    monkeypatch.setattr(rulequality, "propose", lambda x, y, s: seen.append(len(y)) or real(x, y, s))
+    e = rulequality.train(docs, more, settings=rulequality.Settings(fit_rows=100))
+    rulequality.train(docs, labels, settings=rulequality.Settings(fit_rows=100))
+    assert seen[0] == seen[1] == 100
+    clash = docs.withColumn("__s_words", F.lit("mine")).withColumn("_score", F.lit(1))
+    assert {r["__s_words"] for r in rulequality.score(clash, e).collect()} == {"mine"}

@@ -77,6 +77,14 @@ def test_lines_property(docs_of, texts):
     assert run(docs_of(texts), 2) == brute(list(enumerate(texts)), 2)
 
 
+def test_clashing_columns_stay(docs_of):
+    df = docs_of(["a common line here\nb", "a common line here"]).withColumns({c: F.lit(c) for c in ("__id", "__digest", "__own", "__key", "__walk", "__start", "__rank", "__bucket", "__n", "lost", "pos", "key", "line")})
+    out = linededup.dedup_lines(df)
+    assert set(df.columns) <= set(out.columns) and {(r["__id"], r["__own"], r["n_dropped"]) for r in out.collect()} == {("__id", "__own", 0), ("__id", "__own", 1)}
+    shards = sharding.assign_shards(df, "doc_id", 3)
+    assert set(df.columns) <= set(shards.columns) and {(r["__start"], r["__bucket"]) for r in shards.collect()} == {("__start", "__bucket")}
+
+
 def test_bitmap_runs(spark, docs_of):
     df = docs_of(["a line to drop\nb line to drop\nkeep", "a line to drop\nb line to drop\nnew text here\na line to drop"])
     r = linededup.keep_bitmaps(df).filter(F.col("__id") == 1).first()
