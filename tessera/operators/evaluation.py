@@ -10,6 +10,11 @@ def precision_at(ranked: DataFrame, relevant: DataFrame, k: int, query: str = "q
     return ranked.filter(F.col("rank") <= k).join(hits, [query, item], "left").groupBy(query).agg(F.round(F.sum(F.coalesce("__hit", F.lit(0))) / k, 6).alias("precision"))
 
 
+def mean(scores: DataFrame, column: str, name: str) -> DataFrame:
+    """One row: the mean of a score over its queries, null without any."""
+    return scores.agg(F.round(F.avg(column), 6).alias(name))
+
+
 def reciprocal_rank(ranked: DataFrame, relevant: DataFrame, query: str = "query", item: str = "item") -> DataFrame:
     """(query, rr): one over the rank of the first relevant row, 0 without one."""
     hits = relevant.select(query, item).distinct().withColumn("__hit", F.lit(True))

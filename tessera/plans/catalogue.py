@@ -258,9 +258,9 @@ pairs AS (SELECT a.f AS file_a, b.f AS file_b, count(*)::BIGINT AS count{extra}
           {"JOIN orders o ON o.o_orderkey = a.c" if extra else ""} GROUP BY a.f, b.f HAVING count(*) >= {least})"""
 
 
-@query(f"WITH {_pairs_sql(None, 3)} SELECT * FROM pairs")
+@query(f"WITH {_pairs_sql(30, 3)} SELECT * FROM pairs")
 def q16_co_change_pairs(spark, sf_dir):
-    return cochange.co_change_pairs(t.commit_files(spark, sf_dir), 3, None).select("file_a", "file_b", "count")
+    return cochange.co_change_pairs(t.commit_files(spark, sf_dir), 3).select("file_a", "file_b", "count")
 
 
 @query(f"WITH {_pairs_sql(4, 3)} SELECT * FROM pairs")
@@ -280,11 +280,11 @@ def _seeds(spark: SparkSession, values=SEEDS) -> DataFrame:
 _SEED_LIST = ", ".join(map(str, SEEDS))
 
 
-@query(f"""WITH {_pairs_sql(None, 1)},
+@query(f"""WITH {_pairs_sql(30, 1)},
 u AS (SELECT file_a AS seed, file_b AS other, count FROM pairs UNION ALL SELECT file_b, file_a, count FROM pairs)
 SELECT seed, other, count FROM u WHERE seed IN ({_SEED_LIST}) AND count >= 3 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY count DESC, other) <= 8""")
 def q19_co_changed_for(spark, sf_dir):
-    return graph.co_changed(cochange.co_change_pairs(t.commit_files(spark, sf_dir), 1, None), _seeds(spark))
+    return graph.co_changed(cochange.co_change_pairs(t.commit_files(spark, sf_dir), 1), _seeds(spark))
 
 
 @query("SELECT s_suppkey AS file, count(DISTINCT l_orderkey)::BIGINT AS commits, max(o_orderdate) AS latest FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN orders ON o_orderkey = l_orderkey GROUP BY 1")
@@ -651,6 +651,16 @@ def q45_eval_mrr(spark, sf_dir):
     return evaluation.reciprocal_rank(_ranked_docs(spark, sf_dir), _relevant(spark, sf_dir))
 
 
+@query(f"""WITH {_EVAL_SQL},
+pr AS (SELECT query, round(count(rel.item) / 5, 6) AS p FROM rk LEFT JOIN rel USING (item) WHERE rank <= 5 GROUP BY query),
+rr AS (SELECT query, round(coalesce(1.0::DOUBLE / min(CASE WHEN rel.item IS NOT NULL THEN rank END), 0), 6) AS r FROM rk LEFT JOIN rel USING (item) GROUP BY query)
+SELECT (SELECT round(avg(p), 6) FROM pr) AS precision_at_5, (SELECT round(avg(r), 6) FROM rr) AS mrr""")
+def q45b_eval_means(spark, sf_dir):
+    ranked, good = _ranked_docs(spark, sf_dir), _relevant(spark, sf_dir)
+    p = evaluation.mean(evaluation.precision_at(ranked, good, 5), "precision", "precision_at_5")
+    return p.crossJoin(evaluation.mean(evaluation.reciprocal_rank(ranked, good), "rr", "mrr"))  # a row each
+
+
 @query(r"""
 SELECT doc_id, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')), ['thing', 'with', 'the', 'retion', 'that']))::BIGINT AS rerank_score
 FROM documents ORDER BY rerank_score DESC, doc_id LIMIT 50""")

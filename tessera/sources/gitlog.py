@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 from tessera.operators.filters import indexed_source
 
 SEPARATOR = "\x1f"
+# Fixed value: a commit's fields, as results name them.
+LOG_FORMAT = "%H%x1f%an%x1f%aI%x1f%s"
 
 
 def git_lines(spark: SparkSession, repo: str, *arguments: str) -> DataFrame:
     """(log, line_no, line) of a git command's output, run on the driver."""
-    out = subprocess.run(["git", "-C", repo, *arguments], capture_output=True, text=True, check=True).stdout
+    out = subprocess.run(["git", "-C", repo, "-c", "core.quotepath=off", *arguments], capture_output=True, text=True, check=True).stdout
     return spark.createDataFrame([(repo, i, x) for i, x in enumerate(out.splitlines())] or [], "log string, line_no long, line string")
 
 
 def commit_log(spark: SparkSession, repo: str, lookback: int = 500) -> DataFrame:
-    return parse_log(git_lines(spark, repo, "log", "--format=%H%x1f%an%x1f%aI%x1f%s", "--name-only", f"-{lookback}"))
+    return parse_log(git_lines(spark, repo, "log", f"--format={LOG_FORMAT}", "--name-only", f"-{lookback}"))
 
 
 def parse_log(lines: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.schema import MAX_ATTEMPTS
@@ -67,6 +68,11 @@ def run_available(stream: DataFrame, sink, checkpoint: str, mode: str = "update"
     q.awaitTermination()
 
 
+def run_forever(stream: DataFrame, sink, checkpoint: str, every: str = "5 seconds", mode: str = "update") -> StreamingQuery:
+    """Polls for what arrives until the returned query is stopped."""
+    return stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def apply_stream(changes: DataFrame, apply, checkpoint: str) -> None:
     """Works off a stream of change records (status, path, old_path, content): each micro-batch is one call of apply(changes, contents).
 
