@@ -59,7 +59,7 @@ def free_name(df: DataFrame, wish: str) -> str:
 
 
 #: Rows of a key that one task takes in any case.
-FEW_ROWS = 1000
+FEW_ROWS = 2000
 
 
 def dealt(many: DataFrame, key: str, rows_each: int | None = None) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
@@ -75,7 +75,7 @@ def dealt(many: DataFrame, key: str, rows_each: int | None = None) -> tuple[Data
     if rows <= fair:
         return many.withColumn("__salt", F.lit(0)), lambda one: one.withColumn("__salt", F.lit(0))
     often = many.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > fair)
-    hot = stored(often.select(key, F.ceil(F.col("__n") / fair).cast("int").alias("__parts")), "hot")
+    hot = often.select(key, F.ceil(F.col("__n") / fair).cast("int").alias("__parts"))
     hot = hot if rows_each else F.broadcast(hot)
     plain = [f.name for f in many.schema.fields if "map<" not in f.dataType.simpleString()]
     salt = F.pmod(F.xxhash64(*plain), F.coalesce("__parts", F.when(F.col(key).isNull(), F.lit(parts)), F.lit(1)).cast("long")).cast("int")

@@ -209,30 +209,12 @@ def components(edges: DataFrame) -> DataFrame:
         around = salted.join(copies(labels.withColumnRenamed("node", "b")), ["b", "__salt"]).groupBy("a").agg(F.min("label").alias("near"))
         nearer = stored(labels.join(around, labels["node"] == around["a"]).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")), "labels")
         discard(labels)
-        labels = nearer.select("node", "label")
         if not nearer.filter("was != label").limit(1).count():
             discard(ends)
-            return labels
-        above = labels.withColumnRenamed("label", "above")
-        tops = stored(labels.select("label").distinct().join(above, F.col("label") == F.col("node")).filter("above != label").select("label", "above"), "tops")
-        if tops.limit(1).count():
-            jumped = spread_join(nearer, tops, "label", "left").select("node", F.coalesce("above", "label").alias("label"))
-            labels = stored(jumped, "labels")
-            discard(nearer)
-        else:
-            labels.stored_at = nearer.stored_at
-
-
-def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Labels after more links: the components of the links between labels, put in place of these."""
-    if labels is None:
-        return components(links)
-    for end in ("a", "b"):
-        links = spread_join(links, labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")), end, "left")
-    between = links.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a != b")
-    higher = components(stored(between.distinct(), "links"))
-    moved = spread_join(labels, higher.select(F.col("node").alias("label"), F.col("label").alias("now")), "label", "left").select("node", F.coalesce("now", "label").alias("label"))
-    return stored(moved.unionByName(higher.join(labels.select("node"), "node", "left_anti").select("node", "label")), "labels")
+            return nearer.select("node", "label")
+        above = nearer.select(F.col("node").alias("label"), F.col("label").alias("above"))
+        labels = stored(spread_join(nearer, above, "label").select("node", F.col("above").alias("label")), "labels")
+        discard(nearer)
 
 
 def _best(overlaps: DataFrame) -> DataFrame:
@@ -296,21 +278,29 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, percent: int, k: int, b
     sets = stored(made.join(shared.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
     checked = _best(product.filter("kind >= 0").select("a", "b", "n"))
-    labels = components(verified(checked, sets, percent))
+    linked = verified(checked, sets, percent)
+    labels = components(linked)
     reach = f"least(%s.n - %s.place, %s.n - %s.place) * {100 + percent} >= {percent} * (%s.n + %s.n)"
+    discard(shared)
     seed, rows = 0, _open(sized, labels)
+    discard(product)
+    if rows.limit(1).count():  # from here on only the sets of open columns matter
+        still = stored(sets.join(rows.select("node").distinct(), "node", "left_semi"), "sets")
+        discard(sets)
+        sets = still
     while rows.limit(1).count():
         pairs = stored(_best(_stars(rows, seed, reach)).join(_either_way(checked), ["a", "b"], "left_anti"), "pairs")
         links = verified(pairs, sets, percent)
-        checked = stored(checked.unionByName(pairs), "pairs")
+        checked, linked = checked.unionByName(pairs), linked.unionByName(links)
         found, looked = links.count(), pairs.count()
-        labels = _joined(labels, links) if found else labels
+        labels = components(linked) if found else labels
         if 4 * found < looked or not looked:
             rows = _open(rows, labels) if found else rows
             links = verified(stored(_rest(rows, reach, percent).join(_either_way(checked), ["a", "b"], "left_anti"), "pairs"), sets, percent)
-            labels = _joined(labels, links) if links.limit(1).count() else labels
+            labels = components(linked.unionByName(links)) if links.limit(1).count() else labels
             break
-        seed, rows = seed + 1, _open(rows, labels)
+        before, rows, seed = rows, _open(rows, labels), seed + 1
+        discard(before)
     discard(sets)
     met = spread_join(nodes, labels, "node", "left")
     return stored(met.select("id", "digest", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label")), "placed")

@@ -52,7 +52,7 @@ def corpus(seed, groups=6, size=12):
     return out + [None, "", " \n\t", "One Two", "one two", "one two three", out[0].upper(), out[0], " ".join(common), "x " * 3000]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_components_against_brute_force(docs_of, seed):
     texts = corpus(seed)
     ids = list(range(len(texts)))

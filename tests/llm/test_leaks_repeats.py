@@ -92,7 +92,7 @@ def mixed_corpus(seed):
     return texts + [some(180) + hot + some(180) for _ in range(90)]
 
 
-@pytest.mark.parametrize(("many", "batches"), [(4096, 2), (20, 3), (256, 9)])
+@pytest.mark.parametrize(("many", "batches"), [(4096, 2), (20, 3), (256, 5), (256, 9)])
 def test_repeats_against_brute_force(docs_of, monkeypatch, many, batches):
     monkeypatch.setattr(suffixdedup, "MANY", many)
     texts = mixed_corpus(many)
