@@ -87,8 +87,10 @@ class Engine:
         A file that cannot be parsed gets a failed row in file_index and leaves its other rows as they were.
         """
         files = self._once(code.routed(files.select("file_path", "content")))
-        parsed = self._once(code.parse_sources(files))
-        return self._written(files, code.entities_of(parsed), code.relations_of(parsed), parsed.filter("error is not null").select("file_path", "error"), repo, kind)
+        parsed = self._once(code.parse_sources(files.filter("reader = 'scanner'")))
+        other = files.filter("reader != 'scanner'").select("file_path", F.concat(F.lit("unsupported here, reader: "), "reader").alias("error"))
+        bad = parsed.filter("error is not null").select("file_path", "error").unionByName(other)
+        return self._written(files.select("file_path", "content"), code.entities_of(parsed), code.relations_of(parsed), bad, repo, kind)
 
     def index_csharp(self, exported: DataFrame, files: DataFrame, repo: str = "repo") -> DataFrame:
         """Exported analyses (json) of C# files (file_path, content): like index_files. A file without an entity is failed."""

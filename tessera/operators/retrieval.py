@@ -31,8 +31,8 @@ def corpus_statistics(docs: DataFrame, text: str, by: tuple[str, ...] = ()) -> D
 
 
 def write_postings(docs: DataFrame, path: str, key: str, text: str) -> None:
-    """Postings by bucket and the corpus statistics, each written once under path."""
-    postings(docs, key, text).repartition("bucket").sortWithinPartitions("bucket", "term", key).write.partitionBy("bucket").parquet(f"{path}/terms")
+    """Postings by bucket and the corpus statistics, each written once under path. A bucket is as many files as its size asks for."""
+    postings(docs, key, text).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", key).write.partitionBy("bucket").parquet(f"{path}/terms")
     corpus_statistics(docs, text).write.parquet(f"{path}/corpus")
 
 

@@ -40,12 +40,12 @@ class Tables:
         return df
 
     def put(self, name: str, df: DataFrame, partition: str | None = None) -> DataFrame:
-        """Writes df as the table's next version; returns it as read."""
+        """Writes df as the table's next version, by the partition column if there is one (large ones in several files); returns it as read."""
         found = self._versions(name)
         number = int(found[-1].rsplit("v", 1)[1]) + 1 if found else 1
         path = f"{self.root}/{name}/v{number:08d}"
         remove(self.spark, path)  # what a lost writer left
-        writer = df.write.partitionBy(partition) if partition else df.write
+        writer = df.hint("rebalance", partition).write.partitionBy(partition) if partition else df.write
         writer.parquet(path)
         for old in found[:-1]:
             remove(self.spark, old)
