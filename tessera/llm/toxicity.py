@@ -107,35 +107,41 @@ class Rows:
 
 
 class Batch:
-    """Some rows laid out for steps of learning: by row for the margins, by column for the gradients."""
+    """Some rows laid out for steps of learning: by row for the margins, by column for the gradients.
+
+    A machine's own part is a table of the columns that the batch touches, each its weight and then its factors.
+    """
 
     def __init__(self, rows: Rows, y: np.ndarray, weight: np.ndarray):
-        self.columns, self.n, self.y, self.weight = rows.columns, len(rows.lengths), y, weight
+        self.n, self.y, self.weight = len(rows.lengths), y, weight
         self.full = np.flatnonzero(rows.lengths)
         self.heads = rows.heads[self.full]
         order = np.argsort(rows.columns, kind="stable")
-        self.row = np.repeat(np.arange(self.n), rows.lengths)[order]
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), rows.lengths)[order]
         by = rows.columns[order]
-        self.starts = np.flatnonzero(np.diff(by, prepend=-1))
+        new = np.diff(by, prepend=-1) != 0
+        self.starts = np.flatnonzero(new)
         self.touched = by[self.starts]
+        self.local = np.empty(len(order), np.int32)
+        self.local[order] = np.cumsum(new) - 1
 
-    def margin(self, bias: float, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of weights p[0] and factors p[1:], by column; with the sums of both by row."""
-        z, sums, squares = p[:, self.columns], np.zeros((len(p), self.n), p.dtype), np.zeros(self.n, p.dtype)
+    def margin(self, bias: float, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Margins, and the sums of weights and factors, by row."""
+        sums, squares = np.zeros((self.n, own.shape[1]), own.dtype), np.zeros(self.n, own.dtype)
         if len(self.full):
-            sums[:, self.full] = np.add.reduceat(z, self.heads, axis=1)
-            squares[self.full] = np.add.reduceat((z[1:] * z[1:]).sum(0), self.heads)
-        return bias + sums[0] + 0.5 * ((sums[1:] ** 2).sum(0) - squares), sums
-
-    def gradient(self, bias: float, p: np.ndarray) -> tuple[float, np.ndarray]:
-        """Of the mean weighted log loss: for the bias, and for the columns that the batch touches."""
-        margin, sums = self.margin(bias, p)
-        g = (self.weight * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - self.y) / self.n).astype(p.dtype)
+            sums[self.full] = np.add.reduceat(own.take(self.local, axis=0), self.heads, axis=0)
+            squares[self.full] = np.add.reduceat((own[:, 1:] ** 2).sum(1).take(self.local), self.heads)
+        return bias + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(1) - squares), sums
+
+    def gradient(self, bias: float, own: np.ndarray) -> tuple[float, np.ndarray]:
+        """Of the mean weighted log loss: for the bias, and for the touched columns."""
+        margin, sums = self.margin(bias, own)
+        g = (self.weight * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - self.y) / self.n).astype(own.dtype)
         if not len(self.touched):
-            return float(g.sum()), np.zeros((len(p), 0), p.dtype)
-        sums[0] = 1
-        grads = np.add.reduceat((sums * g)[:, self.row], self.starts, axis=1)
-        grads[1:] -= p[1:, self.touched] * grads[0]
+            return float(g.sum()), np.zeros_like(own)
+        sums[:, 0] = 1
+        grads = np.add.reduceat((sums * g[:, None]).take(self.row, axis=0), self.starts, axis=0)
+        grads[:, 1:] -= own[:, 1:] * grads[:, :1]
         return float(g.sum()), grads
 
 
@@ -149,29 +155,33 @@ def fit_machine(x: Rows | np.ndarray, y: np.ndarray, s: Settings, start: tuple |
     if not isinstance(x, Rows):
         x = Rows(np.nonzero(x)[1], np.count_nonzero(x, axis=1), x.shape[1])
     bias, weights, factors = start or (0.0, np.zeros(x.width), rng.normal(0, 0.01, (x.width, s.factors)))
-    p = np.concatenate([np.asarray(weights)[None], np.asarray(factors).T]).astype(np.float32)
+    p = np.concatenate([np.asarray(weights)[:, None], np.asarray(factors)], 1).astype(np.float32)
     m, u, b = np.zeros_like(p), np.zeros_like(p), [float(bias), 0.0, 0.0]
     share = np.clip(share if share is not None else y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
     weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
     pace = np.ones(x.width) if pace is None else pace
-    rates = np.repeat((s.rate / 5 * np.maximum(pace, s.least_pace)).astype(np.float32)[None], len(p), 0)
-    rates[0] = s.rate * pace
+    rates = np.repeat((s.rate / 5 * np.maximum(pace, s.least_pace)).astype(np.float32)[:, None], p.shape[1], 1)
+    rates[:, 0] = s.rate * pace
     order = rng.permutation(len(y))
     dealt = [Batch(x[k], y[k], weight[k]) for k in (order[at : at + s.batch] for at in range(0, len(y), s.batch))]
     step = 0
     for _ in range(epochs or s.epochs):
         for i in rng.permutation(len(dealt)):
             t = dealt[i].touched
-            of_bias, grads = dealt[i].gradient(b[0], p)
+            own = p.take(t, axis=0)
+            of_bias, grads = dealt[i].gradient(b[0], own)
             step += 1
-            own = p[:, t]
-            grads += s.decay * own
-            m1, u1 = 0.9 * m[:, t] + 0.1 * grads, 0.999 * u[:, t] + 0.001 * grads * grads
-            m[:, t], u[:, t] = m1, u1
-            p[:, t] = own - rates[:, t] * (m1 / (1 - 0.9**step)) / (np.sqrt(u1 / (1 - 0.999**step)) + 1e-8)
+            grads += np.float32(s.decay) * own
+            m1, u1 = m.take(t, axis=0), u.take(t, axis=0)
+            m1 += np.float32(0.1) * (grads - m1)
+            u1 += np.float32(0.001) * (grads * grads - u1)
+            m[t], u[t] = m1, u1
+            m1 *= rates.take(t, axis=0) / np.float32(1 - 0.9**step)
+            np.sqrt(u1 / np.float32(1 - 0.999**step), out=u1)
+            p[t] = own - m1 / (u1 + np.float32(1e-8))
             b[1], b[2] = 0.9 * b[1] + 0.1 * of_bias, 0.999 * b[2] + 0.001 * of_bias**2
             b[0] -= s.rate * (b[1] / (1 - 0.9**step)) / (np.sqrt(b[2] / (1 - 0.999**step)) + 1e-8)
-    return b[0], p[0].astype(float), p[1:].T.astype(float)
+    return b[0], p[:, 0].astype(float), p[:, 1:].astype(float)
 
 
 @dataclass(frozen=True)

@@ -62,24 +62,24 @@ def test_machine_over_sparse_rows():
     x = (rng.random((50, 9)) < 0.3).astype(float)
     x[7] = 0
     rows = toxicity.Rows(np.nonzero(x)[1], np.count_nonzero(x, axis=1), 9)
-    k, p, y, weight = rng.permutation(50)[:20], rng.normal(size=(4, 9)), rng.integers(0, 2, 20), rng.random(20)
+    k, p, y, weight = rng.permutation(50)[:20], rng.normal(size=(9, 4)), rng.integers(0, 2, 20), rng.random(20)
     k[0] = 7
     batch = toxicity.Batch(rows[k], y, weight)
 
     def margin(p):
-        pairs = [sum(p[1:, i] @ p[1:, j] for i in np.flatnonzero(r) for j in np.flatnonzero(r) if i < j) for r in x[k]]
-        return 0.3 + x[k] @ p[0] + np.array(pairs)
+        pairs = [sum(p[i, 1:] @ p[j, 1:] for i in np.flatnonzero(r) for j in np.flatnonzero(r) if i < j) for r in x[k]]
+        return 0.3 + x[k] @ p[:, 0] + np.array(pairs)
 
     loss = lambda p: (weight * (np.log1p(np.exp(margin(p))) - y * margin(p))).mean()
-    assert np.allclose(batch.margin(0.3, p)[0], margin(p))
-    _, grads = batch.gradient(0.3, p)
+    assert np.allclose(batch.margin(0.3, p[batch.touched])[0], margin(p))
+    _, grads = batch.gradient(0.3, p[batch.touched])
     for i in range(4):
         for j, column in enumerate(batch.touched):
             step = np.zeros_like(p)
-            step[i, column] = 1e-5
-            assert abs((loss(p + step) - loss(p - step)) / 2e-5 - grads[i, j]) < 1e-6
+            step[column, i] = 1e-5
+            assert abs((loss(p + step) - loss(p - step)) / 2e-5 - grads[j, i]) < 1e-6
     empty = toxicity.Batch(toxicity.Rows(np.zeros(0, int), np.zeros(3, int), 9), np.ones(3), np.ones(3))
-    assert empty.gradient(0.0, p)[1].shape == (4, 0) and empty.margin(0.5, p)[0].tolist() == [0.5] * 3
+    assert empty.gradient(0.0, p[:0])[1].shape == (0, 4) and empty.margin(0.5, p[:0])[0].tolist() == [0.5] * 3
 
 
 def test_without_one_of_the_labels(spark):
@@ -122,7 +122,7 @@ def test_factors_learn_what_weights_cannot():
     def right(start):
         w0, w, v = toxicity.fit_machine(x, y, s, start)
         rows = toxicity.Batch(toxicity.Rows(np.nonzero(x)[1], np.count_nonzero(x, axis=1), 6), y, y)
-        return ((rows.margin(w0, np.concatenate([w[None], v.T]))[0] > 0) == (y > 0)).mean()
+        return ((rows.margin(w0, np.concatenate([w[:, None], v], 1))[0] > 0) == (y > 0)).mean()
 
     assert right(None) > 0.98
     assert right((0.0, np.zeros(6), np.zeros((6, s.factors)))) < 0.85  # factors of 0 have no gradient: only weights learn
