@@ -87,6 +87,8 @@ class Engine:
         A file that cannot be parsed gets a failed row in file_index and leaves its other rows as they were.
         """
         files = self._once(code.routed(files.select("file_path", "content")))
+        if not files.limit(1).count():
+            return self._outcomes()
         parsed = self._once(code.parse_sources(files.filter("reader = 'scanner'")))
         other = files.filter("reader != 'scanner'").select("file_path", F.concat(F.lit("unsupported here, reader: "), "reader").alias("error"))
         bad = parsed.filter("error is not null").select("file_path", "error").unionByName(other)
@@ -163,6 +165,8 @@ class Engine:
         """Cuts documents (file_path, text) into chunks of the docs collection, with document nodes and doc_index rows. Outcomes as of index_files; other suffixes fail."""
         operation = uuid.uuid4().hex
         docs = self._once(docs.select("file_path", "text"))
+        if not docs.limit(1).count():
+            return self._outcomes()
         known = tx.suffix(F.col("file_path")).isin(*DOC_SUFFIXES, "html") & F.col("text").isNotNull()
         good, bad = docs.filter(known), docs.filter(~known).select("file_path", F.concat(F.lit("unsupported document type: "), tx.suffix(F.col("file_path"))).alias("error"))
         self._log(docs, operation, "DOC_MODIFIED", "intent")
@@ -181,6 +185,8 @@ class Engine:
     def delete_files(self, files: DataFrame) -> None:
         """Takes files (file_path) out of every table; their file_index rows stay, marked as deleted."""
         gone = self._once(files.select("file_path").distinct())
+        if not gone.limit(1).count():
+            return
         if "entities" in self.tables:
             nodes = self.tables["entities"].join(gone, "file_path", "left_semi")
             lost = self._once(nodes.select(F.col("qualified_name").alias("node"), "chunk_id"))
@@ -229,10 +235,13 @@ class Engine:
         new = contents.join(changed.filter("status != 'deleted'").select(F.col("path").alias("file_path")), "file_path", "left_semi")
         self.delete_files(gone)
         indexed = self.index_files(new, repo)
+        if "entities" not in self.tables:
+            return self._outcomes(("deleted", gone)).unionByName(indexed)
         names = changes.affected_names(changed, before, self.tables["entities"].select("file_path", "name"))
         done = changes.changed_paths(changed).withColumnRenamed("path", "file_path")
         relinked = self._once(changes.referencers(changes.mentions(self.tables["sources"]), names, done).join(self.tables["relations"].select("file_path").distinct(), "file_path", "left_semi"))
-        self._link(relinked, self.tables["entities"])
+        if relinked.limit(1).count():
+            self._link(relinked, self.tables["entities"])
         return self._outcomes(("deleted", gone), ("relinked", relinked)).unionByName(indexed)
 
     def rename_file(self, old: str, new: str, content: str, repo: str = "repo") -> DataFrame:

@@ -51,12 +51,6 @@ class Tables:
             remove(self.spark, old)
         return self.spark.read.parquet(path)
 
-    def replaced(self, name: str, rows: DataFrame, files: DataFrame, partition: str | None = None) -> DataFrame:
-        """Puts rows in place of all that the table holds of files (file_path)."""
-        old = self.get(name)
-        kept = rows if old is None else old.join(files.select("file_path").distinct(), "file_path", "left_anti").unionByName(rows, allowMissingColumns=True)
-        return self.put(name, kept, partition)
-
 
 def read_points(spark: SparkSession, path: str, collections: tuple[str, ...] = COLLECTIONS) -> DataFrame | None:
     """The points of collections; each is a table of its own. None if none of them was ever written."""
