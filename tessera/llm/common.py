@@ -75,7 +75,9 @@ def dealt(many: DataFrame, key: str, rows_each: int | None = None) -> tuple[Data
     if rows <= fair:
         return many.withColumn("__salt", F.lit(0)), lambda one: one.withColumn("__salt", F.lit(0))
     often = many.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > fair)
-    hot = often.select(key, F.ceil(F.col("__n") / fair).cast("int").alias("__parts"))
+    hot = stored(often.select(key, F.ceil(F.col("__n") / fair).cast("int").alias("__parts")), "hot")
+    if not hot.count() and not many.filter(F.col(key).isNull()).limit(fair + 1).count() > fair:
+        return many.withColumn("__salt", F.lit(0)), lambda one: one.withColumn("__salt", F.lit(0))
     hot = hot if rows_each else F.broadcast(hot)
     plain = [f.name for f in many.schema.fields if "map<" not in f.dataType.simpleString()]
     salt = F.pmod(F.xxhash64(*plain), F.coalesce("__parts", F.when(F.col(key).isNull(), F.lit(parts)), F.lit(1)).cast("long")).cast("int")
@@ -83,7 +85,8 @@ def dealt(many: DataFrame, key: str, rows_each: int | None = None) -> tuple[Data
     def copies(one: DataFrame) -> DataFrame:
         return one.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
 
-    return many.join(hot, key, "left").withColumn("__salt", salt).drop("__parts"), copies
+    # stored, so that Spark knows its size: what is small then meets large tables without moving them
+    return stored(many.join(hot, key, "left").withColumn("__salt", salt).drop("__parts"), "dealt"), copies
 
 
 def spread_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
