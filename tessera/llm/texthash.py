@@ -125,9 +125,10 @@ def buckets(texts, bits: int, prefixes=(), slot: np.ndarray | None = None, table
     def flush():
         heads = np.cumsum([0] + [len(t) + 1 for t in held[:-1]])
         text, found = of(b" ".join(held), heads)
-        order = np.argsort(text, kind="stable")
-        for part in np.split(found[order], np.searchsorted(text[order], np.arange(1, len(held)))):
-            yield np.unique(part)
+        both = (text.astype(np.int64) << 32) | found  # sorted at once over all texts, and each pair once
+        both.sort()
+        both = both[np.diff(both, prepend=-1) != 0]
+        yield from np.split((both & 0xFFFFFFFF).astype(np.int32), np.searchsorted(both >> 32, np.arange(1, len(held))))
 
     for text in texts:
         data = (text or "").encode("utf-8", "surrogatepass").translate(table)
