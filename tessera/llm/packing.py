@@ -3,7 +3,8 @@
 A document is cut into pieces of at most the sequence length. Only the histogram of piece lengths, a
 row for each possible length, goes to the driver. There the lengths are placed longest first: all
 pieces of a length join the open patterns with the most room left (the shortest packs), a pattern's
-count splitting where it has more packs than pieces. The patterns then say, for every length, which
+count splitting where it has more packs than pieces; where none has room, new packs are opened and
+filled with as many pieces as they take. The patterns then say, for every length, which
 ranks go where, and each piece finds its pack by its rank among the pieces of its length.
 """
 
@@ -29,6 +30,7 @@ SEQUENCE = 1024
 #: Pieces that one group of ranks holds on average, at most.
 GROUP_ROWS = 50_000
 
+
 @cache
 def _encoders(path: str) -> tuple[Tokenizer, tiktoken.Encoding, list[str]]:
     """The tokenizer of a byte-level BPE file, the same vocabulary for tiktoken, and the texts of special tokens."""
@@ -83,8 +85,13 @@ def patterns(histogram: dict[int, int], length: int = SEQUENCE) -> list[tuple[in
         while left:
             while space >= size and not room[space]:
                 space -= 1
-            if space < size:  # no pack is open with this much room
-                room[length - size].append((left, [size]))
+            if space < size:  # no pack is open with this much room: new ones are filled one after the other
+                each = length // size
+                full, rest = divmod(left, each)
+                if full:
+                    room[length - size * each].append((full, [size] * each))
+                if rest:
+                    room[length - size * rest].append((1, [size] * rest))
                 break
             packs, inside = room[space].pop()
             taken = min(packs, left)

@@ -232,3 +232,17 @@ def test_patterns_are_what_piece_by_piece_packing_gives():
         assert sum(n for n, _ in found) == len(packs)
         assert Counter(x for n, p in found for x in p * n) == Counter(pieces)
         assert sorted(sum(p) for n, p in found for _ in range(n)) == sorted(map(sum, packs))
+
+
+def test_equal_pieces_fill_new_packs():
+    """Histograms where no open pack has room: a new pack takes as many pieces of the length as fit."""
+    for histogram, packs in (({200: 1000}, 200), ({300: 7}, 3), ({511: 11}, 6), ({400: 9, 100: 4}, 5)):
+        found = packing.patterns(histogram)
+        assert sum(n for n, _ in found) == packs
+        assert Counter({s: sum(n * p.count(s) for n, p in found) for s in histogram}) == Counter(histogram)
+
+
+def test_short_documents_leave_little_padding(spark, docs_of):
+    rows = packing.pack(docs_of([" the" * 199] * 1000)).collect()
+    assert {r["length"] for r in rows} == {200}
+    assert sum(r["length"] for r in rows) / (1024 * len({r["sequence_id"] for r in rows})) > 0.97
