@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, jaccard, linededup, mpegaudio, packing, perspectives, rulequality, sharding, suffixdedup, toxicity
+from tessera.llm import decontaminate, jaccard, linededup, mpegaudio, packing, perspectives, rulequality, sharding, spelling, suffixdedup, toxicity
 from tessera.llm.common import LOWER, UPPER, stored, table
 
 N_SHARDS = 8
@@ -62,6 +62,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~toxicity.in_training()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 # CRC-32 by nibbles: fixed values, the remainders of the 16 nibbles.
 _CRC_NIBBLES = [
     0x00000000, 0x1DB71064, 0x3B6E20C8, 0x26D930AC, 0x76DC4190, 0x6B6B51F4, 0x4DB26158, 0x5005713C,
@@ -107,6 +111,29 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS
 FROM j
 """
 
+_OP11_SQL = f"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{C0}}-\\x{{FF}}]{{6,}}')) AS run FROM documents),
+l AS (SELECT doc_id, translate(run, '{UPPER}', '{LOWER}') AS run, count(*) AS n FROM r GROUP BY ALL),
+c AS (
+  SELECT run, n, xor(list_reduce(string_split(regexp_replace(hex(encode(doc_id || ':' || run)), '(.)(.)', '\\2\\1', 'g'), ''), lambda s, x :
+           xor(s >> 4, ({_CRC_NIBBLES}::BIGINT[])[(xor(s, instr('0123456789ABCDEF', x) - 1) & 15) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h
+  FROM l),
+d AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, n FROM c),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM d WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+v AS (SELECT word, n, i, length(word) AS size, left(word, i - 1) || substring(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS m FROM v a JOIN v b ON a.rest = b.rest AND a.i = b.i AND a.size = b.size AND a.word <> b.word
+  UNION SELECT v.word, v.n, w.word, w.n FROM v JOIN w ON v.rest = w.word
+  UNION SELECT w.word, w.n, v.word, v.n FROM v JOIN w ON v.rest = w.word),
+b AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY m DESC, near) AS place, count(*) OVER (PARTITION BY word) AS n_near FROM p),
+f AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near, CASE WHEN b.m >= 5 * w.n THEN b.near END AS form, CASE WHEN b.m >= 5 * w.n THEN b.m END AS form_n
+  FROM w LEFT JOIN (SELECT * FROM b WHERE place = 1) b USING (word)),
+t AS (SELECT word, word AS at, form AS next FROM f UNION ALL SELECT t.word, f.word, f.form FROM t JOIN f ON f.word = t.next)
+SELECT f.word, f.form, t.at AS root, f.n, f.n_near, f.form_n FROM f JOIN t ON t.word = f.word AND t.next IS NULL
+"""
+
 _OP8_SQL = f"""
 WITH l AS (
   SELECT doc_id, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line
@@ -136,8 +163,8 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, u.b FROM
 SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.b)::BIGINT AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY ALL
 """
 
-_QUERIES = {"op1_mpeg_audio": op1_mpeg_audio, "op2_packing": op2_packing, "op3_decontaminate": op3_decontaminate, "op5_quality_rules": op5_quality_rules, "op6_perspectives": op6_perspectives, "op9_suffix_dedup": op9_suffix_dedup, "op10_toxicity": op10_toxicity, "op4_jaccard_join": op4_jaccard_join, "op7_jump_shards": op7_jump_shards, "op8_line_dedup": op8_line_dedup}
-_SQL = {"op6_perspectives": _OP6_SQL, "op4_jaccard_join": _OP4_SQL, "op7_jump_shards": _OP7_SQL, "op8_line_dedup": _OP8_SQL}
+_QUERIES = {"op1_mpeg_audio": op1_mpeg_audio, "op2_packing": op2_packing, "op3_decontaminate": op3_decontaminate, "op5_quality_rules": op5_quality_rules, "op6_perspectives": op6_perspectives, "op9_suffix_dedup": op9_suffix_dedup, "op10_toxicity": op10_toxicity, "op4_jaccard_join": op4_jaccard_join, "op7_jump_shards": op7_jump_shards, "op8_line_dedup": op8_line_dedup, "op11_spelling_variants": op11_spelling_variants}
+_SQL = {"op6_perspectives": _OP6_SQL, "op4_jaccard_join": _OP4_SQL, "op7_jump_shards": _OP7_SQL, "op8_line_dedup": _OP8_SQL, "op11_spelling_variants": _OP11_SQL}
 
 
 def queries() -> dict:
