@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, jaccard, linededup, mpegaudio, packing, perspectives, rulequality, sharding, spelling, suffixdedup, toxicity
+from tessera.llm import alignment, decontaminate, jaccard, linededup, mpegaudio, packing, perspectives, rulequality, sharding, simhash, spelling, suffixdedup, toxicity
 from tessera.llm.common import LOWER, UPPER, stored, table
 
 N_SHARDS = 8
@@ -66,6 +66,14 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_components(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 # CRC-32 by nibbles: fixed values, the remainders of the 16 nibbles.
 _CRC_NIBBLES = [
     0x00000000, 0x1DB71064, 0x3B6E20C8, 0x26D930AC, 0x76DC4190, 0x6B6B51F4, 0x4DB26158, 0x5005713C,
@@ -163,7 +171,7 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, u.b FROM
 SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.b)::BIGINT AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY ALL
 """
 
-_QUERIES = {"op1_mpeg_audio": op1_mpeg_audio, "op2_packing": op2_packing, "op3_decontaminate": op3_decontaminate, "op5_quality_rules": op5_quality_rules, "op6_perspectives": op6_perspectives, "op9_suffix_dedup": op9_suffix_dedup, "op10_toxicity": op10_toxicity, "op4_jaccard_join": op4_jaccard_join, "op7_jump_shards": op7_jump_shards, "op8_line_dedup": op8_line_dedup, "op11_spelling_variants": op11_spelling_variants}
+_QUERIES = {"op1_mpeg_audio": op1_mpeg_audio, "op2_packing": op2_packing, "op3_decontaminate": op3_decontaminate, "op5_quality_rules": op5_quality_rules, "op6_perspectives": op6_perspectives, "op9_suffix_dedup": op9_suffix_dedup, "op10_toxicity": op10_toxicity, "op4_jaccard_join": op4_jaccard_join, "op7_jump_shards": op7_jump_shards, "op8_line_dedup": op8_line_dedup, "op11_spelling_variants": op11_spelling_variants, "op12_simhash_bk_trees": op12_simhash_bk_trees, "op13_token_alignment": op13_token_alignment}
 _SQL = {"op6_perspectives": _OP6_SQL, "op4_jaccard_join": _OP4_SQL, "op7_jump_shards": _OP7_SQL, "op8_line_dedup": _OP8_SQL, "op11_spelling_variants": _OP11_SQL}
 
 
