@@ -90,6 +90,20 @@ def html_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"<[^>]*>", " "), r"[ \t\n\r]+", " "))
 
 
+def normal_path(path: Column, root: str | None = None) -> Column:
+    """One spelling for a file, whoever names it: scans by URI, logs and diffs relative to a root.
+
+    file: is no part of it, another scheme and its host are; a relative path is taken under root, if that is
+    given. Empty parts and `.` go, and `..` takes the part before it along; above the top it is nothing.
+    """
+    whole = path if root is None else F.when(path.rlike(r"^(/|[A-Za-z][A-Za-z0-9+.-]*:)"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
+    scheme = F.regexp_extract(whole, r"^([A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?)", 1)
+    rest = F.substring(whole, F.length(scheme) + 1, F.length(whole))
+    step = lambda kept, part: F.when(part.isin("", "."), kept).when(part == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(part)))
+    parts = F.aggregate(F.split(rest, "/"), F.array().cast("array<string>"), step)
+    return F.concat(F.when(scheme.startswith("file:"), "").otherwise(scheme), F.when(rest.startswith("/"), "/").otherwise(""), F.array_join(parts, "/"))
+
+
 def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

@@ -36,10 +36,10 @@ def referencers(mentions: DataFrame, names: DataFrame, processed: DataFrame) ->
     return mentions.join(names.select(F.col("name").alias("token")), "token", "left_semi").select("file_path").distinct().join(processed, "file_path", "left_anti")
 
 
-def mentions(sources: DataFrame) -> DataFrame:
-    """(file_path, token) of the identifiers in whole source files (file_path, content), wherever they stand."""
+def mentions(sources: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(file_path, token, kept columns) of the identifiers in whole source files (file_path, content), wherever they stand."""
     words = F.regexp_extract_all(F.col("content"), F.lit(r"[\p{L}_$][\p{L}\p{M}\p{N}_$]*"), F.lit(0))
-    return sources.select("file_path", F.explode(F.array_distinct(words)).alias("token"))
+    return sources.select("file_path", *keep, F.explode(F.array_distinct(words)).alias("token"))
 
 
 def latest(rows: DataFrame, key: list[str], order: list) -> DataFrame:

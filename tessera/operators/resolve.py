@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import normal_path
 from tessera.schema import CONFIDENCE
 
 
@@ -26,9 +27,7 @@ def cross_file(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """Relations still without a target: names that an imported file defines at 0.7, names defined once in all at 0.5."""
     suffixless = F.regexp_replace("path", r"\.(ts|tsx|js|jsx|mts|cts)$", "")
     imports = relations.filter("rel_type = 'IMPORTS'").select("file_path", F.col("to_name").alias("raw")).filter(F.col("raw").startswith("."))
-    folder = F.regexp_replace("file_path", r"/[^/]*$", "")
-    joined = F.concat(folder, F.lit("/"), F.col("raw"))
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(joined, r"/(\./)+", "/"), r"[^/]+/\.\./", ""), r"[^/]+/\.\./", "")
+    plain = normal_path(F.concat(F.regexp_replace("file_path", r"[^/]*$", ""), F.col("raw")))
     imported = imports.select("file_path", F.regexp_replace(plain, r"\.(ts|tsx|js|jsx|mts|cts)$", "").alias("base")).distinct()
     defined = entities.filter("symbol_type != 'module'").select(F.col("file_path").alias("path"), "name", "qualified_name").withColumn("base", suffixless)
     near = imported.join(defined, "base").groupBy("file_path", F.col("name").alias("to_name")).agg(F.min("qualified_name").alias("__near"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import zlib
 from functools import partial
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,17 +12,17 @@ from tessera.functions.text import query_terms, tokens
 from tessera.functions.vectors import cosine
 from tessera.operators.fusion import rrf_merge
 from tessera.schema import BM25_B, BM25_K1, RRF_K
+from tessera.sources.store import MOST_FOLDERS, Tables
 
 
-#: Folders that postings are dealt to by term; a query reads its terms' folders only.
-BUCKETS = 64
+#: Folders that postings are dealt to by term, for each partition of the texts; a query reads its terms' folders only.
+FOLDERS_EACH = 4
 
 
 def postings(docs: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(bucket, term, key, tf, dl, kept columns) of every term of every text; one shuffle by text and term, combined ahead."""
+    """(term, key, tf, dl, kept columns) of every term of every text; one shuffle by text and term, combined ahead."""
     toks = docs.select(key, *keep, tokens(F.col(text)).alias("__t")).withColumn("dl", F.size("__t"))
-    counted = toks.select(key, *keep, "dl", F.explode("__t").alias("term")).groupBy("term", key, "dl", *keep).agg(F.count("*").alias("tf"))
-    return counted.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BUCKETS)).cast("int"))
+    return toks.select(key, *keep, "dl", F.explode("__t").alias("term")).groupBy("term", key, "dl", *keep).agg(F.count("*").alias("tf"))
 
 
 def corpus_statistics(docs: DataFrame, text: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -31,24 +31,26 @@ def corpus_statistics(docs: DataFrame, text: str, by: tuple[str, ...] = ()) -> D
 
 
 def write_postings(docs: DataFrame, path: str, key: str, text: str) -> None:
-    """Postings by bucket and the corpus statistics, each written once under path. A bucket is as many files as its size asks for."""
-    postings(docs, key, text).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", key).write.partitionBy("bucket").parquet(f"{path}/terms")
-    corpus_statistics(docs, text).write.parquet(f"{path}/corpus")
+    """Postings in folders by term and the corpus statistics, each written once under path. The folders follow the texts' partitions."""
+    tables = Tables(docs.sparkSession, path)
+    tables.put("terms", postings(docs, key, text), "term", min(MOST_FOLDERS, FOLDERS_EACH * docs.rdd.getNumPartitions()))
+    tables.put("corpus", corpus_statistics(docs, text), "n", 1)
 
 
-def read_postings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/corpus")
+def read_postings(spark: SparkSession, path: str, terms: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Postings, of some terms' folders only, and the corpus statistics."""
+    tables = Tables(spark, path)
+    return tables.get("terms", terms), tables["corpus"]
 
 
 def bm25_postings(rows: DataFrame, corpus: DataFrame, terms: list[str], key: str, idf: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, key, score) of the texts that hold a term, from postings; by: what makes a corpus of its own, such as the collection.
 
-    Only the terms' buckets are read, and of these the terms' rows. A term's frequency over all texts is
-    its number of rows; there are as many of these counts as query terms and corpora. No terms, no rows.
+    A term's frequency over all texts is its number of rows; there are as many of these counts as query
+    terms and corpora. No terms, no rows.
     """
     terms = sorted(set(terms))
-    buckets = sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})
-    hits = rows.filter(F.col("bucket").isin(*buckets) & F.col("term").isin(*terms)) if terms else rows.filter(F.lit(False))
+    hits = rows.filter(F.col("term").isin(*terms)) if terms else rows.filter(F.lit(False))
     held = F.broadcast(hits.groupBy(*by, "term").agg(F.count("*").alias("df")))  # a row for each query term and corpus
     stats = F.broadcast(corpus.select(*by, "n", (F.col("total_dl") / F.col("n")).alias("avg_dl")))  # a row for each corpus
     met = hits.join(held, [*by, "term"])
@@ -135,9 +137,17 @@ def rerank_overlap(hits: DataFrame, query: str, text: str, key: str, k: int) ->
     return hits.withColumn("rerank_score", overlap).orderBy(F.col("rerank_score").desc(), key).limit(k)
 
 
-def rerank_with(hits: DataFrame, score: Column, key: str, k: int) -> DataFrame:
-    """Any other scorer, such as a pandas UDF around a model; where it gives null the hit keeps its place at the end. A scorer that fails is to give nulls."""
-    return hits.withColumn("rerank_score", score).orderBy(F.col("rerank_score").desc_nulls_last(), F.col("score").desc(), key).limit(k)
+def rerank_with(hits: DataFrame, score, query: str, text: str, key: str, k: int) -> DataFrame:
+    """Hits by another scorer: score(query, texts) gives a number for each of a list of texts. Where it fails or gives none the hits keep their order, at the end."""
+
+    @F.pandas_udf("double")
+    def scores(texts: pd.Series) -> pd.Series:
+        try:
+            return pd.Series([None if x is None else float(x) for x in score(query, [t or "" for t in texts])], index=texts.index, dtype="float64")
+        except Exception:  # any scorer's fault: the search goes on without it
+            return pd.Series([None] * len(texts), index=texts.index, dtype="float64")
+
+    return hits.withColumn("rerank_score", scores(text)).orderBy(F.col("rerank_score").desc_nulls_last(), F.col("score").desc(), key).limit(k)
 
 
 def lookup_symbol(entities: DataFrame, name: str, limit: int = 1) -> DataFrame:

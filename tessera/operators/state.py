@@ -76,10 +76,9 @@ def open_intents(log: DataFrame) -> DataFrame:
     return last.filter("state not in ('done', 'failed')")
 
 
-def index_files(index: DataFrame, written: DataFrame) -> DataFrame:
-    """The file index after files were indexed: their rows replaced and stamped, no longer dirty."""
-    fresh = written.withColumns({"dirty": F.lit(False), "indexed_at": F.current_timestamp()})
-    return index.join(fresh.select("file_path"), "file_path", "left_anti").unionByName(fresh, allowMissingColumns=True)
+def stamped(written: DataFrame) -> DataFrame:
+    """Rows of the file index for files that were indexed just now: no longer dirty."""
+    return written.withColumns({"dirty": F.lit(False), "indexed_at": F.current_timestamp()})
 
 
 def drift(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:

@@ -59,7 +59,7 @@ nn AS (SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], q
 
 
 def _bm25(spark: SparkSession, sf_dir: str, idf: bool = True, terms: list[str] = TERMS) -> DataFrame:
-    return retrieval.bm25_postings(*t.document_postings(spark, sf_dir), terms, "doc_id", idf)
+    return retrieval.bm25_postings(*t.document_postings(spark, sf_dir, terms), terms, "doc_id", idf)
 
 
 def _knn(points: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +123,7 @@ def q05_knn_filtered(spark, sf_dir):
 def _collection_hits(spark: SparkSession, sf_dir: str, lose_links: bool) -> DataFrame:
     """Documents as code, conversations as their descriptions: a first turn describes the document of the conversation's number."""
     code = _bm25(spark, sf_dir).select(F.lit("code_ts").alias("collection"), F.col("doc_id").alias("chunk_id"), F.lit(None).cast("long").alias("linked_chunk_id"), "score")
-    described = retrieval.bm25_postings(*t.turn_postings(spark, sf_dir), TERMS, "turn_id")
+    described = retrieval.bm25_postings(*t.turn_postings(spark, sf_dir, TERMS), TERMS, "turn_id")
     link = F.floor(F.col("turn_id") / 1000)
     link = F.when(F.col("turn_id") % 2 == 1, None).otherwise(link) if lose_links else link
     return code.unionByName(described.select(F.lit("code_ts_desc").alias("collection"), F.col("turn_id").alias("chunk_id"), link.alias("linked_chunk_id"), "score"))

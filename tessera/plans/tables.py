@@ -32,14 +32,14 @@ def made_once(spark: SparkSession, sf_dir: str, source: str, name: str, write) -
     return _MADE[key]
 
 
-def document_postings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def document_postings(spark: SparkSession, sf_dir: str, terms: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return retrieval.read_postings(spark, made_once(spark, sf_dir, "documents", "doc-postings", lambda path: retrieval.write_postings(docs, path, "doc_id", "text")))
+    return retrieval.read_postings(spark, made_once(spark, sf_dir, "documents", "doc-postings", lambda path: retrieval.write_postings(docs, path, "doc_id", "text")), terms)
 
 
-def turn_postings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def turn_postings(spark: SparkSession, sf_dir: str, terms: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text")
-    return retrieval.read_postings(spark, made_once(spark, sf_dir, "conversations", "turn-postings", lambda path: retrieval.write_postings(turns, path, "turn_id", "text")))
+    return retrieval.read_postings(spark, made_once(spark, sf_dir, "conversations", "turn-postings", lambda path: retrieval.write_postings(turns, path, "turn_id", "text")), terms)
 
 
 def mapped(column, values: dict):

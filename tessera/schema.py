@@ -10,6 +10,7 @@ BM25_K1, BM25_B = 1.2, 0.75
 MAX_HOPS, GRAPH_LIMIT, CO_CHANGE_LIMIT, COMMIT_LIMIT, ISSUE_LIMIT = 4, 25, 8, 5, 20
 MIN_COUNT, MAX_COMMIT_FILES, LOOKBACK = 3, 30, 500
 MAX_ATTEMPTS = 3
+LEASE_SECONDS = 600
 DEFAULT_CONFIDENCE = 0.5
 CONFIDENCE = {"call_name": 0.9, "call_member": 0.5, "heritage": 0.7, "import": 0.8, "same_file": 0.9, "imported": 0.7, "unique_name": 0.5, "semantic": 1.0}
 EMBEDDABLE = ("function", "method", "class", "interface")
@@ -42,3 +43,22 @@ PARSED = T.StructType([
 CSHARP_ENTITY = "qualified_name string, name string, type string, class_name string, namespace string, file_path string, line_start int, line_end int, content string, signature string, visibility string, is_async boolean, return_type string, docstring string"
 CSHARP_RELATION = "`from` string, `to` string, type string, confidence double, resolution_type string"
 CSHARP_RESULT = f"entities array<struct<{CSHARP_ENTITY.replace(' string', ':string').replace(' int', ':int').replace(' boolean', ':boolean')}>>, relations array<struct<{CSHARP_RELATION.replace(' string', ':string').replace(' double', ':double')}>>"
+
+#: Columns of the engine's tables that are read before anything was written to them.
+_POSTING = "chunk_id string, collection string, file_path string, stamp string, dl int"
+TABLES = {
+    "sources": "file_path string, content string, stamp string",
+    "entities": "file_path string, name string, qualified_name string, symbol_type string, line_start int, line_end int, content string, signature string, docstring string, parent_class string, language string, ordinal int, repo string, chunk_id string",
+    "relations": "file_path string, from_qn string, to_name string, rel_type string, confidence double, resolution_type string, to_qn string, ordinal int",
+    "edges": "src string, rel_type string, dst string, confidence double, resolution_type string, file_path string",
+    "file_index": "file_path string, repo string, content_hash string, status string, chunk_ids array<string>, node_ids array<string>, error string, dirty boolean, indexed_at timestamp",
+    "jobs": "file_path string, chunk_id string, qualified_name string, language string, repo string, status string, attempts bigint, enqueued_at timestamp, claimed_at timestamp, error string",
+    "lengths": _POSTING,
+    "postings": f"term string, {_POSTING}, tf bigint",
+    "identifiers": "token string, file_path string, stamp string",
+    "intents": "operation_id string, at timestamp, state string, kind string, file_path string, error string",
+    "commits": "hash string, author string, date timestamp, message string, n_files bigint",
+    "touches": "file_path string, hash string, date timestamp",
+    "pairs": "file_a string, file_b string, count bigint, last_seen timestamp",
+    "issues": "chunk_id string, issue_id string, title string, status string, source_reliability string",
+}

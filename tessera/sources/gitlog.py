@@ -2,26 +2,53 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import normal_path
 from tessera.operators.filters import indexed_source
+from tessera.workspace import scratch, write_stream
 
 SEPARATOR = "\x1f"
+#: What a commit begins with in logs that are written to be read in parallel.
+RECORD = "\x1e"
 # Fixed value: a commit's fields, as results name them.
 LOG_FORMAT = "%H%x1f%an%x1f%aI%x1f%s"
+_CHUNK = 1 << 20
 
 
-def git_lines(spark: SparkSession, repo: str, *arguments: str) -> DataFrame:
-    """(log, line_no, line) of a git command's output, run on the driver."""
-    out = subprocess.run(["git", "-C", repo, "-c", "core.quotepath=off", *arguments], capture_output=True, text=True, check=True).stdout
-    return spark.createDataFrame([(repo, i, x) for i, x in enumerate(out.splitlines())] or [], "log string, line_no long, line string")
+def git_output(spark: SparkSession, repo: str, *arguments: str) -> str:
+    """The path of a git command's output, streamed to a file in the shared folder."""
+    path = f"{scratch(spark, 'git')}/out.txt"
+    with subprocess.Popen(["git", "-C", repo, "-c", "core.quotepath=off", *arguments], stdout=subprocess.PIPE) as process:
+        write_stream(spark, path, iter(lambda: process.stdout.read(_CHUNK), b""))
+    if process.returncode:
+        raise subprocess.CalledProcessError(process.returncode, process.args)
+    return path
 
 
-def commit_log(spark: SparkSession, repo: str, lookback: int = 500) -> DataFrame:
-    return parse_log(git_lines(spark, repo, "log", f"--format={LOG_FORMAT}", "--name-only", f"-{lookback}"))
+def commit_log(spark: SparkSession, repo: str, lookback: int | None = 500, root: str | None = None) -> DataFrame:
+    """The commits of a repository, the last `lookback` or all. Files are named as under root: where the repository was scanned, its own folder if not given."""
+    some = [] if lookback is None else [f"-{lookback}"]
+    path = git_output(spark, repo, "log", f"--format=%x1e{LOG_FORMAT}", "--name-only", *some)
+    return read_log(spark, path, root or os.path.abspath(repo))
+
+
+def read_log(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
+    """(hash, author, date, message, files) from log files whose commits begin with RECORD.
+
+    The files are split at that character, so a log of any length is read by all tasks, and a commit needs
+    nothing but its own record.
+    """
+    lines = F.split("value", "\n")
+    head = F.split(F.get(lines, F.lit(0)), SEPARATOR, 4)
+    files = F.filter(F.transform(F.slice(lines, 2, F.size(lines)), lambda x: F.trim(x)), lambda x: x != "")
+    records = spark.read.option("lineSep", RECORD).text(path).select(head.alias("head"), files.alias("files")).filter(F.size("head") == 4)
+    at = lambda i: F.get(F.col("head"), F.lit(i))
+    return records.select(at(0).alias("hash"), at(1).alias("author"), F.to_timestamp(at(2)).alias("date"), at(3).alias("message"), F.transform("files", lambda x: normal_path(x, root)).alias("files"))
 
 
 def parse_log(lines: DataFrame) -> DataFrame:
@@ -41,8 +68,11 @@ def parse_log(lines: DataFrame) -> DataFrame:
         "log", "commit_no", at(0).alias("hash"), at(1).alias("author"), F.to_timestamp(at(2)).alias("date"), at(3).alias("message"), "files")
 
 
-def diff_changes(spark: SparkSession, repo: str, old: str, new: str) -> DataFrame:
-    return decode_changes(git_lines(spark, repo, "diff", "--name-status", "-M", old, new).select("line"))
+def diff_changes(spark: SparkSession, repo: str, old: str, new: str, root: str | None = None) -> DataFrame:
+    """Changes between two commits; paths as in commit_log."""
+    lines = spark.read.text(git_output(spark, repo, "diff", "--name-status", "-M", old, new)).withColumnRenamed("value", "line")
+    under = root or os.path.abspath(repo)
+    return decode_changes(lines).withColumns({c: normal_path(F.col(c), under) for c in ("path", "old_path")})
 
 
 def decode_changes(lines: DataFrame) -> DataFrame:

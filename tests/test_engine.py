@@ -1,11 +1,15 @@
 import json
+import re
+import subprocess
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.api import Engine
 from tessera.operators import changes
-from tessera.sources import code, store
+from tessera.sources import code, gitlog, store
+from tessera.sources.files import scan_repo
 from tessera.streaming import jobs
 
 SOURCES = [
@@ -100,9 +104,11 @@ def test_indexing_is_one_unit(spark, engine):
     assert {("lib/bad.py", "intent"), ("lib/bad.py", "failed"), ("lib/tide/Gauge.ts", "done"), ("docs/han.md", "done"), ("docs/old.pdf", "failed")} <= states
     assert engine.tables["jobs"].filter("status = 'pending' and attempts = 0").count() == store.read_points(spark, engine.points, ("code_ts",)).count() == 8
     assert engine.tables["doc_index"].count() == 2 and engine.tables["documents"].filter("is_latest").count() == 2
-    before = {n: engine.tables[n].count() for n in ("entities", "relations", "edges", "jobs", "file_index", "postings", "lengths")}
-    engine.index_files(files(spark, SOURCES[:2]))
-    assert {n: engine.tables[n].count() for n in before} == before  # once more leaves the same
+    counts = lambda: {n: engine.tables[n].count() for n in ("entities", "relations", "edges", "jobs", "file_index", "lengths")} | {"postings": engine._live_postings(engine.tables["postings"]).count()}
+    before = counts()
+    engine.index_files(files(spark, SOURCES[:2] + SOURCES[:2]))
+    assert counts() == before  # once more, and twice in a batch, leaves the same
+    assert engine.tables["jobs"].groupBy("chunk_id").count().filter("count > 1").count() == 0
     assert {r["outcome"]: r["n"] for r in Engine.summary(engine._outcomes(("indexed", files(spark)))).collect()} == {"indexed": 5}
 
 
@@ -151,7 +157,7 @@ def test_descriptions(spark):
     hit = json.loads(engine.search("ships", collections=["code_ts_desc"], expand_graph=False).first()["json"])
     assert hit["qualified_name"].endswith("::Harbour") and hit["matched_via"] == "description"
     engine.index_files(files(spark, SOURCES[1:2]))
-    assert store.read_points(spark, engine.points, ("code_ts_desc",)).count() == 0 and engine.tables["postings"].filter("collection = 'code_ts_desc'").count() == 0
+    assert store.read_points(spark, engine.points, ("code_ts_desc",)).count() == 0 and engine._live_postings(engine.tables["postings"]).filter("collection = 'code_ts_desc'").count() == 0
 
 
 def test_changes_relink_and_streams(spark, tmp_path):
@@ -179,11 +185,21 @@ def test_history_and_repair(spark):
     engine = Engine(spark)
     engine.index_files(files(spark))
     paths = ["lib/tide/Gauge.ts", "lib/port/Harbour.ts", "gone/away.ts"]
-    engine.index_history(spark.createDataFrame([(f"h{i}", f"2024-01-0{i + 1}", paths) for i in range(4)], "hash string, date string, files array<string>"))
+    commits = lambda at: spark.createDataFrame([(f"h{i}", "An", f"2024-01-0{i + 1}", f"m{i}", paths) for i in at], "hash string, author string, date string, message string, files array<string>").withColumn("date", F.to_timestamp("date"))
+    engine.index_history(commits([0, 1]))
+    assert engine.co_changed(paths[0]).count() == 0 and [r["count"] for r in engine.co_changed(paths[0], 1).collect()] == [2]
+    engine.index_history(commits([1, 2, 3]))  # one of them once more
     assert [(r["other"], r["count"]) for r in engine.co_changed(paths[0]).collect()] == [(paths[1], 4)] and engine.tables["touches"].count() == 8
+    wide = [(f"w{i}", [*paths, *(f"x{j}.ts" for j in range(40))]) for i in range(3)]
+    engine.index_history(spark.createDataFrame(wide, "hash string, files array<string>"))  # mass commits touch, and pair nothing
+    assert [(r["other"], r["count"]) for r in engine.co_changed(paths[0]).collect()] == [(paths[1], 4)] and engine.tables["touches"].count() == 14
+    assert [(r["hash"], r["author"], r["message"]) for r in engine.recent_commits(paths[0], 2).collect()] == [("h3", "An", "m3"), ("h2", "An", "m2")]
+    hit = json.loads(engine.search("steady level", collections=["code_ts"], top_k=1).first()["json"])
+    assert hit["file_path"] == paths[0] and {"hash": "h3", "author": "An", "message": "m3"}.items() <= max(hit["graph_context"]["recent_commits"], key=lambda c: c["hash"] if c["hash"][0] == "h" else "").items()
     some = engine.tables["jobs"].first()["chunk_id"]
     engine.index_issues(spark.createDataFrame([(some, "I-1"), (some, "I-1"), ("none", "I-2")], "chunk_id string, issue_id string"))
-    assert engine.tables["issues"].count() == 1
+    engine.index_issues(spark.createDataFrame([(some, "I-1", "Title", "open")], "chunk_id string, issue_id string, title string, status string"))
+    assert [(r["issue_id"], r["title"], r["status"], r["source_reliability"]) for r in engine.tables["issues"].collect()] == [("I-1", "Title", "open", None)]
     store.delete_points(spark.createDataFrame([(paths[0],)], "file_path string"), engine.points)  # silent drift
     engine.tables.put("file_index", changes.patch(engine.tables["file_index"], spark.createDataFrame([(paths[1], True)], "file_path string, dirty boolean"), ["file_path"]))
     assert [r["file_path"] for r in engine.drift().collect()] == [paths[0]]
@@ -200,4 +216,107 @@ def test_index_repo(spark, tmp_path):
         (tmp_path / name).write_text(text)
     engine = Engine(spark)
     told = {(r["outcome"], r["file_path"].rsplit("/", 1)[1]) for r in engine.index_repo(str(tmp_path)).collect()}
+    assert {r["file_path"] for r in engine.tables["entities"].collect()} == {f"{tmp_path}/src/a.ts"}
     assert told == {("indexed", "a.ts"), ("indexed", "read.md")} and engine.lookup_symbol("alpha").count() == 1
+
+
+def test_a_repository_from_its_first_commit_to_a_search(spark, tmp_path):
+    """Scan, log and diff of one repository name its files alike."""
+    repo = tmp_path / "repo"
+    (repo / "src").mkdir(parents=True)
+
+    def git(*args):
+        subprocess.run(["git", "-C", str(repo), "-c", "user.name=Bo", "-c", "user.email=b@b", *args], check=True, capture_output=True)
+
+    git("init", "-q")
+    for i in range(4):
+        (repo / "src/tide.ts").write_text(f"export function highTide(a: number) {{ return a + {i}; }}\n")
+        (repo / "src/port.ts").write_text(f"import {{ highTide }} from './tide';\nexport function enter() {{ return highTide({i}); }}\n")
+        git("add", "-A")
+        git("commit", "-qm", f"step {i}")
+    engine = Engine(spark)
+    engine.index_repo(str(repo))
+    engine.index_history(gitlog.commit_log(spark, str(repo)))
+    tide, port = f"{repo}/src/tide.ts", f"{repo}/src/port.ts"
+    assert [(r["other"], r["count"]) for r in engine.co_changed(tide).collect()] == [(port, 4)]
+    assert {r["message"] for r in engine.recent_commits(port).collect()} == {f"step {i}" for i in range(4)} and engine.recent_commits(port).first()["author"] == "Bo"
+    git("mv", "src/tide.ts", "src/moon.ts")
+    (repo / "src/moon.ts").write_text("export function highTide(a: number) { return a + 3; }\n")
+    git("add", "-A")
+    git("commit", "-qm", "step 4")
+    changed = gitlog.diff_changes(spark, str(repo), "HEAD~1", "HEAD")
+    told = {(r["outcome"], r["file_path"]) for r in engine.apply_changes(changed, scan_repo(spark, str(repo))).collect()}
+    assert told == {("deleted", tide), ("indexed", f"{repo}/src/moon.ts"), ("relinked", port)}
+    assert [r["node"] for r in engine.callers(f"{repo}/src/moon.ts::highTide").collect()] == [f"{port}::enter"]
+    assert engine.co_changed(port).count() == 0
+    engine.index_history(gitlog.commit_log(spark, str(repo)))
+    assert engine.recent_commits(f"{repo}/src/moon.ts").first()["message"] == "step 4"
+
+
+def test_nothing_is_there_yet_or_any_more(spark):
+    engine = Engine(spark)
+    empty = lambda: [engine.callers("x"), engine.callees("x"), engine.lookup_symbol("x"), engine.co_changed("x"), engine.recent_commits("x"), engine.search("x"), engine.drift(), engine.repair(), engine.describe(lambda p: p), engine.recover()]
+    assert [df.count() for df in empty()] == [0] * 10 and engine.stats().filter("n > 0").count() == 0 and engine.health()["status"] == "degraded"
+    engine.delete_files(spark.createDataFrame([("no.ts",)], "file_path string"))
+    engine.index_history(spark.createDataFrame([("h", ["no.ts"])], "hash string, files array<string>"))
+    one = files(spark, SOURCES[:1])
+    engine.index_files(one)
+    engine.delete_files(one)
+    assert engine.tables["file_index"].first()["status"] == "deleted" and engine.tables["edges"].count() == engine.tables["jobs"].count() == 0
+    assert [df.count() for df in empty()] == [0] * 10
+    assert engine.index_files(one).first()["outcome"] == "indexed" and engine.lookup_symbol("Gauge").count() == 1
+    assert json.loads(engine.search("steady", top_k=1).first()["json"])["symbol_name"]
+
+
+def test_a_reranker_that_fails_keeps_the_order(spark, engine):
+    ids = lambda **k: [r["chunk_id"] for r in engine.search("mooring fee ship", top_k=3, expand_graph=False, **k).collect()]
+
+    def broken(query, texts):
+        raise RuntimeError("no model")
+
+    kept = [r["score"] for r in engine.search("mooring fee ship", top_k=3, expand_graph=False, rerank=broken).collect()]
+    assert kept == sorted(kept, reverse=True) and len(kept) == 3 and ids(rerank=broken)[0] == ids()[0]
+    longest = engine.search("mooring fee ship", top_k=2, expand_graph=False, rerank=lambda query, texts: [len(t) for t in texts]).collect()
+    found = [len(json.loads(r["json"])["content"]) for r in longest]
+    assert found == sorted(found, reverse=True)
+
+
+def test_lost_writers_and_workers(spark):
+    engine = Engine(spark)
+    engine.index_files(files(spark, SOURCES[:1]))
+    # a writer that was lost after its intent, once with its sources written and once without
+    source = spark.createDataFrame([(*SOURCES[1], "s")], "file_path string, content string, stamp string")
+    with_lost = spark.createDataFrame([(SOURCES[1][0],), ("away.ts",)], "file_path string")
+    engine._log(with_lost, "op", "MODIFIED", "intent")
+    engine.tables.change("sources", source, source, ["file_path"])
+    assert {(r["outcome"], r["file_path"], r["error"]) for r in engine.recover().collect()} == {("recovered", SOURCES[1][0], None), ("failed", "away.ts", "interrupted")}
+    assert engine.lookup_symbol("Harbour").count() == 1 and engine.recover().count() == 0
+    # a worker that was lost with its claims
+    jobs_ = engine.tables["jobs"].withColumns({"status": F.lit("processing"), "attempts": F.lit(1).cast("long"), "claimed_at": F.current_timestamp() - F.expr("INTERVAL 1 HOUR")})
+    engine.tables.put("jobs", jobs_)
+    answer = lambda p: F.lit("Does it.")
+    assert engine.describe(answer, lease_seconds=7200).count() == 0
+    told = engine.describe(answer).collect()
+    assert {r["outcome"] for r in told} == {"done"} and engine.tables["jobs"].filter("status = 'done' and attempts = 2").count() == len(told) == 7
+
+
+def test_a_unit_leaves_nothing_aside(spark, tmp_path):
+    spark_dir = spark.conf.get("spark.checkpoint.dir", None)
+    engine = Engine(spark, str(tmp_path / "kb"))
+    held = lambda: {p.name for p in Path(spark.conf.get("spark.checkpoint.dir")).glob("aside-*")} if spark.conf.get("spark.checkpoint.dir", None) else set()
+    before = held()
+    engine.index_files(files(spark))
+    engine.apply_changes(spark.createDataFrame([("deleted", SOURCES[0][0], None)], "status string, path string, old_path string"), files(spark, []))
+    assert held() == before and spark_dir in (None, spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_a_change_reads_the_folders_of_its_names(spark, monkeypatch):
+    monkeypatch.setattr(store, "ROWS", 4)
+    engine = Engine(spark)
+    engine.tables.rows = 4
+    engine.index_files(files(spark, SOURCES[:4]))
+    assert engine.tables.about("identifiers")["folders"] > 4
+    names = spark.createDataFrame([("mooringFee",)], "name string")
+    rows = engine.tables.get("identifiers", names)
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ = \d+", rows._jdf.queryExecution().executedPlan().toString())
+    assert {r["file_path"] for r in rows.filter("token = 'mooringFee'").collect()} == {p for p, t in SOURCES[:4] if "mooringFee" in t}

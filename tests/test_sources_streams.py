@@ -1,8 +1,10 @@
 import subprocess
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import text as tx
 from tessera.operators import filters, state
 from tessera.sources import files, gitlog
 from tessera.streaming import jobs
@@ -20,7 +22,6 @@ def test_scans(spark, tmp_path):
     assert set(found) == {"a.ts", "b.cs", "c.mts"} and found["b.cs"]["language"] == "csharp" and len(found["a.ts"]["content_hash"]) == 64
     docs = files.scan_docs(spark, str(tmp_path), html=True)
     assert {r["text"] for r in docs.collect()} == {"# T\nbody", "hi"}
-    assert {(r["title"], r["content"]) for r in files.doc_chunks(docs).collect()} == {("T", "body"), (None, "hi")}
 
 
 def test_log_and_diff_of_a_repository(spark, tmp_path):
@@ -33,10 +34,38 @@ def test_log_and_diff_of_a_repository(spark, tmp_path):
     (tmp_path / "b.ts").write_text("bb")
     git(tmp_path, "add", "-A")
     git(tmp_path, "commit", "-qm", "second")
-    log = gitlog.commit_log(spark, str(tmp_path)).orderBy("commit_no").collect()
-    assert [r["message"] for r in log] == ["second", 'first "one"'] and log[1]["files"] == ["a.ts", "b.ts"]
-    got = {(r["status"], r["path"], r["old_path"]) for r in gitlog.diff_changes(spark, str(tmp_path), "HEAD~1", "HEAD").collect()}
-    assert got == {("renamed", "c.ts", "a.ts"), ("modified", "b.ts", None)}
+    log = {r["message"]: r for r in gitlog.commit_log(spark, str(tmp_path)).collect()}
+    assert set(log) == {"second", 'first "one"'} and log['first "one"']["files"] == [f"{tmp_path}/a.ts", f"{tmp_path}/b.ts"] and log["second"]["author"] == "t"
+    assert gitlog.commit_log(spark, str(tmp_path), 1, "hdfs://h/x").select("files").first()["files"] == ["hdfs://h/x/b.ts", "hdfs://h/x/c.ts"]
+    got = {(r["status"], r["path"], r["old_path"]) for r in gitlog.diff_changes(spark, str(tmp_path), "HEAD~1", "HEAD", "/r").collect()}
+    assert got == {("renamed", "/r/c.ts", "/r/a.ts"), ("modified", "/r/b.ts", None)}
+    with pytest.raises(subprocess.CalledProcessError):
+        gitlog.commit_log(spark, str(tmp_path / "none"))
+
+
+def test_a_log_is_read_by_many_tasks(spark, tmp_path):
+    n = 20_000
+    with open(tmp_path / "log.txt", "w") as f:
+        for i in range(n):
+            f.write(f"\x1e{i:040x}\x1fA {i % 7}\x1f2024-01-01T00:00:{i % 60:02d}+00:00\x1fmessage {i}\n\nsrc/{i % 50}.ts\nlib/./a/../{i % 9}.ts\n\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        log = gitlog.read_log(spark, str(tmp_path / "log.txt"), "/r")
+        assert log.rdd.getNumPartitions() > 4
+        assert "Window" not in log._jdf.queryExecution().executedPlan().toString()
+        rows = log.agg(F.count("*"), F.countDistinct("hash"), F.sum(F.size("files"))).first()
+        assert tuple(rows) == (n, n, 2 * n)
+        row = log.filter("message = 'message 11'").first()
+        assert row["files"] == ["/r/src/11.ts", "/r/lib/2.ts"] and row["author"] == "A 4" and row["date"].second == 11
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_paths_have_one_spelling(spark):
+    rows = [("file:///a//b/./c.ts", "/a/b/c.ts"), ("file:/a/b.ts", "/a/b.ts"), ("hdfs://h:1/a/../b.ts", "hdfs://h:1/b.ts"), ("a/b/c/../../../x", "/r/x"), ("../up.ts", "/up.ts"), ("/abs/x", "/abs/x"), ("", "/r")]
+    df = spark.createDataFrame([(a,) for a, _ in rows], "p string")
+    assert [r["q"] for r in df.select(tx.normal_path(F.col("p"), "/r").alias("q")).collect()] == [b for _, b in rows]
+    assert df.limit(1).select(tx.normal_path(F.lit("a/b/c/../../../x")).alias("q")).first()["q"] == "x"
 
 
 def test_windows_close_with_the_watermark(spark, tmp_path):
