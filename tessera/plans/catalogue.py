@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import changes, cochange, evaluation, filters, fusion, graph, pack, resolve, retrieval, state
+from tessera.operators import changes, cochange, evaluation, filters, fusion, graph, pack, resolve, retrieval, state, vector_index
 from tessera.plans import tables as t
 from tessera.plans.tables import table
 
@@ -114,6 +114,31 @@ def q04_knn_topk(spark, sf_dir):
     return retrieval.top(_knn(table(spark, sf_dir, "embeddings"), spark, sf_dir), "vec_id", 20)
 
 
+@query(f"WITH {_KNN_SQL} SELECT vec_id, score FROM nn ORDER BY score DESC, vec_id LIMIT 20")
+def q04b_knn_index_all_lists(spark, sf_dir):
+    """The same from the inverted file, in its exact setting."""
+    asked = table(spark, sf_dir, "embeddings").filter("vec_id = 0").first()["embedding"]
+    return vector_index.nearest_to(spark, t.vector_index_path(spark, sf_dir), asked, 20, probes=None)
+
+
+def _vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+
+
+@query()
+def q04c_knn_index(spark, sf_dir):
+    """The 20 nearest to every vector whose id 20 divides, from as many lists as the index has measured; recall is held against q04d in tests/test_vector_index.py."""
+    return vector_index.nearest(spark, t.vector_index_path(spark, sf_dir), _vector_queries(spark, sf_dir), 20)
+
+
+@query("""
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query, e.vec_id, round(list_cosine_similarity(q.v, e.v), 6) AS score FROM e q, e WHERE q.vec_id % 20 = 0)
+SELECT query, vec_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s QUALIFY rank <= 20""")
+def q04d_knn_index_exact_batch(spark, sf_dir):
+    return vector_index.nearest(spark, t.vector_index_path(spark, sf_dir), _vector_queries(spark, sf_dir), 20, probes=None)
+
+
 @query(f"WITH {_KNN_SQL} SELECT vec_id, score FROM nn WHERE label IN (1, 3, 5) ORDER BY score DESC, vec_id LIMIT 20")
 def q05_knn_filtered(spark, sf_dir):
     kept = filters.matching(table(spark, sf_dir, "embeddings"), {"label": [1, 3, 5], "vec_id": None})
@@ -358,7 +383,7 @@ def q26b_edges_of_real_sources(spark, sf_dir):
 
 @query(f"WITH {_EDGES_SQL} SELECT src, dst, 'CALLS' AS rel_type, c AS confidence FROM e")
 def q26_edge_merge_last_write(spark, sf_dir):
-    return t.edges(spark, sf_dir).select("src", "dst", "rel_type", "confidence")
+    return graph.merge_edges(t.edge_writes(spark, sf_dir), ["l_orderkey", "l_linenumber", "l_extendedprice"])
 
 
 @query("""

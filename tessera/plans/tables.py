@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import html_text, windows
-from tessera.operators import retrieval
+from tessera.operators import retrieval, vector_index
 from tessera.operators.graph import merge_edges
 from tessera.workspace import exists, scratch, stamp
 
@@ -42,6 +42,11 @@ def turn_postings(spark: SparkSession, sf_dir: str, terms: list[str] | None = No
     return retrieval.read_postings(spark, made_once(spark, sf_dir, "conversations", "turn-postings", lambda path: retrieval.write_postings(turns, path, "turn_id", "text")), terms)
 
 
+def vector_index_path(spark: SparkSession, sf_dir: str) -> str:
+    rows = table(spark, sf_dir, "embeddings")
+    return made_once(spark, sf_dir, "embeddings", "vector-index", lambda path: vector_index.write_index(rows, path, "vec_id", "embedding"))
+
+
 def mapped(column, values: dict):
     out = F.lit(None).cast("string")
     for k, v in values.items():
