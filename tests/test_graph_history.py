@@ -1,5 +1,7 @@
 from datetime import datetime
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from tessera.operators import changes, cochange, graph, pack, resolve, state
@@ -109,3 +111,29 @@ def test_same_file_resolution(spark):
         [("f", "go", None, 0.5, "heuristic"), ("f", "no", None, 0.5, "heuristic"), ("f", "go", "ext::go", 1.0, "semantic")], "file_path string, to_name string, to_qn string, confidence double, resolution_type string")
     got = {(r["to_name"], r["to_qn"], r["confidence"], r["resolution_type"]) for r in resolve.same_file(rel, entities).collect()}
     assert got == {("go", "f::go", 0.9, "same-file"), ("no", None, 0.5, "heuristic"), ("go", "ext::go", 1.0, "semantic")}
+
+
+def test_passages_meet_texts_on_their_rarest_run(spark):
+    docs = spark.createDataFrame([(1, "abc déf xyz"), (2, None), (3, ""), (4, "xyzabc" * 500), (5, "d")], "seed long, text string")
+    passages = {10: "déf", 11: "f x", 12: "d", 13: "", 14: None, 15: "zab", 16: "xyzabcx", 17: "nowhere", 18: "é", 19: "bc"}
+    issues = spark.createDataFrame(list(passages.items()), "issue_id long, passage string")
+    found = graph.containing(docs, issues)
+    got = {(r["seed"], r["issue_id"]) for r in found.collect()}
+    texts = {r["seed"]: r["text"] for r in docs.collect()}
+    assert got == {(s, i) for s, t in texts.items() if t is not None for i, p in passages.items() if p is not None and p in t}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert graph.containing(docs.limit(0), issues).count() == graph.containing(docs, issues.limit(0)).count() == 0
+
+
+def test_a_full_seed_leaves_the_search(spark):
+    """Around a hub the first level fills the limit: the later ones, which grow with its square, are not listed."""
+    hub = [(f"n{i}", "hub", 0.5) for i in range(60)] + [(f"m{i}", f"n{j}", 0.5) for i in range(60) for j in range(60)] + [("a", "lone", 0.5), ("b", "a", 0.5), ("c", "b", 0.5)]
+    edges = spark.createDataFrame(hub, "src string, dst string, confidence double")
+    seeds = spark.createDataFrame([("hub",), ("lone",)], "seed string")
+    got = sorted((r["seed"], r["node"], r["hops"]) for r in graph.neighbours(seeds, edges, 4).collect())
+    brute = graph.first_of_each(graph.paths(seeds, edges, 2).filter("node != seed").distinct(), "seed", [F.col("hops"), F.col("confidence").desc(), F.col("node")], 25)
+    assert [x for x in got if x[0] == "hub"] == sorted((r["seed"], r["node"], r["hops"]) for r in brute.collect() if r["seed"] == "hub") and len(got) == 28
+    assert [x for x in got if x[0] == "lone"] == [("lone", "a", 1), ("lone", "b", 2), ("lone", "c", 3)]
+    levels = sorted(Path(spark.conf.get("spark.checkpoint.dir")).glob("level-*"), key=lambda p: p.stat().st_mtime_ns)[-2:]
+    assert [spark.read.parquet(str(p)).filter("seed = 'hub'").count() for p in levels] == [0, 0]

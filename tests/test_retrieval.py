@@ -61,8 +61,11 @@ def test_cosine_and_knn(spark):
 def test_rerank(spark):
     hits = spark.createDataFrame([("a", "get user", 1.0), ("b", None, 2.0), ("c", "user user login", 0.5)], "chunk_id string, content string, score double")
     assert [r["chunk_id"] for r in retrieval.rerank_overlap(hits, "user login", "content", "chunk_id", 2).collect()] == ["c", "a"]
-    fallback = retrieval.rerank_with(hits, F.lit(None).cast("double"), "chunk_id", 2).collect()
-    assert [r["chunk_id"] for r in fallback] == ["b", "a"]
+    def broken(query, texts):
+        raise RuntimeError
+
+    order = lambda score: [r["chunk_id"] for r in retrieval.rerank_with(hits, score, "user", "content", "chunk_id", 2).collect()]
+    assert order(broken) == order(lambda query, texts: [None] * len(texts)) == ["b", "a"] and order(lambda query, texts: [t.count(query) for t in texts]) == ["c", "a"]
 
 
 def test_evaluation(spark):
