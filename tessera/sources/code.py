@@ -9,6 +9,7 @@ calls. Symbols in namespaces and blocks count, those within functions do not.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -80,6 +81,8 @@ class _File:
         self.path, self.text = path, text
         every = _scanned(text)
         self.comments = [x for x in every if x[0] == "comment"]
+        self.comment_ends = [x[3] for x in self.comments]
+        self.line_ends = [m.start() for m in re.finditer("\n", text)]
         self.toks = [x for x in every if x[0] != "comment"]
         self.close = self._brackets()
         self.entities: list[dict] = []
@@ -99,12 +102,13 @@ class _File:
         return self.toks[i][1] if 0 <= i < len(self.toks) else ""
 
     def line(self, at: int) -> int:
-        return self.text.count("\n", 0, at) + 1
+        return bisect_left(self.line_ends, at) + 1
 
     def docstring(self, start: int) -> str | None:
         """The nearest /** comment with nothing but comments and white space between it and the symbol."""
         at = start
-        for _, v, a, b in reversed([c for c in self.comments if c[3] <= start]):
+        for i in range(bisect_right(self.comment_ends, start) - 1, -1, -1):
+            _, v, a, b = self.comments[i]
             if re.sub(r"(?://[^\n]*|/\*.*?\*/|\s)", "", self.text[b:at], flags=re.S):
                 return None
             if v.startswith("/**"):
@@ -150,6 +154,18 @@ class _File:
                 self.relate(qn, v, "CALLS", CONFIDENCE["call_member"] if member else CONFIDENCE["call_name"])
             i += 1
 
+    def past_type_parameters(self, i: int) -> int:
+        """The token behind `<...>` if that opens at token i, else i."""
+        if self.value(i) != "<":
+            return i
+        depth, at = 1, i + 1
+        while at < len(self.toks) and depth:
+            if self.value(at) in (";", "{", "}") and at not in self.close:
+                return i
+            depth += (self.value(at) == "<") - self.value(at).count(">") * (self.value(at) != "=>")
+            at = self.close.get(at, at) + 1
+        return at if depth <= 0 else i
+
     def function(self, kind: str, name: str, first: int, opened: int, parent: str | None = None) -> int:
         """A function whose parameters open at token `opened`; the token after its body or signature."""
         end = self.close.get(opened, opened)
@@ -184,8 +200,9 @@ class _File:
         while body < len(self.toks) and self.value(body) != "{":
             body += 1
         end = self.close.get(body, len(self.toks) - 1)
-        text = self.text[self.toks[first][2] :]
-        qn = self.add(kind, name, first, end, text.split("\n", 1)[0].strip())
+        start = self.toks[first][2]
+        stop = self.text.find("\n", start)
+        qn = self.add(kind, name, first, end, self.text[start : stop if stop >= 0 else len(self.text)].strip())
         if kind == "class":
             self.heritage(qn, at, body)
         i = body + 1
@@ -194,10 +211,7 @@ class _File:
             while self.value(i) in _MODIFIERS and self.value(i + 1) not in ("(", "=", ":", ";"):
                 i += 1
             word = self.toks[i][0] == "word"
-            opened = i + 1
-            if word and self.value(opened) == "<":
-                while opened < end and self.value(opened) != "(":
-                    opened += 1
+            opened = self.past_type_parameters(i + 1 + (self.value(i + 1) in ("?", "!")))
             if word and self.value(opened) == "(" and self.value(i) not in _KEYWORDS:
                 i = self.function("method", self.value(i), start, opened, name)
                 continue
@@ -226,7 +240,8 @@ class _File:
                     return i
             if self.value(i) == "=":
                 at = i + 1 + (self.value(i + 1) == "async")
-                opened = at
+                generic = self.past_type_parameters(at)
+                opened = generic if self.value(generic) == "(" else at
                 if self.value(at) == "function":
                     opened = at + 1 + (self.toks[at + 1][0] == "word")
                     self.function("function", self.value(name_at), name_at, opened)

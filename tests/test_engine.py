@@ -1,6 +1,7 @@
 import json
 import re
 import subprocess
+import time
 from pathlib import Path
 
 import pytest
@@ -64,6 +65,38 @@ export const last = (z) => z / 2;
         assert code.parse_file("b.js", broken)["error"] is None
 
 
+def test_scanner_generics_and_optional_members():
+    source = """
+export const wrap = async <T>(x: T): Promise<T> => { return hold(x); };
+const keyed = <K extends string, V = Map<K, Array<number>>>(k: K, v: V) => store(k, v);
+class Tide<T extends Base<T>> extends Sea<T> {
+  level?(): void;
+  reset!: () => void;
+  /** Reads. */
+  read<U>(u: U): U { return probe(u); }
+  async each?<U extends { a: number }>(f: (u: U) => void) { visit(f); }
+}
+const smaller = a < b, other = (c > d);
+"""
+    found = code.parse_file("a.ts", source)
+    names = {e["qualified_name"].removeprefix("a.ts::"): e for e in found["entities"]}
+    assert {"wrap", "keyed", "Tide", "Tide.level", "Tide.read", "Tide.each"} <= set(names) and "smaller" not in names and "other" not in names
+    assert names["Tide.read"]["docstring"] == "/** Reads. */" and names["Tide.read"]["line_start"] == 8
+    calls = {(r["from_qn"].removeprefix("a.ts::"), r["to_name"]) for r in found["relations"]}
+    assert {("wrap", "hold"), ("keyed", "store"), ("Tide.read", "probe"), ("Tide.each", "visit"), ("Tide", "Sea")} <= calls
+
+
+def test_scanner_takes_time_in_proportion():
+    part = "/** Doc. */\nexport function f%d(a: number) {\n  // more\n  return g%d(a) + h(a);\n}\nclass C%d { m() { k(); } }\n"
+    seconds = []
+    for n in (2000, 8000):
+        text = "".join(part % (i, i, i) for i in range(n))
+        began = time.process_time()
+        assert len(code.parse_file("a.ts", text)["entities"]) == 3 * n + 1
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 8 * seconds[0]  # four times the text
+
+
 def test_csharp(spark):
     result = {
         "entities": [
