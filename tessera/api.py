@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions.vectors import cosine, hashed_embedding
-from tessera.operators import changes, cochange, filters, fusion, graph, pack, resolve, retrieval, state
+from tessera.operators import changes, cochange, evaluation, filters, fusion, graph, pack, resolve, retrieval, state
 from tessera.schema import CO_CHANGE_LIMIT, COLLECTIONS, COMMIT_LIMIT, DEFAULT_COLLECTIONS, DOC_SUFFIXES, LEASE_SECONDS, MAX_COMMIT_FILES, MAX_HOPS, MIN_COUNT, TABLES, TEXT_COLLECTIONS, TOP_K
 from tessera.sources import code, store
 from tessera.sources.files import scan_docs, scan_repo
@@ -381,6 +381,35 @@ class Engine:
             hits = self._expanded(hits)
         return pack.packed(hits).orderBy(*self._order(hits)).limit(top_k)
 
+    def search_many(self, queries: DataFrame, top_k: int = TOP_K, collections: tuple[str, ...] = _CODE) -> DataFrame:
+        """(query, chunk_id, file_path, score, rank) for many queries (query, text) in one job: hybrid search with the query as a key. Texts and vectors of all collections given are one corpus."""
+        points = store.read_points(self.spark, self.points, collections)
+        queries = queries.select(F.col("query").cast("string").alias("query"), "text").distinct()
+        if points is None:
+            return self.spark.createDataFrame([], "query string, chunk_id string, file_path string, score double, rank int")
+        depth = retrieval.over_fetch(top_k)
+        lengths = self._table("lengths").filter(F.col("collection").isin(*collections))
+        corpus = lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_dl"))
+        terms = queries.select(F.explode(tx.tokens(F.col("text"))).alias("term")).distinct()
+        held = self.tables.get("postings", terms)
+        rows = self._live_postings(self.spark.createDataFrame([], TABLES["postings"]) if held is None else held).filter(F.col("collection").isin(*collections))
+        sparse = retrieval.bm25_many(rows, corpus, queries, "chunk_id", depth).select("query", "chunk_id", "score")
+        asked = queries.withColumn("v", self.embed(tx.tokens(F.col("text"))))
+        dense = points.select("chunk_id", "dense").crossJoin(asked).select("query", "chunk_id", cosine(F.col("dense"), F.col("v")).alias("score")).filter("score is not null")  # the stated queries against all points
+        found = retrieval.hybrid_by(sparse, dense, "query", "chunk_id", top_k)
+        placed = retrieval.ranked(found, "chunk_id", ["query"])
+        return placed.join(points.select("chunk_id", "file_path"), "chunk_id").select("query", "chunk_id", "file_path", "score", "rank")
+
+    def evaluate(self, commits: DataFrame, k: int = 5, most: int = 50) -> DataFrame:
+        """One row (queries, precision, mrr): how well the messages of mending commits (hash, date, message, files) find the files that these changed."""
+        golden = evaluation.golden_set(commits, most)
+        found = self.search_many(golden.select("query", "text"), 10 * k)
+        files = found.groupBy("query", F.col("file_path").alias("item")).agg(F.min("rank").alias("first"))
+        ranks = files.withColumn("rank", F.row_number().over(changes.Window.partitionBy("query").orderBy("first", "item")))
+        queries = golden.select("query").distinct()
+        scores = queries.join(evaluation.precision_at(ranks, golden, k), "query", "left").join(evaluation.reciprocal_rank(ranks, golden), "query", "left").na.fill(0.0)
+        return scores.agg(F.count("*").alias("queries"), F.round(F.avg("precision"), 6).alias("precision"), F.round(F.avg("rr"), 6).alias("mrr"))
+
     @staticmethod
     def _order(hits: DataFrame) -> list[Column]:
         return ([F.col("rerank_score").desc_nulls_last()] if "rerank_score" in hits.columns else []) + [F.col("score").desc(), F.col("chunk_id")]

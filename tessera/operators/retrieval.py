@@ -60,6 +60,23 @@ def bm25_postings(rows: DataFrame, corpus: DataFrame, terms: list[str], key: str
     return met.groupBy(*by, key).agg(F.round(F.sum(weight * part), 6).alias("score"))
 
 
+def bm25_many(rows: DataFrame, corpus: DataFrame, queries: DataFrame, key: str, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(query, key, score, rank) of the k best texts of each of many queries (query, text), in one job with the query as a key.
+
+    Queries meet the postings by term; a term's frequency is counted once for all of them. A query without
+    terms that any text holds has no rows.
+    """
+    asked = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    held = rows.join(asked.select("term").distinct(), "term", "left_semi")
+    often = held.groupBy("term").agg(F.count("*").alias("df"))
+    stats = F.broadcast(corpus.select("n", (F.col("total_dl") / F.col("n")).alias("avg_dl")))  # one row
+    part = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avg_dl")))
+    weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    scored = held.join(often, "term").crossJoin(stats).select("term", key, *keep, (weight * part).alias("part"))
+    summed = scored.join(asked, "term").groupBy("query", key, *keep).agg(F.round(F.sum("part"), 6).alias("score"))
+    return ranked(summed, key, ["query"]).filter(F.col("rank") <= k)
+
+
 def _equals(term: str, x: Column) -> Column:
     return x == term
 

@@ -92,6 +92,20 @@ def q03_bm25_literal_no_idf(spark, sf_dir):
     return _bm25(spark, sf_dir, idf=False)
 
 
+@query(r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+') AS toks FROM documents),
+s AS (SELECT count(*) AS n, avg(len(toks)) AS avg_len FROM d),
+q AS (SELECT item_id AS query, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+'))) AS tok FROM benchmark WHERE item_id % 20 = 0),
+tf AS (SELECT doc_id, dl, tok, count(*) AS tf FROM (SELECT doc_id, len(toks) AS dl, unnest(toks) AS tok FROM d) WHERE tok IN (SELECT tok FROM q) GROUP BY ALL),
+f AS (SELECT tok, count(*) AS df FROM tf GROUP BY tok),
+b AS (SELECT query, doc_id, round(sum(ln(1 + (s.n - f.df + 0.5) / (f.df + 0.5)) * tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * tf.dl / s.avg_len))), 6) AS score FROM tf JOIN f USING (tok) JOIN q USING (tok), s GROUP BY ALL)
+SELECT query, doc_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id)::INTEGER AS rank FROM b QUALIFY rank <= 10""")
+def q02b_bm25_many(spark, sf_dir):
+    """A batch of queries in one job: the benchmark items whose id 20 divides."""
+    asked = table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("query"), "text")
+    return retrieval.bm25_many(*t.document_postings(spark, sf_dir), asked, "doc_id", 10)
+
+
 _PHRASE = "Über-straße, Être; l'été niño São mức"
 
 

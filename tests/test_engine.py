@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.api import Engine
-from tessera.operators import changes
+from tessera.operators import changes, evaluation
 from tessera.sources import code, gitlog, store
 from tessera.sources.files import scan_repo
 from tessera.streaming import jobs
@@ -314,6 +314,21 @@ def test_a_reranker_that_fails_keeps_the_order(spark, engine):
     assert found == sorted(found, reverse=True)
 
 
+def test_evaluation_by_history(spark, engine):
+    at = lambda i: f"2024-01-{i:02d}"
+    rows = [
+        ("h1", at(1), "fix: mooringFee asked twice", ["lib/fees/mooring.ts"]), ("h2", at(2), "Bug(port): admitShip of Harbour", ["lib/port/Harbour.ts", "read.me"]), ("h3", at(3), "feat: read level", ["lib/tide/Gauge.ts"]),
+        ("h4", at(4), "fix: wide", [f"x{i}.ts" for i in range(31)]), ("h5", at(5), "fix: words only", ["a.md"]), ("h6", at(6), "fix: qqq zzz", ["lib/none.ts"])]
+    history = spark.createDataFrame(rows, "hash string, date string, message string, files array<string>")
+    golden = {(r["query"], r["text"], r["item"]) for r in evaluation.golden_set(history).collect()}
+    assert golden == {("h1", "mooringFee asked twice", "lib/fees/mooring.ts"), ("h2", "admitShip of Harbour", "lib/port/Harbour.ts"), ("h6", "qqq zzz", "lib/none.ts")}
+    assert {r["query"] for r in evaluation.golden_set(history, 1).collect()} == {"h6"}
+    many = engine.search_many(spark.createDataFrame([("a", "mooringFee"), ("b", "admitShip"), ("c", "")], "query string, text string"), 3).collect()
+    assert {r["query"] for r in many} == {"a", "b"} and next(r["file_path"] for r in many if (r["query"], r["rank"]) == ("b", 1)) == "lib/port/Harbour.ts"
+    told = engine.evaluate(history, k=1).first()
+    assert told["queries"] == 3 and told["precision"] == 0.666667 and told["mrr"] == 0.666667
+
+
 def test_lost_writers_and_workers(spark):
     engine = Engine(spark)
     engine.index_files(files(spark, SOURCES[:1]))
