@@ -52,7 +52,7 @@ def bm25_postings(rows: DataFrame, corpus: DataFrame, terms: list[str], key: str
     terms = sorted(set(terms))
     hits = rows.filter(F.col("term").isin(*terms)) if terms else rows.filter(F.lit(False))
     held = F.broadcast(hits.groupBy(*by, "term").agg(F.count("*").alias("df")))  # a row for each query term and corpus
-    stats = F.broadcast(corpus.select(*by, "n", (F.col("total_dl") / F.col("n")).alias("avg_dl")))  # a row for each corpus
+    stats = F.broadcast(corpus.select(*by, "n", (F.col("total_dl") / F.nullif(F.col("n"), F.lit(0))).alias("avg_dl")))  # a row for each corpus
     met = hits.join(held, [*by, "term"])
     met = met.join(stats, list(by)) if by else met.crossJoin(stats)
     part = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avg_dl")))
@@ -69,7 +69,7 @@ def bm25_many(rows: DataFrame, corpus: DataFrame, queries: DataFrame, key: str,
     asked = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     held = rows.join(asked.select("term").distinct(), "term", "left_semi")
     often = held.groupBy("term").agg(F.count("*").alias("df"))
-    stats = F.broadcast(corpus.select("n", (F.col("total_dl") / F.col("n")).alias("avg_dl")))  # one row
+    stats = F.broadcast(corpus.select("n", (F.col("total_dl") / F.nullif(F.col("n"), F.lit(0))).alias("avg_dl")))  # one row
     part = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avg_dl")))
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     scored = held.join(often, "term").crossJoin(stats).select("term", key, *keep, (weight * part).alias("part"))

@@ -131,8 +131,8 @@ def q04_knn_topk(spark, sf_dir):
 @query(f"WITH {_KNN_SQL} SELECT vec_id, score FROM nn ORDER BY score DESC, vec_id LIMIT 20")
 def q04b_knn_index_all_lists(spark, sf_dir):
     """The same from the inverted file, in its exact setting."""
-    asked = table(spark, sf_dir, "embeddings").filter("vec_id = 0").first()["embedding"]
-    return vector_index.nearest_to(spark, t.vector_index_path(spark, sf_dir), asked, 20, probes=None)
+    asked = table(spark, sf_dir, "embeddings").filter("vec_id = 0").first()
+    return vector_index.nearest_to(spark, t.vector_index_path(spark, sf_dir), asked["embedding"] if asked else [], 20, probes=None)
 
 
 def _vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
