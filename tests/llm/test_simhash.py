@@ -135,3 +135,11 @@ def test_components_of_documents(spark, docs_of):
     want = brute_components([(i, brute_fingerprint(t)) for i, t in zip(ids, texts)])
     assert rows_of(got) == want and len({c for *_, c in want}) < len(want) - 20
     assert simhash.near_components(df.limit(0)).count() == 0
+
+
+def test_the_query_on_the_smallest_tables(spark):
+    from tessera.llm import queries
+
+    data = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
+    assert rows_of(queries.queries()["op12_simhash_bk_trees"](spark, data)) == brute_components([(r["doc_id"], brute_fingerprint(r["text"])) for r in docs])
