@@ -389,6 +389,8 @@ class SuffixFamily:
         self.levels: list[tuple[int, DataFrame]] = []
         self.found: list[DataFrame] = []
         self.batches: list[DataFrame] = []
+        #: All tables written, for close().
+        self.held: list[DataFrame] = []
         self.buckets = 0
 
     def _rows(self, docs: DataFrame) -> DataFrame:
@@ -410,8 +412,19 @@ class SuffixFamily:
         writer.bucketBy(self.buckets, "block").saveAsTable(name, format="parquet", path=path)
         made = spark.table(name)
         made.stored_at, made.stored_as = path, name
+        self.held.append(made)
         return made
 
+    def _stored(self, rows: DataFrame, name: str) -> DataFrame:
+        made = stored(rows, name)
+        self.held.append(made)
+        return made
+
+    def close(self) -> None:
+        """Removes all tables and files of the family. What marks() gave has to be written elsewhere before."""
+        discard(*self.held)
+        self.held, self.levels, self.found, self.batches = [], [], [], []
+
     def index(self, docs: DataFrame, batches: int = 1) -> list[DataFrame]:
         """The suffix arrays of docs dealt to so many batches, made in one pass; what repeats within a batch is noted."""
         if not self.buckets:
@@ -427,7 +440,7 @@ class SuffixFamily:
         """Merge-scans a batch's array with every level's, then makes it one and merges levels of equal size (the last batch: neither)."""
         for _, level in self.levels:
             met = array.groupBy("block").cogroup(level.groupBy("block")).applyInPandas(_scan, "marked binary, wanted binary")
-            self.found.append(stored(met, "scan"))
+            self.found.append(self._stored(met, "scan"))
         if last:
             return
         self.levels.append((1, array))
@@ -448,18 +461,18 @@ class SuffixFamily:
             found = found.unionByName(f)
         for d in self.batches[1:]:
             docs = docs.unionByName(self._rows(d))
-        wanted = hash_filter(stored(found.select("wanted").mapInPandas(_unpacked("wanted"), "gram long"), "wanted"))
-        near = stored(docs.mapInPandas(_contexts(wanted), _CONTEXTS), "contexts")
+        wanted = hash_filter(self._stored(found.select("wanted").mapInPandas(_unpacked("wanted"), "gram long"), "wanted"))
+        near = self._stored(docs.mapInPandas(_contexts(wanted), _CONTEXTS), "contexts")
         contexts = near.filter("gram is not null").select("gram", "key", "p", "before", "bytes")
-        # few in number whatever the input, as each takes MANY contexts: Spark can broadcast them
-        hot = stored(contexts.groupBy("gram").count().filter(f"count > {MANY}").select("gram"), "hot")
+        # each takes MANY contexts, so they are few beside the contexts, but grow with them: no broadcast is forced
+        hot = self._stored(contexts.groupBy("gram").count().filter(f"count > {MANY}").select("gram"), "hot")
         few = contexts.join(hot, "gram", "left_anti").withColumn("block", F.pmod(F.xxhash64("gram"), F.lit(SPREAD * self.buckets)))
         many = contexts.join(hot, "gram", "left_semi")
-        spread = stored(many.mapInPandas(_spread(SPREAD * self.buckets), f"{_MARKS}, block long, hashes binary, keys binary, starts binary"), "spread")
+        spread = self._stored(many.mapInPandas(_spread(SPREAD * self.buckets), f"{_MARKS}, block long, hashes binary, keys binary, starts binary"), "spread")
         names = ["key", "first", "last"]
         parts = [
-            found.select("marked").mapInPandas(_unpacked("marked"), _MARKS), near.filter("gram is null").select(names), stored(few.groupBy("block").applyInPandas(_compare, _MARKS), "matches"),
-            spread.filter("block < 0").select(names), stored(spread.filter("block >= 0").groupBy("block").applyInPandas(_meet, _MARKS), "matches"),
+            found.select("marked").mapInPandas(_unpacked("marked"), _MARKS), near.filter("gram is null").select(names), self._stored(few.groupBy("block").applyInPandas(_compare, _MARKS), "matches"),
+            spread.filter("block < 0").select(names), self._stored(spread.filter("block >= 0").groupBy("block").applyInPandas(_meet, _MARKS), "matches"),
         ]
         whole = parts[0]
         for p in parts[1:]:
@@ -518,8 +531,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     arrays = family.index(plain, batches)
     for array in arrays:
         family.enter(array, last=array is arrays[-1])
-    discard(*(level for _, level in family.levels))
     spans = stored(family.marks().groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
+    family.close()
     keys = hash_filter(spans.select("key"))  # only texts that may have marks are shuffled to them
     keyed, kind = plain.withColumn("key", F.xxhash64("id", "text")), docs.schema[id_col].dataType.simpleString()
     made = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"

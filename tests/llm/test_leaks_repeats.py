@@ -1,6 +1,7 @@
 import hashlib
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -8,6 +9,7 @@ import pytest
 
 from tessera.llm import decontaminate as d
 from tessera.llm import suffixdedup
+from tessera.workspace import shared_dir
 
 
 def least_edits(pattern, text):
@@ -133,6 +135,16 @@ def test_repeats_of_equal_rows_and_nothing(docs_of):
     assert suffixdedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_repeats_leave_only_what_the_result_reads(spark, docs_of):
+    folder = Path(shared_dir(spark))
+    tables, files = {t.name for t in spark.catalog.listTables()}, set(folder.iterdir())
+    passage = "".join(chr(97 + k * k % 23) for k in range(300))
+    got = suffixdedup.remove_repeats(docs_of([passage + "x", "y" + passage, None, "z" * 150])).drop("kept").collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {0: 300, 1: 300, 2: 0, 3: 0}
+    assert {t.name for t in spark.catalog.listTables()} == tables
+    assert [p.name.split("-")[0] for p in set(folder.iterdir()) - files] == ["spans"]
+
+
 def test_periodic_megabyte_makes_few_marks(docs_of):
     text = "tick tock " * 100_000
     rows = [r.asDict() for r in suffixdedup.remove_repeats(docs_of([text, "x" + text[:300], "alone " + "".join(map(str, range(90)))])).collect()]
