@@ -56,6 +56,19 @@ def test_rare_insults_beside_many_stronger_terms(spark):
         assert (machine.slot[next(held)] >= 0).all()
 
 
+def test_settings_are_compared_inside_the_training_rows(spark):
+    """Held-out labels turned round change no figure; a machine that learns nothing is worse; no rows, no figure."""
+    docs, labels = labelled(spark, 300)
+    choices = [toxicity.Settings(), toxicity.Settings(least_rows=10**6)]
+    found = toxicity.compared(docs, labels, "toxic", choices)
+    turned = labels.withColumn("toxic", F.when(toxicity.in_training(), F.col("toxic")).otherwise(1 - F.col("toxic")))
+    again = toxicity.compared(docs, turned, "toxic", choices[:1])
+    assert again[0] == found[0]
+    assert found[0]["rows"] == docs.join(labels, "doc_id").filter(toxicity.in_training() & F.col("toxic").isNotNull()).count()
+    assert found[0]["wrong"] < found[1]["wrong"] and found[0]["log_loss"] < found[1]["log_loss"]
+    assert toxicity.compared(docs.limit(0), labels, "toxic", choices[:1]) == [{"settings": choices[0], "rows": 0, "wrong": 0, "log_loss": None}]
+
+
 def test_machine_over_sparse_rows():
     """Margins and gradients of sparse batches against dense sums and differences."""
     rng = np.random.default_rng(3)
