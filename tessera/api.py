@@ -9,6 +9,7 @@ from being indexed. Files are named by one path key (functions.text.normal_path)
 from __future__ import annotations
 
 import functools
+import time
 import uuid
 from dataclasses import dataclass, field
 
@@ -17,11 +18,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions.vectors import cosine, hashed_embedding
-from tessera.operators import changes, cochange, evaluation, filters, fusion, graph, pack, resolve, retrieval, state
+from tessera.operators import changes, cochange, evaluation, filters, fusion, graph, pack, resolve, retrieval, state, vector_index
 from tessera.schema import CO_CHANGE_LIMIT, COLLECTIONS, COMMIT_LIMIT, DEFAULT_COLLECTIONS, DOC_SUFFIXES, LEASE_SECONDS, MAX_COMMIT_FILES, MAX_HOPS, MIN_COUNT, TABLES, TEXT_COLLECTIONS, TOP_K
 from tessera.sources import code, store
 from tessera.sources.files import scan_docs, scan_repo
-from tessera.workspace import remove, scratch
+from tessera.workspace import children, exists, remove, scratch
 
 _CODE = ("code_ts", "code_cs")
 _OUTCOME = "outcome string, file_path string, error string"
@@ -31,6 +32,15 @@ def clamp(value: int, least: int, most: int) -> int:
     return max(least, min(most, value))
 
 
+def _stamped_id() -> Column:
+    """A chunk as it was written by one operation; a later write of it is another."""
+    return F.concat_ws("@", "stamp", "chunk_id")
+
+
+def _chunk_of(stamped: str) -> Column:
+    return F.expr(f"substring({stamped}, locate('@', {stamped}) + 1)")  # stamps are hexadecimal
+
+
 def unit(method):
     """A method whose tables written aside are removed at its end; the DataFrame that it returns is kept, written out."""
 
@@ -347,10 +357,51 @@ class Engine:
 
     # ---- search
 
-    def search(self, query: str, collections: list[str] | None = None, top_k: int = TOP_K, expand_graph: bool = True, rerank=False, where: dict | None = None) -> DataFrame:
+    @unit
+    def index_vectors(self, lists: int | None = None, recall: float = 0.95) -> None:
+        """Writes an inverted file of the vectors of each collection, in place of earlier ones, for searches that are not exact.
+
+        lists and recall as in vector_index.write_index. Later changes need not wait for the next call: a search
+        leaves out what is no longer there, and takes exact cosines of what came since.
+        """
+        lengths = self._table("lengths")
+        for c in COLLECTIONS:
+            if (points := store.read_points(self.spark, self.points, (c,))) is None:
+                continue
+            stamps = lengths.filter(F.col("collection") == c).select("chunk_id", "stamp")
+            folder = f"{self.root}/vectors/{c}"
+            old, path = children(self.spark, folder), f"{folder}/{time.time_ns():020d}"
+            stamps.select("stamp").distinct().write.parquet(f"{path}/stamps")
+            vector_index.write_index(points.select("chunk_id", "dense").join(stamps, "chunk_id").select(_stamped_id().alias("id"), "dense"), path, "id", "dense", lists, recall=recall)
+            for name in old:
+                remove(self.spark, f"{folder}/{name}")
+
+    def _vectors(self, collection: str) -> str | None:
+        """The folder of a collection's inverted file; None before index_vectors()."""
+        folder = f"{self.root}/vectors/{collection}"
+        whole = [name for name in children(self.spark, folder) if exists(self.spark, f"{folder}/{name}/about.json")]
+        return f"{folder}/{whole[-1]}" if whole else None
+
+    def _near(self, points: DataFrame, collections: list[str], near, scored) -> DataFrame:
+        """Scores of the points by collection: near(collection, folder, live ids) from its inverted file, and scored(collection, points) of the points that the file doesn't know."""
+        parts = []
+        for c in collections:
+            own = points.filter(F.col("collection") == c)
+            if (path := self._vectors(c)) is not None:
+                live = self._table("lengths").filter(F.col("collection") == c).select("chunk_id", "stamp").join(own.select("chunk_id"), "chunk_id", "left_semi")
+                parts.append(near(c, path, live.select(_stamped_id().alias("id"))))
+                fresh = live.join(self.spark.read.schema("stamp string").parquet(f"{path}/stamps"), "stamp", "left_anti")
+                if not fresh.limit(1).count():
+                    continue
+                own = own.join(fresh, "chunk_id", "left_semi")
+            parts.append(scored(c, own))
+        return functools.reduce(DataFrame.unionByName, parts)
+
+    def search(self, query: str, collections: list[str] | None = None, top_k: int = TOP_K, expand_graph: bool = True, rerank=False, where: dict | None = None, exact: bool = True) -> DataFrame:
         """Packed hits: hybrid search in all collections at once, fusion over them, rerank, graph context, JSON. Unknown collections and empty queries have no hits.
 
         rerank: True for the stand-in, or a function (query, texts) that gives a score for each text; if it fails the hits keep their order.
+        exact: whether all points of the collections are scored, or the lists near the query that index_vectors() wrote.
         """
         top_k = clamp(top_k, 1, 100)
         depth = top_k * 4 if rerank is not False else top_k
@@ -367,7 +418,14 @@ class Engine:
         sparse = sparse if not where else sparse.join(points.select("collection", "chunk_id"), ["collection", "chunk_id"], "left_semi")
         asked = F.array(*map(F.lit, terms)).cast("array<string>")
         vector = F.when(F.col("collection").isin(*TEXT_COLLECTIONS), self.embed_text(asked)).otherwise(self.embed(asked))
-        dense = points.select("collection", "chunk_id", cosine(F.col("dense"), vector).alias("score")).filter("score is not null")
+        score = lambda some, v: some.select("collection", "chunk_id", cosine(F.col("dense"), v).alias("score")).filter("score is not null")
+        if exact:
+            dense = score(points, vector)
+        else:
+            asking = self.spark.range(1).select(self.embed(asked).alias("code"), self.embed_text(asked).alias("text")).first()
+            of = lambda c: list(map(float, asking["text" if c in TEXT_COLLECTIONS else "code"] or []))
+            near = lambda c, path, ids: vector_index.nearest_to(self.spark, path, of(c), retrieval.over_fetch(depth), among=ids).select(F.lit(c).alias("collection"), _chunk_of("id").alias("chunk_id"), "score")
+            dense = self._near(points, wanted, near, lambda c, some: score(some, vector))
         found = retrieval.hybrid_by(sparse, dense, "collection", "chunk_id", retrieval.over_fetch(depth))
         links = points.select("collection", "chunk_id", "linked_chunk_id")
         merged = fusion.merge_collections(found.join(links, ["collection", "chunk_id"], "left"), wanted).orderBy(F.col("score").desc(), "list_no", "rank", "chunk_id").limit(depth)
@@ -381,8 +439,8 @@ class Engine:
             hits = self._expanded(hits)
         return pack.packed(hits).orderBy(*self._order(hits)).limit(top_k)
 
-    def search_many(self, queries: DataFrame, top_k: int = TOP_K, collections: tuple[str, ...] = _CODE) -> DataFrame:
-        """(query, chunk_id, file_path, score, rank) for many queries (query, text) in one job: hybrid search with the query as a key. Texts and vectors of all collections given are one corpus."""
+    def search_many(self, queries: DataFrame, top_k: int = TOP_K, collections: tuple[str, ...] = _CODE, exact: bool = True) -> DataFrame:
+        """(query, chunk_id, file_path, score, rank) for many queries (query, text) in one job: hybrid search with the query as a key. Texts and vectors of all collections given are one corpus. exact as in search()."""
         points = store.read_points(self.spark, self.points, collections)
         queries = queries.select(F.col("query").cast("string").alias("query"), "text").distinct()
         if points is None:
@@ -395,7 +453,12 @@ class Engine:
         rows = self._live_postings(self.spark.createDataFrame([], TABLES["postings"]) if held is None else held).filter(F.col("collection").isin(*collections))
         sparse = retrieval.bm25_many(rows, corpus, queries, "chunk_id", depth).select("query", "chunk_id", "score")
         asked = queries.withColumn("v", self.embed(tx.tokens(F.col("text"))))
-        dense = points.select("chunk_id", "dense").crossJoin(asked).select("query", "chunk_id", cosine(F.col("dense"), F.col("v")).alias("score")).filter("score is not null")  # the stated queries against all points
+        score = lambda some: some.select("chunk_id", "dense").crossJoin(asked).select("query", "chunk_id", cosine(F.col("dense"), F.col("v")).alias("score")).filter("score is not null")  # the stated queries against all points
+        if exact:
+            dense = score(points)
+        else:
+            near = lambda c, path, ids: vector_index.nearest(self.spark, path, asked.select("query", F.col("v").alias("vector")), depth, among=ids).select("query", _chunk_of("id").alias("chunk_id"), "score")
+            dense = self._near(points, [c for c in collections if c in COLLECTIONS], near, lambda c, some: score(some))
         found = retrieval.hybrid_by(sparse, dense, "query", "chunk_id", top_k)
         placed = retrieval.ranked(found, "chunk_id", ["query"])
         return placed.join(points.select("chunk_id", "file_path"), "chunk_id").select("query", "chunk_id", "file_path", "score", "rank")

@@ -93,15 +93,17 @@ def _near_lists(units: np.ndarray, centroids: np.ndarray, probes: int) -> np.nda
     return np.argsort(-(units @ centroids.T), axis=1, kind="stable")[:, :probes]
 
 
-def nearest_to(spark: SparkSession, path: str, vector: list[float], k: int, probes: int | None = -1) -> DataFrame:
-    """(key, score) of the k nearest to one vector. probes: -1 as measured, None for all lists, which is exact."""
+def nearest_to(spark: SparkSession, path: str, vector: list[float], k: int, probes: int | None = -1, among: DataFrame | None = None) -> DataFrame:
+    """(key, score) of the k nearest to one vector. probes: -1 as measured, None for all lists, which is exact. among: the keys that count, all if not given."""
     about, centroids, rows = _about(spark, path)
     if not len(centroids) or not np.any(vector):
         return rows.select(about["key"], F.lit(0.0).alias("score")).limit(0)
     wanted = len(centroids) if probes is None else about["probes"] if probes < 0 else probes
     at = [int(x) for x in _near_lists(_units([vector]), centroids, wanted)[0]]
     asked = F.array(*map(F.lit, map(float, vector)))
-    found = rows.filter(F.col("list_no").isin(*at)).select(about["key"], cosine(F.col(about["vector"]), asked).alias("score"))
+    held = rows.filter(F.col("list_no").isin(*at))
+    held = held if among is None else held.join(among.select(about["key"]), about["key"], "left_semi")
+    found = held.select(about["key"], cosine(F.col(about["vector"]), asked).alias("score"))
     return found.orderBy(F.col("score").desc(), about["key"]).limit(k)
 
 
@@ -129,14 +131,15 @@ def _best_of_blocks(k: int, key: str):
     return run
 
 
-def nearest(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: int | None = -1, block: int = BLOCK) -> DataFrame:
+def nearest(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: int | None = -1, block: int = BLOCK, among: DataFrame | None = None) -> DataFrame:
     """(query, key, score, rank) of the k nearest to each of many queries (query, vector), themselves among them if they are rows.
 
     A list's rows and its questions are dealt to blocks of a bounded size, which meet in pairs, so that one
-    matrix product serves a pair and no list is one task's.
+    matrix product serves a pair and no list is one task's. among: as in nearest_to.
     """
     about, centroids, rows = _about(spark, path)
     key, vector = about["key"], about["vector"]
+    rows = rows if among is None else rows.join(among.select(key), key, "left_semi")
     kinds = {"query": queries.schema["query"].dataType.simpleString(), "vector": queries.schema["vector"].dataType.simpleString()}
     wanted = len(centroids) if probes is None else about["probes"] if probes < 0 else probes
     asked = queries.filter(_length("vector") > 0).mapInPandas(_asking(centroids, max(1, wanted)), f"query {kinds['query']}, vector {kinds['vector']}, list_no int") if len(centroids) else queries.limit(0).withColumn("list_no", F.lit(0))

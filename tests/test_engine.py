@@ -329,6 +329,23 @@ def test_evaluation_by_history(spark, engine):
     assert told["queries"] == 3 and told["precision"] == 0.666667 and told["mrr"] == 0.666667
 
 
+def test_searches_by_lists_of_vectors(spark):
+    """One list is all vectors: the same hits as by all points, before and after a change that the lists don't know."""
+    engine = Engine(spark)
+    docs = lambda *rows: spark.createDataFrame(rows, "file_path string, text string")
+    engine.index_docs(docs(("docs/a.md", "# Fees\nmooring fee of a ship\n"), ("docs/b.md", "# Levels\na steady level\n")))
+    queries = spark.createDataFrame([("a", "mooring fee"), ("c", "--")], "query string, text string")
+
+    def hits(exact):
+        found = engine.search("mooring fee", ["docs"], expand_graph=False, exact=exact).collect()
+        return [(r["chunk_id"], r["score"]) for r in found], sorted(map(tuple, engine.search_many(queries, 3, ("docs",), exact=exact).collect()))
+
+    engine.index_vectors(lists=1)
+    assert hits(True) == hits(False) and len(hits(False)[0]) == 2
+    engine.index_docs(docs(("docs/b.md", "# Moorings\nwhat a mooring costs\n")))
+    assert hits(True) == hits(False) and len(hits(False)[0]) == 2
+
+
 def test_lost_writers_and_workers(spark):
     engine = Engine(spark)
     engine.index_files(files(spark, SOURCES[:1]))
