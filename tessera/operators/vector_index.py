@@ -24,8 +24,8 @@ from pyspark.sql.types import StructType
 from tessera.functions.vectors import cosine
 from tessera.workspace import read_text, write_text
 
-#: Vectors that centroids are fitted on, and rows of a block that one multiplication takes.
-SAMPLE, BLOCK = 20_000, 1024
+#: Vectors that centroids are fitted on, rows and questions of a block, and how many of them one multiplication takes.
+SAMPLE, BLOCK, SLICE = 20_000, 8192, 512
 MOST_LISTS = 4096
 ROUNDS = 10
 
@@ -57,10 +57,16 @@ def needed_probes(units: np.ndarray, centroids: np.ndarray, recall: float, k: in
     return int(at[min(len(at) - 1, int(np.ceil(recall * len(at))))]) + 1
 
 
+def _parts(batch: pd.DataFrame, size: int = SLICE) -> Iterator[pd.DataFrame]:
+    """A batch by `size` rows, so that what is computed for each row and list stays small."""
+    return (batch.iloc[i : i + size] for i in range(0, len(batch), size))
+
+
 def _assigned(centroids: np.ndarray, key: str, vector: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({key: batch[key], vector: batch[vector], "list_no": (_units(batch[vector]) @ centroids.T).argmax(1)} if len(batch) else {key: [], vector: [], "list_no": []})
+            for part in _parts(batch):
+                yield pd.DataFrame({key: part[key], vector: part[vector], "list_no": (_units(part[vector]) @ centroids.T).argmax(1)})
 
     return run
 
@@ -108,25 +114,33 @@ def nearest_to(spark: SparkSession, path: str, vector: list[float], k: int, prob
 
 
 def _asking(centroids: np.ndarray, probes: int):
+    """Beside each question the numbers of its lists; they become rows outside Python."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                near = _near_lists(_units(batch["vector"]), centroids, probes)
-                yield pd.DataFrame({"query": np.repeat(batch["query"].to_numpy(), near.shape[1]), "vector": batch["vector"].repeat(near.shape[1]).to_numpy(), "list_no": near.ravel()})
+            for part in _parts(batch):
+                yield pd.DataFrame({"query": part["query"], "vector": part["vector"], "lists": list(_near_lists(_units(part["vector"]), centroids, probes).astype(np.int32))})
 
     return run
 
 
 def _best_of_blocks(k: int, key: str):
-    """Of each pair of blocks, k rows for each of its queries."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for keys, vectors, queries, asked in zip(batch["keys"], batch["vectors"], batch["queries"], batch["asked"], strict=True):
-                score = np.round(_units(asked) @ _units(vectors).T, 6)
-                order = np.argsort(keys, kind="stable")
-                best = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :k]]
-                yield pd.DataFrame({"query": np.repeat(queries, best.shape[1]), key: np.asarray(keys)[best.ravel()], "score": np.take_along_axis(score, best, 1).ravel()})
+    """Of a block of rows and a block of questions, k rows for each question."""
+
+    def run(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(held) or not len(asked):
+            return pd.DataFrame({"query": asked["query"][:0], key: held[key][:0], "score": np.zeros(0)})
+        held = held.sort_values(key, kind="stable")
+        units, keys, out = _units(held["vector"]).T, held[key].to_numpy(), []
+        for part in _parts(asked, SLICE):
+            score = np.round(_units(part["vector"]) @ units, 6)
+            least = -np.partition(-score, min(k, len(keys)) - 1, axis=1)[:, min(k, len(keys)) - 1]
+            at, row = np.nonzero(score >= least[:, None])  # ties of the last place too
+            order = np.lexsort((row, -score[at, row], at))
+            at, row = at[order], row[order]
+            first = np.arange(len(at)) - np.searchsorted(at, at) < k
+            out.append(pd.DataFrame({"query": part["query"].to_numpy()[at[first]], key: keys[row[first]], "score": score[at[first], row[first]]}))
+        return pd.concat(out)
 
     return run
 
@@ -134,23 +148,29 @@ def _best_of_blocks(k: int, key: str):
 def nearest(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: int | None = -1, block: int = BLOCK, among: DataFrame | None = None) -> DataFrame:
     """(query, key, score, rank) of the k nearest to each of many queries (query, vector), themselves among them if they are rows.
 
-    A list's rows and its questions are dealt to blocks of a bounded size, which meet in pairs, so that one
-    matrix product serves a pair and no list is one task's. among: as in nearest_to.
+    A list's rows and its questions are dealt to blocks of a bounded size, which meet in pairs. A pair is a
+    group of its own: one matrix product serves it, no list is one task's, and a task's Python holds one
+    pair at a time, whatever the table's size. A search of all lists takes them as one. among: as in nearest_to.
     """
     about, centroids, rows = _about(spark, path)
     key, vector = about["key"], about["vector"]
+    rows = rows.filter("list_no >= 0")
     rows = rows if among is None else rows.join(among.select(key), key, "left_semi")
     kinds = {"query": queries.schema["query"].dataType.simpleString(), "vector": queries.schema["vector"].dataType.simpleString()}
     wanted = len(centroids) if probes is None else about["probes"] if probes < 0 else probes
-    asked = queries.filter(_length("vector") > 0).mapInPandas(_asking(centroids, max(1, wanted)), f"query {kinds['query']}, vector {kinds['vector']}, list_no int") if len(centroids) else queries.limit(0).withColumn("list_no", F.lit(0))
-    sizes = rows.filter("list_no >= 0").groupBy("list_no").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # a row for each list
-    placed = rows.join(F.broadcast(sizes), "list_no").withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"))
-    held = placed.groupBy("list_no", "block").agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vector).alias("v"))).alias("rows"))
-    questions = asked.groupBy("list_no").agg(F.count("*").alias("n")).select("list_no", F.ceil(F.col("n") / block).cast("int").alias("turns"))
-    turned = asked.join(F.broadcast(questions), "list_no").withColumn("turn", F.pmod(F.xxhash64("query"), F.col("turns")).cast("int"))
-    asks = turned.groupBy("list_no", "turn").agg(F.collect_list(F.struct(F.col("query").alias("q"), F.col("vector").alias("v"))).alias("asks"))
-    copies = asks.join(F.broadcast(sizes), "list_no").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = held.join(copies, ["list_no", "block"]).select(F.col("rows.k").alias("keys"), F.col("rows.v").alias("vectors"), F.col("asks.q").alias("queries"), F.col("asks.v").alias("asked"))
-    found = pairs.mapInPandas(_best_of_blocks(k, key), f"query {kinds['query']}, {key} {dict(rows.dtypes)[key]}, score double")
+    able = queries.filter(_length("vector") > 0)
+    if wanted >= len(centroids):
+        rows, asked = rows.withColumn("list_no", F.lit(0)), able.select("query", "vector", F.lit(0).alias("list_no"))
+    else:
+        near = able.mapInPandas(_asking(centroids, max(1, wanted)), f"query {kinds['query']}, vector {kinds['vector']}, lists array<int>")
+        asked = near.select("query", "vector", F.explode("lists").alias("list_no"))
+    counted = lambda df, name: df.groupBy("list_no").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = F.broadcast(counted(rows, "blocks").join(counted(asked, "turns"), "list_no"))  # a row for each list
+    of = lambda by, n: F.pmod(F.xxhash64(by), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = rows.select(F.col(key), F.col(vector).alias("vector"), "list_no").join(sizes, "list_no").withColumn("block", of(key, "blocks")).withColumn("turn", each("turns")).drop("blocks", "turns")
+    asks = asked.join(sizes, "list_no").withColumn("turn", of("query", "turns")).withColumn("block", each("blocks")).drop("blocks", "turns")
+    pair = ["list_no", "block", "turn"]
+    found = held.groupBy(*pair).cogroup(asks.groupBy(*pair)).applyInPandas(_best_of_blocks(k, key), f"query {kinds['query']}, {key} {dict(rows.dtypes)[key]}, score double")
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), key)
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

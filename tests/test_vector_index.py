@@ -64,3 +64,16 @@ def test_nothing_to_index(spark, tmp_path):
         n = 1 if name == "one" else 0
         assert v.nearest(spark, str(tmp_path / name), asked, 3).count() == n
         assert v.nearest_to(spark, str(tmp_path / name), [1.0, 0.0], 3).count() == n
+
+
+def test_python_holds_one_bounded_block_at_a_time(spark, tmp_path):
+    """Not as many blocks, or questions times lists, as an Arrow batch has rows; ties at the last place go by key."""
+    import pandas as pd
+
+    batch = pd.DataFrame({"query": np.arange(3000), "vector": list(RNG.normal(size=(3000, 8)))})
+    asked = list(v._asking(v._units(RNG.normal(size=(50, 8))), 40)([batch]))
+    assert max(map(len, asked)) <= v.SLICE and sum(map(len, asked)) == 3000
+    df = written(spark, tmp_path / "t", [[1.0, 0.0]] * 70 + [[0.0, 1.0]] * 30)
+    found = v.nearest(spark, str(tmp_path / "t"), df.filter("id in (5, 99)").select(F.col("id").alias("query"), F.col("vec").alias("vector")), 4, probes=None, block=16)
+    assert "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().toString()
+    assert sorted((r["query"], r["rank"], r["id"], r["score"]) for r in found.collect()) == [(5, i + 1, i, 1.0) for i in range(4)] + [(99, i + 1, 70 + i, 1.0) for i in range(4)]
