@@ -73,3 +73,21 @@ def test_evaluation(spark):
     good = spark.createDataFrame([("q", "b"), ("q", "c")], "query string, item string")
     assert {r["query"]: r["precision"] for r in evaluation.precision_at(ranked, good, 2).collect()} == {"q": 0.5, "z": 0.0}
     assert {r["query"]: r["rr"] for r in evaluation.reciprocal_rank(ranked, good).collect()} == {"q": 0.5, "z": 0.0}
+
+
+def test_postings_move_once(spark, tmp_path):
+    """Terms are counted within a text's row, so only the layout by term is a shuffle; rows of one key are still one text's."""
+    from collections import Counter
+
+    texts = {1: "b a b ÜBER a_1 b", 2: "", 3: None, 4: "x" * 10 + " 7 7"}
+    df = spark.createDataFrame(list(texts.items()), "id long, text string")
+    counted = retrieval.counted_terms(df, "id", "text")
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    want = {(i, w, n, len(t.split())) for i, t in texts.items() if t for w, n in Counter(t.lower().split()).items()}
+    assert {(r["id"], r["term"], r["tf"], r["dl"]) for r in counted.collect()} == want
+    for rows, n, total in ((df, 4, 9), (df.unionAll(df), 8, 18), (df.limit(0), 0, 0)):
+        path = str(tmp_path / str(n))
+        retrieval.write_postings(rows, path, "id", "text")
+        terms, corpus = retrieval.read_postings(spark, path)
+        assert tuple(corpus.first()[c] for c in ("n", "total_dl")) == (n, total)
+        assert {(r["id"], r["term"], r["tf"], r["dl"]) for r in terms.collect()} == {(i, w, k * n // 4, d) for i, w, k, d in want if n}
