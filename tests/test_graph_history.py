@@ -166,3 +166,18 @@ def test_passages_are_found_in_one_walk_without_moving_texts(spark, monkeypatch)
         assert len(got) == len(set(got)) and set(got) == want
     plan = graph.related_issues(found)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_parts_of_the_history_follow_its_table(spark, monkeypatch):
+    """Tasks get more with more lines, not larger; commits are shuffled once and pairs once."""
+    from tessera.plans import catalogue, tables
+
+    data = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{data}/lineitem.parquet").count()
+    assert tables.history_parts(spark, data) == int(spark.conf.get("spark.sql.shuffle.partitions")) and tables.history_parts(spark, data, 500) == -(-lines // 500)
+    plain = sorted(map(tuple, catalogue.queries()["q18_co_change_last_seen"](spark, data).collect()))
+    monkeypatch.setattr(tables.history_parts, "__defaults__", (500,))
+    many = catalogue.queries()["q18_co_change_last_seen"](spark, data)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") == 3
+    assert sorted(map(tuple, many.collect())) == plain
