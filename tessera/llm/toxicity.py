@@ -58,11 +58,13 @@ def _held_by(settings: Settings):
     """The partition's share of how many rows, and how many ones among them, hold each term."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros((1 << settings.hash_bits, 2), np.uint32)
+        held, ones = np.zeros((2, 1 << settings.hash_bits), np.uint32)
         for batch in batches:
             for y, t in zip(batch["y"], _terms(batch), strict=True):
-                counts[t] += np.array([1, y], np.uint32)
-        yield pd.DataFrame(list(packed(counts)), columns=["part", "counts"])
+                held[t] += np.uint32(1)
+                if y:
+                    ones[t] += np.uint32(1)
+        yield pd.DataFrame(list(packed(np.stack([held, ones], 1))), columns=["part", "counts"])
 
     return run
 
@@ -111,29 +113,39 @@ class Rows:
 class Batch:
     """Some rows laid out for steps of learning: by row for the margins, by column for the gradients.
 
-    A machine's own part is a table of the columns that the batch touches, each its weight and then its factors.
+    Columns that the same rows of the batch hold (a word and its beginnings, all that one row alone holds) are one
+    group: rows meet groups, and a group's part of a gradient is found once for its columns. A machine's own part
+    is a table of the columns that the batch touches, each its weight and then its factors.
     """
 
     def __init__(self, rows: Rows, y: np.ndarray, weight: np.ndarray):
         self.n, self.y, self.weight = len(rows.lengths), y, weight
-        self.full = np.flatnonzero(rows.lengths)
-        self.heads = rows.heads[self.full]
         low = np.argsort((rows.columns & 0xFFFF).astype(np.uint16), kind="stable")  # 16 bits at a time, which numpy sorts in linear time
         order = low[np.argsort((rows.columns >> 16).astype(np.uint16)[low], kind="stable")]
-        self.row = np.repeat(np.arange(self.n, dtype=np.int32), rows.lengths)[order]
-        by = rows.columns[order]
-        new = np.diff(by, prepend=-1) != 0
-        self.starts = np.flatnonzero(new)
-        self.touched = by[self.starts]
-        self.local = np.empty(len(order), np.int32)
-        self.local[order] = np.cumsum(new) - 1
+        row, by = np.repeat(np.arange(self.n, dtype=np.int32), rows.lengths)[order], rows.columns[order]
+        starts = np.flatnonzero(np.diff(by, prepend=-1))
+        size = np.diff(starts, append=len(by))
+        self.touched = by[starts]
+        self.alike, first = _alike(row, starts, size, np.random.default_rng(11).integers(0, 1 << 63, self.n, np.uint64))
+        self.columns = np.flatnonzero(first)  # where each group's columns begin among alike
+        self.of = np.empty(len(starts), np.int32)
+        self.of[self.alike] = np.cumsum(first) - 1
+        head, held = starts[self.alike[self.columns]], size[self.alike[self.columns]]
+        self.starts = np.cumsum(held) - held
+        self.row = row[np.repeat(head - self.starts, held) + np.arange(held.sum())]
+        turned = np.argsort(self.row.astype(np.min_scalar_type(self.n)), kind="stable")
+        self.group = np.repeat(np.arange(len(held), dtype=np.int32), held)[turned]
+        lengths = np.bincount(self.row, minlength=self.n)
+        self.full = np.flatnonzero(lengths)
+        self.heads = (np.cumsum(lengths) - lengths)[self.full]
 
     def margin(self, bias: float, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Margins, and the sums of weights and factors, by row."""
         sums, squares = np.zeros((self.n, own.shape[1]), own.dtype), np.zeros(self.n, own.dtype)
         if len(self.full):
-            sums[self.full] = np.add.reduceat(own.take(self.local, axis=0), self.heads, axis=0)
-            squares[self.full] = np.add.reduceat((own[:, 1:] ** 2).sum(1).take(self.local), self.heads)
+            own = own.take(self.alike, axis=0)
+            grouped = np.add.reduceat(own, self.columns, axis=0), np.add.reduceat(own**2 @ _factors_of(own), self.columns)
+            sums[self.full], squares[self.full] = (np.add.reduceat(x.take(self.group, axis=0), self.heads, axis=0) for x in grouped)
         return bias + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(1) - squares), sums
 
     def gradient(self, bias: float, own: np.ndarray) -> tuple[float, np.ndarray]:
@@ -143,11 +155,39 @@ class Batch:
         if not len(self.touched):
             return float(g.sum()), np.zeros_like(own)
         sums[:, 0] = 1
-        grads = np.add.reduceat((sums * g[:, None]).take(self.row, axis=0), self.starts, axis=0)
-        grads[:, 1:] -= own[:, 1:] * grads[:, :1]
+        grouped = np.add.reduceat((sums * g[:, None]).take(self.row, axis=0), self.starts, axis=0)
+        grads = grouped.take(self.of, axis=0)
+        grads -= own * (grouped[:, :1] * _factors_of(own)).take(self.of, axis=0)
         return float(g.sum()), grads
 
 
+def _factors_of(own: np.ndarray) -> np.ndarray:
+    """1 for each factor, 0 for the weight: whole rows times this are faster than parts of rows."""
+    return (np.arange(own.shape[1]) > 0).astype(own.dtype)
+
+
+def _alike(row: np.ndarray, starts: np.ndarray, size: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Columns in an order that brings those with the same rows together, and which of them begin a group.
+
+    row: the sorted rows of column after column, each from its start on; marks: a random number for each row. Sums of
+    marks bring columns together; whether two neighbours have the same rows is seen from the rows themselves.
+    """
+    if not len(starts):
+        return starts, np.zeros(0, bool)
+    named = np.add.reduceat(marks[row], starts)
+    alike = np.argsort(named, kind="stable")
+    first = np.ones(len(starts), bool)
+    one, two = alike[:-1], alike[1:]
+    near = np.flatnonzero((named[one] == named[two]) & (size[one] == size[two]))
+    held = size[one[near]]
+    heads = np.cumsum(held) - held
+    place = np.arange(held.sum())
+    differ = row[np.repeat(starts[one[near]] - heads, held) + place] != row[np.repeat(starts[two[near]] - heads, held) + place]
+    if len(near):
+        first[near + 1] = np.logical_or.reduceat(differ, heads)
+    return alike, first
+
+
 def fit_machine(x: Rows | np.ndarray, y: np.ndarray, s: Settings, start: tuple | None = None, share: float | None = None, epochs: int | None = None, pace: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
     """Bias, weights and factors by Adam on the log loss of x (0/1), both labels weighing the same in all.
 
@@ -160,6 +200,7 @@ def fit_machine(x: Rows | np.ndarray, y: np.ndarray, s: Settings, start: tuple |
     bias, weights, factors = start or (0.0, np.zeros(x.width), rng.normal(0, 0.01, (x.width, s.factors)))
     p = np.concatenate([np.asarray(weights)[:, None], np.asarray(factors)], 1).astype(np.float32)
     m, u, b = np.zeros_like(p), np.zeros_like(p), [float(bias), 0.0, 0.0]
+    whole = lambda table: table.view(f"V{4 * p.shape[1]}")[:, 0]  # rows as single values, which numpy puts in place faster
     share = np.clip(share if share is not None else y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
     weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
     pace = np.ones(x.width) if pace is None else pace
@@ -178,10 +219,11 @@ def fit_machine(x: Rows | np.ndarray, y: np.ndarray, s: Settings, start: tuple |
             m1, u1 = m.take(t, axis=0), u.take(t, axis=0)
             m1 += np.float32(0.1) * (grads - m1)
             u1 += np.float32(0.001) * (grads * grads - u1)
-            m[t], u[t] = m1, u1
+            np.put(whole(m), t, whole(m1))
+            np.put(whole(u), t, whole(u1))
             m1 *= rates.take(t, axis=0) / np.float32(1 - 0.9**step)
             np.sqrt(u1 / np.float32(1 - 0.999**step), out=u1)
-            p[t] = own - m1 / (u1 + np.float32(1e-8))
+            np.put(whole(p), t, whole(own - m1 / (u1 + np.float32(1e-8))))
             b[1], b[2] = 0.9 * b[1] + 0.1 * of_bias, 0.999 * b[2] + 0.001 * of_bias**2
             b[0] -= s.rate * (b[1] / (1 - 0.9**step)) / (np.sqrt(b[2] / (1 - 0.999**step)) + 1e-8)
     return b[0], p[:, 0].astype(float), p[:, 1:].astype(float)

@@ -95,6 +95,23 @@ def test_machine_over_sparse_rows():
     assert empty.gradient(0.0, p[:0])[1].shape == (0, 4) and empty.margin(0.5, p[:0])[0].tolist() == [0.5] * 3
 
 
+def test_columns_of_the_same_rows_are_met_once():
+    """A word and its beginnings are one group for the rows that hold them, and so is all that one row alone holds; names that clash join nothing."""
+    rng = np.random.default_rng(4)
+    x = (rng.random((40, 30)) < 0.2).astype(float)
+    x[:, 10:25] = x[:, [0, 1, 2, 3, 4] * 3]
+    x[:, 25:] = np.eye(40)[:, [5, 5, 5, 9, 9]]
+    rows = toxicity.Rows(np.nonzero(x)[1], np.count_nonzero(x, axis=1), 30)
+    batch = toxicity.Batch(rows, np.ones(40), np.ones(40))
+    patterns = {tuple(c) for c in x.T if c.any()}
+    assert len(batch.columns) == len(patterns) and len(batch.group) == sum(map(sum, patterns)) < x.sum()
+    row, column = np.nonzero(x)[0][np.argsort(np.nonzero(x)[1], kind="stable")], np.sort(np.nonzero(x)[1])
+    starts = np.flatnonzero(np.diff(column, prepend=-1))
+    order, first = toxicity._alike(row, starts, np.diff(starts, append=len(row)), np.zeros(40, np.uint64))
+    held = [tuple(x[:, column[starts[k]]]) for k in order]
+    assert all(new or a == b for new, a, b in zip(first[1:], held, held[1:], strict=False))
+
+
 def test_without_one_of_the_labels(spark):
     docs, labels = labelled(spark, 20)
     for some in (labels.limit(0), labels.withColumn("toxic", F.lit(0)), labels.withColumn("toxic", F.lit(None).cast("int")), labels.withColumn("doc_id", F.lit(None).cast("long"))):
