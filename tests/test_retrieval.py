@@ -91,3 +91,20 @@ def test_postings_move_once(spark, tmp_path):
         terms, corpus = retrieval.read_postings(spark, path)
         assert tuple(corpus.first()[c] for c in ("n", "total_dl")) == (n, total)
         assert {(r["id"], r["term"], r["tf"], r["dl"]) for r in terms.collect()} == {(i, w, k * n // 4, d) for i, w, k, d in want if n}
+
+
+def test_postings_lie_in_lists(spark, tmp_path):
+    """A common term moves and lies as a list for each batch of texts, not as a row for each text; what is read is the same."""
+    from tessera.sources.store import Tables
+
+    texts = [(i, " ".join(["thing"] * (i % 3 + 1) + ["the", f"w{i % 7}", "Über"])) for i in range(300)] + [(None, "the the"), (900, None), (901, "")]
+    df = spark.createDataFrame(texts, "id long, text string").coalesce(2)
+    path = str(tmp_path / "lists")
+    retrieval.write_postings(df, path, "id", "text")
+    rows, corpus = retrieval.read_postings(spark, path)
+    kept = sorted(retrieval.counted_terms(df, "id", "text").collect(), key=str)
+    assert sorted((r for r in rows.select("term", "id", "dl", "tf").collect()), key=str) == kept and len(kept) == 1201
+    assert tuple(corpus.first()[c] for c in ("n", "total_dl")) == (303, sum(r["tf"] for r in kept))
+    assert Tables(spark, path)["terms"].count() <= 2 * 10
+    some, _ = retrieval.read_postings(spark, path, ["thing"])
+    assert "isin" not in (p := some.filter(F.col("term").isin("thing", "x"))._jdf.queryExecution().optimizedPlan().toString()) and p.index("Generate") < p.index("Filter")
