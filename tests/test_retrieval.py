@@ -108,3 +108,24 @@ def test_postings_lie_in_lists(spark, tmp_path):
     assert Tables(spark, path)["terms"].count() <= 2 * 10
     some, _ = retrieval.read_postings(spark, path, ["thing"])
     assert "isin" not in (p := some.filter(F.col("term").isin("thing", "x"))._jdf.queryExecution().optimizedPlan().toString()) and p.index("Generate") < p.index("Filter")
+
+
+def test_some_terms_do_not_pay_for_all(spark, tmp_path):
+    """A query of few terms finds them in one pass: no other term is written or moves, and what is read is what the postings of all terms give."""
+    from tessera.plans import tables
+    from tessera.workspace import children
+
+    texts = [(i, " ".join(["thing"] * (i % 3) + ["THE", f"w{i % 7}", "Über"]), "x") for i in range(300)] + [(None, "the the", ""), (900, None, ""), (901, "", ""), (7, "thing w0", ""), (7, "w1 the", "")]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    terms = ["thing", "the", "über", "nowhere"]
+    kept = lambda rows: sorted((r for r in rows.filter(F.col("term").isin(*terms)).select("term", "doc_id", "dl", "tf").collect()), key=str)
+    stats = lambda corpus: tuple(corpus.first()[c] for c in ("n", "total_dl"))
+    before = tables._MADE.copy()
+    rows, corpus = tables.document_postings(spark, str(tmp_path), terms)
+    (path,) = (p for k, p in tables._MADE.items() if k not in before)
+    assert "terms" not in children(spark, path) and {t for r in spark.read.parquet(path).collect() for t in r["terms"]} == set(terms[:3])
+    some, counted = kept(rows), stats(corpus)
+    every, whole = tables.document_postings(spark, str(tmp_path))
+    assert some == kept(every) and len(some) == 201 + 302 + 300 and counted == stats(whole) == (305, sum(r["tf"] for r in every.collect()))
+    again, _ = tables.document_postings(spark, str(tmp_path), terms)
+    assert kept(again) == some and len(tables._MADE) == len(before) + 2
