@@ -129,3 +129,15 @@ def test_some_terms_do_not_pay_for_all(spark, tmp_path):
     assert some == kept(every) and len(some) == 201 + 302 + 300 and counted == stats(whole) == (305, sum(r["tf"] for r in every.collect()))
     again, _ = tables.document_postings(spark, str(tmp_path), terms)
     assert kept(again) == some and len(tables._MADE) == len(before) + 2
+
+
+def test_lists_hold_narrow_numbers(spark, tmp_path):
+    """Frequencies move and lie as int, are read as bigint, and the tokens in all are what they add up to."""
+    from tessera.sources.store import Tables
+
+    df = spark.createDataFrame([(1, "a b a"), (2, None), (3, "a " * 70_000)], "id long, text string")
+    path = str(tmp_path / "narrow")
+    retrieval.write_postings(df, path, "id", "text")
+    rows, corpus = retrieval.read_postings(spark, path)
+    assert Tables(spark, path)["terms"].schema["tf"].dataType.simpleString() == "array<int>" and dict(rows.dtypes)["tf"] == "bigint" == dict(corpus.dtypes)["total_dl"]
+    assert {(r["term"], r["id"], r["dl"], r["tf"]) for r in rows.collect()} == {("a", 1, 3, 2), ("b", 1, 3, 1), ("a", 3, 70_000, 70_000)} and corpus.first()["total_dl"] == 70_003
